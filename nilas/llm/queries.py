@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from nilas.llm import sharding, url_filter
+from nilas.llm import ngram_join, sharding, url_filter
 
 QUERIES = {
+    "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
     "op2_sharding": sharding.op2_sharding,
     "op5_url_filter": url_filter.op5_url_filter,
 }
 ORACLES = {
+    "op1_ngram_jaccard": ngram_join.SQL,
     "op5_url_filter": url_filter.SQL,
 }
