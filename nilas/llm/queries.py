@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from nilas.llm import decontaminate, ngram_join, quality, sharding, url_filter, warc
+from nilas.llm import decontaminate, ngram_join, quality, sharding, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
     "op2_sharding": sharding.op2_sharding,
     "op3_warc": warc.op3_warc,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_url_filter": url_filter.op5_url_filter,
     "op7_quality_cascade": quality.op7_quality_cascade,
     "op8_decontamination": decontaminate.op8_decontamination,
