@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nilas.llm import decontaminate, ngram_join, quality, sharding, toxicity, url_filter, warc
+from nilas.llm import decontaminate, html_text, ngram_join, quality, sharding, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_html_text": html_text.op6_html_text,
     "op7_quality_cascade": quality.op7_quality_cascade,
     "op8_decontamination": decontaminate.op8_decontamination,
 }
