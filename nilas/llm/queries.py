@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nilas.llm import decontaminate, html_text, ngram_join, quality, sharding, toxicity, url_filter, warc
+from nilas.llm import decontaminate, html_text, ngram_join, pii, quality, sharding, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_html_text": html_text.op6_html_text,
     "op7_quality_cascade": quality.op7_quality_cascade,
     "op8_decontamination": decontaminate.op8_decontamination,
+    "op9_personal_data": pii.op9_personal_data,
 }
 ORACLES = {
     "op1_ngram_jaccard": ngram_join.SQL,
