@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nilas.llm import decontaminate, html_text, ngram_join, pii, quality, sharding, toxicity, url_filter, warc
+from nilas.llm import decontaminate, html_text, mixing, ngram_join, pii, quality, sharding, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_quality_cascade": quality.op7_quality_cascade,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_personal_data": pii.op9_personal_data,
+    "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
     "op1_ngram_jaccard": ngram_join.SQL,
