@@ -10,7 +10,8 @@ verified on the shingles themselves.
 
 Pages are counted by partial aggregation and equal pages are kept once. A first pass ties each page to its smallest member
 and verifies those pairs, which joins most of a group of copies in linear work. A second pass looks only at pages that
-still hold several components, and only at pairs across them; pages over BLOCK members are cut into block pairs.
+still hold several components and verifies each member's nearest smaller one in another component; a third verifies all
+pairs across components that are left. Pages over BLOCK members are cut into block pairs.
 No link between different sets is lost, and pairs inside a component are never listed.
 """
 
@@ -28,8 +29,8 @@ from nilas.llm import text as t
 from nilas.llm.common import components, saved
 
 U = np.uint64
-#: Coordinates of a point, members of a block, and of a leaf node.
-GROUPS, BLOCK, LEAF = 32, 2048, 64
+#: Coordinates of a point (one byte each), members of a block, and of a leaf node.
+GROUPS, BLOCK, LEAF, FULL = 128, 2048, 64, 255
 #: Groups above what the pigeonhole needs, so that empty groups needn't be pages.
 SPARE = 2
 #: Verified members of one page sent to one task beside its first.
@@ -93,7 +94,7 @@ def _featurise(words: int, bands: Bands):
                         ids,
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if k else None for s, k in zip(sets, linked, strict=True)], pa.binary()),
-                        pa.array([np.minimum(np.bincount((s >> U(20)).astype(np.int64) % GROUPS, minlength=GROUPS), 65535).astype(np.uint16).tobytes() for s in sets], pa.binary()),
+                        pa.array([np.minimum(np.bincount((s >> U(20)).astype(np.int64) % GROUPS, minlength=GROUPS), FULL).astype(np.uint8).tobytes() for s in sets], pa.binary()),
                         pa.array([_pages(s, bands) if k else np.zeros(0, np.int64) for s, k in zip(sets, linked, strict=True)], pa.list_(pa.int64())),
                     ],
                     names=["doc_id", "n", "digest", "point", "pages"],
@@ -104,7 +105,7 @@ def _featurise(words: int, bands: Bands):
 
 def _points(batch: pa.RecordBatch, name: str) -> np.ndarray:
     col = batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary())
-    return t.buffers(col)[0].view(np.uint16).reshape(-1, GROUPS).astype(np.int32)
+    return t.buffers(col)[0].reshape(-1, GROUPS).astype(np.int16)
 
 
 def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -112,13 +113,13 @@ def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def _bounded(num: int, den: int):
-    """Keeps the pairs whose summed coordinate minima allow a link. Counts at 65535 may be larger; then L1 distance bounds."""
+    """Keeps the pairs whose summed coordinate minima allow a link. Summed minima are half of the sizes less the L1 distance; counts that stop at FULL only make that distance smaller."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 na, nb = _column(batch, "na"), _column(batch, "nb")
-                apart = np.abs(_points(batch, "pa") - _points(batch, "pb")).sum(1)
+                apart = np.abs(_points(batch, "pa") - _points(batch, "pb")).sum(1, dtype=np.int64)
                 keep = (na + nb - apart) // 2 >= _needed(na, nb, num, den)
                 yield pa.RecordBatch.from_arrays([pa.array(_column(batch, c)[keep]) for c in "ab"], names=["a", "b"])
 
@@ -126,10 +127,10 @@ def _bounded(num: int, den: int):
 
 
 def _overlap_ok(x, nx, y, ny, num, den):
-    """Matrix: whether the points of x and y leave room for a link (min sum as half of sizes less L1)."""
-    apart = np.abs(x[:, None, :] - y[None, :, :]).sum(2)
+    """Matrices: whether the points of x and y leave room for a link (min sum as half of sizes less L1), and their distance."""
+    apart = np.abs(x[:, None, :] - y[None, :, :]).sum(2, dtype=np.int64)
     total = nx[:, None] + ny[None, :]
-    return (total - apart) // 2 >= _needed(total, 0, num, den)
+    return (total - apart) // 2 >= _needed(total, 0, num, den), apart
 
 
 def _pack(points: np.ndarray) -> np.ndarray:
@@ -146,28 +147,35 @@ def _pack(points: np.ndarray) -> np.ndarray:
     return done
 
 
+def _nearest(pairs: np.ndarray) -> np.ndarray:
+    """Of rows (page, a, b, distance), the one of least distance for each page and b."""
+    order = np.lexsort((pairs[:, 1], pairs[:, 3], pairs[:, 2], pairs[:, 0]))
+    pairs = pairs[order]
+    return pairs[np.concatenate([[True], (pairs[1:, [0, 2]] != pairs[:-1, [0, 2]]).any(1)])] if len(pairs) else pairs
+
+
 def _search(node, part, comp, points, size, num, den, left, right):
-    """Pairs (a < b) of a block in different components that the bound allows; left, right: the two parts of a block pair."""
+    """Rows (0, a, b, distance), a < b, of pairs of a block in different components that the bound allows; left, right: the two parts of a block pair."""
     found = []
     leaves = _pack(points)
     high = np.array([points[x].max(0) for x in leaves])
     low = np.array([size[x].min() for x in leaves])
     for i, x in enumerate(leaves):
-        room = (np.minimum(high[i], high[i:]).sum(1) >= _needed(low[i] + low[i:], 0, num, den)) | (high[i:].max(1) == 65535)
+        room = (np.minimum(high[i], high[i:]).sum(1) >= _needed(low[i] + low[i:], 0, num, den)) | (high[i:].max(1) == FULL)
         for j in np.flatnonzero(room) + i:
             y = leaves[j]
-            ok = _overlap_ok(points[x], size[x], points[y], size[y], num, den) & (comp[x][:, None] != comp[y][None, :])
+            ok, apart = _overlap_ok(points[x], size[x], points[y], size[y], num, den)
+            ok &= comp[x][:, None] != comp[y][None, :]
             if left != right:
                 ok &= part[x][:, None] != part[y][None, :]
             p, q = np.nonzero(ok)
             a, b = node[x[p]], node[y[q]]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-    out = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    return np.unique(out[out[:, 0] != out[:, 1]], axis=0)
+            found.append(np.stack([np.zeros(len(a), np.int64), np.minimum(a, b), np.maximum(a, b), apart[p, q]], 1))
+    return np.concatenate(found) if found else np.zeros((0, 4), np.int64)
 
 
-def _across(num: int, den: int):
-    """Rows of a block stand together; they are held until the block ends."""
+def _across(num: int, den: int, nearest: bool):
+    """Rows of a block stand together; they are held until the block ends. nearest: only each member's nearest smaller one."""
 
     def flush(rows):
         cols = {c: np.concatenate([_column(b, c) for b in rows]) for c in ("page", "i", "j", "part", "node", "comp", "n")}
@@ -182,13 +190,18 @@ def _across(num: int, den: int):
             for s in range(0, len(p), 100_000):
                 x, y = p[s : s + 100_000], q[s : s + 100_000]
                 total = cols["n"][x] + cols["n"][y]
-                ok = (cols["comp"][x] != cols["comp"][y]) & ((total - np.abs(points[x] - points[y]).sum(1)) // 2 >= _needed(total, 0, num, den))
+                apart = np.abs(points[x] - points[y]).sum(1, dtype=np.int64)
+                ok = (cols["comp"][x] != cols["comp"][y]) & ((total - apart) // 2 >= _needed(total, 0, num, den))
                 ok &= (cols["i"][x] == cols["j"][x]) | (cols["part"][x] != cols["part"][y])
                 a, b = cols["node"][x[ok]], cols["node"][y[ok]]
-                out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+                out.append(np.stack([cols["page"][x[ok]], np.minimum(a, b), np.maximum(a, b), apart[ok]], 1))
+        if nearest:
+            out = [_nearest(np.concatenate(out))] if out else []
         for e, m in zip(edge[length > 16], length[length > 16], strict=True):
             s = slice(e, e + m)
-            out.append(_search(*(cols[c][s] for c in ("node", "part", "comp")), points[s], cols["n"][s], num, den, cols["i"][e], cols["j"][e]))
+            own = _search(*(cols[c][s] for c in ("node", "part", "comp")), points[s], cols["n"][s], num, den, cols["i"][e], cols["j"][e])
+            out.append(_nearest(own) if nearest else own)
+        out = [x[:, 1:3] for x in out]
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
     def emit(pairs):
@@ -308,16 +321,20 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, in
     links = saved(_links(docs, stars, words, num, den), "links")
     labels = saved(components(links), "labels")
 
-    named = pages.join(labels, "node", "left").select("page", "node", "m", F.coalesce("component", "node").alias("comp"))
-    mixed = named.groupBy("page").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("page")
-    rest = named.join(mixed, "page").join(points, "node")
-    parts = F.ceil(F.col("m") / block).cast("int")
-    rest = rest.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rest = rest.select("page", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"), "part", "node", "comp", "n", "point")
-    rest = rest.repartition("page", "i", "j").sortWithinPartitions("page", "i", "j").mapInArrow(_across(num, den), "a long, b long")
-    more = saved(rest.distinct().join(stars, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        labels = saved(components(links.unionByName(_links(docs, more, words, num, den))), "labels")
+    tested = stars
+    for nearest in (True, False):
+        named = pages.join(labels, "node", "left").select("page", "node", "m", F.coalesce("component", "node").alias("comp"))
+        mixed = named.groupBy("page").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("page")
+        rest = named.join(mixed, "page").join(points, "node")
+        parts = F.ceil(F.col("m") / block).cast("int")
+        rest = rest.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), parts - 1)))
+        rest = rest.select("page", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"), "part", "node", "comp", "n", "point")
+        rest = rest.repartition("page", "i", "j").sortWithinPartitions("page", "i", "j").mapInArrow(_across(num, den, nearest), "a long, b long")
+        more = saved(rest.distinct().join(tested, ["a", "b"], "left_anti"), "more")
+        if not more.isEmpty():
+            links = links.unionByName(saved(_links(docs, more, words, num, den), "links"))
+            labels = saved(components(links), "labels")
+            tested = tested.unionByName(more)
 
     by_set = nodes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = made.select("doc_id", "n", "digest").join(by_set, "digest", "left")
