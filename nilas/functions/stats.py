@@ -8,14 +8,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Part of the last digit that is added before rounding.
+NUDGE = 0.031
+
+
 def finite(x: Column) -> Column:
     """NaN is missing."""
     return F.nanvl(x, F.lit(None).cast("double"))
 
 
 def rounded(x: Column, digits: int = 6) -> Column:
-    """Rounded, with no negative zero."""
-    return F.round(finite(x), digits) + F.lit(0.0)
+    """Rounded, with no negative zero. Values halfway between two results, which round either way after inexact sums, go up."""
+    return F.round(finite(x) + F.lit(NUDGE * 10.0**-digits), digits) + F.lit(0.0)
 
 
 def correlation(y: Column, x: Column) -> Column:
@@ -127,4 +131,4 @@ def sql_rmse(y: str, x: str, w: str = "1.0") -> str:
 
 
 def sql_round(x: str, digits: int = 6) -> str:
-    return f"(round({x}, {digits}) + 0.0)"
+    return f"(round({x} + {NUDGE * 10.0**-digits!r}, {digits}) + 0.0)"

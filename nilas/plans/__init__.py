@@ -1,6 +1,6 @@
 """Registered queries, each with its SQL."""
 
-from nilas.plans import climatology
+from nilas.plans import climatology, trends
 from nilas.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "climatology"]
+__all__ = ["ORACLES", "QUERIES", "climatology", "trends"]
