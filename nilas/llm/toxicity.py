@@ -17,8 +17,8 @@ from nilas.llm import text as t
 
 U = np.uint64
 BUCKETS_LOG2, DIM, NGRAMS = 18, 8, (3, 4, 5)
-#: Most labelled documents the model is fitted on, chosen by hash.
-TRAIN_ROWS = 8000
+#: Most labelled documents the model is fitted on, chosen by hash, and the most bytes of each; bytes whose features are held at once.
+TRAIN_ROWS, TRAIN_BYTES, CHUNK_BYTES = 6000, 100_000, 256 << 10
 #: Words of a passage. A document's score is that of its highest passage.
 PASSAGE = 12
 STEPS, RATE, DECAY, MIN_SEEN, EPS = 120, 0.05, 1e-5, 50, 1e-5
@@ -115,6 +115,19 @@ def _tops(logits: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return order[begin[full]]
 
 
+def _chunks(texts: list[str]):
+    """The texts as Arrow arrays of about CHUNK_BYTES."""
+    own, size = [], 0
+    for x in texts:
+        own.append(x.encode())
+        size += len(own[-1])
+        if size >= CHUNK_BYTES:
+            yield pa.array(own, pa.large_binary())
+            own, size = [], 0
+    if own:
+        yield pa.array(own, pa.large_binary())
+
+
 class Bag:
     """Training passages: their words, and each different word's buckets."""
 
@@ -122,8 +135,8 @@ class Bag:
         words, lists, starts, begins = [], [], [], []
         n = p = 0
         known = np.zeros(0, U)
-        for s in range(0, len(texts), 100):
-            f = Features(*t.buffers(pa.array([x.encode() for x in texts[s : s + 100]], pa.large_binary())))
+        for part in _chunks(texts):
+            f = Features(*t.buffers(part))
             start, begin = _passages(f.text_words)
             words.append(f.whole)
             own, at = np.unique(f.whole, return_index=True)
@@ -134,14 +147,15 @@ class Bag:
             starts.append(start[:-1] + n)
             begins.append(begin[:-1] + p)
             n, p = n + f.n_words, p + begin[-1]
-        self.vocabulary, self.words = np.unique(np.concatenate(words), return_inverse=True)
+        self.vocabulary = np.unique(np.concatenate([np.unique(x) for x in words]))
+        self.words = np.concatenate([np.searchsorted(self.vocabulary, x).astype(np.int32) for x in words])
         word, bucket, share = map(np.concatenate, zip(*lists, strict=True))
         word = np.searchsorted(self.vocabulary, word)
         _, first = np.unique(word.astype(np.int64) << 20 | bucket, return_index=True)  # each word's buckets once
         self.word, self.bucket, self.share = word[first], bucket[first], share[first]
         self.begin = np.concatenate([*begins, [p]])
         starts = np.concatenate([*starts, [n]])
-        self.passage = np.repeat(np.arange(p), np.diff(starts))
+        self.passage = np.repeat(np.arange(p, dtype=np.int32), np.diff(starts))
         self.length = np.maximum(1, np.diff(starts))
 
     def keep(self, least: int) -> None:
@@ -204,7 +218,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7):
     table = np.zeros(1 << BUCKETS_LOG2, np.float32)
     table[bag.active] = emb @ (out[:, 1] - out[:, 0])
     kept = [x for x, b in zip(texts, back, strict=True) if b]
-    parts = [_highest(pa.array([x.encode() for x in kept[i : i + 100]], pa.large_binary()), table) for i in range(0, len(kept), 100)]
+    parts = [_highest(part, table) for part in _chunks(kept)]
     top, count = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0), np.zeros(0))
     return table, _calibrate(top, count, y[back])
 
@@ -271,11 +285,22 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
-    """The model from at most `rows` labelled documents that aren't held out, chosen by the hash of their id."""
+    """The model from at most `rows` labelled documents that aren't held out, chosen by the hash of their id; texts over TRAIN_BYTES aren't learned from."""
     chosen = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).select("doc_id", F.col("toxic").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    table = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").selectExpr("doc_id", "coalesce(text, '') AS text", "label").toArrow().sort_by("doc_id")
-    return train(table.column("text").to_pylist(), table.column("label").to_pylist())
+    short = docs.select("doc_id", "text").where((F.octet_length("text") <= TRAIN_BYTES) | F.col("text").isNull())
+    rows = short.join(F.broadcast(chosen), "doc_id").selectExpr("doc_id", "coalesce(text, '') AS text", "label")
+    made = rows.repartition(1).sortWithinPartitions("doc_id", "label").mapInArrow(_train_task, "table binary, rest array<double>").first()  # a bounded sample
+    return np.frombuffer(bytes(made["table"]), np.float32), tuple(made["rest"])
+
+
+def _train_task(batches):
+    texts, labels = [], []
+    for batch in batches:
+        texts += batch.column(1).to_pylist()
+        labels += batch.column(2).to_pylist()
+    table, rest = train(texts, labels)
+    yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary()), pa.array([list(rest)], pa.list_(pa.float64()))], names=["table", "rest"])
 
 
 def toxicity(docs: DataFrame, model) -> DataFrame:
