@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nilas.llm.common import new_path
+from nilas.llm.common import new_path, ship
 from nilas.llm.decontaminate import decontaminate
 from nilas.llm.mixing import mix
 from nilas.llm.ngram_join import jaccard_components
@@ -40,7 +40,15 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return shard(docs, 8).withColumns({"shard": F.col("shard").cast("int"), "slot": F.col("slot").cast("long")})
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
+def _stage(stage):
+    def apply(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return apply
+
+
+STAGES = [(stage.__name__, _stage(stage)) for stage in (quality, near_duplicates, decontamination, mixing, sharding)]
 #: The order in which vectors are packed and the fitted models can't be written in SQL.
 ORACLE_SQL = None
 

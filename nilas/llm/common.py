@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,22 @@ from pyspark.sql import functions as F
 LINKS_PER_TASK = 1_000_000
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python once an application, wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[2]
+        archive = Path(tempfile.mkdtemp(prefix="spark-")) / "nilas.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in sorted(root.glob("nilas/**/*.py")):
+                out.write(path, path.relative_to(root))
+        context.addPyFile(str(archive))  # the driver serves it to the executors
+        _shipped.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a local one only where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -3,6 +3,17 @@
 from __future__ import annotations
 
 from nilas.llm import decontaminate, html_text, mixing, ngram_join, pii, quality, sharding, toxicity, url_filter, warc
+from nilas.llm.common import ship
+
+
+
+def _with_package(query):
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
@@ -16,6 +27,7 @@ QUERIES = {
     "op9_personal_data": pii.op9_personal_data,
     "op10_mixing": mixing.op10_mixing,
 }
+QUERIES = {name: _with_package(query) for name, query in QUERIES.items()}
 ORACLES = {
     "op1_ngram_jaccard": ngram_join.SQL,
     "op3_warc": warc.SQL,
