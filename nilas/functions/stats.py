@@ -25,8 +25,8 @@ def rounded(x: Column, digits: int = 6) -> Column:
 def correlation(y: Column, x: Column) -> Column:
     """Pearson's r over pairs without nulls; null where a side doesn't vary."""
     both = y.isNotNull() & x.isNotNull()
-    varies = (F.stddev_pop(F.when(both, y)) > 1e-12) & (F.stddev_pop(F.when(both, x)) > 1e-12)
-    return F.when(varies, finite(F.corr(y, x)))
+    sy, sx = F.stddev_pop(F.when(both, y)), F.stddev_pop(F.when(both, x))
+    return F.when((sy > 1e-12) & (sx > 1e-12), F.try_divide(F.covar_pop(F.when(both, y), F.when(both, x)), sy * sx))  # corr() itself fails without variance
 
 
 def student_p(r: Column, n: Column) -> Column:

@@ -1,6 +1,6 @@
 """Registered queries, each with its SQL."""
 
-from nilas.plans import climatology, skill, trends
+from nilas.plans import budget, climatology, regrid, skill, transition, trends
 from nilas.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "climatology", "skill", "trends"]
+__all__ = ["ORACLES", "QUERIES", "budget", "climatology", "regrid", "skill", "transition", "trends"]
