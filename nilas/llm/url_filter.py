@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nilas.llm.common import saved
 
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: One-sided width of the posterior bound, and the share of bad pages from which a host is blocked.
 Z, BAD_SHARE = 1.645, 0.5
 #: Prior strengths outside these limits aren't taken from the data.
