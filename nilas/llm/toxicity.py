@@ -291,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
     short = docs.select("doc_id", "text").where((F.octet_length("text") <= TRAIN_BYTES) | F.col("text").isNull())
     rows = short.join(F.broadcast(chosen), "doc_id").selectExpr("doc_id", "coalesce(text, '') AS text", "label")
     made = rows.repartition(1).sortWithinPartitions("doc_id", "label").mapInArrow(_train_task, "table binary, rest array<double>").first()  # a bounded sample
-    return np.frombuffer(bytes(made["table"]), np.float32), tuple(made["rest"])
+    return train([], []) if made is None else (np.frombuffer(bytes(made["table"]), np.float32), tuple(made["rest"]))
 
 
 def _train_task(batches):
