@@ -106,8 +106,10 @@ def numbered(out: DataFrame) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    # the checksum comes first, so that texts needn't move with the rows
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", crc.alias("text_crc32"))
     return shard(docs, 8).select(
-        "doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
-        F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
+        F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
