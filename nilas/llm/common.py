@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -16,12 +17,15 @@ from pyspark.sql import functions as F
 LINKS_PER_TASK = 1_000_000
 
 
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python once an application, wherever they run."""
+    """Sends this package to the executors' Python once an application, wherever they run, and keeps the batches that Spark hands them small: rows may carry whole texts."""
     context = spark.sparkContext
+    if int(spark.conf.get(BATCH, "10000")) > BATCH_ROWS:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parents[2]
         archive = Path(tempfile.mkdtemp(prefix="spark-")) / "nilas.zip"
@@ -49,7 +53,23 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: lineage ends here."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what is no longer referred to; it does so when the driver collects garbage, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of `saved` that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _local_forest(batches):

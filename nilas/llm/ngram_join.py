@@ -17,6 +17,7 @@ No link between different sets is lost, and pairs inside a component are never l
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from bisect import bisect_right
 
@@ -26,15 +27,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nilas.llm import text as t
-from nilas.llm.common import components, saved
+from nilas.llm.common import components, drop, release, saved
 
 U = np.uint64
-#: Coordinates of a point (one byte each), members of a block, and of a leaf node.
-GROUPS, BLOCK, LEAF, FULL = 128, 2048, 64, 255
-#: Groups above what the pigeonhole needs, so that empty groups needn't be pages.
-SPARE = 2
+#: Least number of coordinates of a point (a byte each), shingles a coordinate, members of a block and of a leaf node, largest count.
+GROUPS, LOAD, BLOCK, LEAF, FULL = 128, 4, 2048, 64, 255
+#: Coordinates compared at once, and bytes of points held at once.
+CELLS, HELD = 512 << 10, 16 << 20
+#: Groups a set is hashed into for each one that the pigeonhole needs; only the strongest that it needs become pages.
+SURPLUS = 1.25
+#: Documents (chosen by hash) whose shingles tell which are common, and from how many of them on; this only ranks groups, it changes no result.
+SAMPLE, COMMON = 4096, 8
 #: Verified members of one page sent to one task beside its first.
 SALTS = 64
+#: Turns in which pages are made and counted, each with its share of the shuffled rows.
+TURNS = 2
 #: Bits of the filter that picks the documents whose shingles are sent, fixed for any input.
 FILTER_BITS = 1 << 23
 
@@ -47,8 +54,8 @@ class Bands:
         while self.low[-1] < 1 << 40:
             self.low.append(max(self.low[-1] + 1, int(self.low[-1] * width)))
         differ = [2 * (hi - 1) * (den - num) // (den + num) for hi in self.low[1:]]
-        self.spare = [SPARE if k else 0 for k in differ]
-        self.groups = [k + 1 + s for k, s in zip(differ, self.spare, strict=True)]
+        self.pages = [k + 1 for k in differ]
+        self.groups = [k + 1 if k == 0 else max(k + 2, int((k + 1) * SURPLUS)) for k in differ]
 
     def of(self, n: int) -> range:
         """Bands in which a set of n shingles can be the smaller or the larger of a linked pair."""
@@ -60,9 +67,17 @@ def _needed(a, b, num: int, den: int):
     return -((-num * (a + b)) // (num + den))
 
 
-def _pages(tokens: np.ndarray, bands: Bands) -> np.ndarray:
-    """Page of each group with something in it (of all groups, where too many are empty). tokens: sorted."""
+def _pages(tokens: np.ndarray, bands: Bands, common: np.ndarray) -> np.ndarray:
+    """Pages of a sorted set: of all groups the strongest, by tokens that aren't common and then by hash.
+
+    Linked sets differ in at most k tokens, so all but k of their groups agree. In an order that depends on a group's
+    content alone, the last of those that agree comes after all others that agree, so it is among the last k + 1 groups of both sets.
+    """
     sums = np.concatenate([np.zeros(1, U), np.cumsum(t.mix(tokens), dtype=U)])
+    rare = np.ones(len(tokens), bool)
+    if len(common):
+        rare = common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] != tokens
+    rare = np.concatenate([[0], np.cumsum(rare)])
     out = []
     for band in bands.of(len(tokens)):
         groups = bands.groups[band]
@@ -70,8 +85,9 @@ def _pages(tokens: np.ndarray, bands: Bands) -> np.ndarray:
         at = np.searchsorted(tokens, np.arange(1, groups, dtype=U) * U(width) if groups > 1 else np.zeros(0, U))
         at = np.concatenate([[0], at, [len(tokens)]])
         content = t.mix(sums[at[1:]] - sums[at[:-1]]) ^ t.mix(np.arange(groups, dtype=U) + U(band << 40))
-        full = at[1:] > at[:-1]
-        out.append(content if groups - full.sum() > bands.spare[band] else content[full])
+        strength = rare[at[1:]] - rare[at[:-1]]
+        strongest = np.lexsort((content, strength))[-bands.pages[band] :]
+        out.append(content[strongest])
     return t.mix(np.concatenate(out)).view(np.int64)
 
 
@@ -82,7 +98,14 @@ def _sets(batch: pa.RecordBatch, words: int):
     return [np.unique(runs[at[i] : at[i + 1]]) for i in range(batch.num_rows)]
 
 
-def _featurise(words: int, bands: Bands):
+def _point(tokens: np.ndarray) -> bytes:
+    """Counts of the groups. Their number is a power of two that grows with the set; groups fold into fewer by adding halves."""
+    groups = max(GROUPS, 1 << max(0, (len(tokens) // LOAD - 1).bit_length()))
+    at = ((tokens >> U(8)) & U(groups - 1)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=groups), FULL).astype(np.uint8).tobytes()
+
+
+def _featurise(words: int):
     def run(batches):
         for batch in batches:
             for part in t.slices(batch, "text"):
@@ -94,18 +117,90 @@ def _featurise(words: int, bands: Bands):
                         ids,
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if k else None for s, k in zip(sets, linked, strict=True)], pa.binary()),
-                        pa.array([np.minimum(np.bincount((s >> U(20)).astype(np.int64) % GROUPS, minlength=GROUPS), FULL).astype(np.uint8).tobytes() for s in sets], pa.binary()),
-                        pa.array([_pages(s, bands) if k else np.zeros(0, np.int64) for s, k in zip(sets, linked, strict=True)], pa.list_(pa.int64())),
+                        pa.array([_point(s) if k else None for s, k in zip(sets, linked, strict=True)], pa.binary()),
                     ],
-                    names=["doc_id", "n", "digest", "point", "pages"],
+                    names=["doc_id", "n", "digest", "point"],
                 )
 
     return run
 
 
-def _points(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    col = batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary())
-    return t.buffers(col)[0].reshape(-1, GROUPS).astype(np.int16)
+def _chosen(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    """The rows whose doc_id has its bit set."""
+    ids = batch.column(batch.schema.get_field_index("doc_id")).fill_null(0).to_numpy(zero_copy_only=False)
+    at = (t.mix(ids.view(U)) % U(FILTER_BITS)).astype(np.int64)
+    return batch.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 == 1))
+
+
+def _entries(words: int, bands: Bands, wanted, common, turn: int):
+    """A row (page, node) for each page of this turn of the documents whose bit is set."""
+
+    def run(batches):
+        bits = np.frombuffer(wanted.value, np.uint8)
+        often = np.frombuffer(common.value, U)
+        for batch in batches:
+            for part in t.slices(_chosen(batch, bits), "text"):
+                ids = _column(part, "doc_id")
+                pages = [_pages(s, bands, often) if len(s) else np.zeros(0, np.int64) for s in _sets(part, words)]
+                pages = [x[x % TURNS == turn] for x in pages]
+                if pages:
+                    nodes, whole = np.repeat(ids, [len(x) for x in pages]), np.concatenate(pages)
+                    for i in range(0, len(whole), 100_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (whole, nodes)], names=["page", "node"])
+
+    return run
+
+
+def _shingles(words: int):
+    def run(batches):
+        for batch in batches:
+            for part in t.slices(batch, "text"):
+                sets = _sets(part, words)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))], names=["shingle"])
+
+    return run
+
+
+def _common(docs: DataFrame, words: int, n: int):
+    """Broadcast of the shingles of at least COMMON of about SAMPLE documents; at most SAMPLE / COMMON documents' worth."""
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLE))) == 0)
+    found = some.mapInArrow(_shingles(words), "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON).select("shingle").toArrow()
+    values = found.column(0).to_numpy().view(U)
+    return docs.sparkSession.sparkContext.broadcast(np.sort(values).tobytes())
+
+
+class Points:
+    """Points of some rows; `at` folds those of some rows to a common number of coordinates."""
+
+    def __init__(self, batches: list[pa.RecordBatch], name: str):
+        parts = [t.buffers(b.column(b.schema.get_field_index(name)).cast(pa.large_binary())) for b in batches]
+        self.data = np.concatenate([d for d, _ in parts])
+        self.length = np.concatenate([np.diff(o) for _, o in parts])
+        self.start = np.cumsum(self.length) - self.length
+
+    def at(self, rows: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros((len(rows), size), np.int16)
+        for n in np.unique(self.length[rows]):
+            same = np.flatnonzero(self.length[rows] == n)
+            step = max(1, CELLS // int(n))
+            for i in range(0, len(same), step):
+                own = same[i : i + step]
+                whole = self.data[self.start[rows[own]][:, None] + np.arange(n)]
+                out[own] = whole.reshape(len(own), n // size, size).sum(1, dtype=np.int16)
+        return out
+
+
+def _apart(left: Points, x: np.ndarray, right: Points, y: np.ndarray) -> np.ndarray:
+    """L1 distance of the points of rows x and y, at the smaller number of coordinates of each pair."""
+    out = np.zeros(len(x), np.int64)
+    size = np.minimum(left.length[x], right.length[y])
+    for n in np.unique(size):
+        own = np.flatnonzero(size == n)
+        step = max(1, CELLS // int(n))
+        for i in range(0, len(own), step):
+            k = own[i : i + step]
+            out[k] = np.abs(left.at(x[k], n) - right.at(y[k], n)).sum(1, dtype=np.int64)
+    return out
 
 
 def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -119,13 +214,26 @@ def _bounded(num: int, den: int):
         for batch in batches:
             if batch.num_rows:
                 na, nb = _column(batch, "na"), _column(batch, "nb")
-                apart = np.abs(_points(batch, "pa") - _points(batch, "pb")).sum(1, dtype=np.int64)
+                rows = np.arange(batch.num_rows)
+                apart = _apart(Points([batch], "pa"), rows, Points([batch], "pb"), rows)
                 keep = (na + nb - apart) // 2 >= _needed(na, nb, num, den)
                 yield pa.RecordBatch.from_arrays([pa.array(_column(batch, c)[keep]) for c in "ab"], names=["a", "b"])
 
     return run
 
 
+def _coarse(batches):
+    """(node, n, point) with the point folded to about 8 shingles a coordinate, as rows of pages carry it."""
+    for batch in batches:
+        if batch.num_rows:
+            points, size = Points([batch], "point"), _column(batch, "n")
+            rows = []
+            for i, n in enumerate(size):
+                groups = min(int(points.length[i]), max(GROUPS, 1 << max(0, (int(n) // 8 - 1).bit_length())))
+                rows.append(np.minimum(points.at(np.array([i]), groups)[0], FULL).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(_column(batch, "node")), pa.array(size), pa.array(rows, pa.binary())], names=["node", "n", "point"])
+
+
 def _overlap_ok(x, nx, y, ny, num, den):
     """Matrices: whether the points of x and y leave room for a link (min sum as half of sizes less L1), and their distance."""
     apart = np.abs(x[:, None, :] - y[None, :, :]).sum(2, dtype=np.int64)
@@ -179,7 +287,7 @@ def _across(num: int, den: int, nearest: bool):
 
     def flush(rows):
         cols = {c: np.concatenate([_column(b, c) for b in rows]) for c in ("page", "i", "j", "part", "node", "comp", "n")}
-        points = np.concatenate([_points(b, "point") for b in rows])
+        points = Points(rows, "point")
         key = np.stack([cols["page"], cols["i"], cols["j"]])
         edge = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
         length = np.diff(np.concatenate([edge, [len(cols["page"])]]))
@@ -190,7 +298,7 @@ def _across(num: int, den: int, nearest: bool):
             for s in range(0, len(p), 100_000):
                 x, y = p[s : s + 100_000], q[s : s + 100_000]
                 total = cols["n"][x] + cols["n"][y]
-                apart = np.abs(points[x] - points[y]).sum(1, dtype=np.int64)
+                apart = _apart(points, x, points, y)
                 ok = (cols["comp"][x] != cols["comp"][y]) & ((total - apart) // 2 >= _needed(total, 0, num, den))
                 ok &= (cols["i"][x] == cols["j"][x]) | (cols["part"][x] != cols["part"][y])
                 a, b = cols["node"][x[ok]], cols["node"][y[ok]]
@@ -199,7 +307,8 @@ def _across(num: int, den: int, nearest: bool):
             out = [_nearest(np.concatenate(out))] if out else []
         for e, m in zip(edge[length > 16], length[length > 16], strict=True):
             s = slice(e, e + m)
-            own = _search(*(cols[c][s] for c in ("node", "part", "comp")), points[s], cols["n"][s], num, den, cols["i"][e], cols["j"][e])
+            at = np.arange(e, e + m)
+            own = _search(*(cols[c][s] for c in ("node", "part", "comp")), points.at(at, int(points.length[at].min())), cols["n"][s], num, den, cols["i"][e], cols["j"][e])
             out.append(_nearest(own) if nearest else own)
         out = [x[:, 1:3] for x in out]
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
@@ -214,8 +323,8 @@ def _across(num: int, den: int, nearest: bool):
             if not batch.num_rows:
                 continue
             held.append(batch)
-            rows += batch.num_rows
-            if rows >= 20_000:
+            rows += batch.nbytes
+            if rows >= HELD:
                 last = [_column(batch, c)[-1] for c in ("page", "i", "j")]
                 same = np.ones(batch.num_rows, bool)
                 for c, v in zip(("page", "i", "j"), last, strict=True):
@@ -223,7 +332,8 @@ def _across(num: int, den: int, nearest: bool):
                 cut = batch.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
                 if cut:
                     yield from emit(flush([*held[:-1], batch.slice(0, cut)]))
-                    held, rows = [batch.slice(cut)], batch.num_rows - cut
+                    held = [batch.slice(cut)]
+                    rows = held[0].nbytes
         if rows:
             yield from emit(flush(held))
 
@@ -236,9 +346,7 @@ def _tokens(words: int, wanted):
     def run(batches):
         bits = np.frombuffer(wanted.value, np.uint8)
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id")).fill_null(0).to_numpy(zero_copy_only=False)
-            at = (t.mix(ids.view(U)) % U(FILTER_BITS)).astype(np.int64)
-            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 == 1))
+            batch = _chosen(batch, bits)
             for part in t.slices(batch, "text"):
                 sets = _sets(part, words)
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "tokens"])
@@ -278,16 +386,20 @@ def _verify(num: int, den: int):
     return run
 
 
+def _filter(ids: DataFrame):
+    """A broadcast bit map with the hashes of all ids: 1 MB whatever the input. Ids that it lets pass beside them only cost time."""
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in ids.mapInArrow(_bits, "at long, byte long").groupBy("at").agg(F.bit_or("byte").alias("byte")).toLocalIterator():
+        bits[r["at"]] |= r["byte"]
+    return ids.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
 def _links(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets truly reach the threshold."""
-    spark = docs.sparkSession
     salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")
     members = pairs.select("a", salt.alias("salt"), F.lit(1).alias("first"), F.col("b").alias("x"))
     members = saved(members.unionByName(members.select("a", "salt", F.lit(0).alias("first"), F.col("a").alias("x")).distinct()), "members")
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)  # 1 MB whatever the input
-    for r in members.select(F.col("x").alias("doc_id")).mapInArrow(_bits, "at long, byte long").groupBy("at").agg(F.bit_or("byte").alias("byte")).toLocalIterator():
-        bits[r["at"]] |= r["byte"]
-    wanted = spark.sparkContext.broadcast(bits.tobytes())
+    wanted = _filter(members.select(F.col("x").alias("doc_id")))
     sets = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_tokens(words, wanted), "doc_id long, tokens binary")
     rows = members.join(sets.withColumnRenamed("doc_id", "x"), "x").select("a", "salt", "first", "x", "tokens")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "first")
@@ -304,20 +416,29 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, in
     """
     num, den = threshold
     docs = docs.select("doc_id", "text")
-    made = saved(docs.mapInArrow(_featurise(words, Bands(num, den)), "doc_id long, n long, digest binary, point binary, pages array<long>"), "sets")
+    made = saved(docs.mapInArrow(_featurise(words), "doc_id long, n long, digest binary, point binary"), "sets")
     nodes = made.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))  # equal sets are one node
     nodes = saved(nodes, "nodes")
-    chosen = made.join(nodes.withColumnRenamed("node", "doc_id"), ["digest", "doc_id"])
-    entries = chosen.select(F.col("doc_id").alias("node"), F.explode("pages").alias("page"))
-    counted = entries.groupBy("page").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"))
-    counted = counted.where("lead < last").groupBy("lead", "last", "m", "s").agg(F.min("page").alias("page"))  # pages with the same members once
-    pages = saved(entries.join(counted.select("page", "lead", "m"), "page").select("page", "node", "lead", "m"), "pages")
+    wanted = _filter(nodes.select(F.col("node").alias("doc_id")))
+    common, bands = _common(docs, words, made.count()), Bands(num, den)
+    turns = []
+    for turn in range(TURNS):  # the shuffles of one turn are gone before the next
+        entries = docs.where("doc_id IS NOT NULL").mapInArrow(_entries(words, bands, wanted, common, turn), "page long, node long")
+        counted = entries.groupBy("page").agg(F.min("node").alias("lead"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("members"))
+        counted = counted.where("m > 1").groupBy("lead", "m", "members").agg(F.min("page").alias("page"))  # pages with the same members once
+        own = entries.join(counted.select("page", "lead", "m"), "page").join(nodes.select("node"), "node", "left_semi")
+        turns.append(saved(own.select("page", "node", "lead", "m"), "pages"))
+        del entries, counted, own
+        release(docs.sparkSession)
+    pages = functools.reduce(DataFrame.unionByName, turns)
     points = made.select(F.col("doc_id").alias("node"), "n", "point", "digest").join(nodes, ["digest", "node"]).select("node", "n", "point")
     points = saved(points.join(pages.select("node").distinct(), "node", "left_semi"), "points")
 
     side = lambda c: points.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("point").alias(f"p{c}"))
     stars = pages.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    stars = saved(stars.join(side("b"), "b").join(side("a"), "a").mapInArrow(_bounded(num, den), "a long, b long"), "stars")
+    bounded = lambda pairs: pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_bounded(num, den), "a long, b long")
+    stars = saved(bounded(stars), "stars")
+    coarse = saved(points.mapInArrow(_coarse, "node long, n long, point binary"), "coarse")
     links = saved(_links(docs, stars, words, num, den), "links")
     labels = saved(components(links), "labels")
 
@@ -325,17 +446,20 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, in
     for nearest in (True, False):
         named = pages.join(labels, "node", "left").select("page", "node", "m", F.coalesce("component", "node").alias("comp"))
         mixed = named.groupBy("page").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("page")
-        rest = named.join(mixed, "page").join(points, "node")
+        rest = named.join(mixed, "page").join(coarse, "node")
         parts = F.ceil(F.col("m") / block).cast("int")
         rest = rest.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), parts - 1)))
         rest = rest.select("page", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"), "part", "node", "comp", "n", "point")
         rest = rest.repartition("page", "i", "j").sortWithinPartitions("page", "i", "j").mapInArrow(_across(num, den, nearest), "a long, b long")
-        more = saved(rest.distinct().join(tested, ["a", "b"], "left_anti"), "more")
+        more = saved(bounded(rest.distinct().join(tested, ["a", "b"], "left_anti")), "more")
         if not more.isEmpty():
             links = links.unionByName(saved(_links(docs, more, words, num, den), "links"))
             labels = saved(components(links), "labels")
             tested = tested.unionByName(more)
+        del named, mixed, rest
+        release(docs.sparkSession)
 
+    drop(*turns, points, coarse, stars)
     by_set = nodes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = made.select("doc_id", "n", "digest").join(by_set, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
