@@ -41,7 +41,7 @@ SAMPLE, COMMON = 4096, 8
 #: Verified members of one page sent to one task beside its first.
 SALTS = 64
 #: Turns in which pages are made and counted, each with its share of the shuffled rows.
-TURNS = 2
+TURNS = 4
 #: Bits of the filter that picks the documents whose shingles are sent, fixed for any input.
 FILTER_BITS = 1 << 23
 
