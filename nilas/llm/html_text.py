@@ -21,27 +21,76 @@ WINDOW, GAP, SURGE = 3, 3, 0.2
 _OPAQUE = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|select|textarea|title"
 OPAQUE = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({_OPAQUE})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>")
-NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+NAMED = re.compile(r"""(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset("nav header footer aside form menu button fieldset dialog".split())
-#: Parts of class names, ids and roles of what isn't the article.
-WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside complementary contentinfo cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup login form search share sharing social comment comments commentlist disqus replies responses related recommended recommendations widget toolbar pagination pager skip copyright legal disclaimer tags".split()
+#: Whole class names (and roles and labels) of what isn't the article, with - for _ and capitals.
+ADS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper banner-ad google-ad adsbygoogle sponsored-content".split())
+PLACES = frozenset(
+    "nav navbar nav-bar navigation main-nav main-navigation site-nav site-navigation primary-nav top-nav nav-menu nav-links post-navigation menu main-menu menu-bar breadcrumb breadcrumbs header site-header masthead footer site-footer page-footer post-footer sidebar side-bar sidebar-left sidebar-right left-sidebar right-sidebar primary-sidebar comments comment-list comment-form comments-area comments-section commentlist disqus disqus-thread cookie-banner cookie-bar cookie-consent cookie-notice gdpr-banner skip-link skip-links pagination pager toolbar newsletter newsletter-signup".split()
 )
-_PARTS = re.compile(r"[a-z]+(?![a-z])")
+NAMES = ADS | PLACES | frozenset(
+    "banner aside complementary contentinfo cookie cookies consent gdpr notice notices notification alert popup modal overlay subscribe signup sign-up login login-form form search search-box search-form share sharing share-bar share-buttons share-links social social-links social-media social-share comment replies responses related related-articles related-links related-posts recommended recommendations widget widget-area skip copyright legal disclaimer tags tag-list tag-cloud".split()
+)
+#: Ids stand on sections and headings as anchors, so only those of parts of a site count.
+IDS = ADS | PLACES
+#: Boilerplate elements that some pages put round everything.
+ROUND = frozenset("form fieldset dialog".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: An article counts if it has these shares of the longest article and of the page's text.
+OF_LONGEST, OF_PAGE = 0.25, 0.1
+_CAPITAL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 #: Elements that end where the next block begins if they aren't closed.
 LOOSE = frozenset("p li dt dd td th tr option".split())
 
 
-def _boilerplate(name: str, attributes: str) -> bool:
+def _names(value: str) -> list[str]:
+    return _CAPITAL.sub("-", value).lower().replace("__", "-").replace("_", "-").split()
+
+
+def _boilerplate(name: str, attributes: str) -> str:
+    """Why an element isn't the article: "element", "name", "ad", or "" if nothing says so."""
     if name in BOILERPLATE:
-        return True
-    if name in ("html", "body", "article", "main") and not (name == "article" and "comment" in attributes.lower()):
-        return False
-    return any(not WORDS.isdisjoint(_PARTS.findall((m[1] or m[2] or m[3] or "").lower())) for m in NAMED.finditer(attributes)) if attributes else False
+        return "name" if name in ROUND else "element"
+    if name in ("html", "body", "article", "main"):
+        return "element" if name == "article" and "comment" in attributes.lower() else ""
+    why = ""
+    for m in NAMED.finditer(attributes) if attributes else ():
+        kind, found = m[1].lower(), _names(m[2] or m[3] or m[4] or "")
+        if kind == "aria-label":
+            found = ["-".join(found)]
+        if not ADS.isdisjoint(found) and not (kind == "id" and name in HEADINGS):
+            return "ad"
+        if name not in HEADINGS and not (IDS if kind == "id" else NAMES).isdisjoint(found):
+            why = "name"
+    return why
+
+
+def _kept(tags: list, found: list, page: str, ends: dict[int, int]):
+    """A function that says whether an element is kept whatever its name: it holds main, a real article, or most of the page's text."""
+    before = [0]  # characters before each tag, without white space at the ends
+    at = 0
+    for m in found:
+        before.append(before[-1] + len(page[at : m.start()].strip()))
+        at = m.end()
+    before = before[1:]
+    total = before[-1] + len(page[at:].strip())
+    inner = [(i, ends[i], before[ends[i]] - before[i], name) for i, (close, name, attributes) in enumerate(tags) if not close and i in ends and name in ("article", "main") and not _boilerplate(name, attributes)]
+    longest = max((n for *_, n, name in inner if name == "article"), default=0)
+    inner = [(i, j) for i, j, n, name in inner if n and (name == "main" or n >= max(OF_LONGEST * longest, OF_PAGE * total))]
+
+    def kept(i: int, why: str) -> bool:
+        end = ends.get(i)
+        if end is None:
+            return False
+        if any(i < a and b < end for a, b in inner if why != "element" or tags[a][1] == "main"):
+            return True
+        return why == "name" and not inner and 2 * (before[end] - before[i]) > total
+
+    return kept
 
 
 def _ends(tags: list) -> dict[int, int]:
@@ -67,6 +116,7 @@ def lines(page: str) -> list[tuple[str, bool]]:
     found = list(TAG.finditer(page))
     tags = [(bool(m[1]), (m[2] or "!").lower(), m[3] or "") for m in found]
     ends, out, text, at, until, inside, main_ends = _ends(tags), [], [], 0, -1, 0, set()
+    kept = None
 
     def flush():
         if line := " ".join("".join(text).split()):
@@ -84,7 +134,10 @@ def lines(page: str) -> list[tuple[str, bool]]:
             flush()
         if i in main_ends:
             inside -= 1
-        if not close and name not in VOID and _boilerplate(name, attributes):
+        why = _boilerplate(name, attributes) if not close and name not in VOID else ""
+        if why and (kept := kept or _kept(tags, found, page, ends))(i, why):
+            why = ""
+        if why:
             flush()
             end = ends.get(i)
             if end is None:  # unclosed: up to the next block

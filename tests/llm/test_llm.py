@@ -277,6 +277,19 @@ def test_main_text():
     assert len(html_text.main_text("<p>" + "word " * 200_000 + "</p>").split()) == 200_000
 
 
+def test_loose_names_drop_nothing():
+    body = "<h2 id='legal'>Law</h2><section id='legal-status'><p>One</p></section><div class='share-price'>Two</div><div id='search-results'>Three</div><h3 class='header' id='comments'>Four</h3>"
+    want = "Law\nOne\nTwo\nThree\nFour"
+    assert html_text.main_text(f"<article>{body}</article>") == want
+    for wrapper in ("class='page with-sidebar'", "id='content' class='no-header'", "class='sidebar'", "id='header'"):
+        assert html_text.main_text(f"<nav>menu</nav><div {wrapper}><article>{body}</article></div>") == want
+        assert html_text.main_text(f"<div {wrapper}><p>{'long text ' * 40}</p></div><p>end of it</p>").startswith("long text")
+    assert html_text.main_text(f"<form action='x'><main>{body}</main></form>") == want
+    for part in ("class='ad'", "class='x share_buttons'", "id='siteFooter'", "role='navigation'", "id='comments'", "aria-label='Related posts'"):
+        assert html_text.main_text(f"<article>{body}<div {part}>no</div></article>") == want
+    assert html_text.main_text(f"<article>{body * 9}</article><div class='related'><article>card</article></div>") == "\n".join([want] * 9)
+
+
 def test_op6_gives_the_articles(spark, oracle):
     got = {r.page_id: r for r in queries.QUERIES["op6_html_text"](spark, DATA).collect()}
     for page_id, source in oracle.sql("SELECT page_id, html FROM pages").fetchall():
