@@ -1,14 +1,16 @@
 """Main text of web pages by line-block distribution.
 
-Markup becomes lines: the text of each block element is a line, boilerplate elements leave gaps of empty lines. Line
-lengths are summed over a sliding window; text surges where the sum rises over a threshold and dives where it falls to
-nothing, and the lines in between are kept.
+Markup becomes lines: the text of each block element is a line, boilerplate elements and the edges of article and main
+leave gaps of empty lines, lines of links in a row have no length. Line lengths are summed over a sliding window; text surges where the sum rises over a threshold and dives where it falls to
+nothing, and the lines in between are kept. In article and main any text is a surge and outside it takes OUTSIDE times as
+much, unless more text surges outside than stands inside: then the tag counts for nothing.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,8 @@ from nilas.llm import text as t
 
 #: Lines in a window, empty lines for a boilerplate element, and the share of the largest window sum that counts as a surge.
 WINDOW, GAP, SURGE = 3, 3, 0.2
+#: The sum that is a surge outside article and main where these hold the main text; the share of a line in links that makes it one of links.
+OUTSIDE, LINKS = 240, 0.8
 
 _OPAQUE = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|select|textarea|title"
 OPAQUE = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({_OPAQUE})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
@@ -110,23 +114,36 @@ def _ends(tags: list) -> dict[int, int]:
     return ends
 
 
-def lines(page: str) -> list[tuple[str, bool]]:
-    """(text, whether it is in an article or main element) of each line, empty for gaps."""
+class Line(NamedTuple):
+    text: str
+    inside: bool  # of an article or main element
+    links: float  # share of characters in links
+
+
+EMPTY = Line("", False, 0.0)
+
+
+def lines(page: str) -> list[Line]:
+    """The lines of a page, empty ones for gaps."""
     page = OPAQUE.sub(" <hr> ", page)
     found = list(TAG.finditer(page))
     tags = [(bool(m[1]), (m[2] or "!").lower(), m[3] or "") for m in found]
     ends, out, text, at, until, inside, main_ends = _ends(tags), [], [], 0, -1, 0, set()
-    kept = None
+    kept, linked, link_end = None, 0, -1
 
     def flush():
+        nonlocal linked
         if line := " ".join("".join(text).split()):
-            out.append((" ".join(html.unescape(line).split()), inside > 0))
+            out.append(Line(" ".join(html.unescape(line).split()), inside > 0, min(1.0, linked / len(line))))
         text.clear()
+        linked = 0
 
     for i, m in enumerate(found):
         close, name, attributes = tags[i]
         if i > until:
             text.append(page[at : m.start()])
+            if i <= link_end:
+                linked += len(text[-1].strip())
         at = m.end()
         if i < until:
             continue
@@ -134,6 +151,10 @@ def lines(page: str) -> list[tuple[str, bool]]:
             flush()
         if i in main_ends:
             inside -= 1
+            if not inside:
+                out.extend([EMPTY] * GAP)
+        if name == "a" and not close:
+            link_end = ends.get(i, -1)
         why = _boilerplate(name, attributes) if not close and name not in VOID else ""
         if why and (kept := kept or _kept(tags, found, page, ends))(i, why):
             why = ""
@@ -143,8 +164,10 @@ def lines(page: str) -> list[tuple[str, bool]]:
             if end is None:  # unclosed: up to the next block
                 end = next((j for j in range(i + 1, len(tags)) if tags[j][1] in BLOCK), len(tags))
             until = end
-            out.extend([("", False)] * GAP)
+            out.extend([EMPTY] * GAP)
         elif not close and name in ("article", "main"):
+            if not inside:
+                out.extend([EMPTY] * GAP)
             inside += 1
             main_ends.add(ends.get(i, -1))
     if len(found) > until:
@@ -153,25 +176,45 @@ def lines(page: str) -> list[tuple[str, bool]]:
     return out
 
 
-def between(rows: list[tuple[str, bool]]) -> list[str]:
-    """The lines from surges to dives. With article or main elements, lines outside have no length and any text in them is a surge."""
-    marked = any(inside and text for text, inside in rows)
-    length = [len(text) if inside or not marked else 0 for text, inside in rows]
-    sums = [sum(length[i : i + WINDOW]) for i in range(len(rows))]
-    least = 0 if marked else SURGE * max(sums, default=0)
-    kept, i = [], 0
-    while i < len(rows):
-        if not length[i] or sums[i] <= least:
+def _lengths(rows: list[Line]) -> list[int]:
+    """Characters of each line; none for WINDOW or more lines of links in a row."""
+    length, run = [len(x.text) for x in rows], []
+    for i, x in enumerate([*rows, EMPTY]):
+        if x.text and x.links >= LINKS:
+            run.append(i)
+            continue
+        if len(run) >= WINDOW:
+            for k in run:
+                length[k] = 0
+        run.clear()
+    return length
+
+
+def _surges(length: list[int], sums: list[int], least) -> list[bool]:
+    """Which lines stand between a surge, a sum over least(line), and the dive after it, a window without text."""
+    kept, i = [False] * len(length), 0
+    while i < len(length):
+        if not length[i] or sums[i] <= least(i):
             i += 1
             continue
-        j = i
-        while j < len(rows) and sums[j] > 0:  # the dive: a window without text
-            j += 1
-        kept += [text for (text, _), n in zip(rows[i:j], length[i:j], strict=True) if n]
-        i = j
+        while i < len(length) and sums[i] > 0:
+            kept[i] = length[i] > 0
+            i += 1
     return kept
 
 
+def between(rows: list[Line]) -> list[str]:
+    """The lines from surges to dives."""
+    length = _lengths(rows)
+    sums = [sum(length[i : i + WINDOW]) for i in range(len(rows))]
+    level = SURGE * max(sums, default=0)
+    kept = _surges(length, sums, lambda i: level)
+    tagged = sum(n for x, n in zip(rows, length, strict=True) if x.inside)
+    if tagged and tagged >= sum(n for x, n, k in zip(rows, length, kept, strict=True) if k and not x.inside):
+        kept = _surges(length, sums, lambda i: 0 if rows[i].inside else OUTSIDE)
+    return [x.text for x, k in zip(rows, kept, strict=True) if k]
+
+
 def main_text(page: str | None) -> str:
     return "\n".join(between(lines(page or "")))
 

@@ -290,6 +290,18 @@ def test_loose_names_drop_nothing():
     assert html_text.main_text(f"<article>{body * 9}</article><div class='related'><article>card</article></div>") == "\n".join([want] * 9)
 
 
+def test_article_tag_is_a_weight():
+    long = [f"Paragraph {i} " + "of the main text " * 20 for i in range(4)]
+    plain = "".join(f"<p>{x}</p>" for x in long)
+    want = "\n".join(" ".join(x.split()) for x in long)
+    links = "".join(f"<p><a href='{i}'>Link {i} to elsewhere</a></p>" for i in range(5))
+    assert html_text.main_text(f"<div><article><a>Card</a></article></div><div>{plain}</div>") == want
+    assert html_text.main_text(f"<article><h1>Head</h1><p>Start.</p></article><div>{plain}</div>").endswith(want)
+    assert html_text.main_text(f"<main><h1>Head</h1>{plain}</main><div>{plain}</div>") == f"Head\n{want}\n{want}"
+    assert html_text.main_text(f"<div>Site name</div><article><h1>Head</h1>{plain}{links}</article><div>Imprint</div>") == f"Head\n{want}"
+    assert html_text.main_text(f"<article><p>a <a>b</a></p><p><a>c</a></p>{links}<p>d</p></article>") == "a b\nd"
+
+
 def test_op6_gives_the_articles(spark, oracle):
     got = {r.page_id: r for r in queries.QUERIES["op6_html_text"](spark, DATA).collect()}
     for page_id, source in oracle.sql("SELECT page_id, html FROM pages").fetchall():
