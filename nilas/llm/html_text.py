@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -17,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from nilas.llm import text as t
 
-#: Lines in a window, empty lines for a boilerplate element, and the share of the largest window sum that counts as a surge.
-WINDOW, GAP, SURGE = 3, 3, 0.2
+#: Lines in a window, empty lines for a boilerplate element, and the share of the largest window sum that counts as a surge; characters that always do.
+WINDOW, GAP, SURGE, ENOUGH = 3, 3, 0.2, 120
 #: The sum that is a surge outside article and main where these hold the main text; the share of a line in links that makes it one of links.
 OUTSIDE, LINKS = 240, 0.8
 
@@ -46,6 +47,8 @@ ROUND = frozenset("form fieldset dialog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An article counts if it has these shares of the longest article and of the page's text.
 OF_LONGEST, OF_PAGE = 0.25, 0.1
+#: Elements whose lines belong together.
+BOXES = frozenset("div section article main td center".split())
 _CAPITAL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 #: Elements that end where the next block begins if they aren't closed.
 LOOSE = frozenset("p li dt dd td th tr option".split())
@@ -118,9 +121,10 @@ class Line(NamedTuple):
     text: str
     inside: bool  # of an article or main element
     links: float  # share of characters in links
+    box: int  # the tag of the innermost element of BOXES round it
 
 
-EMPTY = Line("", False, 0.0)
+EMPTY = Line("", False, 0.0, -1)
 
 
 def lines(page: str) -> list[Line]:
@@ -129,12 +133,12 @@ def lines(page: str) -> list[Line]:
     found = list(TAG.finditer(page))
     tags = [(bool(m[1]), (m[2] or "!").lower(), m[3] or "") for m in found]
     ends, out, text, at, until, inside, main_ends = _ends(tags), [], [], 0, -1, 0, set()
-    kept, linked, link_end = None, 0, -1
+    kept, linked, link_end, boxes = None, 0, -1, [(-1, len(page))]  # boxes: tag and end
 
     def flush():
         nonlocal linked
         if line := " ".join("".join(text).split()):
-            out.append(Line(" ".join(html.unescape(line).split()), inside > 0, min(1.0, linked / len(line))))
+            out.append(Line(" ".join(html.unescape(line).split()), inside > 0, min(1.0, linked / len(line)), boxes[-1][0]))
         text.clear()
         linked = 0
 
@@ -153,6 +157,10 @@ def lines(page: str) -> list[Line]:
             inside -= 1
             if not inside:
                 out.extend([EMPTY] * GAP)
+        while boxes[-1][1] <= i:
+            boxes.pop()
+        if name in BOXES and i in ends:
+            boxes.append((i, min(ends[i], boxes[-1][1])))
         if name == "a" and not close:
             link_end = ends.get(i, -1)
         why = _boilerplate(name, attributes) if not close and name not in VOID else ""
@@ -203,16 +211,38 @@ def _surges(length: list[int], sums: list[int], least) -> list[bool]:
     return kept
 
 
+def _bridged(rows: list[Line], length: list[int], kept: list[bool]) -> list[bool]:
+    """Lines of the boxes that hold kept text, and what stands between kept lines of a box, are kept too."""
+    held, first, last = Counter(), {}, {}
+    for i, (x, n, k) in enumerate(zip(rows, length, kept, strict=True)):
+        if k:
+            held[x.box] += n
+            first.setdefault(x.box, i)
+            last[x.box] = i
+    boxes = {b for b, n in held.items() if n > ENOUGH}
+    spans, end = [0] * (len(rows) + 1), 0
+    for b in boxes:
+        spans[first[b]] += 1
+        spans[last[b]] -= 1
+    out = []
+    for i, (x, n, k) in enumerate(zip(rows, length, kept, strict=True)):
+        end += spans[i]
+        out.append(n > 0 and (k or x.box in boxes or end > 0))
+    return out
+
+
 def between(rows: list[Line]) -> list[str]:
     """The lines from surges to dives."""
     length = _lengths(rows)
     sums = [sum(length[i : i + WINDOW]) for i in range(len(rows))]
-    level = SURGE * max(sums, default=0)
+    level = min(ENOUGH, SURGE * max(sums, default=0))  # no long line can raise it further
     kept = _surges(length, sums, lambda i: level)
     tagged = sum(n for x, n in zip(rows, length, strict=True) if x.inside)
     if tagged and tagged >= sum(n for x, n, k in zip(rows, length, kept, strict=True) if k and not x.inside):
         kept = _surges(length, sums, lambda i: 0 if rows[i].inside else OUTSIDE)
-    return [x.text for x, k in zip(rows, kept, strict=True) if k]
+        if not any(k and not x.inside for x, k in zip(rows, kept, strict=True)):  # nothing to bridge
+            return [x.text for x, k in zip(rows, kept, strict=True) if k]
+    return [x.text for x, k in zip(rows, _bridged(rows, length, kept), strict=True) if k]
 
 
 def main_text(page: str | None) -> str:

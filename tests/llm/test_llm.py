@@ -302,6 +302,15 @@ def test_article_tag_is_a_weight():
     assert html_text.main_text(f"<article><p>a <a>b</a></p><p><a>c</a></p>{links}<p>d</p></article>") == "a b\nd"
 
 
+def test_long_line_hides_no_paragraphs():
+    ad, want = "<div class='ad'>buy</div>", ["Hi.", "w " * 5000, *("v " * 250 for _ in range(3)), "Short close.", "z " * 80, "The end."]
+    for page in ("{}", "<div id='top'>Home</div><nav>a</nav><div>{}</div><nav>b</nav><div>Imprint</div>"):
+        body = "".join(f"<p>{x}</p>{ad}" for x in want)
+        assert html_text.main_text(page.format(body)).split("\n") == [x.strip() for x in want]
+    quote = f"<div><p>{'w ' * 900}</p>{ad}<div>Quoted.</div>{ad}<p>{'v ' * 90}</p></div><nav>b</nav><div>Imprint</div>"
+    assert "Quoted." in html_text.main_text(quote) and "Imprint" not in html_text.main_text(quote)
+
+
 def test_op6_gives_the_articles(spark, oracle):
     got = {r.page_id: r for r in queries.QUERIES["op6_html_text"](spark, DATA).collect()}
     for page_id, source in oracle.sql("SELECT page_id, html FROM pages").fetchall():
