@@ -2,8 +2,8 @@
 
 A term reveals an entity when knowing the term tells most of what there is to know about it: pointwise mutual information of
 term and entity over documents, as a share of the entity's own information, PMI(t, e) / -log2 p(e). It is 1 if the term only
-occurs with the entity. Terms are taken from the words around each entity; those over DISCLOSURE, seen in SUPPORT
-different surroundings at least, are spans of kind term in each document that has the entity, and are removed.
+occurs with the entity. Terms are the words of all documents that have the entity, wherever they stand; those over DISCLOSURE,
+seen in SUPPORT different documents or surroundings of the entity at least, are spans of kind term in each document that has the entity, and are removed.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-WORD = r"\p{L}{4,}"
+WORD = r"\p{L}{2,}"
 #: Characters around an entity whose words count as its surroundings; thresholds.
 AROUND, DISCLOSURE, SUPPORT = 60, 0.85, 3
+#: Least hashes of three-word shingles that tell whether documents differ; near copies share most.
+SKETCH = 3
 
 
 def _digits(x: Column) -> Column:
@@ -97,18 +99,41 @@ def _near(text: Column, span: Column) -> Column:
     return F.concat_ws(" ", left, right)
 
 
+def _whole(found: DataFrame) -> DataFrame:
+    """(doc_id, terms, sketch) of found (doc_id, text): the words outside entities (of which only emails have letters), and SKETCH numbers that differ between documents but for copies."""
+    i = lambda k: F.get("words", k)
+    shingles = F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda k: F.xxhash64(i(k), i(k + 1), i(k + 2)))
+    clean = F.lower(F.regexp_replace("text", PATTERNS["email"], " "))
+    out = found.select("doc_id", F.regexp_extract_all(clean, F.lit(WORD), F.lit(0)).alias("words"))
+    out = out.withColumn("shingles", F.when(F.size("words") >= 3, shingles).otherwise(F.array(F.xxhash64("words"))))
+    sketch = [F.array_min(F.transform("shingles", lambda h, k=k: F.xxhash64(h, F.lit(k)))) for k in range(SKETCH)]
+    return out.select("doc_id", F.array_distinct("words").alias("terms"), F.array(*sketch).alias("sketch"))
+
+
 def revealing_terms(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """docs (text), found (doc_id, text, base) -> (entity, terms). Counts are over all documents."""
+    """docs (text), found (doc_id, text, base) -> (entity, terms). Counts are over all documents and whole texts."""
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)))).alias("term"))
     n_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    rows = found.where("size(base) > 0").select("doc_id", "text", F.explode("base").alias("s")).withColumn("entity", _entity("s"))
-    n_entity = rows.select("doc_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    having = found.where("size(base) > 0")
+    rows = having.select("doc_id", "text", F.explode("base").alias("s")).withColumn("entity", _entity("s"))
+    entities = rows.select("doc_id", "entity").distinct()
+    n_entity = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
     near = rows.withColumn("near", F.lower(_near(F.col("text"), F.col("s"))))
-    pairs = near.select("doc_id", "entity", F.xxhash64("near").alias("where"), F.explode(F.array_distinct(F.regexp_extract_all("near", F.lit(WORD), F.lit(0)))).alias("term"))
-    by_doc = pairs.select("entity", "term", "doc_id").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    by_where = pairs.select("entity", "term", "where").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_where")).where(F.col("n_where") >= support)
+    pairs = near.select("entity", F.xxhash64("near").alias("where"), F.explode(F.array_distinct(F.regexp_extract_all("near", F.lit(WORD), F.lit(0)))).alias("term"))
+    by_where = saved(pairs.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_where")).where(F.col("n_where") >= support).select("entity", "term"), "near")
+    # other entities are in too few documents and surroundings for any term
+    eligible = n_entity.where(F.col("n_entity") >= support).select("entity").union(by_where.select("entity")).distinct()
+    entities = saved(entities.join(eligible, "entity"), "entities")
+    key = F.col("doc_id").eqNullSafe(F.col("doc"))
+    own = having.select("doc_id", "text").join(entities.select(F.col("doc_id").alias("doc")).distinct(), key, "left_semi")
+    whole = saved(_whole(own), "whole")
+    both = whole.join(entities.withColumnRenamed("doc_id", "doc"), key).select("doc_id", "entity", "sketch", F.explode("terms").alias("term"))
+    by_doc = both.select("entity", "term", "doc_id").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    seen = both.select("entity", "term", F.posexplode("sketch").alias("k", "value")).distinct().groupBy("entity", "term", "k").agg(F.count("*").alias("n"))
+    by_text = seen.groupBy("entity", "term").agg(F.min("n").alias("n")).where(F.col("n") >= support).select("entity", "term")
+    supported = by_where.union(by_text).distinct()
     total = docs.agg(F.count("*").alias("n"))  # one row
-    measured = by_where.join(by_doc, ["entity", "term"]).join(n_entity, "entity").join(n_term, "term").crossJoin(F.broadcast(total))
+    measured = supported.join(by_doc, ["entity", "term"]).join(n_entity, "entity").join(n_term, "term").crossJoin(F.broadcast(total))
     share = F.log2(F.col("n_both") * F.col("n") / (F.col("n_term") * F.col("n_entity"))) / F.log2(F.col("n") / F.col("n_entity"))
     return measured.where(F.col("n") > F.col("n_entity")).where(share >= disclosure).groupBy("entity").agg(F.array_sort(F.collect_set("term")).alias("terms"))
 

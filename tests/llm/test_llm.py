@@ -416,6 +416,19 @@ def test_revealing_terms_go(spark):
     assert all(not out[i].spans and out[i].sanitised == dict(rows)[i] for i in range(100, 160))
 
 
+def test_terms_far_from_the_entity_go(spark):
+    rng = np.random.default_rng(14)
+    plain = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 2)) for _ in range(n))
+    copy = plain(150).split()
+    rows = [(i, f"Dear Zoë, {plain(60)} Regards from the desk of the treasury in town, as ever and always yours, boss@corp.example {plain(90)} Obmann") for i in range(5)]
+    rows += [(50 + i, " ".join([*copy[:3 * i], "Quartz", *copy[3 * i :], "other@corp.example", plain(30)]) if i == 0 else " ".join(["Quartz", *copy, "other@corp.example"])) for i in range(5)]
+    rows += [(100 + i, f"{plain(100)} regards from the desk of the treasury in town as ever and always yours") for i in range(200)]
+    out = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i in range(5):
+        assert {s.value for s in out[i].spans if s.kind == 4} == {"Zoë", "Obmann", "Dear"} and "Zoë" not in out[i].sanitised
+        assert not [s for s in out[50 + i].spans if s.kind == 4]  # copies are one text
+
+
 # 10. Mixing.
 def test_rates_meet_targets(spark):
     rng = np.random.default_rng(7)
