@@ -125,3 +125,12 @@ def area_series(field_grid: DataFrame, keys, value: str = "sic") -> DataFrame:
     return field_grid.groupBy(*keys).agg(
         part(c > 15, c / 100 * a).alias("area"), part(c > 15, a).alias("extent"), part((c > 15) & (c < 90), a).alias("marginal"), part(c >= 90, a).alias("pack")
     )
+
+
+def lagged(series: DataFrame, value: str, keys, lags=(1,)) -> DataFrame:
+    """A monthly series with its values so many months before; by month, not by row: a missing month gives null."""
+    i, out = F.col("yr") * 12 + F.col("mo"), series.select(*keys, "yr", "mo", value)
+    for k in lags:
+        w = Window.partitionBy(*keys).orderBy(i).rangeBetween(-k, -k)
+        out = out.withColumn(f"lag_{k}", F.first(value).over(w))
+    return out

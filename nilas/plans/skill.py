@@ -109,7 +109,6 @@ def edges(v, keys):
 
 
 query("M12_edge_error", f'{EDGE} SELECT yr, mo, {q("over_")} AS "over", {q("under_")} AS "under", {q("over_ + under_")} AS total, {q("over_ - under_")} AS net FROM e')(lambda v: edges(v, ["yr", "mo"]))
-query("M13_key_months", f"{MD} SELECT mo, {q('bias')} AS bias, {q('mae')} AS mae, {q('rmse')} AS rmse FROM d WHERE mo IN (2, 9)")(lambda v: rounded(k.monthly_difference(pairs(v, ["sic"]).where(F.col("mo").isin(*cal.KEY_MONTHS["south"])), "sic", "sic2", []), "mo"))
 VP = f"WITH {sql_pairs(['u', 'v'])}, o AS (SELECT y, x, nullif(u, 0) AS u1, nullif(v, 0) AS v1, nullif(u2, 0) AS u2, nullif(v2, 0) AS v2 FROM p), k AS (SELECT * FROM o WHERE u1 IS NOT NULL AND v1 IS NOT NULL AND u2 IS NOT NULL AND v2 IS NOT NULL)"
 _cov = [(x, y) for i, x in enumerate(("u1", "v1", "u2", "v2")) for y in ("u1", "v1", "u2", "v2")[i:]]
 VC = f"""{VP}, s AS (SELECT y, x, count(*) AS n, {', '.join(f'covar_samp({x}, {y}) AS {x}{y}' for x, y in _cov)} FROM k GROUP BY ALL),
@@ -131,35 +130,9 @@ query("M15_mean_cosine", f"WITH {CM} SELECT {q('CASE WHEN count(c) >= 2 THEN avg
         v.field.groupBy("dataset", "y", "x").agg(F.avg("u").alias("u"), F.avg("v").alias("v"))
     )
 )
-EN = "(u1 * u1 + v1 * v1) / 2", "(u2 * u2 + v2 * v2) / 2"
-query("M16_drift_pair", f"{VP.replace('SELECT y, x, nullif(u, 0)', 'SELECT mo, y, x, nullif(u, 0)')}, e AS (SELECT mo, y, x, {EN[0]} AS e1, {EN[1]} AS e2 FROM k), d AS (SELECT mo, {sql_bias('e2', 'e1')} AS bias, {sql_mae('e2', 'e1')} AS mae, {sql_rmse('e2', 'e1')} AS rmse FROM e GROUP BY mo) SELECT mo, {q('bias')} AS bias, {q('mae')} AS mae, {q('rmse')} AS rmse FROM d")(
-    lambda v: rounded(k.monthly_difference(vectors(v).na.drop().withColumns({"e1": (F.col("u1") ** 2 + F.col("v1") ** 2) / 2, "e2": (F.col("u2") ** 2 + F.col("v2") ** 2) / 2}), "e1", "e2", []), "mo")
-)
-MODES = {"all": ("TRUE", lambda: F.lit(True)), "both_zero": ("NOT (thick = 0 AND thick2 = 0)", lambda: a.both_zero_mask(F.col("thick"), F.col("thick2"))), "observed": ("thick > 0", lambda: a.observed(F.col("thick"), F.col("thick2")))}
-query("M17_thickness_pair", f"{WP} " + " UNION ALL ".join(f"SELECT '{m}' AS mode, mo, {q(sql_bias('thick2', 'thick', 'cell_area'))} AS bias, {q(sql_mae('thick2', 'thick', 'cell_area'))} AS mae, {q(sql_rmse('thick2', 'thick', 'cell_area'))} AS rmse FROM w WHERE {s} GROUP BY mo" for m, (s, _) in MODES.items()))(
-    lambda v: (lambda w: (lambda parts: parts[0].unionByName(parts[1]).unionByName(parts[2]))([rounded(k.monthly_difference(w.where(ok()), "thick", "thick2", [], F.col("cell_area")), "mo").withColumn("mode", F.lit(m)) for m, (_, ok) in MODES.items()]))(weighted(v))
-)
 SE, SEC = cal.SQL_SEASON, ["season"]
-query(
-    "M22_season_pair_table",
-    f"""WITH m AS (SELECT dataset, y, x, {SE} AS season, {cal.SQL_SEASON_YEAR} AS sy, avg(sic) AS v FROM field GROUP BY ALL), g AS (SELECT dataset, y, x, season, avg(v) AS mean, {sql_slope('v', 'sy')} * 10 AS trend, {sql_rest('v', 'sy')} AS rest FROM m GROUP BY ALL),
-    p AS (SELECT season, a.mean AS m1, b.mean AS m2, a.trend AS t1, b.trend AS t2, a.rest AS s1, b.rest AS s2 FROM (SELECT * FROM g WHERE dataset = 'obs1') a JOIN (SELECT * FROM g WHERE dataset = 'model_a') b USING (season, y, x))
-    SELECT season, {q(sql_mae('m2', 'm1'), 4)} AS mean, {q(sql_mae('t2', 't1'), 4)} AS trend, {q(sql_mae('s2', 's1'), 4)} AS std FROM p GROUP BY ALL""",
-)(
-    lambda v: (lambda g: g.where("dataset = 'obs1'").join(g.where("dataset = 'model_a'").select("season", "y", "x", *(F.col(n).alias(n + "2") for n in ("mean", "trend", "rest"))), ["season", "y", "x"]).groupBy("season")
-               .agg(*(r(METRICS["mae"](F.col(n + "2"), F.col(n), F.lit(1.0)), 4).alias(o) for n, o in (("mean", "mean"), ("trend", "trend"), ("rest", "std")))))(
-        v.field.groupBy("dataset", "y", "x", cal.season(F.col("mo")).alias("season"), cal.season_year(F.col("yr"), F.col("mo")).alias("sy")).agg(F.avg("sic").alias("v"))
-        .groupBy("dataset", "y", "x", "season").agg(F.avg("v").alias("mean"), regression("v", "sy").alias("reg")).select("dataset", "y", "x", "season", "mean", (F.col("reg.slope") * 10).alias("trend"), F.col("reg.rest").alias("rest"))
-    )
-)
 DOMAINS = f"(SELECT *, unnest(['annual', {SE}, 'month ' || mo]) AS domain FROM field)"
 domains = lambda v: v.field.withColumn("domain", F.explode(F.array(F.lit("annual"), cal.season(F.col("mo")), F.concat(F.lit("month "), F.col("mo").cast("string")))))
-query("M23_drift_domains", f"SELECT dataset, domain, {q('avg(u)', 5)} AS u, {q('avg(v)', 5)} AS v, {q('avg(sqrt(u * u + v * v))', 5)} AS speed, {q('avg((u * u + v * v) / 2)', 5)} AS energy, {q('stddev_pop(sqrt(u * u + v * v))', 5)} AS std FROM {DOMAINS} GROUP BY ALL")(
-    lambda v: rounded(domains(v).withColumn("w", F.sqrt(F.col("u") ** 2 + F.col("v") ** 2)).groupBy("dataset", "domain").agg(F.avg("u").alias("u"), F.avg("v").alias("v"), F.avg("w").alias("speed"), F.avg(F.col("w") ** 2 / 2).alias("energy"), F.stddev_pop("w").alias("std")), "dataset", "domain", digits=5)
-)
-query("M24_thickness_domains", f"SELECT dataset, domain, {q('sum(thick * cell_area) / sum(cell_area)', 5)} AS mean, {q('stddev_pop(thick)', 5)} AS std, count(thick) AS n FROM {DOMAINS} JOIN grid USING (y, x) GROUP BY ALL")(
-    lambda v: rounded(domains(v).join(F.broadcast(v.grid), ["y", "x"]).groupBy("dataset", "domain").agg((F.sum(F.col("thick") * F.col("cell_area")) / F.sum("cell_area")).alias("mean"), F.stddev_pop("thick").alias("std"), F.count("thick").alias("n")), "dataset", "domain", digits=5)
-)
 two = lambda d: f"(SELECT mo, {sql_bias('sic2', 'sic')} AS e FROM (SELECT mo, a.sic, b.sic AS sic2 FROM (SELECT * FROM field WHERE dataset = 'obs1') a JOIN (SELECT * FROM field WHERE dataset = '{d}') b USING (yr, mo, y, x)) GROUP BY mo)"
 query("M25_uncertainty_ratio", f"SELECT mo, {q('abs(m.e) / greatest(abs(o.e), 1e-9)', 4)} AS ratio FROM {two('model_a')} m JOIN {two('obs2')} o USING (mo)")(
     lambda v: (lambda m, o: m.join(o.select("mo", F.col("bias").alias("second")), "mo").select("mo", r(k.uncertainty_ratio(F.col("bias"), F.col("second")), 4).alias("ratio")))(

@@ -173,26 +173,11 @@ query("V14_group_trend", f"{GA} SELECT \"group\", sector, {q('std')} AS std, {q(
 query("E5_mean_and_spread", f"{GA} SELECT \"group\", sector, {q('spread')} AS spread, {q('std')} AS std, {q('trend', 4)} AS trend FROM gt")(lambda v: group_trends(v).select("group", "sector", r(F.col("spread")).alias("spread"), r(F.col("std")).alias("std"), r(F.col("reg.slope") * 120, 4).alias("trend")))
 
 # Tables.
-METRICS = ["area", "extent", "marginal", "pack"]
 V6CTE = SQL_V6[5:].rsplit(" SELECT dataset, sector, metric, period,", 1)[0]
-pivoted = lambda v: t.wide(period_table(v), ["dataset", "sector", "period"], "metric", "mean", METRICS)
-cells = lambda e, name=lambda m: m: ", ".join(f"max(CASE WHEN metric = '{m}' THEN {e} END) AS {name(m)}" for m in METRICS)
-query("B1_period_table", f"WITH {V6CTE} SELECT dataset, sector, period, {cells(q('mean'))} FROM st GROUP BY ALL")(pivoted)
-query("B2_difference_table", f"WITH {V6CTE}, w AS (SELECT dataset, sector, metric, period, mean FROM st) SELECT w.dataset, sector, metric, period, {q('abs(w.mean - o.mean)')} AS value FROM w JOIN (SELECT sector, metric, period, mean FROM w WHERE dataset = 'obs1') o USING (sector, metric, period)")(
-    lambda v: t.differences(c_means(v), ["sector", "metric", "period"], "mean").select("dataset", "sector", "metric", "period", r(F.col("mean")).alias("value"))
-)
 
 
-def c_means(v):
-    return c.periods(*_long(v)).groupBy(*LONG_KEYS, "period").agg(F.avg("value").alias("mean"))
 
 
-DOM = f"SELECT dataset, {cal.SQL_SEASON} AS season, avg(sqrt(u * u + v * v)) AS speed, avg(thick) AS thick FROM field GROUP BY ALL"
-domain = lambda v: v.field.groupBy("dataset", cal.season(F.col("mo")).alias("season")).agg(F.avg(F.sqrt(F.col("u") ** 2 + F.col("v") ** 2)).alias("speed"), F.avg("thick").alias("thick"))
-for _id, _col in (("B3_drift_table", "speed"), ("B3_thickness_table", "thick")):
-    query(_id, f"WITH d AS ({DOM}) SELECT dataset, {', '.join(f"{q(f"max(CASE WHEN season = '{s}' THEN {_col} END)", 5)} AS {s.lower()}" for s in cal.SEASONS)} FROM d GROUP BY 1")(
-        lambda v, col=_col: rounded(t.wide(domain(v), ["dataset"], "season", col, list(cal.SEASONS)).withColumnsRenamed({s: s.lower() for s in cal.SEASONS}), "dataset", digits=5)
-    )
 
 
 def phases(v):
@@ -236,16 +221,8 @@ query("B11_drift_anomaly_summary", f"WITH {KE.format('')} SELECT dataset, {q('st
     lambda v: v.field.groupBy("dataset", ((F.col("yr") - 1995) * 12 + F.col("mo") - 1).alias("i")).agg((F.avg((F.col("u") ** 2 + F.col("v") ** 2) / 2) * 1e3).alias("e")).groupBy("dataset").agg(F.stddev_pop("e").alias("s"), regression("e", "i").alias("reg"))
     .select("dataset", r(F.col("s"), 4).alias("std"), r(F.col("reg.slope") * 120, 4).alias("trend"), r(F.col("reg.rest"), 4).alias("detrended"))
 )
-SK = "sk AS (SELECT b.dataset, avg(abs(b.sic - a.sic)) AS sic, avg(abs(b.thick - a.thick)) AS thick, avg(abs(b.u - a.u)) AS u FROM (SELECT * FROM field WHERE dataset = 'obs1') a JOIN (SELECT * FROM field WHERE dataset <> 'obs1') b USING (yr, mo, y, x) GROUP BY 1)"
-query("B12_skill_matrix", f"WITH {SK} SELECT s.dataset, {', '.join(f'{q(f"s.{m}")} AS {m}, {q(f"abs(s.{m}) / greatest(abs(o.{m}), 1e-9)", 4)} AS {m}_ratio' for m in ('sic', 'thick', 'u'))} FROM sk s, (SELECT * FROM sk WHERE dataset = 'obs2') o")(lambda v: skill_matrix(v))
 
 
-def skill_matrix(v):
-    on = ["yr", "mo", "y", "x"]
-    o = v.field.where("dataset = 'obs1'").select(*on, *(F.col(m).alias(f"{m}1") for m in ("sic", "thick", "u")))
-    s = v.field.where("dataset <> 'obs1'").join(o, on).groupBy("dataset").agg(*(F.avg(F.abs(F.col(m) - F.col(f"{m}1"))).alias(m) for m in ("sic", "thick", "u")))
-    second = s.where("dataset = 'obs2'").select(*(F.col(m).alias(f"{m}2") for m in ("sic", "thick", "u")))  # one row
-    return s.crossJoin(F.broadcast(second)).select("dataset", *(x for m in ("sic", "thick", "u") for x in (r(F.col(m)).alias(m), r(k.uncertainty_ratio(F.col(m), F.col(f"{m}2")), 4).alias(f"{m}_ratio"))))
 
 
 MATCH = "(SELECT f.* FROM field f WHERE EXISTS (SELECT 1 FROM field o WHERE o.dataset = 'obs1' AND (o.yr, o.mo, o.y, o.x) = (f.yr, f.mo, f.y, f.x)))"

@@ -35,32 +35,6 @@ query("A6_kinetic_energy", f"SELECT dataset, time, {q('avg((u * u + v * v) / 2)'
 query("A12_area_mean", f"SELECT dataset, yr, {q('sum(thick * cell_area) / sum(cell_area)')} AS value FROM fieldg GROUP BY ALL")(lambda v: v.field_grid.groupBy("dataset", "yr").agg(r(n.area_mean(F.col("thick"), F.col("cell_area"))).alias("value")))
 
 # Product sets of one dataset: climatology, anomaly deviation, trend with p.
-query(
-    "A16_concentration_products",
-    f"""WITH a AS (SELECT *, sic - avg(sic) OVER (PARTITION BY dataset, y, x, mo) AS an, {INDEX} AS i FROM field),
-    m AS (SELECT dataset, y, x, avg(sic) AS mean, stddev_pop(an) AS std, {sql_rest('an', 'i')} AS rest, {sql_slope('an', 'i')} * 120 AS trend, {sql_corr('an', 'i')} AS r, regr_count(an, i) AS n FROM a GROUP BY ALL)
-    SELECT dataset, y, x, {q('mean')} AS mean, {q('std')} AS std, {q('rest')} AS rest, {q('trend', 4)} AS trend, {q(sql_p('r', 'n'), 4)} AS p FROM m""",
-)(
-    lambda v: t.with_p(c.anomaly(v.field, "sic").groupBy(*CELL).agg(F.avg("sic").alias("mean"), F.stddev_pop("anomaly").alias("std"), regression(F.col("anomaly"), index()).alias("reg")))
-    .select(*CELL, r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"), r(F.col("reg.rest")).alias("rest"), r(F.col("reg.slope") * 120, 4).alias("trend"), r(F.col("p"), 4).alias("p"))
-)
-query(
-    "A17_thickness_products",
-    f"""WITH s AS (SELECT *, CASE WHEN thick BETWEEN 0 AND 200 THEN thick END AS h, {INDEX} AS i FROM field), a AS (SELECT *, h - avg(h) OVER (PARTITION BY dataset, y, x, mo) AS an FROM s)
-    SELECT dataset, y, x, {q('avg(h)')} AS mean, {q('stddev_pop(an)')} AS std, {q(sql_slope('an', 'i') + ' * 120', 4)} AS trend FROM a GROUP BY ALL""",
-)(
-    lambda v: c.anomaly(v.field.withColumn("h", F.when(F.col("thick").between(0, 200), F.col("thick"))), "h").groupBy(*CELL)
-    .agg(r(F.avg("h")).alias("mean"), r(F.stddev_pop("anomaly")).alias("std"), r(regression(F.col("anomaly"), index())["slope"] * 120, 4).alias("trend"))
-)
-query(
-    "A18_drift_products",
-    f"""WITH e AS (SELECT *, (u * u + v * v) / 2 AS e, sqrt(u * u + v * v) AS w FROM (SELECT dataset, y, x, time, mo, nullif(u, 0) AS u, nullif(v, 0) AS v FROM field)),
-    a AS (SELECT *, e - avg(e) OVER (PARTITION BY dataset, y, x, mo) AS an FROM e)
-    SELECT dataset, y, x, {q('avg(u)', 5)} AS u, {q('avg(v)', 5)} AS v, {q('avg(e)', 5)} AS energy, {q('avg(w)', 5)} AS speed, {q('stddev_pop(an)')} AS std FROM a GROUP BY ALL""",
-)(
-    lambda v: c.anomaly(v.field.withColumns({"u": F.nullif("u", F.lit(0.0)), "v": F.nullif("v", F.lit(0.0))}).withColumns({"e": n.kinetic_energy(F.col("u"), F.col("v")), "w": n.speed(F.col("u"), F.col("v"))}), "e")
-    .groupBy(*CELL).agg(*(r(F.avg(k), 5).alias(a) for k, a in (("u", "u"), ("v", "v"), ("e", "energy"), ("w", "speed"))), r(F.stddev_pop("anomaly")).alias("std"))
-)
 
 TREND = f"{sql_slope('extent', 'i')} AS slope, regr_intercept(extent, i) AS intercept, {sql_corr('extent', 'i')} AS r, regr_count(extent, i) AS n, {sql_rest('extent', 'i')} AS rest"
 query("V1_series_trend", f"WITH {SERIES}, s AS (SELECT *, {INDEX} AS i FROM series), g AS (SELECT dataset, sector, {TREND} FROM s GROUP BY ALL) SELECT dataset, sector, {q('slope')} AS slope, {q('intercept')} AS intercept, {q('r')} AS r, CAST(n AS BIGINT) AS n, {q('rest')} AS rest, {q(sql_p('r', 'n'), 4)} AS p FROM g")(
