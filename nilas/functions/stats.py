@@ -51,12 +51,14 @@ def student_p(r: Column, n: Column) -> Column:
 
 
 def regression(y: str | Column, x: str | Column) -> Column:
-    """Struct of slope, intercept, r, n and detrended population deviation, over pairs without nulls."""
+    """Struct of slope, intercept, r, n, detrended population deviation and the slope's standard error, over pairs without nulls."""
     y, x = (F.col(c) if isinstance(c, str) else c for c in (y, x))
     r = correlation(y, x)
     slope = finite(F.regr_slope(y, x))
     rest = F.sqrt(F.greatest(F.lit(0.0), F.regr_syy(y, x) * (1 - F.coalesce(r * r, F.lit(0.0))) / F.regr_count(y, x)))
-    return F.struct(slope.alias("slope"), finite(F.regr_intercept(y, x)).alias("intercept"), r.alias("r"), F.regr_count(y, x).alias("n"), rest.alias("rest"))
+    n, sxx = F.regr_count(y, x), F.regr_sxx(y, x)
+    stderr = F.when(slope.isNotNull() & (n > 2), rest * F.sqrt(n / ((n - 2) * sxx))).when(slope.isNotNull() & (n == 2), 0.0)
+    return F.struct(slope.alias("slope"), finite(F.regr_intercept(y, x)).alias("intercept"), r.alias("r"), F.regr_count(y, x).alias("n"), rest.alias("rest"), stderr.alias("stderr"))
 
 
 def bias(y: Column, x: Column, w: Column) -> Column:
@@ -107,6 +109,11 @@ def sql_rest(y: str, x: str) -> str:
     return f"sqrt(greatest(0, regr_syy({y}, {x}) * (1 - coalesce(pow({sql_corr(y, x)}, 2), 0)) / regr_count({y}, {x})))"
 
 
+def sql_stderr(y: str, x: str) -> str:
+    n = f"regr_count({y}, {x})"
+    return f"(CASE WHEN {n} > 2 AND regr_sxx({y}, {x}) > 0 THEN {sql_rest(y, x)} * sqrt({n} / (({n} - 2) * regr_sxx({y}, {x}))) WHEN {n} = 2 AND regr_sxx({y}, {x}) > 0 THEN 0.0 END)"
+
+
 def sql_p(r: str, n: str) -> str:
     """Expression for student_p over columns r and n."""
     c = f"sqrt(greatest(0, 1 - {r} * {r}))"

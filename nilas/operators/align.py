@@ -46,7 +46,30 @@ def masked(field: DataFrame, mask: DataFrame, values: list[str], on=CELL) -> Dat
     return marked.select(*(F.when(F.col("_keep"), F.col(c)).alias(c) if c in values else F.col(c) for c in field.columns))
 
 
-def complete_members(rows: DataFrame, member: str, item: str, n: int) -> DataFrame:
-    """Rows of the members that have all n items."""
-    full = rows.groupBy(member).agg(F.count_distinct(item).alias("_n")).where(F.col("_n") == n)
-    return rows.join(full.select(member), member, "left_semi")
+def complete_members(rows: DataFrame, member: str, item: str, items: list[str], first: int | None = None, last: int | None = None, allow_incomplete: bool = True, least: int = 12) -> DataFrame:
+    """Rows of the members that have every item, each with at least `least` months of each of the years first to last if these are given (columns yr, mo).
+
+    With allow_incomplete=False an incomplete member is an error, found by a count when this is called.
+    """
+    own = rows.where(F.col(item).isin(*items))
+    if first is not None and last is not None:
+        years = own.where(F.col("yr").between(first, last)).groupBy(member, item, "yr").agg(F.count_distinct("mo").alias("_m")).where(F.col("_m") >= least)
+        own = years.groupBy(member, item).agg(F.count("*").alias("_y")).where(F.col("_y") == last - first + 1)
+    full = own.groupBy(member).agg(F.count_distinct(item).alias("_n")).where(F.col("_n") == len(items)).select(member)
+    if not allow_incomplete and (missing := rows.select(member).distinct().join(full, member, "left_anti").count()):
+        raise ValueError(f"{missing} members lack items or months")
+    return rows.join(full, member, "left_semi")
+
+
+def normalised(label: Column) -> Column:
+    return F.lower(F.trim(label))
+
+
+def membership(entries: DataFrame, models: DataFrame) -> DataFrame:
+    """entries (group, member), models (position from 1, label) -> (group, dataset): a member is a model's label, compared without case and
+    outer spaces, or its position; repeated members count once, unknown ones are dropped."""
+    by_label = entries.join(models, normalised(F.col("member")) == normalised(F.col("label"))).select("group", F.col("label").alias("dataset"))
+    index = F.when(F.col("member").rlike(r"^\s*[0-9]+\s*$"), F.trim("member").cast("int"))
+    named = entries.join(models.select(normalised(F.col("label")).alias("_l")), normalised(F.col("member")) == F.col("_l"), "left_anti")
+    by_index = named.withColumn("position", index).join(models, "position").select("group", F.col("label").alias("dataset"))
+    return by_label.unionByName(by_index).distinct()

@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nilas.functions import calendar as cal
+from nilas.functions.stats import bias, mae, rmse, weighted_mean
+from nilas.operators.skill import area_correlation
+
 LEVEL, EPS = 15.0, 1e-9
+TERMS = ("dadt", "adv", "div", "res")
+#: Components of the change of concentration, in terms; the last closes the budget.
+COMPONENTS = {"dynamic": "adv + div", "thermo": "res", "residual": "dadt - (adv + div) - res"}
 
 
 def haversine(lat0: Column, lon0: Column, lat1: Column, lon1: Column, radius: float = 6378.137) -> Column:
@@ -25,23 +32,41 @@ def distances(grid: DataFrame) -> DataFrame:
     return out
 
 
+def neighbour(value: str, keys, along: str, by: int) -> Column:
+    """The value `by` steps on in the coordinate `along`; null if that row is missing."""
+    return F.first(value).over(Window.partitionBy(*keys).orderBy(along).rangeBetween(by, by))
+
+
 def mean_filter(field: DataFrame, values: list[str], n: int = 3, frame=("dataset", "time")) -> DataFrame:
-    """n by n means that shrink at the edges and skip nulls: two separable window passes over a dense grid."""
-    k = (n - 1) // 2
-    one, two = Window.partitionBy(*frame, "y").orderBy("x").rowsBetween(-k, k), Window.partitionBy(*frame, "x").orderBy("y").rowsBetween(-k, k)
-    out = field.withColumns({f"_s{v}": F.sum(v).over(one) for v in values} | {f"_c{v}": F.count(v).over(one) for v in values})
-    return out.withColumns({f"{v}_mean": F.sum(f"_s{v}").over(two) / F.nullif(F.sum(f"_c{v}").over(two), F.lit(0)) for v in values}).drop(*(f"_{p}{v}" for p in "sc" for v in values))
+    """n by n means that shrink at the edges and skip nulls and missing cells.
+
+    Each cell sends its values to the rows around it, so that a window along x meets the columns' sums even where its own rows are missing. Only cells that exist are kept.
+    """
+    k, keys = (n - 1) // 2, [*frame, "x", "y"]
+    others = [c for c in field.columns if c not in keys]
+    rows = field.withColumn("_to", F.explode(F.sequence(F.lit(-k), F.lit(k))))
+    rows = rows.select(*frame, "x", (F.col("y") + F.col("_to")).alias("y"), *values, F.when(F.col("_to") == 0, F.struct(*others)).alias("_own"))
+    rows = rows.groupBy(*keys).agg(F.first("_own", ignorenulls=True).alias("_own"), *(F.sum(v).alias(f"_s{v}") for v in values), *(F.count(v).alias(f"_c{v}") for v in values))
+    w = Window.partitionBy(*frame, "y").orderBy("x").rangeBetween(-k, k)
+    means = {f"{v}_mean": F.sum(f"_s{v}").over(w) / F.nullif(F.sum(f"_c{v}").over(w), F.lit(0)) for v in values}
+    return rows.withColumns(means).where("_own IS NOT NULL").select(*keys, "_own.*", *means)
 
 
 def gradient(value: str, distance: str, along: str, frame=("dataset", "time")) -> Column:
-    """Central difference along x or y; null at the edges."""
-    w = Window.partitionBy(*frame, "y" if along == "x" else "x").orderBy(along)
-    return (F.lead(value).over(w) - F.lag(value).over(w)) / (F.lead(distance).over(w) - F.lag(distance).over(w))
+    """Central difference along x or y; null at the edges and beside missing cells."""
+    at = lambda c, by: neighbour(c, [*frame, "y" if along == "x" else "x"], along, by)
+    return (at(value, 1) - at(value, -1)) / (at(distance, 1) - at(distance, -1))
 
 
 def tendency(value: str, keys=("dataset", "y", "x")) -> Column:
-    w = Window.partitionBy(*keys).orderBy("i")
-    return (F.lead(value).over(w) - F.lag(value).over(w)) / 2
+    """Half the difference of the next and the last step's value, by the step number i; null where one is missing."""
+    return (neighbour(value, keys, "i", 1) - neighbour(value, keys, "i", -1)) / 2
+
+
+def running_mean(value: str, keys=("dataset", "y", "x"), before: int = 1, after: int = 1) -> Column:
+    """Mean over the steps i - before to i + after; null if any of them is missing."""
+    w = Window.partitionBy(*keys).orderBy("i").rangeBetween(-before, after)
+    return F.when(F.count(value).over(w) == before + after + 1, F.avg(value).over(w))
 
 
 def daily_budget(daily: DataFrame, grid: DataFrame, weight: Column | None = None) -> DataFrame:
@@ -50,7 +75,8 @@ def daily_budget(daily: DataFrame, grid: DataFrame, weight: Column | None = None
     weight: days that a field stands for (1, or the days of the month for monthly fields).
     """
     weight = F.lit(1.0) if weight is None else weight
-    rows = mean_filter(daily.join(F.broadcast(distances(grid)), ["x", "y"]), ["u", "v"])
+    daily = daily.repartition("dataset", "time")  # one shuffle for all windows along x and y
+    rows = mean_filter(daily, ["u", "v"]).join(distances(grid), ["x", "y"])
     rows = rows.withColumns({c: F.when(F.col("sic") >= LEVEL, F.col(f"{c}_mean")) for c in ("u", "v")})
     rows = rows.withColumns({"ax": gradient("sic", "hx", "x"), "ay": gradient("sic", "hy", "y"), "ux": gradient("u", "hx", "x"), "vy": gradient("v", "hy", "y")})
     late = F.col("i") >= 2
@@ -59,12 +85,12 @@ def daily_budget(daily: DataFrame, grid: DataFrame, weight: Column | None = None
         "_div": F.when(late, -F.col("sic") * (F.col("ux") + F.col("vy")) * 86400.0 * weight),
     })
     w = Window.partitionBy("dataset", "y", "x").orderBy("i")
-    out = rows.withColumns({"dadt": tendency("sic"), "adv": F.avg("_adv").over(w.rowsBetween(0, 2)), "div": F.avg("_div").over(w.rowsBetween(0, 2))})
+    out = rows.withColumns({"dadt": tendency("sic"), "adv": F.avg("_adv").over(w.rangeBetween(0, 2)), "div": F.avg("_div").over(w.rangeBetween(0, 2))})
     out = out.where(F.col("dadt").isNotNull()).withColumn("res", F.col("dadt") - F.col("adv") - F.col("div"))
     return out.select("dataset", "time", "yr", "mo", "i", "y", "x", "sic", "cell_area", "region", "dadt", "adv", "div", "res")
 
 
-def common_mask(rows: DataFrame, terms=("dadt", "adv", "div", "res")) -> DataFrame:
+def common_mask(rows: DataFrame, terms=TERMS) -> DataFrame:
     """Terms where all four are present."""
     ok = F.lit(True)
     for t in terms:
@@ -81,3 +107,25 @@ def ridging_ratio(rows: DataFrame, keys) -> DataFrame:
     ice = F.col("sic") >= LEVEL
     flag = ice & ridging(F.col("sic"), F.col("res"), F.col("div"))
     return rows.groupBy(*keys).agg(F.try_divide(F.sum(flag.cast("int")), F.nullif(F.sum(ice.cast("int")), F.lit(0))).alias("ratio"))
+
+
+def component_summary(clim: DataFrame, reference: str = "obs1") -> DataFrame:
+    """clim (dataset, y, x, cell_area, mo, terms in percent a month) -> (dataset, component, mean, corr, bias): mean and bias in 10^6 km2, averaged over the months, and the area-weighted correlation of the annual maps."""
+    rows = clim.select("dataset", "y", "x", "cell_area", "mo", *(F.expr(e).alias(n) for n, e in COMPONENTS.items())).unpivot(["dataset", "y", "x", "cell_area", "mo"], list(COMPONENTS), "component", "value")
+    base = rows.where(F.col("dataset") == reference).select("y", "x", "mo", "component", F.col("value").alias("other"))
+    both = rows.where(F.col("dataset") != reference).join(base, ["y", "x", "mo", "component"])
+    keys, total = ["dataset", "component"], lambda x: F.coalesce(F.sum(x * F.col("cell_area") / 1e6 / 100) / 1e6, F.lit(0.0))
+    sums = both.groupBy(*keys, "mo").agg(total(F.col("value")).alias("m"), total(F.col("value") - F.col("other")).alias("b")).groupBy(*keys).agg(F.avg("m").alias("mean"), F.avg("b").alias("bias"))
+    maps = both.groupBy(*keys, "y", "x", "cell_area").agg(F.avg("value").alias("value"), F.avg("other").alias("other"))
+    return area_correlation(maps, "other", "value", "cell_area", keys, 2).withColumnRenamed("value", "corr").join(sums, keys, "right")
+
+
+def term_differences(clim: DataFrame, reference: str = "obs1", terms=TERMS) -> DataFrame:
+    """clim as above -> (dataset, term, season, bias, mae, rmse) of the season sums, area-weighted, and under season `annual` their mean weighted with the seasons' days."""
+    rows = clim.groupBy("dataset", "y", "x", "cell_area", cal.season(F.col("mo")).alias("season")).agg(*(F.sum(t).alias(t) for t in terms)).unpivot(["dataset", "y", "x", "cell_area", "season"], list(terms), "term", "value")
+    base = rows.where(F.col("dataset") == reference).select("y", "x", "season", "term", F.col("value").alias("other"))
+    both, w = rows.where(F.col("dataset") != reference).join(base, ["y", "x", "season", "term"]), F.col("cell_area")
+    out = both.groupBy("dataset", "term", "season").agg(*(f(F.col("value"), F.col("other"), w).alias(n) for n, f in (("bias", bias), ("mae", mae), ("rmse", rmse))))
+    days = F.element_at(F.create_map(*[F.lit(x) for kv in cal.SEASON_DAYS.items() for x in kv]), F.col("season"))
+    year = out.groupBy("dataset", "term").agg(*(weighted_mean(F.col(n), days).alias(n) for n in ("bias", "mae", "rmse"))).withColumn("season", F.lit("annual"))
+    return out.unionByName(year)

@@ -29,9 +29,17 @@ def percent(field: DataFrame, value: str, keys=("dataset",)) -> DataFrame:
 
 
 def percent_by_quantile(field: DataFrame, value: str, keys=("dataset",), days: int = 366) -> DataFrame:
-    """Fractions become percent where the 99th percentile of the first days is at most 1.5."""
-    first = F.when(F.col("i") < days, F.col(value))
-    return scaled(field, value, F.percentile(first, 0.99) <= 1.5, 100.0, keys)
+    """Fractions become percent where the 99th percentile (interpolated) of the first days is at most 1.5.
+
+    The percentile lies between the values of two ranks. If both are at most 1.5, or both over it, counts of the values tell; only where
+    1.5 lies between the two are the largest value below and the smallest above it needed. No task holds a dataset's values.
+    """
+    first, limit = F.when(F.col("i") < days, F.col(value)), 1.5
+    n, low = F.count(first), F.count(F.when(first <= limit, first))
+    rank = 0.99 * (n - 1)
+    below, above = F.max(F.when(first <= limit, first)), F.min(F.when(first > limit, first))
+    between = below + (rank - F.floor(rank)) * (above - below) <= limit
+    return scaled(field, value, F.when(low > F.ceil(rank), True).when(low <= F.floor(rank), False).otherwise(between), 100.0, keys)
 
 
 def metres_per_second(field: DataFrame, keys=("dataset",)) -> DataFrame:

@@ -40,19 +40,24 @@ def edge_error(pairs: DataFrame, reference: str, model: str, area: str, keys) ->
 
 
 def vector_correlation(pairs: DataFrame, keys, least: int = 11) -> DataFrame:
-    """Squared vector correlation of (u1, v1) and (u2, v2), halved to 0..1, from at least `least` common samples."""
-    ok = pairs.where("u1 IS NOT NULL AND v1 IS NOT NULL AND u2 IS NOT NULL AND v2 IS NOT NULL")
-    names = [(a, b) for i, a in enumerate(("u1", "v1", "u2", "v2")) for b in ("u1", "v1", "u2", "v2")[i:]]
-    c = ok.groupBy(*keys).agg(F.count("*").alias("n"), *(F.covar_samp(a, b).alias(f"{a}{b}") for a, b in names))
-    s = lambda a, b: F.col(f"{a}{b}") if (a, b) in names else F.col(f"{b}{a}")
-    u1, v1, u2, v2 = "u1", "v1", "u2", "v2"
-    f = (
-        s(u1, u1) * (s(u2, u2) * s(v1, v2) ** 2 + s(v2, v2) * s(v1, u2) ** 2) + s(v1, v1) * (s(u2, u2) * s(u1, v2) ** 2 + s(v2, v2) * s(u1, u2) ** 2)
-        + 2 * (s(u1, v1) * s(u1, v2) * s(v1, u2) * s(u2, v2) + s(u1, v1) * s(u1, u2) * s(v1, v2) * s(u2, v2))
-        - 2 * (s(u1, u1) * s(v1, u2) * s(v1, v2) * s(u2, v2) + s(v1, v1) * s(u1, u2) * s(u1, v2) * s(u2, v2) + s(u2, u2) * s(u1, v1) * s(u1, v2) * s(v1, v2) + s(v2, v2) * s(u1, v1) * s(u1, u2) * s(v1, u2))
-    )
-    g = (s(u1, u1) * s(v1, v1) - s(u1, v1) ** 2) * (s(u2, u2) * s(v2, v2) - s(u2, v2) ** 2)
-    return c.select(*keys, F.when((F.col("n") >= least) & (F.abs(g) > 1e-14), f / g / 2).alias("value"))
+    """Squared vector correlation of (u1, v1) and (u2, v2), halved to 0..1, from at least `least` common samples.
+
+    It is the trace of A^-1 C B^-1 C', with the covariances A of the first vector, B of the second and C between them. A^-1 is adj(A) / det(A).
+    """
+    one, two = ("u1", "v1"), ("u2", "v2")
+    names = [*one, *two]
+    ok = pairs.where(" AND ".join(f"{c} IS NOT NULL" for c in names))
+    cov = ok.groupBy(*keys).agg(F.count("*").alias("n"), *(F.covar_samp(a, b).alias(f"{a}_{b}") for i, a in enumerate(names) for b in names[i:]))
+    c = lambda a, b: F.col(f"{min(a, b, key=names.index)}_{max(a, b, key=names.index)}")
+
+    def adjugate(p):
+        u, v = p
+        return {(u, u): c(v, v), (v, v): c(u, u), (u, v): -c(u, v), (v, u): -c(u, v)}
+
+    a, b = adjugate(one), adjugate(two)
+    trace = sum(a[i, j] * c(j, k) * b[k, m] * c(i, m) for i in one for j in one for k in two for m in two)
+    det = (c("u1", "u1") * c("v1", "v1") - c("u1", "v1") ** 2) * (c("u2", "u2") * c("v2", "v2") - c("u2", "v2") ** 2)
+    return cov.select(*keys, F.when((F.col("n") >= least) & (F.abs(det) > 1e-14), trace / det / 2).alias("value"))
 
 
 def mean_cosine(pairs: DataFrame, keys) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nilas.functions.stats import bias, regression, rmse, student_p
+from nilas.operators.integrals import area_share
+from nilas.operators.skill import area_correlation
+
 #: Threshold, running mean and persistence, in percent and days.
 LEVEL, WINDOW, PERSISTENCE = 15.0, 15, 7
 CYCLE = ("dataset", "start_year", "y", "x")
@@ -15,25 +19,26 @@ def cycles(daily: DataFrame, hemisphere: str = "south", keys=("dataset", "y", "x
     first = 9 if hemisphere == "north" else 3
     rows = daily.withColumn("start_year", F.when(F.col("mo") >= first, F.col("yr")).otherwise(F.col("yr") - 1))
     w = Window.partitionBy(*keys, "start_year")
-    return rows.withColumns({"t": F.row_number().over(w.orderBy("time")) - 1, "cycle": F.count("*").over(w).cast("int")})
+    first, last = F.min("time").over(w), F.max("time").over(w)
+    return rows.withColumns({"t": F.datediff("time", first), "cycle": (F.datediff(last, first) + 1).cast("int")})
 
 
 def smooth(rows: DataFrame, value: str = "sic", window: int = WINDOW, keys=CYCLE) -> DataFrame:
     """Running mean over an odd number of days; the first and last value stand for days outside the cycle, a missing day makes it missing."""
     k = (window - 1) // 2
     w = Window.partitionBy(*keys).orderBy("t")
-    near, whole = w.rowsBetween(-k, k), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near, whole = w.rangeBetween(-k, k), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     left, right = F.greatest(F.lit(0), k - F.col("t")), F.greatest(F.lit(0), k - (F.col("cycle") - 1 - F.col("t")))
     edge = lambda n, x: F.when(n > 0, n * x).otherwise(0.0)
     total = F.sum(value).over(near) + edge(left, F.first(value).over(whole)) + edge(right, F.last(value).over(whole))
-    return rows.withColumn("smooth", F.when(F.count(value).over(near) == F.count("*").over(near), total / window))
+    return rows.withColumn("smooth", F.when(F.count(value).over(near) == window - left - right, total / window))
 
 
 def crossings(rows: DataFrame, level: float = LEVEL, persistence: int = PERSISTENCE, keys=CYCLE) -> DataFrame:
     """Whether each day is an upward or downward crossing that persists: the first day over the threshold must be followed by persistence - 1 days over it."""
     w = Window.partitionBy(*keys).orderBy("t")
-    after, s, t = w.rowsBetween(1, persistence - 1), F.col("smooth"), F.col("t")
-    before, full = F.lag("smooth").over(w), F.count("smooth").over(after) == persistence - 1
+    after, s, t = w.rangeBetween(1, persistence - 1), F.col("smooth"), F.col("t")
+    before, full = F.first("smooth").over(w.rangeBetween(-1, -1)), F.count("smooth").over(after) == persistence - 1
     up = (s >= level) & (before < level) & full & (F.min("smooth").over(after) > level) & t.between(1, F.col("cycle") - persistence - 1)
     down = (s <= level) & (before > level) & full & (F.max("smooth").over(after) < level) & t.between(1, F.col("cycle") - persistence)
     return rows.withColumns({"up": F.coalesce(up, F.lit(False)), "down": F.coalesce(down, F.lit(False))})
@@ -61,11 +66,10 @@ def durations(dates: DataFrame) -> DataFrame:
 
 
 def relation(y: Column, x: Column) -> dict[str, Column]:
-    from nilas.functions.stats import regression
-
+    """Regression of y on x over at least three pairs: corr, slope, p, r2 and n."""
     reg = regression(y, x)
     ok = F.count(F.when(x.isNotNull() & y.isNotNull(), 1)) >= 3
-    return {"corr": F.when(ok, reg["r"]), "slope": F.when(ok, reg["slope"]), "n": reg["n"]}
+    return {"corr": F.when(ok, reg["r"]), "slope": F.when(ok, reg["slope"]), "p": F.when(ok, student_p(reg["r"], reg["n"])), "r2": F.when(ok, reg["r"] * reg["r"]), "n": reg["n"]}
 
 
 def edge_curve(pairs: DataFrame, obs: str, model: str, area: str, advance: bool, keys) -> DataFrame:
@@ -74,3 +78,49 @@ def edge_curve(pairs: DataFrame, obs: str, model: str, area: str, advance: bool,
     hit = lambda c: F.coalesce((F.col(c) <= F.col("day")) if advance else (F.col(c) >= F.col("day")), F.lit(False))
     part = lambda ok: F.coalesce(F.sum(F.when(ok, F.col(area))), F.lit(0.0)) / 1e12
     return pairs.withColumn("day", day).groupBy(*keys, "day").agg(part(hit(model) & ~hit(obs)).alias("over"), part(~hit(model) & hit(obs)).alias("under"))
+
+
+def lagged_relation(dates: DataFrame) -> DataFrame:
+    """(dataset, corr): of a year's mean retreat with the next year's mean advance, from three years on."""
+    year = dates.groupBy("dataset", "start_year").agg(F.avg("advance").alias("a"), F.avg("retreat").alias("b"))
+    after = F.first("a").over(Window.partitionBy("dataset").orderBy("start_year").rangeBetween(1, 1))
+    return year.withColumn("n", after).groupBy("dataset").agg(relation(F.col("n"), F.col("b"))["corr"].alias("lag_corr"))
+
+
+def phase_maps(dates: DataFrame, least: int = 3) -> DataFrame:
+    """(dataset, phase, y, x): climatology, deviation, valid years, trend a year and whether it is significant, from `least` valid years on."""
+    long = dates.unpivot(["dataset", "start_year", "y", "x"], ["advance", "retreat"], "phase", "day")
+    out = long.groupBy("dataset", "phase", "y", "x").agg(F.avg("day").alias("clim"), F.stddev_pop("day").alias("std"), F.count("day").alias("valid"), regression("day", "start_year").alias("reg"))
+    p, ok = student_p(F.col("reg.r"), F.col("reg.n")), F.col("valid") >= least
+    return out.select("dataset", "phase", "y", "x", "clim", "std", "valid", F.when(ok, F.col("reg.slope")).alias("trend"), F.when(ok & p.isNotNull(), (p < 0.05).cast("int")).alias("significant"))
+
+
+def duration_maps(dates: DataFrame) -> DataFrame:
+    return durations(dates).groupBy("dataset", "y", "x").agg(F.avg("ice_season").alias("ice_season"), F.avg("open_water").alias("open_water"))
+
+
+def phase_table(dates: DataFrame) -> DataFrame:
+    """Eight columns by dataset and phase: unweighted means of the maps, the significant share in percent, durations and the lagged correlation."""
+    maps = phase_maps(dates).groupBy("dataset", "phase").agg(*(F.avg(c).alias(c) for c in ("clim", "std", "trend", "valid")), (100 * F.avg("significant")).alias("significant"))
+    length = duration_maps(dates).groupBy("dataset").agg(F.avg("ice_season").alias("ice_season"), F.avg("open_water").alias("open_water"))
+    return maps.join(length, "dataset").join(lagged_relation(dates), "dataset")
+
+
+def phase_differences(dates: DataFrame, grid: DataFrame, reference: str = "obs1") -> DataFrame:
+    """Ten columns by dataset and phase against the reference, weighted with cell areas: correlation, error, biases, the dataset's significant share and valid years, durations."""
+    area = grid.select("y", "x", "cell_area")
+    values = ["clim", "trend", "ice_season", "open_water"]
+    maps = phase_maps(dates).join(duration_maps(dates), ["dataset", "y", "x"], "left")
+    base = maps.where(F.col("dataset") == reference).select("phase", "y", "x", *(F.col(c).alias(f"_{c}") for c in values))
+    both = maps.where(F.col("dataset") != reference).join(base, ["phase", "y", "x"]).join(area, ["y", "x"])
+    w, keys = F.col("cell_area"), ["dataset", "phase"]
+    of = lambda f, c: f(F.col(c), F.col(f"_{c}"), w)
+    length = F.when(F.col("phase") == "advance", of(rmse, "ice_season")).otherwise(of(rmse, "open_water"))
+    out = both.groupBy(*keys).agg(
+        of(rmse, "clim").alias("rmse"), of(bias, "clim").alias("bias"), of(bias, "trend").alias("trend_bias"), area_share(F.col("significant"), w).alias("significant"), F.avg("valid").alias("valid"),
+        of(bias, "ice_season").alias("ice_season_bias"), of(bias, "open_water").alias("open_water_bias"), length.alias("duration_rmse"),
+    )
+    lag = lagged_relation(dates)
+    first = lag.where(F.col("dataset") == reference).select(F.col("lag_corr").alias("_lag"))  # one row
+    lag = lag.crossJoin(F.broadcast(first)).select("dataset", (F.col("lag_corr") - F.col("_lag")).alias("lag_corr_bias"))
+    return area_correlation(both, "_clim", "clim", "cell_area", keys, 3).withColumnRenamed("value", "corr").join(out, keys, "right").join(lag, "dataset")

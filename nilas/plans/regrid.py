@@ -33,7 +33,7 @@ query("R3_area_extensive", f"WITH {BOX} SELECT y, x, {q('sum(w * sic * (2 + sx %
     lambda v: g.overlaps(*boxes(v)).groupBy("y", "x").agg(r(F.sum(F.col("overlap") * F.col("sic") * (2 + F.col("sx") % 3)) / 2.25).alias("value"))
 )
 HAV = "2 * 6378.137 * asin(sqrt(pow(sin(abs(radians(tlat) - radians(slat)) / 2), 2) + cos(radians(tlat)) * cos(radians(slat)) * pow(sin(abs(radians(tlon) - radians(slon)) / 2), 2)))"
-query("R4_nearest", f"WITH s AS (SELECT y AS sy, x AS sx, lat AS slat, lon / 5 AS slon, region FROM grid), t AS (SELECT y, x, lat + 0.3 AS tlat, lon / 5 + 0.4 AS tlon FROM grid), n AS (SELECT t.y, t.x, region, round({HAV}, 6) AS d, sy, sx FROM t JOIN s ON abs(floor(tlon) - floor(slon)) <= 1 AND abs(floor(tlat) - floor(slat)) <= 1) SELECT y, x, arg_min(region, (d, sy, sx)) AS value FROM n GROUP BY ALL")(
+query("R4_nearest", f"WITH s AS (SELECT y AS sy, x AS sx, lat AS slat, lon / 5 AS slon, region FROM grid), t AS (SELECT y, x, lat + 0.3 AS tlat, lon / 5 + 0.4 AS tlon FROM grid), n AS (SELECT t.y, t.x, region, round({HAV}, 6) AS d, sy, sx FROM t CROSS JOIN s) SELECT y, x, arg_min(region, (d, sy, sx)) AS value FROM n GROUP BY ALL")(
     lambda v: g.nearest(v.grid.select(F.col("y").alias("sy"), F.col("x").alias("sx"), F.col("lat").alias("slat"), (F.col("lon") / 5).alias("slon"), "region"), v.grid.select("y", "x", (F.col("lat") + 0.3).alias("tlat"), (F.col("lon") / 5 + 0.4).alias("tlon")), "region")
 )
 SIDES = ["x % 3 + 2.0", "y % 2 + 3.0", "x % 2 + 2.5", "y % 3 + 3.5"]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from nilas.functions import calendar as cal
-from nilas.functions.stats import METRICS, correlation, metric, regression
+from nilas.functions.stats import METRICS, correlation, metric, regression, student_p
 from nilas.functions.stats import rounded as r
-from nilas.functions.stats import sql_bias, sql_corr, sql_mae, sql_rest, sql_rmse, sql_slope
+from nilas.functions.stats import sql_bias, sql_corr, sql_mae, sql_p, sql_rmse, sql_slope
 from nilas.functions.stats import sql_round as q
 from nilas.operators import align as a
 from nilas.operators import climatology as c
@@ -15,6 +16,7 @@ from nilas.operators import skill as k
 from nilas.plans.climatology import SERIES, series
 from nilas.plans.registry import query
 from nilas.plans.trends import INDEX, index, rounded
+from nilas.sources.views import TERMS
 
 YM = ["yr", "mo", "y", "x"]
 pick = lambda v, d: v.field.where(F.col("dataset") == d)
@@ -62,18 +64,35 @@ query("J10_term_merge", f"WITH s AS (SELECT dataset, time, y, x, {', '.join(f'''
 query("J11_months_in_both", "SELECT dataset, time, y, x, sic FROM field f WHERE dataset = 'obs2' AND EXISTS (SELECT 1 FROM field g WHERE g.dataset = 'obs1' AND g.sic > 98 AND g.yr = f.yr AND g.mo = f.mo)")(
     lambda v: pick(v, "obs2").join(pick(v, "obs1").where("sic > 98").select("yr", "mo").distinct(), ["yr", "mo"], "left_semi").select("dataset", "time", "y", "x", "sic")
 )
-query("J12_membership", """SELECT "group", dataset, count(*) AS n FROM (SELECT DISTINCT "group", lower(trim(member)) AS member FROM ensemble) e JOIN field ON lower(dataset) = member GROUP BY ALL""")(
-    lambda v: v.field.join(F.broadcast(v.ensemble.select("group", F.lower(F.trim("member")).alias("member")).distinct()), F.lower("dataset") == F.col("member")).groupBy("group", "dataset").agg(F.count("*").alias("n"))
+MODELS = "md AS (SELECT dataset AS label, CAST(row_number() OVER (ORDER BY dataset) AS INT) AS position FROM (SELECT DISTINCT dataset FROM field)), me AS (SELECT \"group\", member FROM ensemble UNION ALL SELECT 'index', CAST(position AS VARCHAR) FROM md WHERE position <> 2 UNION ALL SELECT 'mixed', ' ' || upper(label) FROM md WHERE position < 3 UNION ALL SELECT 'mixed', '1' UNION ALL SELECT 'mixed', '99')"
+
+
+def members(v):
+    """The ensemble's groups by label, and groups by position and by both."""
+    models = v.field.select(F.col("dataset").alias("label")).distinct()
+    models = models.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("label")))  # a list of datasets
+    add = lambda name, member, rows: rows.select(F.lit(name).alias("group"), member.alias("member"))
+    entries = v.ensemble.select("group", "member").unionByName(add("index", F.col("position").cast("string"), models.where("position <> 2")))
+    entries = entries.unionByName(add("mixed", F.concat(F.lit(" "), F.upper("label")), models.where("position < 3"))).unionByName(add("mixed", F.explode(F.array(F.lit("1"), F.lit("99"))), models.where("position = 1")))
+    return a.membership(entries, models)
+
+
+query("J12_membership", f"""WITH {MODELS}, mb AS (SELECT "group", label AS dataset FROM me JOIN md ON lower(trim(member)) = lower(trim(label)) UNION SELECT "group", label FROM me JOIN md ON TRY_CAST(member AS INT) = position WHERE lower(trim(member)) NOT IN (SELECT lower(trim(label)) FROM md)) SELECT "group", dataset, count(*) AS n FROM mb JOIN field USING (dataset) GROUP BY ALL""")(
+    lambda v: v.field.join(members(v), "dataset").groupBy("group", "dataset").agg(F.count("*").alias("n"))
 )
-query("J15_complete_members", "WITH s AS (SELECT dataset, y, x, term FROM flux WHERE yr = 1997 GROUP BY ALL), m AS (SELECT *, dataset || ':' || y || ':' || x AS member FROM s), f AS (SELECT member FROM m GROUP BY 1 HAVING count(DISTINCT term) = 4) SELECT dataset, y, x, term FROM m WHERE member IN (SELECT member FROM f)")(
-    lambda v: a.complete_members(v.flux.where("yr = 1997").select("dataset", "y", "x", "term").distinct().withColumn("member", F.concat_ws(":", "dataset", "y", "x")), "member", "term", 4).select("dataset", "y", "x", "term")
+MEMBERS = "m AS (SELECT DISTINCT dataset, y, x, term, yr, mo, dataset || ':' || y || ':' || x AS member FROM flux)"
+query("J15_complete_members", f"WITH {MEMBERS}, c AS (SELECT member, term FROM m WHERE yr = 1997 GROUP BY 1, 2 HAVING count(DISTINCT mo) >= 5), f AS (SELECT member FROM c GROUP BY 1 HAVING count(*) = 4) SELECT DISTINCT dataset, y, x, term FROM m WHERE member IN (SELECT member FROM f)")(
+    lambda v: a.complete_members(v.flux.select("dataset", "y", "x", "term", "yr", "mo").distinct().withColumn("member", F.concat_ws(":", "dataset", "y", "x")), "member", "term", list(TERMS), 1997, 1997, least=5).select("dataset", "y", "x", "term").distinct()
 )
 
 # Differences.
 WP = f"WITH {sql_pairs(['thick', 'sic'])}, w AS (SELECT * FROM p JOIN grid USING (y, x))"
 weighted = lambda v: pairs(v, ["thick", "sic"]).join(F.broadcast(v.grid), ["y", "x"])
-for _id, _name, _sql in (("M1", "bias", sql_bias("thick2", "thick", "cell_area")), ("M2", "mae", sql_mae("thick2", "thick", "cell_area")), ("M3", "rmse", sql_rmse("thick2", "thick", "cell_area")), ("M4", "corr", sql_corr("thick2 * cell_area", "thick * cell_area"))):
+for _id, _name, _sql in (("M1", "bias", sql_bias("thick2", "thick", "cell_area")), ("M2", "mae", sql_mae("thick2", "thick", "cell_area")), ("M3", "rmse", sql_rmse("thick2", "thick", "cell_area"))):
     query(f"{_id}_{_name}", f"{WP} SELECT mo, {q(_sql)} AS value FROM w GROUP BY mo")(lambda v, m=_name: weighted(v).groupBy("mo").agg(r(METRICS[m](F.col("thick2"), F.col("thick"), F.col("cell_area"))).alias("value")))
+query("M4_corr", f"{WP}, g AS (SELECT mo, {sql_corr('thick2 * cell_area', 'thick * cell_area')} AS r, CAST(regr_count(thick2 * cell_area, thick * cell_area) AS BIGINT) AS n FROM w GROUP BY mo) SELECT mo, {q('r')} AS value, {q(sql_p('r', 'n'))} AS p FROM g")(
+    lambda v: (lambda w: w.groupBy("mo").agg(regression(F.col("thick2") * F.col("cell_area"), F.col("thick") * F.col("cell_area")).alias("reg")).select("mo", r(F.col("reg.r")).alias("value"), r(student_p(F.col("reg.r"), F.col("reg.n"))).alias("p")))(weighted(v))
+)
 _masked = "CASE WHEN sic > 15 THEN {} END"
 query("M5_metric_dispatch", f"{WP} SELECT {q(sql_bias(_masked.format('thick2'), _masked.format('thick'), 'cell_area'))} AS bias, {q(sql_mae(_masked.format('thick2'), _masked.format('thick'), 'cell_area'))} AS mae, {q(sql_rmse(_masked.format('thick2'), _masked.format('thick'), 'cell_area'))} AS rmse, {q(sql_corr(_masked.format('thick2') + ' * cell_area', _masked.format('thick') + ' * cell_area'))} AS corr FROM w")(
     lambda v: weighted(v).agg(*(r(metric(m, F.col("thick2"), F.col("thick"), F.col("cell_area"), F.col("sic") > 15)).alias(m) for m in METRICS))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -13,14 +13,11 @@ from nilas.functions.stats import rounded as r
 from nilas.functions.stats import sql_round as q
 from nilas.operators import clean as p
 from nilas.operators import climatology as c
-from nilas.operators import regrid as g
-from nilas.operators import skill as k
 from nilas.operators import tables as t
 from nilas.operators.align import both_zero_mask
 from nilas.operators.trends import period_statistics
 from nilas.plans.climatology import SERIES, series
 from nilas.plans.registry import query
-from nilas.plans.transition import DATES, dates
 from nilas.plans.trends import KEYS as LONG_KEYS
 from nilas.plans.trends import SQL_V6, long_series, period_table, rounded
 from nilas.sources import files as f
@@ -31,9 +28,8 @@ long_field = lambda v: v.field.unpivot(KEYS, ["sic", "u", "v"], "var", "value")
 
 
 def scratch(v, label):
-    """A new path in the shared folder of the cluster, or a temporary one in tests."""
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{label}-{v.spark.sparkContext.applicationId}-{id(v)}"
+    """A new path in the shared folder of the cluster."""
+    return f"{f.shared_folder(v.spark)}/{label}-{uuid.uuid4().hex}"
 
 
 # Sources and sinks.
@@ -180,12 +176,6 @@ V6CTE = SQL_V6[5:].rsplit(" SELECT dataset, sector, metric, period,", 1)[0]
 
 
 
-def phases(v):
-    d = dates(v).unpivot(["dataset", "start_year", "y", "x"], ["advance", "retreat"], "phase", "day")
-    return rounded(d.groupBy("dataset", "phase").agg(F.avg("day").alias("mean"), F.stddev_pop("day").alias("std"), F.count("day").alias("n")), "dataset", "phase", digits=4)
-
-
-query("B4_phase_table", f"{DATES}, ph AS (SELECT dataset, 'advance' AS phase, advance AS day FROM dt UNION ALL SELECT dataset, 'retreat', retreat FROM dt) SELECT dataset, phase, {q('avg(day)', 4)} AS mean, {q('stddev_pop(day)', 4)} AS std, count(day) AS n FROM ph GROUP BY ALL")(phases)
 FLUXT = f"fc AS (SELECT dataset, term, y, x, mo, avg(value * day(last_day(time)) * 86400) AS value FROM flux GROUP BY ALL), fs AS (SELECT dataset, sector, {cal.SQL_SEASON} AS season, term, sum(value * cell_area) / 1e12 AS value FROM fc JOIN grid USING (y, x) JOIN sectors USING (region) GROUP BY ALL)"
 query("B5_mass_budget_table", f"WITH {FLUXT} SELECT dataset, sector, season, {', '.join(f"{q(f"max(CASE WHEN term = '{m}' THEN value END)")} AS {m}" for m in ('dyn', 'growth', 'melt', 'snow'))} FROM fs GROUP BY ALL")(
     lambda v: rounded(

@@ -10,6 +10,7 @@ from nilas.functions.stats import rounded as r
 from nilas.functions.stats import sql_round as q
 from nilas.operators import skill as k
 from nilas.operators import transition as t
+from nilas.operators.domains import ratios
 from nilas.operators.integrals import area_mean, area_share
 from nilas.plans.registry import query
 from nilas.plans.skill import SQL_WCORR, WC
@@ -40,7 +41,7 @@ def pairs(v):
     return o.select(*on, "cycle", F.col("advance").alias("a1"), F.col("retreat").alias("r1")).join(m.select(*on, F.col("advance").alias("a2"), F.col("retreat").alias("r2")), on)
 
 
-query("W1_running_mean", f"WITH {CYC}, {SM} SELECT {KEYS}, t, {q('smooth')} AS smooth FROM sm WHERE dataset = 'obs1'")(lambda v: t.smooth(t.cycles(v.daily.where("dataset = 'obs1'"))).select(*t.CYCLE, "t", r(F.col("smooth")).alias("smooth")))
+query("W1_running_mean", f"WITH {CYC}, {SM} SELECT {KEYS}, t, {q('smooth')} AS smooth FROM sm")(lambda v: t.smooth(t.cycles(v.daily)).select(*t.CYCLE, "t", r(F.col("smooth")).alias("smooth")))
 query("W2_advance_date", f"WITH {CYC}, {SM}, {CR}, {RAW} SELECT {KEYS}, a AS advance FROM raw")(lambda v: t.dates(t.crossings(t.smooth(t.cycles(v.daily))), control=False).select(*t.CYCLE, "advance"))
 query("W3_retreat_date", f"WITH {CYC}, {SM}, {CR}, {RAW} SELECT {KEYS}, b AS retreat FROM raw")(lambda v: t.dates(t.crossings(t.smooth(t.cycles(v.daily))), control=False).select(*t.CYCLE, "retreat"))
 query("W4_transition_year", f"WITH {CYC} SELECT {KEYS}, time, t, cycle FROM cyc")(lambda v: t.cycles(v.daily).select(*t.CYCLE, "time", "t", "cycle"))
@@ -55,7 +56,7 @@ def lagged(v):
 
 query(
     "W6_retreat_advance_relation",
-    LAGGED + " UNION ALL ".join(f" SELECT dataset, {lag} AS lag, {q(f'CASE WHEN regr_count({y}, b) >= 3 THEN {sql_corr(y, "b")} END', 4)} AS corr, {q(f'CASE WHEN regr_count({y}, b) >= 3 THEN {sql_slope(y, "b")} END', 4)} AS slope FROM l GROUP BY dataset" for lag, y in ((0, "a"), (1, "a_next"))),
+    LAGGED + f", lr AS (SELECT l.*, r0, n0, r1, n1 FROM l JOIN (SELECT dataset, {sql_corr('a', 'b')} AS r0, CAST(regr_count(a, b) AS BIGINT) AS n0, {sql_corr('a_next', 'b')} AS r1, CAST(regr_count(a_next, b) AS BIGINT) AS n1 FROM l GROUP BY dataset) USING (dataset))" + " UNION ALL ".join(f" SELECT dataset, {lag} AS lag, {q(f'CASE WHEN regr_count({y}, b) >= 3 THEN {sql_corr(y, "b")} END', 4)} AS corr, {q(f'CASE WHEN regr_count({y}, b) >= 3 THEN {sql_slope(y, "b")} END', 4)} AS slope, {q(f'any_value(CASE WHEN n{lag} >= 3 THEN {sql_p(f"r{lag}", f"n{lag}")} END)', 4)} AS p, {q(f'any_value(CASE WHEN n{lag} >= 3 THEN r{lag} * r{lag} END)', 4)} AS r2 FROM lr GROUP BY dataset" for lag, y in ((0, "a"), (1, "a_next"))),
 )(
     lambda v: (lambda s: (lambda one: one(0, "a").unionByName(one(1, "a_next")))(lambda lag, y: s.groupBy("dataset").agg(*(r(c, 4).alias(n) for n, c in t.relation(F.col(y), F.col("b")).items() if n != "n")).withColumn("lag", F.lit(lag))))(lagged(v))
 )
@@ -94,3 +95,24 @@ query("M21_edge_curve", f"""{PAIR}, d AS (SELECT start_year, day, cell_area, coa
 query("A12_yearly_area_mean_date", f"{DATES} SELECT dataset, start_year, {q('sum(advance * cell_area) / sum(CASE WHEN advance IS NOT NULL THEN cell_area END)', 4)} AS value FROM dt JOIN grid USING (y, x) GROUP BY ALL")(
     lambda v: dates(v).join(F.broadcast(v.grid), ["y", "x"]).groupBy("dataset", "start_year").agg(r(area_mean(F.col("advance"), F.col("cell_area")), 4).alias("value"))
 )
+
+PHASES = f"""{DATES}, ph AS (SELECT dataset, start_year, y, x, 'advance' AS phase, advance AS day FROM dt UNION ALL SELECT dataset, start_year, y, x, 'retreat', retreat FROM dt),
+pg AS (SELECT dataset, phase, y, x, avg(day) AS clim, stddev_pop(day) AS std, CAST(count(day) AS BIGINT) AS valid, {sql_slope('day', 'start_year')} AS s, {sql_corr('day', 'start_year')} AS r, CAST(regr_count(day, start_year) AS BIGINT) AS n FROM ph GROUP BY ALL),
+pm AS (SELECT dataset, phase, y, x, clim, std, valid, CASE WHEN valid >= 3 THEN s END AS trend, CASE WHEN valid >= 3 AND {sql_p('r', 'n')} IS NOT NULL THEN CAST({sql_p('r', 'n')} < 0.05 AS INT) END AS significant FROM pg),
+du AS (SELECT dataset, y, x, avg(ice) AS ice_season, avg(CASE WHEN cycle - ice > 0 THEN cycle - ice END) AS open_water FROM (SELECT *, CASE WHEN retreat - advance > 0 THEN retreat - advance END AS ice FROM dt) GROUP BY ALL),
+ym AS (SELECT dataset, start_year, avg(advance) AS a, avg(retreat) AS b FROM dt GROUP BY ALL), yl AS (SELECT o.dataset, o.b, m.a AS n FROM ym o LEFT JOIN ym m ON m.dataset = o.dataset AND m.start_year = o.start_year + 1),
+lg AS (SELECT dataset, CASE WHEN regr_count(n, b) >= 3 THEN {sql_corr('n', 'b')} END AS lag_corr FROM yl GROUP BY dataset)"""
+RAW8 = ["clim", "std", "trend", "valid", "significant", "ice_season", "open_water", "lag_corr"]
+DIFF10 = ["corr", "rmse", "bias", "trend_bias", "significant", "valid", "ice_season_bias", "open_water_bias", "duration_rmse", "lag_corr_bias"]
+query("B4_phase_table", f"{PHASES}, pa AS (SELECT dataset, phase, avg(clim) AS clim, avg(std) AS std, avg(trend) AS trend, avg(valid) AS valid, 100 * avg(significant) AS significant FROM pm GROUP BY ALL), da AS (SELECT dataset, avg(ice_season) AS ice_season, avg(open_water) AS open_water FROM du GROUP BY ALL) SELECT dataset, phase, {', '.join(f'{q(c, 4)} AS {c}' for c in RAW8)} FROM pa JOIN da USING (dataset) JOIN lg USING (dataset)")(
+    lambda v: rounded(t.phase_table(dates(v)).select("dataset", "phase", *RAW8), "dataset", "phase", digits=4)
+)
+BOTH = f"""{PHASES}, pl AS (SELECT pm.*, ice_season, open_water FROM pm LEFT JOIN du USING (dataset, y, x)), bo AS (SELECT m.*, o.clim AS clim0, o.trend AS trend0, o.ice_season AS ice0, o.open_water AS open0, cell_area FROM (SELECT * FROM pl WHERE dataset <> 'obs1') m JOIN (SELECT * FROM pl WHERE dataset = 'obs1') o USING (phase, y, x) JOIN grid USING (y, x)),
+ok AS (SELECT * FROM bo WHERE clim IS NOT NULL AND clim0 IS NOT NULL), {SQL_WCORR.format(x='clim0', y='clim', t='ok', key='dataset, phase')}, co AS (SELECT dataset, phase, {WC.format(x='clim0', y='clim', n=3)} AS corr FROM m GROUP BY dataset, phase),
+ag AS (SELECT dataset, phase, {sql_rmse('clim', 'clim0', 'cell_area')} AS rmse, {sql_bias('clim', 'clim0', 'cell_area')} AS bias, {sql_bias('trend', 'trend0', 'cell_area')} AS trend_bias, 100 * sum(significant * cell_area) / sum(CASE WHEN significant IS NOT NULL THEN cell_area END) AS significant, avg(valid) AS valid,
+ {sql_bias('ice_season', 'ice0', 'cell_area')} AS ice_season_bias, {sql_bias('open_water', 'open0', 'cell_area')} AS open_water_bias, CASE WHEN phase = 'advance' THEN {sql_rmse('ice_season', 'ice0', 'cell_area')} ELSE {sql_rmse('open_water', 'open0', 'cell_area')} END AS duration_rmse FROM bo GROUP BY dataset, phase),
+pd AS (SELECT dataset, phase, corr, ag.* EXCLUDE (dataset, phase), lg.lag_corr - (SELECT lag_corr FROM lg WHERE dataset = 'obs1') AS lag_corr_bias FROM ag LEFT JOIN co USING (dataset, phase) JOIN lg USING (dataset))"""
+query("M20_phase_differences", f"{BOTH} SELECT dataset, phase, {', '.join(f'{q(c, 4)} AS {c}' for c in DIFF10)} FROM pd")(lambda v: rounded(t.phase_differences(dates(v), v.grid).select("dataset", "phase", *DIFF10), "dataset", "phase", digits=4))
+query("B4_phase_difference_table", f"{BOTH} SELECT w.dataset, phase, {', '.join(f'{q(f"abs(w.{c}) / greatest(abs(o.{c}), 1e-9)", 3)} AS {c}' for c in DIFF10)} FROM pd w LEFT JOIN (SELECT * FROM pd WHERE dataset = 'obs2') o USING (phase)")(
+    lambda v: rounded(ratios(t.phase_differences(dates(v), v.grid), DIFF10, ["phase"]), "dataset", "phase", digits=3)
+)

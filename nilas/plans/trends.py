@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from nilas.functions.stats import regression, student_p
 from nilas.functions.stats import rounded as r
-from nilas.functions.stats import sql_corr, sql_p, sql_rest, sql_slope
+from nilas.functions.stats import sql_corr, sql_p, sql_rest, sql_slope, sql_stderr
 from nilas.functions.stats import sql_round as q
 from nilas.operators import climatology as c
 from nilas.operators import integrals as n
@@ -36,8 +36,8 @@ query("A12_area_mean", f"SELECT dataset, yr, {q('sum(thick * cell_area) / sum(ce
 
 # Product sets of one dataset: climatology, anomaly deviation, trend with p.
 
-TREND = f"{sql_slope('extent', 'i')} AS slope, regr_intercept(extent, i) AS intercept, {sql_corr('extent', 'i')} AS r, regr_count(extent, i) AS n, {sql_rest('extent', 'i')} AS rest"
-query("V1_series_trend", f"WITH {SERIES}, s AS (SELECT *, {INDEX} AS i FROM series), g AS (SELECT dataset, sector, {TREND} FROM s GROUP BY ALL) SELECT dataset, sector, {q('slope')} AS slope, {q('intercept')} AS intercept, {q('r')} AS r, CAST(n AS BIGINT) AS n, {q('rest')} AS rest, {q(sql_p('r', 'n'), 4)} AS p FROM g")(
+TREND = f"{sql_slope('extent', 'i')} AS slope, regr_intercept(extent, i) AS intercept, {sql_corr('extent', 'i')} AS r, regr_count(extent, i) AS n, {sql_rest('extent', 'i')} AS rest, {sql_stderr('extent', 'i')} AS stderr"
+query("V1_series_trend", f"WITH {SERIES}, s AS (SELECT *, {INDEX} AS i FROM series), g AS (SELECT dataset, sector, {TREND} FROM s GROUP BY ALL) SELECT dataset, sector, {q('slope')} AS slope, {q('intercept')} AS intercept, {q('r')} AS r, CAST(n AS BIGINT) AS n, {q('rest')} AS rest, {q('stderr')} AS stderr, {q(sql_p('r', 'n'), 4)} AS p FROM g")(
     lambda v: rounded(t.series_trend(series(v).withColumn("i", index()), "extent", "i", DS), *DS).withColumn("p", r(F.col("p"), 4)).withColumn("n", F.col("n").cast("long"))
 )
 

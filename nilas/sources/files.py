@@ -8,6 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder.rstrip("/")
+
+
 def read_raw_cubes(spark: SparkSession, path: str, ny: int, nx: int, months: int = 12) -> DataFrame:
     """Yearly files (name ends with the year) of float32 cubes [month, x, y] -> (year, month, y, x, value), a task a file."""
 

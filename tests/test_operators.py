@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nilas.functions.stats import METRICS, metric, regression, student_p
-from nilas.operators import align, budget, clean, climatology, integrals, regrid, skill, tables, transition, trends
+from nilas.operators import align, budget, clean, climatology, domains, integrals, regrid, skill, tables, transition, trends
 from nilas.sources import files
 
 
@@ -180,3 +180,108 @@ def test_empty_table_gives_no_rows(spark):
     assert climatology.climatology(empty, "value").count() == 0
     assert trends.series_trend(empty.withColumn("i", F.col("yr")), "value", "i", ["dataset"]).count() == 0
     assert align.by_month(empty, ["value"]).count() == 0
+
+
+def test_a_missing_day_makes_no_neighbours(spark):
+    rows = [("a", 0, 0, i, float(i * i)) for i in range(10) if i != 4]
+    df = spark.createDataFrame(rows, "dataset string, y int, x int, i int, v double")
+    got = {r.i: (r.t, r.m) for r in df.select("i", budget.tendency("v").alias("t"), budget.running_mean("v").alias("m")).collect()}
+    assert got[2] == (4.0, pytest.approx(14 / 3)) and got[3] == (None, None) and got[5] == (None, None) and got[6] == (12.0, pytest.approx(110 / 3)) and got[0] == (None, None)
+
+
+def test_a_missing_day_stops_smoothing_and_crossings(spark):
+    values = [0.0] * 40 + [100.0] * 60
+    df = daily(spark, values)
+    hole = df.where(F.datediff("time", F.lit(df.agg(F.min("time")).first()[0])) != 45)
+    got = {r.t: r.smooth for r in transition.smooth(transition.cycles(hole), window=3).collect()}
+    assert 45 not in got and got[44] is None and got[46] is None and got[43] == 100.0 and len(got) == 99
+    whole = transition.dates(transition.crossings(transition.smooth(transition.cycles(df), window=1)), control=False).first()
+    cut = transition.dates(transition.crossings(transition.smooth(transition.cycles(hole), window=1)), control=False).first()
+    assert whole.advance == 40 and cut.advance is None
+
+
+def test_missing_cells_have_no_gradient_and_no_part_in_means(spark):
+    cells = [(x, y) for x in range(4) for y in range(3) if (x, y) != (1, 1)]
+    df = spark.createDataFrame([("a", 0, x, y, float(10 * x + y), float(x)) for x, y in cells], "dataset string, time int, x int, y int, v double, h double")
+    g = {(r.x, r.y): r.g for r in df.select("x", "y", budget.gradient("v", "h", "x").alias("g")).collect()}
+    assert g[1, 0] == 10.0 and g[2, 1] is None and g[0, 1] is None and (1, 1) not in g
+    m = {(r.x, r.y): r.v_mean for r in budget.mean_filter(df, ["v"]).collect()}
+    assert m.keys() == set(cells)
+    for x, y in cells:
+        near = [10 * a + b for a, b in cells if abs(a - x) <= 1 and abs(b - y) <= 1]
+        assert m[x, y] == pytest.approx(sum(near) / len(near))
+
+
+def test_nearest_crosses_the_date_line_and_the_pole(spark):
+    source = spark.createDataFrame([(0, 0, 179.9, 10.0, 1), (0, 1, 170.0, 10.0, 2), (1, 0, 90.0, 89.5, 3), (1, 1, -90.0, 88.0, 4), (2, 0, 0.0, -60.0, 5)], "sy int, sx int, slon double, slat double, v int")
+    target = spark.createDataFrame([(0, 0, -179.9, 10.0), (0, 1, -90.0, 89.9), (0, 2, 100.0, -20.0), (0, 3, 359.0, -61.0)], "y int, x int, tlon double, tlat double")
+    assert {r.x: r.value for r in regrid.nearest(source, target, "v").collect()} == {0: 1, 1: 3, 2: 2, 3: 5}
+
+
+def test_percentile_by_counting(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    sets = {f"d{k}": np.round(np.concatenate([rng.uniform(0, 1.4, 100 - k), rng.uniform(1.4, 3.0, k)]), 3) for k in range(6)}
+    df = spark.createDataFrame([(d, i, float(v)) for d, x in sets.items() for i, v in enumerate(x)], "dataset string, i int, v double")
+    got = {r.dataset: r.m for r in clean.percent_by_quantile(df, "v").groupBy("dataset").agg(F.max("v").alias("m")).collect()}
+    for d, x in sets.items():
+        assert got[d] == pytest.approx(x.max() * (100 if np.percentile(x, 99) <= 1.5 else 1))
+
+
+def test_membership_by_label_and_position(spark):
+    models = spark.createDataFrame([(1, "Alpha"), (2, "beta"), (3, "3x"), (4, "2")], "position int, label string")
+    entries = spark.createDataFrame([("g", "alpha "), ("g", "1"), ("g", "3"), ("g", "9"), ("h", "2"), ("h", "none")], "group string, member string")
+    assert sorted(map(tuple, align.membership(entries, models).collect())) == [("g", "3x"), ("g", "Alpha"), ("h", "2")]  # a label wins over a position
+
+
+def test_incomplete_members_are_dropped_or_an_error(spark):
+    rows = [(m, t, 2000, k) for m in "ab" for t in ("u", "v") for k in range(1, 13) if not (m == "b" and t == "v" and k > 11)]
+    df = spark.createDataFrame(rows, "member string, term string, yr int, mo int")
+    kept = lambda **k: {r.member for r in align.complete_members(df, "member", "term", ["u", "v"], **k).collect()}
+    assert kept() == {"a", "b"} and kept(first=2000, last=2000) == {"a"} and kept(first=2000, last=2000, least=11) == {"a", "b"} and kept(first=1999, last=2000) == set()
+    with pytest.raises(ValueError, match="1 members"):
+        kept(first=2000, last=2000, allow_incomplete=False)
+
+
+def test_standard_error_and_relation_by_hand(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 3.0), (3.0, 5.0), (4.0, 4.0)], "x double, y double")
+    r = df.agg(regression("y", "x").alias("r"), *(c.alias(n) for n, c in transition.relation(F.col("y"), F.col("x")).items())).first()
+    assert r.r.slope == pytest.approx(0.8) and r.r.stderr == pytest.approx(0.4242640687) and r.r2 == pytest.approx(0.64) and r.p == pytest.approx(0.2)
+
+
+def test_permutation_p_matches_numpy(spark):
+    import numpy as np
+
+    points = [(i, float(i % 5), float((i * 7) % 11)) for i in range(9)]
+    df = spark.createDataFrame(points, "id int, x double, y double")
+    got = tables.permutation_p(df, draws=60).first()
+    order = df.select(F.explode(F.sequence(F.lit(1), F.lit(60))).alias("draw"), "id", "y").select("draw", "id", "y", F.xxhash64("draw", "id").alias("h")).collect()
+    x, y = (np.array([p[k] for p in points]) for k in (1, 2))
+    observed = abs(np.corrcoef(x, y)[0, 1])
+    hits = sum(abs(np.corrcoef(x, [r.y for r in sorted((r for r in order if r.draw == d), key=lambda r: (r.h, r.id))])[0, 1]) >= observed - 1e-12 for d in range(1, 61))
+    assert got.r == pytest.approx(observed) and got.p == pytest.approx((hits + 1) / 61)
+
+
+def test_domain_statistics_by_hand(spark):
+    rows = [("a", y, m, 0, 0, float(m + 12 * (y - 2000) + (5 if m == 3 else 0))) for y in (2000, 2001, 2002) for m in range(1, 13) if (y, m) != (2001, 1)]
+    df = field(spark, rows).withColumnRenamed("value", "v")
+    got = {r.domain: r for r in domains.series_statistics(df, ["v"], ["dataset"]).collect()}
+    assert got["month 3"].v_mean == 20.0 and got["month 3"].v_trend == pytest.approx(120.0) and got["month 3"].v_std == pytest.approx((96) ** 0.5)
+    assert got["month 1"].v_mean == pytest.approx((1 + 25) / 2) and len(got) == 17
+    own = {(r.domain, r.t) for r in domains.samples(df, ["v"], ["dataset"]).where("v IS NOT NULL").collect()}
+    assert ("DJF", 2001) in own and ("DJF", 2003) not in own  # December 2002 alone is no season
+
+
+def test_month_lags_skip_missing_months(spark):
+    df = spark.createDataFrame([("a", 2000, 11, 1.0), ("a", 2000, 12, 2.0), ("a", 2001, 2, 4.0)], "dataset string, yr int, mo int, v double")
+    assert [(r.mo, r.lag_1) for r in climatology.lagged(df, "v", ["dataset"]).orderBy("yr", "mo").collect()] == [(11, None), (12, 1.0), (2, None)]
+
+
+def test_budget_shuffles_the_field_few_times(spark):
+    from nilas.sources.views import Views
+
+    v = Views(spark, "/root/testdata/sf0.001")
+    daily = v.daily.where("i < 5").select("dataset", "time", "yr", "mo", "i", "x", "y", "sic", "u", "v")
+    plan = budget.daily_budget(daily, v.grid)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(dataset") <= 3
