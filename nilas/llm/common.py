@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nilas.llm.text import mix
+
 #: Links that one task takes in at once (16 bytes each).
 LINKS_PER_TASK = 1_000_000
 
@@ -37,11 +39,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir, which driver and executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 
@@ -72,6 +73,67 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits of the filters that pick rows by a hash, fixed for any input.
+FILTER_BITS = 1 << 23
+
+
+def _bits(batches):
+    bits = np.zeros(FILTER_BITS, bool)
+    for batch in batches:
+        bits[_places(batch.column(0))] = True
+    whole = np.packbits(bits, bitorder="little")
+    at = np.flatnonzero(whole)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(whole[at].astype(np.int64))], names=["at", "byte"])
+
+
+def _places(keys: pa.Array) -> np.ndarray:
+    return (mix(keys.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def key_filter(keys: DataFrame):
+    """A broadcast bit map with the hashes of all keys, a column of longs: 1 MB whatever the input. Keys that it lets pass beside them only cost time."""
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in keys.mapInArrow(_bits, "at long, byte long").groupBy("at").agg(F.bit_or("byte").alias("byte")).toLocalIterator():
+        bits[r["at"]] |= r["byte"]
+    return keys.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
+def passing(batch: pa.RecordBatch, name: str, bits: bytes, passes: bool = True) -> pa.RecordBatch:
+    """The rows whose key passes the filter, or those whose key doesn't."""
+    at, known = _places(batch.column(batch.schema.get_field_index(name))), np.frombuffer(bits, np.uint8)
+    return batch.filter(pa.array(((known[at >> 3] >> (at & 7)) & 1 == 1) == passes))
+
+
+#: A labelled text that is longer is learned from by so many parts of so many code points, chosen by hash.
+PARTS, PART = 12, 8000
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """(text, label) of at most `rows` labelled documents, in the order of the hash of their doc_id, in one partition: rows and length of each are bounded.
+
+    labels: (doc_id, label). Of texts over PARTS * PART code points PARTS parts are taken. Repeated documents and labels count once.
+    """
+    chosen = labels.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
+    parts = F.transform(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)), lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))
+    text = F.array_join(F.transform(F.slice(F.array_sort(parts), 1, PARTS), lambda x: x["x"]), " ")
+    text = F.when(F.length("text") > PARTS * PART, text).otherwise(F.coalesce("text", F.lit("")))
+    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", text.alias("text"))
+    own = own.groupBy("doc_id", "label").agg(F.min("text").alias("text")).withColumn("order", F.xxhash64("doc_id"))
+    return own.repartition(1).sortWithinPartitions("order", "doc_id", "label").select("text", "label")
+
+
+def held_texts(batches, total: int):
+    """Texts and labels of `labelled_sample` up to `total` bytes."""
+    texts, labels, size = [], [], 0
+    for batch in batches:
+        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            size += len(text.encode())
+            if size <= total or not texts:
+                texts.append(text)
+                labels.append(label)
+    return texts, labels
+
+
 def _local_forest(batches):
     """Union-find over the links of one task; gives (node, root), root the smallest node reached."""
     parent: dict[int, int] = {}
