@@ -14,14 +14,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nilas.llm import text as t
+from nilas.llm.common import held_texts, labelled_sample
 
 U = np.uint64
 BUCKETS_LOG2, DIM, NGRAMS = 18, 8, (3, 4, 5)
-#: Most labelled documents the model is fitted on, chosen by hash, and the most bytes of each; bytes whose features are held at once.
-TRAIN_ROWS, TRAIN_BYTES, CHUNK_BYTES = 6000, 100_000, 256 << 10
+#: Most labelled documents the model is fitted on, in the order of their hash, and the most bytes of all; bytes whose features are held at once.
+TRAIN_ROWS, TRAIN_TOTAL, CHUNK_BYTES = 6000, 32 << 20, 256 << 10
 #: Words of a passage. A document's score is that of its highest passage.
 PASSAGE = 12
-STEPS, RATE, DECAY, MIN_SEEN, EPS = 120, 0.05, 1e-5, 50, 1e-5
+STEPS, RATE, DECAY, EPS = 120, 0.05, 1e-5, 1e-5
+#: Buckets are trained whose log odds ratio over documents is so many standard errors from 0; documents counted at once.
+TELLS, DOCS = 2.5, 64
 CUT = 0.7
 #: Bytes of text whose features are held at once.
 PIECE = 512 << 10
@@ -57,7 +60,7 @@ class Features:
         for a, b in zip(first[again], last[again], strict=True):
             inside[a:b] = False
         first, last, whole = first[~again], last[~again], whole[~again]
-        self.n_words = len(first)
+        self.n_words, self.first = len(first), first
         self.text_words = np.searchsorted(first, self.begin)
         length = last - first
         shift = U(64 - BUCKETS_LOG2)
@@ -158,11 +161,25 @@ class Bag:
         self.passage = np.repeat(np.arange(p, dtype=np.int32), np.diff(starts))
         self.length = np.maximum(1, np.diff(starts))
 
-    def keep(self, least: int) -> None:
-        """Only buckets that occur in at least `least` passages are trained; they are numbered anew."""
-        seen = np.bincount(self.bucket, np.bincount(self.words, minlength=len(self.vocabulary))[self.word])
-        self.active = np.flatnonzero(seen >= least)
-        number = np.full(len(seen), -1)
+    def keep(self, label: np.ndarray, doc: np.ndarray) -> None:
+        """Only buckets that tell the labels apart are trained: their log odds ratio over documents is TELLS standard errors from 0 at least. They are numbered anew."""
+        size = 1 << BUCKETS_LOG2
+        begin = np.searchsorted(self.word, np.arange(len(self.vocabulary) + 1))
+        having, first = np.zeros((2, size)), np.searchsorted(doc[self.passage], np.arange(len(label) + 1))
+        for i in range(0, len(label), DOCS):
+            part = slice(first[i], first[min(i + DOCS, len(label))])
+            own = np.unique(doc[self.passage[part]].astype(np.int64) << 32 | self.words[part])  # each document's words
+            word, of = own & 0xFFFFFFFF, own >> 32
+            n = begin[word + 1] - begin[word]
+            at = np.repeat(begin[word] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            own = np.unique(np.repeat(of, n) << BUCKETS_LOG2 | self.bucket[at])
+            for k in (0, 1):
+                having[k] += np.bincount((own & (size - 1))[label[own >> BUCKETS_LOG2] == k], minlength=size)
+        total = np.array([[(label == k).sum()] for k in (0, 1)])
+        yes, no = having + 0.5, total - having + 0.5
+        odds = np.log(yes[1] / no[1]) - np.log(yes[0] / no[0])
+        self.active = np.flatnonzero((np.abs(odds) >= TELLS * np.sqrt((1 / yes + 1 / no).sum(0))) & (having.sum(0) > 0))
+        number = np.full(size, -1)
         number[self.active] = np.arange(len(self.active))
         kept = number[self.bucket] >= 0
         self.word, self.bucket, self.share = self.word[kept], number[self.bucket[kept]], self.share[kept]
@@ -194,7 +211,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7):
     bag, label = Bag(own), y[~back]
     each = np.diff(bag.begin)
     doc = np.repeat(np.arange(len(label)), each)
-    bag.keep(MIN_SEEN)
+    bag.keep(label, doc)
     size = len(bag.active)
     emb, out, bias = rng.normal(0, 0.1, (size, DIM)), rng.normal(0, 0.3, (DIM, 2)), np.zeros(2)
     state = [np.zeros_like(x) for x in (emb, out, bias, emb, out, bias)]
@@ -246,38 +263,44 @@ def _calibrate(top: np.ndarray, count: np.ndarray, y: np.ndarray) -> tuple[float
     return tuple(map(float, w))
 
 
-def _pieces(col: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The texts, those over PIECE bytes cut at white space, and where each text's pieces begin."""
-    parts, begin = [], [0]
-    for x in col:
-        x, at = x.as_py(), 0
-        while len(x) - at > PIECE:
-            cut = max(x.rfind(b" ", at, at + PIECE), x.rfind(b"\n", at, at + PIECE))
-            if cut <= at:
-                cut = min((c for c in (x.find(b" ", at + PIECE), x.find(b"\n", at + PIECE)) if c >= 0), default=len(x))
-            parts.append(x[at:cut])
-            at = cut
-        parts.append(x[at:])
-        begin.append(len(parts))
-    return pa.array(parts, pa.large_binary()), np.array(begin)
+def _of_long(text: bytes, table: np.ndarray) -> tuple[float, int]:
+    """Like `_highest` for one text of any length, a piece at a time: the next piece begins with the last passage of the one before, so passages are those of the whole text."""
+    top, count, at, size = -np.inf, 0, 0, PIECE
+    while at < len(text):
+        end = at + size
+        if end < len(text):
+            cut = max(text.rfind(b" ", at, end), text.rfind(b"\n", at, end))
+            end = cut if cut > at else min((c for c in (text.find(b" ", end), text.find(b"\n", end)) if c >= 0), default=len(text))
+        data = np.frombuffer(text[at:end], np.uint8)
+        f = Features(data, np.array([0, len(data)]))
+        start, _ = _passages(f.text_words)
+        n = len(start) - 1
+        if end < len(text) and n == 1:
+            size *= 2
+            continue
+        used = n - 1 if end < len(text) and n else n
+        if used:
+            sums = np.concatenate([[0], np.cumsum(f.word_sums(table))])
+            top = max(top, float((np.diff(sums[start]) / np.maximum(1, np.diff(start)))[:used].max()))
+            count += used
+        at = at + int(np.flatnonzero((data & 0xC0) != 0x80)[f.first[start[used]] - 1]) if used < n else end
+        size = PIECE
+    return (top if count else 0.0), count
 
 
 def scores(col: pa.Array, table: np.ndarray, rest: tuple[float, float, float]) -> np.ndarray:
     """Probability of label 1 for each text: a logistic function of its highest passage and the log of its number of passages."""
-    col, begin = _pieces(col)
-    tops, counts = [], []
     _, offsets = t.buffers(col)
+    top, count = np.zeros(len(col)), np.zeros(len(col))
     i = 0
     while i < len(col):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE, "right")) - 1)
-        top, count = _highest(col[i:j], table)
-        tops.append(np.where(count > 0, top, -np.inf))
-        counts.append(count)
+        if offsets[j] - offsets[i] > PIECE:
+            top[i], count[i] = _of_long(col[i].as_py(), table)
+        else:
+            top[i:j], count[i:j] = _highest(col[i:j], table)
         i = j
-    if not tops:
-        return np.zeros(0)
-    top, count = np.maximum.reduceat(np.concatenate(tops), begin[:-1]), np.add.reduceat(np.concatenate(counts), begin[:-1])
-    return 1 / (1 + np.exp(-np.clip(rest[0] * np.where(count > 0, top, 0) + rest[1] * np.log1p(count) + rest[2], -50, 50)))
+    return 1 / (1 + np.exp(-np.clip(rest[0] * top + rest[1] * np.log1p(count) + rest[2], -50, 50)))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -285,21 +308,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
-    """The model from at most `rows` labelled documents that aren't held out, chosen by the hash of their id; texts over TRAIN_BYTES aren't learned from."""
-    chosen = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).select("doc_id", F.col("toxic").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    short = docs.select("doc_id", "text").where((F.octet_length("text") <= TRAIN_BYTES) | F.col("text").isNull())
-    rows = short.join(F.broadcast(chosen), "doc_id").selectExpr("doc_id", "coalesce(text, '') AS text", "label")
-    made = rows.repartition(1).sortWithinPartitions("doc_id", "label").mapInArrow(_train_task, "table binary, rest array<double>").first()  # a bounded sample
+    """The model from at most `rows` labelled documents that aren't held out, up to TRAIN_TOTAL bytes, trained in one task."""
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).select("doc_id", F.col("toxic").alias("label"))
+    made = labelled_sample(docs, known, rows).mapInArrow(_train_task, "table binary, rest array<double>").first()
     return train([], []) if made is None else (np.frombuffer(bytes(made["table"]), np.float32), tuple(made["rest"]))
 
 
 def _train_task(batches):
-    texts, labels = [], []
-    for batch in batches:
-        texts += batch.column(1).to_pylist()
-        labels += batch.column(2).to_pylist()
-    table, rest = train(texts, labels)
+    table, rest = train(*held_texts(batches, TRAIN_TOTAL))
     yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary()), pa.array([list(rest)], pa.list_(pa.float64()))], names=["table", "rest"])
 
 
