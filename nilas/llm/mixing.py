@@ -9,18 +9,22 @@ follows from its posteriors and the few directions so far.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nilas.llm import text as t
-from nilas.llm.common import saved
+from nilas.llm.common import held_texts, labelled_sample, saved
 
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.95, "low": 0.04, "toxic": 0.01}
-#: Most labelled documents the classifier is fitted on, chosen by hash; buckets of words; steps of the fit and its tolerance.
-TRAIN_ROWS, BUCKETS_LOG2, STEPS, TOLERANCE = 12_000, 20, 25, 1e-6
+#: Most labelled documents the classifier is fitted on, in the order of their hash, and the most bytes of all; buckets of words.
+TRAIN_ROWS, TRAIN_TOTAL, BUCKETS_LOG2 = 12_000, 32 << 20, 20
+#: Steps of the fit of rates, and its tolerance as a share of all tokens.
+STEPS, TOLERANCE = 25, 1e-6
 MIN_SEEN, PRIOR = 5, 3.0
 
 
@@ -65,16 +69,16 @@ class Classifier:
         k, y = len(DOMAINS), np.array(labels, int)
         first = np.random.default_rng(seed).random(len(y)) < 0.5
         size = np.bincount(y[first], minlength=k) + 2.0
-        seen = np.zeros((1 << BUCKETS_LOG2, k)) + PRIOR * size / size.sum()  # a word not seen tells nothing
-        docs = np.zeros(1 << BUCKETS_LOG2)
+        seen = np.zeros((1 << BUCKETS_LOG2, k), np.float32) + (PRIOR * size / size.sum()).astype(np.float32)  # a word not seen tells nothing
+        docs = np.zeros(1 << BUCKETS_LOG2, np.int32)
         for own in np.flatnonzero(first):
             used = np.unique(_measures(pa.array([texts[own].encode()], pa.large_binary()))[0])
             seen[used, y[own]] += 1
             docs[used] += 1
-        share = seen / size
-        self.table = np.log(share / ((seen.sum(1, keepdims=True) - seen) / (size.sum() - size)))
+        self.table, every = np.zeros_like(seen), seen.sum(1)
+        for d in range(k):
+            self.table[:, d] = np.log(seen[:, d] / size[d] / ((every - seen[:, d]) / (size.sum() - size[d])))
         self.table[docs < MIN_SEEN] = 0
-        self.table = self.table.astype(np.float32)
         self.center, self.scale, self.weights = 0.0, 1.0, np.zeros((1, k))
         rest = np.flatnonzero(~first)
         if not len(rest):
@@ -105,11 +109,22 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def _fit_task(batches):
+    texts, labels = held_texts(batches, TRAIN_TOTAL)
+    model = Classifier(texts, [DOMAINS.index(d) for d in labels])
+    yield pa.RecordBatch.from_arrays([pa.array([model.table.tobytes()], pa.binary()), *(pa.array([np.ravel(x).astype(float).tolist()]) for x in (model.center, model.scale, model.weights))], names=["table", "center", "scale", "weights"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classifier:
-    known = labels.where("doc_id IS NOT NULL").select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain")).where("domain IS NOT NULL")
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(rows)  # bounded, hence broadcast
-    table = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").selectExpr("doc_id", "coalesce(text, '') AS text", "domain").toArrow().sort_by([("doc_id", "ascending"), ("domain", "ascending")])
-    return Classifier(table.column("text").to_pylist(), [DOMAINS.index(d) for d in table.column("domain").to_pylist()])
+    """The classifier from at most `rows` labelled documents, up to TRAIN_TOTAL bytes, trained in one task."""
+    known = labels.where("doc_id IS NOT NULL").select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("label")).where("label IS NOT NULL")
+    kinds = "table binary, center array<double>, scale array<double>, weights array<double>"
+    made, k = labelled_sample(docs, known, rows).mapInArrow(_fit_task, kinds).first(), len(DOMAINS)
+    model = Classifier([], [])
+    if made is not None:
+        model.table = np.frombuffer(bytes(made["table"]), np.float32).reshape(-1, k)
+        model.center, model.scale, model.weights = np.array(made["center"]), np.array(made["scale"]), np.array(made["weights"]).reshape(-1, k)
+    return model
 
 
 def with_posteriors(docs: DataFrame, model: Classifier, names: list[str]) -> DataFrame:
@@ -138,40 +153,44 @@ def _rate(directions: list[np.ndarray]) -> Column:
     return rate
 
 
-def fit_rates(table: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, slack: float = 1.0) -> tuple[list[np.ndarray], np.ndarray]:
-    """Directions whose steps give each document's rate, and the token totals aimed at.
+def fit_rates(table: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, slack: float = 1.0, repeats: bool = True) -> tuple[list[np.ndarray], np.ndarray]:
+    """Directions whose steps give each document's rate, and the token totals aimed at. A difference to them that no step takes away is warned of.
 
-    total: tokens to end with, of which each domain gets its weight. By default the domain of the largest weight keeps all its tokens, the
-    others get theirs in proportion, but none more than it has. slack raises the totals by a factor.
+    total: tokens to end with, of which each domain gets its weight. By default the domain of the largest weight keeps all its tokens and the
+    others get theirs in proportion; unless repeats is allowed, rates over 1 have no use, and none gets more than it has. slack raises the totals by a factor.
     """
     p = [F.col(f"_p_{d}") for d in DOMAINS]
     n = len(DOMAINS)
 
     def sums(directions):
-        r = _rate(directions)
-        own = table.withColumn("_rate", r)
+        own = table.withColumn("_rate", _rate(directions))
         active = F.when(F.col("_rate") > 0, F.col("_tokens")).otherwise(F.lit(0))
         cells = [F.sum(F.col("_rate") * F.col("_tokens") * x) for x in p] + [F.sum(active * p[i] * p[j]) for i in range(n) for j in range(n)] + [F.sum("_tokens")]
         row = [x or 0.0 for x in own.agg(*(c.alias(f"c{i}") for i, c in enumerate(cells))).first()]
         return np.array(row[:n]), np.array(row[n:-1]).reshape(n, n), float(row[-1])
 
-    directions, goal = [], None
+    directions, goal, left = [], np.zeros(n), np.full(n, np.inf)
     weight = np.array([targets[d] for d in DOMAINS]) / sum(targets.values())
-    for _ in range(STEPS):
+    for step in range(STEPS + 1):
         have, moment, tokens = sums(directions)
-        if goal is None:
-            goal = np.minimum(have, weight * have[weight.argmax()] / weight.max()) if total is None else weight * total
-            goal = goal * slack
-        if tokens == 0 or np.abs(have - goal).max() <= TOLERANCE * tokens:
+        if not step:
+            goal = weight * (have[weight.argmax()] / weight.max() if total is None else total)
+            goal = (goal if repeats else np.minimum(have, goal)) * slack
+        before, left = left, have - goal
+        if tokens == 0 or np.abs(left).max() <= TOLERANCE * tokens:
+            break
+        if step == STEPS or np.abs(left - before).max() <= TOLERANCE * tokens:  # no further step helps
+            warnings.warn(f"token totals differ from their targets by {dict(zip(DOMAINS, left.round(1).tolist(), strict=True))}", stacklevel=2)
             break
-        directions.append(np.linalg.solve(moment + 1e-9 * tokens * np.eye(n), have - goal))
-    return directions, goal if goal is not None else np.zeros(n)
+        directions.append(np.linalg.solve(moment + 1e-9 * tokens * np.eye(n), left))
+    return directions, goal
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, tokens, p_<domain> of each, rate), a row for each row of docs.
 
     Null and empty texts have no tokens; their rate follows their posteriors like any other. Without labels all domains are equally likely.
+    A domain short of tokens has rates over 1, and a difference that no step takes away is warned of.
     Repeated rows and null ids are rows like others; further columns are left out; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
@@ -183,10 +202,10 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, slack: float = 1.02) -> DataFrame:
     """The rows of docs chosen at their rates, with all their columns: a row stays if the hash of its id and text falls below its rate.
 
-    No row is repeated: rates over 1 count as 1. With slack, documents plainly of the domain with the largest weight all stay.
+    No row is repeated: rates over 1 count as 1, and a domain that has less than its share keeps what it has. With slack, documents plainly of the domain with the largest weight all stay.
     """
     table = saved(with_posteriors(docs, fit(docs, labels), docs.columns), "posteriors")
-    directions, _ = fit_rates(table, targets, slack=slack)
+    directions, _ = fit_rates(table, targets, slack=slack, repeats=False)
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     return table.where(draw < _rate(directions)).select(*docs.columns)
 

@@ -13,7 +13,7 @@ U = np.uint64
 #: Bytes hashed at once, so that the arrays stay in the processor's cache.
 CHUNK = 1 << 18
 #: Bytes of text in one slice of a batch; a longer text is a slice of its own.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
