@@ -1,8 +1,9 @@
 """WARC archives compressed record by record with an embedded Zstandard dictionary.
 
-An archive starts with a skippable frame that holds the dictionary; every record is a frame of its own. Spark's
-text writer puts the archives into place: a "line" is a frame and the line separator is an empty skippable frame, which
-readers pass over. So a task that is lost or runs twice leaves no half-written archive.
+An archive starts with a skippable frame that holds the dictionary; every record is a frame of its own. Archives
+end at a fixed size, so that each is built, written and read within a task's memory. Spark's text writer puts them into place: a "line" is an
+archive, each in a file, and the line separator is an empty skippable frame, which readers pass over. So a task that is lost or
+runs twice leaves no half-written archive.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nilas.llm.common import new_path
+from nilas.llm.common import drop, key_filter, new_path, passing, saved
 
 EMPTY_FRAME = struct.pack("<II", 0x184D2A50, 0)
 DICTIONARY_MAGIC, ZSTD_MAGIC = 0x184D2A5D, 0xFD2FB528
 #: Bytes of records on which a dictionary is built, its size, and the level of compression.
 SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 2 << 20, 64 << 10, 6
+#: Bytes at which an archive ends.
+ARCHIVE_BYTES = 16 << 20
 
 
 def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
@@ -47,63 +50,79 @@ def _dictionary(sample: list[bytes]) -> bytes:
         return b"".join(sample)[:DICTIONARY_BYTES]
 
 
-def _frames(records):
-    """The leading frame with the dictionary, then a frame for each record."""
-    sample, held = [], 0
-    packer = None
+def _archives(records, most: int):
+    """Archives of about `most` bytes: the leading frame with the dictionary, then a frame for each record."""
+    sample, held, out, size, packer = [], 0, [], 0, None
 
     def start():
+        nonlocal packer
         data = _dictionary(sample)
         packer = zstandard.ZstdCompressor(LEVEL, dict_data=zstandard.ZstdCompressionDict(data), write_content_size=True, write_checksum=True)
-        return packer, struct.pack("<II", DICTIONARY_MAGIC, len(data)) + data
+        return [struct.pack("<II", DICTIONARY_MAGIC, len(data)) + data, *map(packer.compress, sample)]
 
     for r in records:
         if packer:
-            yield packer.compress(r)
-            continue
-        sample.append(r)
-        held += len(r)
-        if held >= SAMPLE_BYTES:
-            packer, first = start()
-            yield first
-            yield from map(packer.compress, sample)
+            out.append(packer.compress(r))
+            size += len(out[-1])
+        else:
+            sample.append(r)
+            held += len(r)
+            if held >= min(SAMPLE_BYTES, most):
+                out = start()
+                size = sum(map(len, out))
+        if packer and size >= most:
+            yield b"".join(out)
+            sample, held, out, size, packer = [], 0, [], 0, None
     if sample and not packer:
-        packer, first = start()
-        yield first
-        yield from map(packer.compress, sample)
+        out = start()
+    if out:
+        yield b"".join(out)
+
+
+def _pack(most: int, repeated=None):
+    """Archives of rows (page_id, url, html, key[, first]); with a filter of the keys that may repeat, of the rows that don't pass it."""
+
+    def run(batches):
+        def records():
+            for batch in batches:
+                batch = batch if repeated is None else passing(batch, "key", repeated.value, False)
+                column = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()  # noqa: B023, E731
+                for page_id, url, html, first in zip(column("page_id"), column("url"), column("html"), column("first") if repeated is None else [None] * batch.num_rows, strict=True):
+                    payload = (html or "").encode()
+                    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                    yield record(page_id, url, payload, digest, None if first is None or first == page_id else first)
+
+        for archive in _archives(records(), most):
+            yield pa.RecordBatch.from_arrays([pa.array([archive], pa.binary())], names=["archive"])
+
+    return run
 
 
-def _pack(batches):
-    def records():
+def _passing(repeated):
+    def run(batches):
         for batch in batches:
-            for page_id, url, html, first in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                payload = (html or "").encode()
-                digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                yield record(page_id, url, payload, digest, None if first is None or first == page_id else first)
-
-    out, size = [], 0
-    for frame in _frames(records()):
-        out.append(frame)
-        size += len(frame)
-        if size > 4 << 20:
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
-            out, size = [], 0
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
+            yield passing(batch, "key", repeated.value)
+
+    return run
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """Writes a WARC record for each row of pages (page_id, url, html) below path, an archive a task.
+def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Writes a WARC record for each row of pages (page_id, url, html) below path, in archives that end at about archive_bytes.
 
     Of rows with equal payloads (null is empty) the one with the smallest page_id is the response, the others revisit it;
-    repeated rows with that page_id are responses too. Rows without page_id revisit, or are responses where no equal payload has
-    a page_id. An empty table writes no records. Further columns aren't archived.
+    repeated rows with that page_id are responses too, and their records share an ID. Rows without page_id revisit, or are responses
+    where no equal payload has a page_id. An empty table writes no records. Further columns aren't archived. Only pages whose payload may
+    occur again are shuffled.
     """
-    pages = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"))
-    first = pages.groupBy("digest").agg(F.min("page_id").alias("first"))
-    rows = pages.join(first, "digest").select("page_id", "url", "html", "first")
-    frames = rows.mapInArrow(_pack, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    frames.write.option("lineSep", EMPTY_FRAME.decode("ascii")).text(path)
+    digest = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
+    pages = pages.select("page_id", "url", "html").withColumn("digest", digest).withColumn("key", F.xxhash64("digest"))
+    first = saved(pages.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "first")
+    repeated = key_filter(first.select(F.xxhash64("digest").alias("key")))
+    alone = pages.drop("digest").mapInArrow(_pack(archive_bytes, repeated), "archive binary")
+    rows = pages.mapInArrow(_passing(repeated), pages.schema).join(first, "digest", "left").select("page_id", "url", "html", "first")
+    archives = alone.unionByName(rows.mapInArrow(_pack(archive_bytes), "archive binary")).select(F.col("archive").cast("string").alias("value"))
+    archives.write.option("lineSep", EMPTY_FRAME.decode("ascii")).option("maxRecordsPerFile", 1).text(path)
+    drop(first)
 
 
 def _frame_end(buf: bytes, at: int) -> int:
