@@ -10,11 +10,12 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from nilas.llm import text as t
 
-#: Rows on which costs and rejections are estimated. They set the order of the rules, never a verdict.
-SAMPLE = 256
+#: About so many rows, drawn at random, on which costs and rejections are estimated. They set the order of the rules, never a verdict.
+SAMPLE = 1024
 
 
 class Texts:
@@ -59,7 +60,7 @@ class Texts:
         return self._sum((self.data >= 97) & (self.data <= 122))
 
     @cached_property
-    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+    def _lines(self) -> tuple[np.ndarray, np.ndarray]:
         """Lines with a word, and those of them equal to an earlier line."""
         full, again = [], []
         for x in self.col:
@@ -68,6 +69,14 @@ class Texts:
             again.append(len(own) - len(set(own)))
         return np.array(full, np.int64), np.array(again, np.int64)
 
+    @cached_property
+    def n_lines(self) -> np.ndarray:
+        return self._lines[0]
+
+    @cached_property
+    def n_dup_lines(self) -> np.ndarray:
+        return self._lines[1]
+
     @cached_property
     def n_repeat_words(self) -> np.ndarray:
         hashes, at = self.words
@@ -82,46 +91,66 @@ class Texts:
         return np.diff(np.concatenate([[0], np.cumsum(covered[:-1])])[at])
 
 
+class Measured:
+    """Measures of a batch of texts of which each row's is computed once, when a rule or the result asks for it."""
+
+    def __init__(self, part: pa.RecordBatch):
+        self.part, self.known, self.values = part, {}, {}
+
+    def get(self, name: str, rows: np.ndarray) -> np.ndarray:
+        known = self.known.setdefault(name, np.zeros(self.part.num_rows, bool))
+        values = self.values.setdefault(name, np.zeros(self.part.num_rows, np.int64))
+        todo = rows[~known[rows]]
+        if len(todo):
+            values[todo] = getattr(Texts(self.part if len(todo) == self.part.num_rows else self.part.take(pa.array(todo))), name)
+            known[todo] = True
+        return values[rows]
+
+    def of(self, rows: np.ndarray) -> Rows:
+        return Rows(self, rows)
+
+
+class Rows:
+    """Some rows of a batch; attributes are their measures."""
+
+    def __init__(self, batch: Measured, rows: np.ndarray):
+        self._batch, self._rows = batch, rows
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        return self._batch.get(name, self._rows)
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
-    rejects: Callable[[Texts], np.ndarray]
+    rejects: Callable[[Texts | Rows], np.ndarray]
 
 
 RULES = (
     Rule("few_words", lambda x: x.n_words < 50),
     Rule("repeats", lambda x: 100 * x.n_repeat_words > 50 * x.n_words),
     Rule("symbols", lambda x: 100 * x.n_symbols > 20 * x.n_words),
-    Rule("repeated_lines", lambda x: 100 * x.lines[1] > 50 * x.lines[0]),
+    Rule("repeated_lines", lambda x: 100 * x.n_dup_lines > 50 * x.n_lines),
     Rule("shouting", lambda x: 100 * x.n_upper > 60 * (x.n_upper + x.n_lower)),
     Rule("word_length", lambda x: (x.word_chars > 20 * x.n_words) | (x.word_chars < 2 * x.n_words)),
 )
 BASE = ("few_words", "repeats")
 
 
-def order(rules: tuple[Rule, ...], sample: pa.RecordBatch) -> tuple[Rule, ...]:
-    """The rules by falling rejections per second on the sample; without a sample, as they stand."""
-    if not sample.num_rows:
-        return rules
-    rate = {}
-    for rule in rules:
-        began = time.perf_counter()
-        rejected = int(rule.rejects(Texts(sample)).sum())
-        rate[rule.name] = (rejected + 0.5) / (time.perf_counter() - began + 1e-9)
+def order(rules: tuple[Rule, ...], rejected: dict[str, int], seconds: dict[str, float]) -> tuple[Rule, ...]:
+    """The rules by falling rejections per second; a rule that wasn't tried keeps its place at the front."""
+    rate = {r.name: (rejected[r.name] + 0.5) / (seconds[r.name] + 1e-9) if r.name in seconds else float("inf") for r in rules}
     return tuple(sorted(rules, key=lambda r: -rate[r.name]))
 
 
-def verdicts(part: pa.RecordBatch, rules: tuple[Rule, ...]) -> np.ndarray:
+def verdicts(batch: Measured, rules: tuple[Rule, ...]) -> np.ndarray:
     """Which rows pass all rules; a rule sees only the rows that the ones before left."""
-    left, texts = np.arange(part.num_rows), Texts(part)
+    left = np.arange(batch.part.num_rows)
     for rule in rules:
         if not len(left):
             break
-        bad = rule.rejects(texts)
-        if bad.any():
-            left = left[~bad]
-            texts = Texts(part.take(pa.array(left)))
-    kept = np.zeros(part.num_rows, bool)
+        left = left[~rule.rejects(batch.of(left))]
+    kept = np.zeros(batch.part.num_rows, bool)
     kept[left] = True
     return kept
 
@@ -133,30 +162,48 @@ def _judge(rules, measures: bool, names: list[str]):
     def run(batches):
         for batch in batches:
             for part in t.slices(batch, "text"):
-                kept = verdicts(part, rules)
+                x = Measured(part)
+                kept = verdicts(x, rules)
                 if not measures:
                     yield part.filter(pa.array(kept)).select(names)
                     continue
-                x = Texts(part)
-                found = [x.n_words, x.word_chars, x.n_symbols, x.lines[1], x.n_repeat_words]
-                failed = np.logical_or.reduce([r.rejects(x) for r in RULES if r.name in BASE])
+                every = x.of(np.arange(part.num_rows))  # what the cascade left out is measured now
+                failed = np.logical_or.reduce([r.rejects(every) for r in RULES if r.name in BASE])
                 ids = part.column(part.schema.get_field_index("doc_id"))
-                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, found), pa.array(failed), pa.array(kept)], names=["doc_id", *MEASURES, "base_failed", "kept"])
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(getattr(every, m)) for m in MEASURES), pa.array(failed), pa.array(kept)], names=["doc_id", *MEASURES, "base_failed", "kept"])
+
+    return run
+
+
+def _tried(rules):
+    """Rows (rule, rejected, seconds) for each batch."""
+
+    def run(batches):
+        for batch in batches:
+            for part in t.slices(batch, "text"):
+                rejected, seconds = [], []
+                for rule in rules:
+                    began = time.perf_counter()
+                    rejected.append(int(rule.rejects(Texts(part)).sum()))
+                    seconds.append(time.perf_counter() - began)
+                yield pa.RecordBatch.from_arrays([pa.array([r.name for r in rules]), pa.array(rejected, pa.int64()), pa.array(seconds)], names=["rule", "rejected", "seconds"])
 
     return run
 
 
 def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> tuple[Rule, ...]:
-    table = docs.select("text").limit(SAMPLE).toArrow().combine_chunks()
-    sample = table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_arrays([pa.array([], pa.string())], names=["text"])
-    return order(rules, sample)
+    """The rules in the order that the sample suggests; it is tried in tasks, and only a sum for each rule comes to the driver."""
+    docs = docs.select("text")
+    some = docs.sample(min(1.0, SAMPLE / max(1, docs.count())), seed=7)
+    found = some.mapInArrow(_tried(rules), "rule string, rejected long, seconds double").groupBy("rule").agg(F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds")).collect()
+    return order(rules, {r["rule"]: r["rejected"] for r in found}, {r["rule"]: r["seconds"] for r in found})
 
 
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs (with a column text) that no rule rejects, with all their columns.
 
-    Null and empty texts have no words and are rejected. Repeated rows stay repeated; an empty table stays empty. The order
-    of the rules, estimated on SAMPLE rows, changes the time taken, not the rows kept.
+    Null and empty texts have no words and are rejected. Repeated rows stay repeated; an empty table stays empty. Long texts are measured whole. The order
+    of the rules, estimated on about SAMPLE rows, changes the time taken, not the rows kept.
     """
     return docs.mapInArrow(_judge(ordered_rules(docs, rules), False, docs.columns), docs.schema)
 
