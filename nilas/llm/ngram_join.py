@@ -6,12 +6,14 @@ tree over such points can't separate sets of like size (every box reaches over m
 of the tree are formed by an exact rule: two sets that differ in k shingles agree wholly in all but k groups, hence
 with more than k groups a linked pair shares a page "size band, group, content of the group". Inside a page the
 nodes of a packed R-tree hold the largest count of each coordinate and prune by the same bound; what survives is
+bounded again by fine points, several groups a shingle of which only the low bit of each count is kept, and
 verified on the shingles themselves.
 
-Pages are counted by partial aggregation and equal pages are kept once. A first pass ties each page to its smallest member
-and verifies those pairs, which joins most of a group of copies in linear work. A second pass looks only at pages that
-still hold several components and verifies each member's nearest smaller one in another component; a third verifies all
-pairs across components that are left. Pages over BLOCK members are cut into block pairs.
+Texts are read once: sets, points and pages go to the shared folder. Pages are counted by partial aggregation and equal
+pages are kept once. A first pass ties each page to its smallest member and verifies those pairs, which joins most of a group of
+copies in linear work. Further passes look only at pages that still hold several components: in each page every component
+names its nearest pair to another one, first in a share of the pages, then in all; a last pass verifies all pairs
+across components that the fine bound still allows. Pages over BLOCK members are cut into block pairs.
 No link between different sets is lost, and pairs inside a component are never listed.
 """
 
@@ -27,23 +29,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nilas.llm import text as t
-from nilas.llm.common import components, drop, release, saved
+from nilas.llm.common import components, drop, key_filter, passing, release, saved
 
 U = np.uint64
 #: Least number of coordinates of a point (a byte each), shingles a coordinate, members of a block and of a leaf node, largest count.
-GROUPS, LOAD, BLOCK, LEAF, FULL = 128, 4, 2048, 64, 255
-#: Coordinates compared at once, and bytes of points held at once.
+GROUPS, LOAD, BLOCK, LEAF, FULL = 64, 64, 2048, 64, 255
+#: Groups a shingle of the fine points (a bit each) up to sets of FINE_FULL shingles; larger sets have at least as many groups, and one a shingle.
+FINE, FINE_FULL = 4, 4096
+#: Bytes of points compared at once, and bytes of points held at once.
 CELLS, HELD = 512 << 10, 16 << 20
+#: Members of the largest pages whose pairs are all compared at once, many pages together.
+FEW = 16
 #: Groups a set is hashed into for each one that the pigeonhole needs; only the strongest that it needs become pages.
 SURPLUS = 1.25
 #: Documents (chosen by hash) whose shingles tell which are common, and from how many of them on; this only ranks groups, it changes no result.
 SAMPLE, COMMON = 4096, 8
 #: Verified members of one page sent to one task beside its first.
 SALTS = 64
-#: Turns in which pages are made and counted, each with its share of the shuffled rows.
+#: Turns in which pages are counted, each with its share of the shuffled rows.
 TURNS = 4
-#: Bits of the filter that picks the documents whose shingles are sent, fixed for any input.
-FILTER_BITS = 1 << 23
+#: Bits of the filter of pages that are kept, at most, and bytes of a piece of it.
+PAGE_BITS, CHUNK = 1 << 27, 1 << 16
+#: Passes over pages with several components: the share of pages (one in so many), and whether components only name their nearest pairs.
+#: The last pass takes every page and every pair.
+PASSES = ((8, True), (1, False))
 
 
 class Bands:
@@ -98,55 +107,88 @@ def _sets(batch: pa.RecordBatch, words: int):
     return [np.unique(runs[at[i] : at[i + 1]]) for i in range(batch.num_rows)]
 
 
+def _size(n: int) -> int:
+    """The power of two at or above n."""
+    return 1 << max(0, n - 1).bit_length()
+
+
 def _point(tokens: np.ndarray) -> bytes:
     """Counts of the groups. Their number is a power of two that grows with the set; groups fold into fewer by adding halves."""
-    groups = max(GROUPS, 1 << max(0, (len(tokens) // LOAD - 1).bit_length()))
+    groups = max(GROUPS, _size(len(tokens) // LOAD))
     at = ((tokens >> U(8)) & U(groups - 1)).astype(np.int64)
     return np.minimum(np.bincount(at, minlength=groups), FULL).astype(np.uint8).tobytes()
 
 
-def _featurise(words: int):
+def _fine(tokens: np.ndarray) -> bytes:
+    """Low bits of the counts of many more groups. Counts differ by at least the difference of their low bits; groups fold into fewer by halves, their low bits by exclusive or."""
+    groups = max(64, _size(max(FINE * min(len(tokens), FINE_FULL), len(tokens))))
+    at = ((tokens >> U(20)) & U(groups - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=groups) & 1 == 1, bitorder="little").tobytes()
+
+
+def _featurise(words: int, bands: Bands, common):
+    """Each text's size of its set, digest, points, and pages by turn; those without a set or id have null but for the size."""
+
     def run(batches):
+        often = np.frombuffer(common.value, U)
         for batch in batches:
             for part in t.slices(batch, "text"):
                 sets = _sets(part, words)
                 ids = part.column(part.schema.get_field_index("doc_id"))
-                linked = [len(s) > 0 and i is not None for s, i in zip(sets, ids.to_pylist(), strict=True)]
+                own = [s if len(s) and i is not None else None for s, i in zip(sets, ids.to_pylist(), strict=True)]
+                each = lambda f: pa.array([None if s is None else f(s) for s in own], pa.binary())
+                pages = [np.zeros(0, np.int64) if s is None else _pages(s, bands, often) for s in own]
+                turns = []
+                for turn in range(TURNS):
+                    of_turn = [x[x % TURNS == turn] for x in pages]
+                    at = np.concatenate([[0], np.cumsum([len(x) for x in of_turn])]).astype(np.int32)
+                    turns.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *of_turn]))))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        ids,
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if k else None for s, k in zip(sets, linked, strict=True)], pa.binary()),
-                        pa.array([_point(s) if k else None for s, k in zip(sets, linked, strict=True)], pa.binary()),
-                    ],
-                    names=["doc_id", "n", "digest", "point"],
+                    [ids, pa.array([len(s) for s in sets], pa.int64()), each(lambda s: hashlib.blake2b(s.tobytes(), digest_size=16).digest()), each(_point), each(_fine), *turns],
+                    names=["doc_id", "n", "digest", "point", "fine", *(f"p{i}" for i in range(TURNS))],
                 )
 
     return run
 
 
-def _chosen(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
-    """The rows whose doc_id has its bit set."""
-    ids = batch.column(batch.schema.get_field_index("doc_id")).fill_null(0).to_numpy(zero_copy_only=False)
-    at = (t.mix(ids.view(U)) % U(FILTER_BITS)).astype(np.int64)
-    return batch.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 == 1))
+def _page_filter(pages: DataFrame, n: int):
+    """A broadcast bit map of about 16 bits for each of n pages, PAGE_BITS at most; pages that it lets pass beside them only cost time."""
+    bits = min(PAGE_BITS, max(8 * CHUNK, _size(16 * n)))
+    place = F.col("page").bitwiseAND(F.lit(bits - 1))
+    chunks = pages.select(F.floor(place / (8 * CHUNK)).cast("int").alias("chunk"), (place % (8 * CHUNK)).alias("at")).repartition("chunk").mapInArrow(_chunks, "chunk int, data binary")
+    out = np.zeros(bits // 8, np.uint8)
+    for r in chunks.toLocalIterator():
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["data"], np.uint8)
+    return pages.sparkSession.sparkContext.broadcast(out.tobytes())
+
+
+def _chunks(batches):
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        chunk, at = _column(batch, "chunk"), _column(batch, "at")
+        for c in np.unique(chunk):
+            own = at[chunk == c]
+            np.bitwise_or.at(held.setdefault(int(c), np.zeros(CHUNK, np.uint8)), own >> 3, (1 << (own & 7)).astype(np.uint8))
+    for c, data in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["chunk", "data"])
 
 
-def _entries(words: int, bands: Bands, wanted, common, turn: int):
-    """A row (page, node) for each page of this turn of the documents whose bit is set."""
+def _entries(wanted, kept=None):
+    """A row (page, node) for each page in the lists of the documents whose bit is set; with a filter of pages, of those that pass it."""
 
     def run(batches):
-        bits = np.frombuffer(wanted.value, np.uint8)
-        often = np.frombuffer(common.value, U)
         for batch in batches:
-            for part in t.slices(_chosen(batch, bits), "text"):
-                ids = _column(part, "doc_id")
-                pages = [_pages(s, bands, often) if len(s) else np.zeros(0, np.int64) for s in _sets(part, words)]
-                pages = [x[x % TURNS == turn] for x in pages]
-                if pages:
-                    nodes, whole = np.repeat(ids, [len(x) for x in pages]), np.concatenate(pages)
-                    for i in range(0, len(whole), 100_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (whole, nodes)], names=["page", "node"])
+            batch = passing(batch, "doc_id", wanted.value)
+            lists = batch.column(1)
+            whole = lists.flatten().to_numpy(zero_copy_only=False)
+            nodes = np.repeat(_column(batch, "doc_id"), np.diff(lists.offsets.to_numpy()))
+            if kept is not None:
+                bits = np.frombuffer(kept.value, np.uint8)
+                place = whole & (8 * len(bits) - 1)
+                own = (bits[place >> 3] >> (place & 7)) & 1 == 1
+                whole, nodes = whole[own], nodes[own]
+            for i in range(0, len(whole), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (whole, nodes)], names=["page", "node"])
 
     return run
 
@@ -161,16 +203,17 @@ def _shingles(words: int):
     return run
 
 
-def _common(docs: DataFrame, words: int, n: int):
+def _common(docs: DataFrame, words: int):
     """Broadcast of the shingles of at least COMMON of about SAMPLE documents; at most SAMPLE / COMMON documents' worth."""
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLE))) == 0)
+    docs = docs.where("doc_id IS NOT NULL")
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // SAMPLE))) == 0)
     found = some.mapInArrow(_shingles(words), "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON).select("shingle").toArrow()
     values = found.column(0).to_numpy().view(U)
     return docs.sparkSession.sparkContext.broadcast(np.sort(values).tobytes())
 
 
 class Points:
-    """Points of some rows; `at` folds those of some rows to a common number of coordinates."""
+    """Points of some rows; `at` folds those of some rows to a common size in bytes."""
 
     def __init__(self, batches: list[pa.RecordBatch], name: str):
         parts = [t.buffers(b.column(b.schema.get_field_index(name)).cast(pa.large_binary())) for b in batches]
@@ -178,20 +221,32 @@ class Points:
         self.length = np.concatenate([np.diff(o) for _, o in parts])
         self.start = np.cumsum(self.length) - self.length
 
-    def at(self, rows: np.ndarray, size: int) -> np.ndarray:
-        out = np.zeros((len(rows), size), np.int16)
+    def _parts(self, rows: np.ndarray, size: int):
+        """Positions among rows, and their points as (rows, pieces of `size` bytes, bytes)."""
         for n in np.unique(self.length[rows]):
             same = np.flatnonzero(self.length[rows] == n)
             step = max(1, CELLS // int(n))
             for i in range(0, len(same), step):
                 own = same[i : i + step]
-                whole = self.data[self.start[rows[own]][:, None] + np.arange(n)]
-                out[own] = whole.reshape(len(own), n // size, size).sum(1, dtype=np.int16)
+                yield own, self.data[self.start[rows[own]][:, None] + np.arange(n)].reshape(len(own), n // size, size)
+
+    def at(self, rows: np.ndarray, size: int) -> np.ndarray:
+        """Counts."""
+        out = np.zeros((len(rows), size), np.int16)
+        for own, pieces in self._parts(rows, size):
+            out[own] = pieces.sum(1, dtype=np.int16)
         return out
 
+    def bits(self, rows: np.ndarray, size: int) -> np.ndarray:
+        """Low bits of counts, 64 a number."""
+        out = np.zeros((len(rows), size), np.uint8)
+        for own, pieces in self._parts(rows, size):
+            out[own] = np.bitwise_xor.reduce(pieces, axis=1)
+        return out.view(U)
+
 
 def _apart(left: Points, x: np.ndarray, right: Points, y: np.ndarray) -> np.ndarray:
-    """L1 distance of the points of rows x and y, at the smaller number of coordinates of each pair."""
+    """In how many groups the fine points of rows x and y differ, at the smaller number of groups of each pair: at most the distance of their counts."""
     out = np.zeros(len(x), np.int64)
     size = np.minimum(left.length[x], right.length[y])
     for n in np.unique(size):
@@ -199,7 +254,7 @@ def _apart(left: Points, x: np.ndarray, right: Points, y: np.ndarray) -> np.ndar
         step = max(1, CELLS // int(n))
         for i in range(0, len(own), step):
             k = own[i : i + step]
-            out[k] = np.abs(left.at(x[k], n) - right.at(y[k], n)).sum(1, dtype=np.int64)
+            out[k] = np.bitwise_count(left.bits(x[k], n) ^ right.bits(y[k], n)).sum(1, dtype=np.int64)
     return out
 
 
@@ -208,40 +263,21 @@ def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def _bounded(num: int, den: int):
-    """Keeps the pairs whose summed coordinate minima allow a link. Summed minima are half of the sizes less the L1 distance; counts that stop at FULL only make that distance smaller."""
+    """Keeps the pairs whose summed coordinate minima allow a link. Summed minima are half of the sizes less the distance of the counts, which is at least that of their low bits."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 na, nb = _column(batch, "na"), _column(batch, "nb")
                 rows = np.arange(batch.num_rows)
-                apart = _apart(Points([batch], "pa"), rows, Points([batch], "pb"), rows)
+                apart = _apart(Points([batch], "fa"), rows, Points([batch], "fb"), rows)
                 keep = (na + nb - apart) // 2 >= _needed(na, nb, num, den)
                 yield pa.RecordBatch.from_arrays([pa.array(_column(batch, c)[keep]) for c in "ab"], names=["a", "b"])
 
     return run
 
 
-def _coarse(batches):
-    """(node, n, point) with the point folded to about 8 shingles a coordinate, as rows of pages carry it."""
-    for batch in batches:
-        if batch.num_rows:
-            points, size = Points([batch], "point"), _column(batch, "n")
-            rows = []
-            for i, n in enumerate(size):
-                groups = min(int(points.length[i]), max(GROUPS, 1 << max(0, (int(n) // 8 - 1).bit_length())))
-                rows.append(np.minimum(points.at(np.array([i]), groups)[0], FULL).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(_column(batch, "node")), pa.array(size), pa.array(rows, pa.binary())], names=["node", "n", "point"])
-
-
-def _overlap_ok(x, nx, y, ny, num, den):
-    """Matrices: whether the points of x and y leave room for a link (min sum as half of sizes less L1), and their distance."""
-    apart = np.abs(x[:, None, :] - y[None, :, :]).sum(2, dtype=np.int64)
-    total = nx[:, None] + ny[None, :]
-    return (total - apart) // 2 >= _needed(total, 0, num, den), apart
-
-
-def _pack(points: np.ndarray) -> np.ndarray:
+def _pack(points: np.ndarray) -> list[np.ndarray]:
     """Order that packs points into leaves: halves along the widest coordinate until a leaf is left."""
     done, todo = [], [np.arange(len(points))]
     while todo:
@@ -255,68 +291,99 @@ def _pack(points: np.ndarray) -> np.ndarray:
     return done
 
 
+class Block:
+    """Rows of some pages' blocks, held by a task."""
+
+    def __init__(self, rows: list[pa.RecordBatch], num: int, den: int):
+        for c in ("page", "i", "j", "part", "node", "comp", "n"):
+            setattr(self, c, np.concatenate([_column(b, c) for b in rows]))
+        self.points, self.fine = Points(rows, "point"), Points(rows, "fine")
+        self.num, self.den = num, den
+        key = np.stack([self.page, self.i, self.j])
+        self.edge = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
+        self.length = np.diff(np.concatenate([self.edge, [len(self.page)]]))
+
+    def allowed(self, x: np.ndarray, y: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """Rows (block, comp of a, comp of b, distance, a, b) of the pairs of rows in different components that the fine bound allows."""
+        ok = (self.comp[x] != self.comp[y]) & ((self.i[x] == self.j[x]) | (self.part[x] != self.part[y]))
+        x, y, block = x[ok], y[ok], block[ok]
+        apart, total = _apart(self.fine, x, self.fine, y), self.n[x] + self.n[y]
+        ok = (total - apart) // 2 >= _needed(total, 0, self.num, self.den)
+        x, y = x[ok], y[ok]
+        turned = self.node[x] > self.node[y]
+        x, y = np.where(turned, y, x), np.where(turned, x, y)
+        return np.stack([block[ok], self.comp[x], self.comp[y], apart[ok], self.node[x], self.node[y]], 1)
+
+    def few(self):
+        """Pairs of all blocks of at most FEW members."""
+        for m in np.unique(self.length[(self.length > 1) & (self.length <= FEW)]):
+            first = self.edge[self.length == m]
+            at = first[:, None] + np.arange(m)
+            p, q = (at[:, side].ravel() for side in np.triu_indices(m, 1))
+            block = np.repeat(first, m * (m - 1) // 2)
+            for s in range(0, len(p), 100_000):
+                yield self.allowed(p[s : s + 100_000], q[s : s + 100_000], block[s : s + 100_000])
+
+    def many(self, e: int, m: int):
+        """Pairs of one larger block, leaf by leaf."""
+        at = np.arange(e, e + m)
+        size = self.n[at]
+        points = self.points.at(at, int(self.points.length[at].min()))
+        leaves = _pack(points)
+        high, low = np.array([points[x].max(0) for x in leaves]), np.array([size[x].min() for x in leaves])
+        for i, x in enumerate(leaves):
+            room = (np.minimum(high[i], high[i:]).sum(1) >= _needed(low[i] + low[i:], 0, self.num, self.den)) | (high[i:].max(1) == FULL)
+            for j in np.flatnonzero(room) + i:
+                y = leaves[j]
+                total = size[x][:, None] + size[y][None, :]
+                apart = np.abs(points[x][:, None, :] - points[y][None, :, :]).sum(2, dtype=np.int64)
+                ok = (total - apart) // 2 >= _needed(total, 0, self.num, self.den)
+                if i == j:
+                    ok = np.triu(ok, 1)
+                p, q = np.nonzero(ok)
+                yield self.allowed(at[x[p]], at[y[q]], np.full(len(p), e))
+
+
 def _nearest(pairs: np.ndarray) -> np.ndarray:
-    """Of rows (page, a, b, distance), the one of least distance for each page and b."""
-    order = np.lexsort((pairs[:, 1], pairs[:, 3], pairs[:, 2], pairs[:, 0]))
-    pairs = pairs[order]
-    return pairs[np.concatenate([[True], (pairs[1:, [0, 2]] != pairs[:-1, [0, 2]]).any(1)])] if len(pairs) else pairs
-
-
-def _search(node, part, comp, points, size, num, den, left, right):
-    """Rows (0, a, b, distance), a < b, of pairs of a block in different components that the bound allows; left, right: the two parts of a block pair."""
-    found = []
-    leaves = _pack(points)
-    high = np.array([points[x].max(0) for x in leaves])
-    low = np.array([size[x].min() for x in leaves])
-    for i, x in enumerate(leaves):
-        room = (np.minimum(high[i], high[i:]).sum(1) >= _needed(low[i] + low[i:], 0, num, den)) | (high[i:].max(1) == FULL)
-        for j in np.flatnonzero(room) + i:
-            y = leaves[j]
-            ok, apart = _overlap_ok(points[x], size[x], points[y], size[y], num, den)
-            ok &= comp[x][:, None] != comp[y][None, :]
-            if left != right:
-                ok &= part[x][:, None] != part[y][None, :]
-            p, q = np.nonzero(ok)
-            a, b = node[x[p]], node[y[q]]
-            found.append(np.stack([np.zeros(len(a), np.int64), np.minimum(a, b), np.maximum(a, b), apart[p, q]], 1))
-    return np.concatenate(found) if found else np.zeros((0, 4), np.int64)
+    """Of rows of `allowed`, the nearest for each block and component."""
+    both = np.concatenate([np.concatenate([pairs[:, [0, 1]], pairs], 1), np.concatenate([pairs[:, [0, 2]], pairs], 1)])
+    both = both[np.lexsort((both[:, 7], both[:, 6], both[:, 5], both[:, 1], both[:, 0]))]
+    first = np.ones(len(both), bool)
+    first[1:] = (both[1:, :2] != both[:-1, :2]).any(1)
+    return np.unique(both[first, 2:], axis=0)
 
 
 def _across(num: int, den: int, nearest: bool):
-    """Rows of a block stand together; they are held until the block ends. nearest: only each member's nearest smaller one."""
-
-    def flush(rows):
-        cols = {c: np.concatenate([_column(b, c) for b in rows]) for c in ("page", "i", "j", "part", "node", "comp", "n")}
-        points = Points(rows, "point")
-        key = np.stack([cols["page"], cols["i"], cols["j"]])
-        edge = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
-        length = np.diff(np.concatenate([edge, [len(cols["page"])]]))
-        out = []
-        for m in np.unique(length[(length > 1) & (length <= 16)]):  # all blocks of a size at once
-            at = edge[length == m][:, None] + np.arange(m)
-            p, q = (x.ravel() for x in (at[:, np.triu_indices(m, 1)[0]], at[:, np.triu_indices(m, 1)[1]]))
-            for s in range(0, len(p), 100_000):
-                x, y = p[s : s + 100_000], q[s : s + 100_000]
-                total = cols["n"][x] + cols["n"][y]
-                apart = _apart(points, x, points, y)
-                ok = (cols["comp"][x] != cols["comp"][y]) & ((total - apart) // 2 >= _needed(total, 0, num, den))
-                ok &= (cols["i"][x] == cols["j"][x]) | (cols["part"][x] != cols["part"][y])
-                a, b = cols["node"][x[ok]], cols["node"][y[ok]]
-                out.append(np.stack([cols["page"][x[ok]], np.minimum(a, b), np.maximum(a, b), apart[ok]], 1))
-        if nearest:
-            out = [_nearest(np.concatenate(out))] if out else []
-        for e, m in zip(edge[length > 16], length[length > 16], strict=True):
-            s = slice(e, e + m)
-            at = np.arange(e, e + m)
-            own = _search(*(cols[c][s] for c in ("node", "part", "comp")), points.at(at, int(points.length[at].min())), cols["n"][s], num, den, cols["i"][e], cols["j"][e])
-            out.append(_nearest(own) if nearest else own)
-        out = [x[:, 1:3] for x in out]
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+    """Rows of a block stand together; they are held until the block ends. nearest: only each component's nearest pair."""
 
     def emit(pairs):
+        pairs = np.unique(pairs[:, 4:], axis=0)
         for s in range(0, len(pairs), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[s : s + 50_000, 0]), pa.array(pairs[s : s + 50_000, 1])], names=["a", "b"])
 
+    def flush(rows):
+        block = Block(rows, num, den)
+        pairs = [np.zeros((0, 6), np.int64)]
+
+        def reduced(found):
+            size = 0
+            for x in found:
+                pairs.append(x)
+                size += len(x)
+                if nearest and size > 100_000:
+                    pairs[:] = [_nearest(np.concatenate(pairs))]
+                    size = 0
+                elif not nearest and size > 100_000:
+                    yield from emit(np.concatenate(pairs))
+                    pairs[:] = [np.zeros((0, 6), np.int64)]
+                    size = 0
+
+        yield from reduced(block.few())
+        for e, m in zip(block.edge[block.length > FEW], block.length[block.length > FEW], strict=True):
+            yield from reduced(block.many(int(e), int(m)))
+        left = np.concatenate(pairs)
+        yield from emit(_nearest(left) if nearest else left)
+
     def run(batches):
         held, rows = [], 0
         for batch in batches:
@@ -331,11 +398,11 @@ def _across(num: int, den: int, nearest: bool):
                     same &= _column(batch, c) == v
                 cut = batch.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
                 if cut:
-                    yield from emit(flush([*held[:-1], batch.slice(0, cut)]))
+                    yield from flush([*held[:-1], batch.slice(0, cut)])
                     held = [batch.slice(cut)]
                     rows = held[0].nbytes
         if rows:
-            yield from emit(flush(held))
+            yield from flush(held)
 
     return run
 
@@ -344,9 +411,8 @@ def _tokens(words: int, wanted):
     """Shingle sets of the documents whose bit is set in the filter."""
 
     def run(batches):
-        bits = np.frombuffer(wanted.value, np.uint8)
         for batch in batches:
-            batch = _chosen(batch, bits)
+            batch = passing(batch, "doc_id", wanted.value)
             for part in t.slices(batch, "text"):
                 sets = _sets(part, words)
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "tokens"])
@@ -354,15 +420,6 @@ def _tokens(words: int, wanted):
     return run
 
 
-def _bits(batches):
-    bits = np.zeros(FILTER_BITS, bool)
-    for batch in batches:
-        bits[(t.mix(_column(batch, "doc_id").view(U)) % U(FILTER_BITS)).astype(np.int64)] = True
-    whole = np.packbits(bits, bitorder="little")
-    at = np.flatnonzero(whole)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(whole[at].astype(np.int64))], names=["at", "byte"])
-
-
 def _verify(num: int, den: int):
     """Rows (a, salt, first, x, tokens), those of (a, salt) together with a's own set first -> links (a, b)."""
 
@@ -386,24 +443,18 @@ def _verify(num: int, den: int):
     return run
 
 
-def _filter(ids: DataFrame):
-    """A broadcast bit map with the hashes of all ids: 1 MB whatever the input. Ids that it lets pass beside them only cost time."""
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in ids.mapInArrow(_bits, "at long, byte long").groupBy("at").agg(F.bit_or("byte").alias("byte")).toLocalIterator():
-        bits[r["at"]] |= r["byte"]
-    return ids.sparkSession.sparkContext.broadcast(bits.tobytes())
-
-
 def _links(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets truly reach the threshold."""
+    """A saved table of the pairs (a, b) whose sets truly reach the threshold."""
     salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")
     members = pairs.select("a", salt.alias("salt"), F.lit(1).alias("first"), F.col("b").alias("x"))
     members = saved(members.unionByName(members.select("a", "salt", F.lit(0).alias("first"), F.col("a").alias("x")).distinct()), "members")
-    wanted = _filter(members.select(F.col("x").alias("doc_id")))
+    wanted = key_filter(members.select(F.col("x").alias("doc_id")))
     sets = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_tokens(words, wanted), "doc_id long, tokens binary")
     rows = members.join(sets.withColumnRenamed("doc_id", "x"), "x").select("a", "salt", "first", "x", "tokens")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "first")
-    return rows.mapInArrow(_verify(num, den), "a long, b long").distinct()
+    out = saved(rows.mapInArrow(_verify(num, den), "a long, b long").distinct(), "links")
+    drop(members)
+    return out
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (8, 10), block: int = BLOCK) -> DataFrame:
@@ -416,52 +467,56 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, in
     """
     num, den = threshold
     docs = docs.select("doc_id", "text")
-    made = saved(docs.mapInArrow(_featurise(words), "doc_id long, n long, digest binary, point binary"), "sets")
-    nodes = made.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))  # equal sets are one node
-    nodes = saved(nodes, "nodes")
-    wanted = _filter(nodes.select(F.col("node").alias("doc_id")))
-    common, bands = _common(docs, words, made.count()), Bands(num, den)
+    bands, kinds = Bands(num, den), "doc_id long, n long, digest binary, point binary, fine binary" + "".join(f", p{i} array<long>" for i in range(TURNS))
+    made = saved(docs.mapInArrow(_featurise(words, bands, _common(docs, words)), kinds), "sets")
+    sizes = saved(made.select("doc_id", "n", "digest"), "sizes")
+    nodes = saved(sizes.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")  # equal sets are one node
+    wanted = key_filter(nodes.select(F.col("node").alias("doc_id")))
     turns = []
     for turn in range(TURNS):  # the shuffles of one turn are gone before the next
-        entries = docs.where("doc_id IS NOT NULL").mapInArrow(_entries(words, bands, wanted, common, turn), "page long, node long")
-        counted = entries.groupBy("page").agg(F.min("node").alias("lead"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("members"))
+        lists = made.where("digest IS NOT NULL").select("doc_id", f"p{turn}")
+        counted = lists.mapInArrow(_entries(wanted), "page long, node long").groupBy("page").agg(F.min("node").alias("lead"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("members"))
         counted = counted.where("m > 1").groupBy("lead", "m", "members").agg(F.min("page").alias("page"))  # pages with the same members once
-        own = entries.join(counted.select("page", "lead", "m"), "page").join(nodes.select("node"), "node", "left_semi")
+        counted = saved(counted.select("page", "lead", "m"), "counted")
+        kept = _page_filter(counted.select("page"), counted.count())
+        own = lists.mapInArrow(_entries(wanted, kept), "page long, node long").join(counted, "page").join(nodes.select("node"), "node", "left_semi")
         turns.append(saved(own.select("page", "node", "lead", "m"), "pages"))
-        del entries, counted, own
+        kept.destroy()
+        drop(counted)
+        del own
         release(docs.sparkSession)
     pages = functools.reduce(DataFrame.unionByName, turns)
-    points = made.select(F.col("doc_id").alias("node"), "n", "point", "digest").join(nodes, ["digest", "node"]).select("node", "n", "point")
-    points = saved(points.join(pages.select("node").distinct(), "node", "left_semi"), "points")
+    points = made.select(F.col("doc_id").alias("node"), "n", "point", "fine", "digest").join(nodes, ["digest", "node"])
+    points = saved(points.join(pages.select("node").distinct(), "node", "left_semi").dropDuplicates(["node", "digest"]).drop("digest"), "points")
+    drop(made)
 
-    side = lambda c: points.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("point").alias(f"p{c}"))
+    side = lambda c: points.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("fine").alias(f"f{c}"))
     stars = pages.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    bounded = lambda pairs: pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_bounded(num, den), "a long, b long")
-    stars = saved(bounded(stars), "stars")
-    coarse = saved(points.mapInArrow(_coarse, "node long, n long, point binary"), "coarse")
-    links = saved(_links(docs, stars, words, num, den), "links")
+    stars = saved(stars.join(side("b"), "b").join(side("a"), "a").mapInArrow(_bounded(num, den), "a long, b long"), "stars")
+    links = _links(docs, stars, words, num, den)
     labels = saved(components(links), "labels")
 
-    tested = stars
-    for nearest in (True, False):
-        named = pages.join(labels, "node", "left").select("page", "node", "m", F.coalesce("component", "node").alias("comp"))
+    tested, steps = stars, [stars]
+    for share, nearest in PASSES:
+        named = pages.where(F.pmod("page", F.lit(share)) == 0).join(labels, "node", "left").select("page", "node", "m", F.coalesce("component", "node").alias("comp"))
         mixed = named.groupBy("page").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("page")
-        rest = named.join(mixed, "page").join(coarse, "node")
+        rest = named.join(mixed, "page").join(points, "node")
         parts = F.ceil(F.col("m") / block).cast("int")
         rest = rest.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), parts - 1)))
-        rest = rest.select("page", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"), "part", "node", "comp", "n", "point")
+        rest = rest.select("page", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"), "part", "node", "comp", "n", "point", "fine")
         rest = rest.repartition("page", "i", "j").sortWithinPartitions("page", "i", "j").mapInArrow(_across(num, den, nearest), "a long, b long")
-        more = saved(bounded(rest.distinct().join(tested, ["a", "b"], "left_anti")), "more")
+        more = saved(rest.distinct().join(tested, ["a", "b"], "left_anti"), "more")
+        steps.append(more)
         if not more.isEmpty():
-            links = links.unionByName(saved(_links(docs, more, words, num, den), "links"))
+            links = links.unionByName(_links(docs, more, words, num, den))
             labels = saved(components(links), "labels")
             tested = tested.unionByName(more)
         del named, mixed, rest
         release(docs.sparkSession)
 
-    drop(*turns, points, coarse, stars)
+    drop(*turns, points, *steps)
     by_set = nodes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    out = made.select("doc_id", "n", "digest").join(by_set, "digest", "left")
+    out = sizes.join(by_set, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
