@@ -53,7 +53,7 @@ def between(x: Column, low: float, high: float) -> Column:
 
 def in_sector(field: DataFrame, sectors: DataFrame) -> DataFrame:
     """One row for each sector of a cell: `All` and its own."""
-    return field.join(F.broadcast(sectors), "region")
+    return field.join(sectors, "region")
 
 
 def ocean_mask(share: Column) -> Column:

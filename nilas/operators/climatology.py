@@ -55,12 +55,15 @@ def season_map(clim: DataFrame, keys=CELL) -> DataFrame:
 
 
 def periods(series: DataFrame, value: str, keys) -> DataFrame:
-    """The seven periods of a monthly series: annual, four seasons, March and September, one value a year."""
-    annual = yearly_mean(series, value, keys).select(*keys, F.lit("annual").alias("period"), F.col("yr").alias("year"), "value")
-    seasons = season_mean(series, value, keys).select(*keys, F.col("season").alias("period"), F.col("season_year").alias("year"), "value")
-    name = F.when(F.col("mo") == 3, "March").otherwise("September")
-    months = series.where(F.col("mo").isin(3, 9) & F.col(value).isNotNull()).select(*keys, name.alias("period"), F.col("yr").alias("year"), F.col(value).alias("value"))
-    return annual.unionByName(seasons).unionByName(months)
+    """The seven periods of a monthly series: annual (all 12 months), four seasons (two months at least, weighted with days), March and September, one value a year. One grouping for all."""
+    mo, yr = F.col("mo"), F.col("yr")
+    of = lambda period, year, weight, least: F.struct(period.alias("period"), year.cast("int").alias("year"), weight.cast("double").alias("_w"), F.lit(least).alias("_least"))
+    own = F.array(of(F.lit("annual"), yr, F.lit(1.0), 12), of(cal.season(mo), cal.season_year(yr, mo), cal.month_days(mo), 2))
+    key = F.when(mo.isin(3, 9), F.array(of(F.when(mo == 3, "March").otherwise("September"), yr, F.lit(1.0), 1))).otherwise(F.slice(own, 1, 0))
+    rows = series.where(F.col(value).isNotNull()).select(*keys, "mo", F.col(value).alias("_v"), F.explode(F.concat(own, key)).alias("_p")).select(*keys, "mo", "_v", "_p.*")
+    months = F.bit_count(F.bit_or(F.expr("shiftleft(1, mo)")))  # different months
+    out = rows.groupBy(*keys, "period", "year", "_least").agg((F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")).alias("value"), months.alias("_n"))
+    return out.where("_n >= _least").select(*keys, "period", "year", "value")
 
 
 def season_totals(daily: DataFrame, value: str, keys=CELL) -> DataFrame:

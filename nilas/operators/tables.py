@@ -13,7 +13,7 @@ RECORD = ("hemisphere", "module", "region", "coverage_mode", "view_mode", "domai
 def group_stat(rows: DataFrame, members: DataFrame, keys, value: str, std: bool = False) -> DataFrame:
     """Mean (or spread) of a metric over each group's members; only keys that all members have."""
     size = members.groupBy("group").agg(F.count_distinct("member").alias("_size"))
-    joined = rows.join(F.broadcast(members), F.col("dataset") == F.col("member")).join(F.broadcast(size), "group")
+    joined = rows.join(members, F.col("dataset") == F.col("member")).join(F.broadcast(size), "group")
     stat = F.stddev_pop(value) if std else F.avg(value)
     out = joined.groupBy("group", *keys, "_size").agg(stat.alias("value"), F.count_distinct("member").alias("_n"))
     return out.where("_n = _size").drop("_n", "_size")

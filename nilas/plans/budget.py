@@ -108,7 +108,7 @@ query("A8_budget_closure", f"WITH {BUD}, {CLOSE}, {CT} SELECT dataset, {', '.joi
 )
 SEAS = f"ss AS (SELECT dataset, sector, {SEASON} AS season, {', '.join(f'sum({t} * cell_area / 1e6) / 100 AS {t}' for t in TERMS)} FROM mc JOIN sectors USING (region) GROUP BY ALL)"
 query("A9_season_budget_table", f"WITH {BUD}, {CLOSE}, {SEAS} SELECT dataset, sector, season, {', '.join(f'{q(t, 1)} AS {t}' for t in TERMS)}, {', '.join(f'{q(f"CASE WHEN abs(dadt) > 1e-3 THEN {t} / dadt * 100 END", 2)} AS {t}_pct' for t in TERMS[1:])} FROM ss")(
-    lambda v: month_clim(v).join(F.broadcast(v.sectors), "region").groupBy("dataset", "sector", cal.season(F.col("mo")).alias("season")).agg(*((F.sum(F.col(t) * F.col("cell_area") / 1e6) / 100).alias(t) for t in TERMS))
+    lambda v: month_clim(v).join(v.sectors, "region").groupBy("dataset", "sector", cal.season(F.col("mo")).alias("season")).agg(*((F.sum(F.col(t) * F.col("cell_area") / 1e6) / 100).alias(t) for t in TERMS))
     .select("dataset", "sector", "season", *(r(F.col(t), 1).alias(t) for t in TERMS), *(r(F.when(F.abs("dadt") > 1e-3, F.col(t) / F.col("dadt") * 100), 2).alias(f"{t}_pct") for t in TERMS[1:]))
 )
 COMP = f"""cp AS (SELECT * FROM (SELECT dataset, y, x, cell_area, mo, adv + div AS dynamic, res AS thermo, dadt - (adv + div) - res AS residual FROM mc) UNPIVOT INCLUDE NULLS (value FOR component IN (dynamic, thermo, residual))),
@@ -120,7 +120,7 @@ query("A10_component_summary", f"WITH {BUD}, {CLOSE}, {COMP} SELECT dataset, com
 )
 FLUX = "fc AS (SELECT dataset, term, y, x, mo, avg(value * day(last_day(time)) * 86400) AS value FROM flux GROUP BY ALL), fs AS (SELECT dataset, term, y, x, {} AS season, sum(value) AS value FROM fc GROUP BY ALL)".format(SEASON)
 query("A11_sector_mass_totals", f"WITH {FLUX} SELECT dataset, sector, season, term, {q('sum(value * cell_area) / 1e12')} AS value FROM fs JOIN grid USING (y, x) JOIN sectors USING (region) GROUP BY ALL")(
-    lambda v: rounded(sector_totals(c.season_sum(c.flux_climatology(v.flux, ["dataset", "term", "y", "x"]), ["dataset", "term", "y", "x"]).join(F.broadcast(v.grid), ["y", "x"]).join(F.broadcast(v.sectors), "region"), ["dataset", "sector", "season", "term"]), "dataset", "sector", "season", "term")
+    lambda v: rounded(sector_totals(c.season_sum(c.flux_climatology(v.flux, ["dataset", "term", "y", "x"]), ["dataset", "term", "y", "x"]).join(v.grid, ["y", "x"]).join(v.sectors, "region"), ["dataset", "sector", "season", "term"]), "dataset", "sector", "season", "term")
 )
 query("A19_monthly_budget", f"SELECT dataset, time, y, x, {q('(lead(m) OVER k - lag(m) OVER k) / 2')} AS tendency, {q(f'm * {cal.SQL_DAYS}')} AS month_total FROM (SELECT dataset, CAST(date_trunc('month', time) AS DATE) AS time, mo, y, x, avg(sic) AS m FROM daily GROUP BY ALL) WINDOW k AS (PARTITION BY dataset, y, x ORDER BY time)")(
     lambda v: c.monthly_mean(v.daily, "sic").withColumns({"i": F.year("time") * 12 + F.month("time"), "mo": F.month("time")}).select("dataset", "time", "y", "x", r(b.tendency("value")).alias("tendency"), r(F.col("value") * cal.month_days(F.col("mo"))).alias("month_total"))

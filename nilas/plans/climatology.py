@@ -26,7 +26,7 @@ def sql_periods(series: str, value: str, keys: str) -> str:
 
 
 def series(v):
-    return c.area_series(v.field_grid.join(F.broadcast(v.sectors), "region"), ["dataset", "sector", "time", "yr", "mo"])
+    return c.area_series(v.field_grid.join(v.sectors, "region"), ["dataset", "sector", "time", "yr", "mo"])
 
 
 def out(df, *keys, value="value"):

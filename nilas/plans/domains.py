@@ -18,6 +18,7 @@ from nilas.operators.align import both_zero_mask, observed
 from nilas.plans.climatology import CELL, SERIES, series
 from nilas.plans.registry import query
 from nilas.plans.trends import INDEX, METRIC, SQL_V6, index, period_table, rounded
+from nilas.sources.views import MONTHS
 
 SE, SY, DAYS = cal.SQL_SEASON, cal.SQL_SEASON_YEAR, cal.SQL_DAYS
 NAMES = f"['annual', {SE}, 'month ' || mo]"
@@ -382,8 +383,8 @@ def sql_products(value: str, source: str, least: int) -> str:
     pd AS (SELECT dataset, y, x, mean, std, {', '.join(f'CASE WHEN valid >= {least} THEN {e} END AS {x}' for x, e in (('rest', 'rest'), ('trend', 'trend'), ('p', sql_p('r', 'n'))))} FROM pm)"""
 
 
-#: Trends need more than half of the 72 months.
-HALF = 37
+#: Trends need more than half of the months.
+HALF = MONTHS // 2 + 1
 query("A16_concentration_products", f"WITH {sql_products('sic', 'field', HALF)} SELECT dataset, y, x, {sql_out(P5)} FROM pd")(lambda v: ds(map_products(v.field, "sic", HALF), P5, CELL))
 query("A17_thickness_products", f"WITH {THICK}, {sql_products('thick', 'th', HALF)} SELECT dataset, y, x, {sql_out(P5)} FROM pd")(lambda v: ds(map_products(thick(v), "thick", HALF), P5, CELL))
 query("A18_drift_products", f"WITH {SPEED}, {sql_products('energy', 'fs', HALF)}, uv AS (SELECT dataset, y, x, avg(u) AS u, avg(v) AS v, avg(speed) AS speed FROM fs GROUP BY ALL) SELECT dataset, y, x, {sql_out(['u', 'v', 'speed', *P5], 5)} FROM pd JOIN uv USING (dataset, y, x)")(
@@ -412,7 +413,7 @@ VOLS = "vl AS (SELECT dataset, sector, time, yr, mo, 'volume' AS metric, sum(CAS
 query("A17_volume_series", f"WITH {VOLS}, {sql_series_products('vl', 'dataset, sector')}")(
     lambda v: rounded(series_products(v.field_grid.join(v.sectors, "region").groupBy("dataset", "sector", "time", "yr", "mo").agg(n.volume(F.when(F.col("thick").between(0, 200), F.col("thick")), F.col("cell_area")).alias("volume")), ["volume"], ["dataset", "sector"]), "dataset", "sector", "metric", "time")
 )
-DTS = "ds AS (SELECT dataset, time, yr, mo, avg(sqrt(u * u + v * v)) AS speed, avg((u * u + v * v) / 2) AS energy FROM (SELECT dataset, time, yr, mo, nullif(u, 0) AS u, nullif(v, 0) AS v FROM field) GROUP BY ALL), dl AS (UNPIVOT ds ON speed, energy INTO NAME metric VALUE value)"
+DTS = "ds AS (SELECT dataset, time, yr, mo, avg(sqrt(u * u + v * v)) AS speed, avg((u * u + v * v) / 2) AS energy FROM (SELECT dataset, time, yr, mo, nullif(u, 0) AS u, nullif(v, 0) AS v FROM field) GROUP BY ALL), dl AS (SELECT * FROM ds UNPIVOT INCLUDE NULLS (value FOR metric IN (speed, energy)))"
 query("A18_drift_series", f"WITH {DTS}, {sql_series_products('dl', 'dataset')}")(
     lambda v: rounded(series_products(v.field.withColumns({"u": F.nullif("u", F.lit(0.0)), "v": F.nullif("v", F.lit(0.0))}).groupBy("dataset", "time", "yr", "mo").agg(F.avg(n.speed(F.col("u"), F.col("v"))).alias("speed"), F.avg(n.kinetic_energy(F.col("u"), F.col("v"))).alias("energy")), ["speed", "energy"], ["dataset"]), "dataset", "metric", "time")
 )

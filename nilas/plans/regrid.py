@@ -66,7 +66,7 @@ query("R12_basis_quality", f"WITH {BASIS} SELECT {q('avg(abs(xe * ye + xn * yn))
     lambda v: basis(v).agg(r(F.avg(F.abs("dot"))).alias("mean_dot"), r(F.avg(F.col("xe") * F.col("yn") - F.col("xn") * F.col("ye"))).alias("mean_cross"), F.count("*").alias("n"))
 )
 query("R13_to_east_north", f"WITH {BASIS} SELECT dataset, time, y, x, {q('u * xe + v * ye')} AS u, {q('u * xn + v * yn')} AS v FROM field JOIN ba USING (y, x)")(
-    lambda v: (lambda a: v.field.join(F.broadcast(basis(v)), ["y", "x"]).select("dataset", "time", "y", "x", r(a[0]).alias("u"), r(a[1]).alias("v")))(g.to_east_north(F.col("u"), F.col("v")))
+    lambda v: (lambda a: v.field.join(basis(v), ["y", "x"]).select("dataset", "time", "y", "x", r(a[0]).alias("u"), r(a[1]).alias("v")))(g.to_east_north(F.col("u"), F.col("v")))
 )
 FRAME = "CASE WHEN req IN ('xy', 'lonlat', 'other') THEN req WHEN dec IN ('xy', 'lonlat') THEN dec WHEN angle IS NOT NULL THEN 'xy' ELSE 'lonlat' END"
 query("R14_source_frame", f"WITH s AS (SELECT s_suppkey, ['auto', 'xy', 'lonlat', 'other'][CAST(s_suppkey % 4 AS INT) + 1] AS req, ['none', 'xy', 'lonlat'][CAST(s_suppkey % 3 AS INT) + 1] AS dec, CASE WHEN s_suppkey % 5 = 0 THEN 1 END AS angle FROM supplier) SELECT s_suppkey, req AS request, {FRAME} AS frame FROM s")(
@@ -83,6 +83,6 @@ def prepared(v):
     """Period, monthly mean, east/north, projection."""
     m = v.daily.where("time BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'").groupBy("dataset", F.trunc("time", "month").alias("time"), "y", "x").agg(F.avg("u").alias("u"), F.avg("v").alias("v"))
     e, n = g.to_east_north(F.col("u"), F.col("v"))
-    m = m.join(F.broadcast(basis(v)), ["y", "x"]).select("dataset", "time", "y", "x", e.alias("u"), n.alias("v")).join(F.broadcast(v.grid), ["y", "x"])
+    m = m.join(basis(v), ["y", "x"]).select("dataset", "time", "y", "x", e.alias("u"), n.alias("v")).join(v.grid, ["y", "x"])
     a, b = g.to_projection(F.col("u"), F.col("v"), F.col("lon"), "south")
     return m.select("dataset", "time", "y", "x", r(a).alias("u"), r(b).alias("v"))

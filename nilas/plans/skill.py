@@ -87,7 +87,7 @@ query("J15_complete_members", f"WITH {MEMBERS}, c AS (SELECT member, term FROM m
 
 # Differences.
 WP = f"WITH {sql_pairs(['thick', 'sic'])}, w AS (SELECT * FROM p JOIN grid USING (y, x))"
-weighted = lambda v: pairs(v, ["thick", "sic"]).join(F.broadcast(v.grid), ["y", "x"])
+weighted = lambda v: pairs(v, ["thick", "sic"]).join(v.grid, ["y", "x"])
 for _id, _name, _sql in (("M1", "bias", sql_bias("thick2", "thick", "cell_area")), ("M2", "mae", sql_mae("thick2", "thick", "cell_area")), ("M3", "rmse", sql_rmse("thick2", "thick", "cell_area"))):
     query(f"{_id}_{_name}", f"{WP} SELECT mo, {q(_sql)} AS value FROM w GROUP BY mo")(lambda v, m=_name: weighted(v).groupBy("mo").agg(r(METRICS[m](F.col("thick2"), F.col("thick"), F.col("cell_area"))).alias("value")))
 query("M4_corr", f"{WP}, g AS (SELECT mo, {sql_corr('thick2 * cell_area', 'thick * cell_area')} AS r, CAST(regr_count(thick2 * cell_area, thick * cell_area) AS BIGINT) AS n FROM w GROUP BY mo) SELECT mo, {q('r')} AS value, {q(sql_p('r', 'n'))} AS p FROM g")(
@@ -124,7 +124,7 @@ e AS (SELECT yr, mo, coalesce(sum(CASE WHEN m AND NOT o THEN cell_area END), 0)
 
 
 def edges(v, keys):
-    return rounded(k.edge_error(pairs(v, ["sic"], how="full").join(F.broadcast(v.grid), ["y", "x"]), "sic", "sic2", "cell_area", keys), *keys)
+    return rounded(k.edge_error(pairs(v, ["sic"], how="full").join(v.grid, ["y", "x"]), "sic", "sic2", "cell_area", keys), *keys)
 
 
 query("M12_edge_error", f'{EDGE} SELECT yr, mo, {q("over_")} AS "over", {q("under_")} AS "under", {q("over_ + under_")} AS total, {q("over_ - under_")} AS net FROM e')(lambda v: edges(v, ["yr", "mo"]))

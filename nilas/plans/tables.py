@@ -21,6 +21,8 @@ from nilas.plans.registry import query
 from nilas.plans.trends import KEYS as LONG_KEYS
 from nilas.plans.trends import SQL_V6, long_series, period_table, rounded
 from nilas.sources import files as f
+from nilas.sources.views import LAST_MONTH
+from nilas.sources.views import MONTHS as N_MONTHS
 
 KEYS = ["dataset", "time", "y", "x"]
 LONG = "lg AS (UNPIVOT (SELECT dataset, time, y, x, sic, u, v FROM field) ON sic, u, v INTO NAME var VALUE value)"
@@ -51,8 +53,8 @@ query("S6_paired_segments", f"WITH {NAMES}, u AS (SELECT segment, min(name) AS n
     lambda v: (lambda n: f.paired_segments(n.where("p_partkey % 50 < 30").groupBy("segment").agg(F.min("name").alias("name")), n.where("p_partkey % 50 >= 10").groupBy("segment").agg(F.max("name").alias("name"))))(names(v).withColumn("segment", F.regexp_extract("name", r"^(seg\d+)", 1)))
 )
 query("S7_merge_segments", "SELECT dataset, time, y, x, sic FROM field WHERE yr < 1998 UNION ALL SELECT dataset, time, y, x, sic FROM field WHERE yr >= 1998")(lambda v: v.field.where("yr < 1998").select(*KEYS, "sic").unionByName(v.field.where("yr >= 1998").select(*KEYS, "sic")))
-query("S8_missing_months", "WITH m AS (SELECT dataset, y, x, CAST(t AS DATE) AS time FROM (SELECT DISTINCT dataset, y, x FROM field) CROSS JOIN (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2000-12-01', INTERVAL 1 MONTH)) AS t)) SELECT dataset, y, x, time FROM m WHERE NOT EXISTS (SELECT 1 FROM field g WHERE (g.dataset, g.y, g.x, g.time) = (m.dataset, m.y, m.x, m.time))")(
-    lambda v: f.missing_months(v.field, ["dataset", "y", "x"], "1995-01-01", "2000-12-01")
+query("S8_missing_months", "WITH m AS (SELECT dataset, y, x, CAST(t AS DATE) AS time FROM (SELECT DISTINCT dataset, y, x FROM field) CROSS JOIN (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-11-01', INTERVAL 1 MONTH)) AS t)) SELECT dataset, y, x, time FROM m WHERE NOT EXISTS (SELECT 1 FROM field g WHERE (g.dataset, g.y, g.x, g.time) = (m.dataset, m.y, m.x, m.time))")(
+    lambda v: f.missing_months(v.field, ["dataset", "y", "x"], "1995-01-01", LAST_MONTH)
 )
 query("S9_sampling_interval", "WITH s AS (SELECT dataset, time - lag(time) OVER (PARTITION BY dataset ORDER BY time) AS step FROM (SELECT DISTINCT dataset, time FROM field)), m AS (SELECT dataset, CAST(max(step) AS INT) AS step FROM s GROUP BY 1) SELECT *, step <= 1 AS daily, step <= 31 AS monthly FROM m")(lambda v: f.sampling_interval(v.field, ["dataset"]))
 query("S10_year_coverage", "SELECT dataset, y, x, min(yr) AS first, max(yr) AS last, (min(yr) <= 1996 AND max(yr) >= 1999) AS covers FROM field GROUP BY ALL")(lambda v: f.year_coverage(v.field, ["dataset", "y", "x"], 1996, 1999))
@@ -123,7 +125,7 @@ STACK = "SELECT dataset, avg(thick) AS m FROM field GROUP BY 1 UNION ALL SELECT
 
 def stacked(v):
     own = v.field.groupBy("dataset").agg(F.avg("thick").alias("m"))
-    groups = v.field.join(F.broadcast(v.ensemble), F.col("dataset") == F.col("member")).groupBy(F.concat(F.lit("group "), "group").alias("dataset")).agg(F.avg("thick").alias("m"))
+    groups = v.field.join(v.ensemble, F.col("dataset") == F.col("member")).groupBy(F.concat(F.lit("group "), "group").alias("dataset")).agg(F.avg("thick").alias("m"))
     return own.unionByName(groups)
 
 
@@ -142,7 +144,7 @@ query("Q2_missing_by_time", f"SELECT dataset, time, {q('avg(CAST(nullif(u, 0) IS
 query("Q3_product_comparison", f"WITH m AS (SELECT dataset, mo, yr, avg(thick) AS m FROM field GROUP BY ALL), a AS (SELECT *, avg(m) OVER (PARTITION BY dataset, mo) AS clim FROM m) SELECT dataset, yr, mo, {q('clim')} AS clim, {q('m - clim')} AS anomaly FROM a")(
     lambda v: c.anomaly(v.field.groupBy("dataset", "yr", "mo").agg(F.avg("thick").alias("m")), "m", ["dataset"]).select("dataset", "yr", "mo", r(F.col("m") - F.col("anomaly")).alias("clim"), r(F.col("anomaly")).alias("anomaly"))
 )
-query("Q4_completeness", f"SELECT dataset, count(*) AS n, {q('count(*) / 3456.0')} AS share, {q('avg(CAST(sic >= 15 AS INT))')} AS kept FROM field GROUP BY 1")(lambda v: v.field.groupBy("dataset").agg(F.count("*").alias("n"), r(F.count("*") / 3456.0).alias("share"), r(F.avg((F.col("sic") >= 15).cast("int"))).alias("kept")))
+query("Q4_completeness", f"SELECT dataset, count(*) AS n, {q('count(*) / 3984.0')} AS share, {q('avg(CAST(sic >= 15 AS INT))')} AS kept FROM field GROUP BY 1")(lambda v: v.field.groupBy("dataset").agg(F.count("*").alias("n"), r(F.count("*") / (48.0 * N_MONTHS)).alias("share"), r(F.avg((F.col("sic") >= 15).cast("int"))).alias("kept")))
 
 # Ensembles.
 EM = "em AS (SELECT \"group\", member, count(*) OVER (PARTITION BY \"group\") AS size FROM ensemble)"
@@ -150,11 +152,11 @@ for _id, _fn, _std in (("E1_group_mean", "avg", False), ("E2_group_spread", "std
     query(_id, f"WITH {SERIES}, {EM} SELECT \"group\", sector, time, {q(f'{_fn}(extent)')} AS value FROM series JOIN em ON member = dataset GROUP BY \"group\", sector, time, size HAVING count(DISTINCT member) = size")(
         lambda v, std=_std: rounded(t.group_stat(series(v), v.ensemble, ["sector", "time"], "extent", std), "group", "sector", "time")
     )
-query("E3_group_field", f"SELECT \"group\", time, y, x, {q('avg(sic)')} AS sic FROM field JOIN ensemble ON member = dataset GROUP BY ALL")(lambda v: v.field.join(F.broadcast(v.ensemble), F.col("dataset") == F.col("member")).groupBy("group", "time", "y", "x").agg(r(F.avg("sic")).alias("sic")))
+query("E3_group_field", f"SELECT \"group\", time, y, x, {q('avg(sic)')} AS sic FROM field JOIN ensemble ON member = dataset GROUP BY ALL")(lambda v: v.field.join(v.ensemble, F.col("dataset") == F.col("member")).groupBy("group", "time", "y", "x").agg(r(F.avg("sic")).alias("sic")))
 CELL_MEAN = q("avg(TRY_CAST(regexp_replace(cell, '[%*,]', '', 'g') AS DOUBLE))", 3)
 query("E4_group_rows", f"WITH s AS (SELECT dataset, CASE WHEN dataset = 'model_b' THEN '--' ELSE printf('%.4f', avg(thick) + 0.000003) || '*' END AS cell FROM field GROUP BY 1) SELECT \"group\", {CELL_MEAN} AS value FROM s JOIN ensemble ON member = dataset GROUP BY 1")(
     lambda v: v.field.groupBy("dataset").agg(F.when(F.col("dataset") == "model_b", "--").otherwise(F.concat(F.format_string("%.4f", F.avg("thick") + 0.000003), F.lit("*"))).alias("cell"))
-    .join(F.broadcast(v.ensemble), F.col("dataset") == F.col("member")).groupBy("group").agg(r(F.avg(p.number(F.col("cell"))), 3).alias("value"))
+    .join(v.ensemble, F.col("dataset") == F.col("member")).groupBy("group").agg(r(F.avg(p.number(F.col("cell"))), 3).alias("value"))
 )
 GA = f"WITH {SERIES}, {EM}, ge AS (SELECT \"group\", sector, yr, mo, avg(extent) AS e, stddev_pop(extent) AS sd FROM series JOIN em ON member = dataset GROUP BY \"group\", sector, yr, mo, size HAVING count(DISTINCT member) = size), ga AS (SELECT *, e - avg(e) OVER (PARTITION BY \"group\", sector, mo) AS an, (yr - 1995) * 12 + mo - 1 AS i FROM ge), gt AS (SELECT \"group\", sector, avg(sd) AS spread, stddev_pop(an) AS std, {sql_slope('an', 'i')} * 120 AS trend, {sql_corr('an', 'i')} AS r, CAST(regr_count(an, i) AS BIGINT) AS n FROM ga GROUP BY ALL)"
 
@@ -179,7 +181,7 @@ V6CTE = SQL_V6[5:].rsplit(" SELECT dataset, sector, metric, period,", 1)[0]
 FLUXT = f"fc AS (SELECT dataset, term, y, x, mo, avg(value * day(last_day(time)) * 86400) AS value FROM flux GROUP BY ALL), fs AS (SELECT dataset, sector, {cal.SQL_SEASON} AS season, term, sum(value * cell_area) / 1e12 AS value FROM fc JOIN grid USING (y, x) JOIN sectors USING (region) GROUP BY ALL)"
 query("B5_mass_budget_table", f"WITH {FLUXT} SELECT dataset, sector, season, {', '.join(f"{q(f"max(CASE WHEN term = '{m}' THEN value END)")} AS {m}" for m in ('dyn', 'growth', 'melt', 'snow'))} FROM fs GROUP BY ALL")(
     lambda v: rounded(
-        t.wide(c.flux_climatology(v.flux, ["dataset", "term", "y", "x"]).join(F.broadcast(v.grid), ["y", "x"]).join(F.broadcast(v.sectors), "region").groupBy("dataset", "sector", cal.season(F.col("mo")).alias("season"), "term").agg((F.sum(F.col("value") * F.col("cell_area")) / 1e12).alias("value")),
+        t.wide(c.flux_climatology(v.flux, ["dataset", "term", "y", "x"]).join(v.grid, ["y", "x"]).join(v.sectors, "region").groupBy("dataset", "sector", cal.season(F.col("mo")).alias("season"), "term").agg((F.sum(F.col("value") * F.col("cell_area")) / 1e12).alias("value")),
                ["dataset", "sector", "season"], "term", "value", ["dyn", "growth", "melt", "snow"]), "dataset", "sector", "season")
 )
 query("B6_anomaly_summary", f"WITH {V6CTE} SELECT dataset, sector, metric, period, printf('%.3f', mean + 0.00001) AS mean, CASE WHEN trend IS NULL THEN '--' ELSE printf('%.2f', trend + 0.0001) || CASE WHEN {sql_p('r', 'n')} < 0.05 THEN '*' ELSE '' END END AS trend FROM st")(

@@ -67,7 +67,7 @@ query("V9_date_trend", f"{DATES}, g AS (SELECT dataset, y, x, count(advance) AS
 )
 A13 = f"{DATES}, g AS (SELECT dataset, y, x, count(advance) AS valid, {sql_corr('advance', 'start_year')} AS r, CAST(regr_count(advance, start_year) AS BIGINT) AS n FROM dt GROUP BY ALL), f AS (SELECT dataset, y, x, CASE WHEN {sql_p('r', 'n')} IS NOT NULL THEN CAST({sql_p('r', 'n')} < 0.05 AS INT) END AS flag FROM g)"
 flags = lambda v: dates(v).groupBy(*CELL).agg(regression("advance", "start_year").alias("reg")).select(*CELL, F.when(student_p(F.col("reg.r"), F.col("reg.n")).isNotNull(), (student_p(F.col("reg.r"), F.col("reg.n")) < 0.05).cast("int")).alias("flag"))
-query("A13_significant_share", f"{A13} SELECT dataset, {q('100 * sum(flag * cell_area) / sum(CASE WHEN flag IS NOT NULL THEN cell_area END)', 4)} AS share FROM f JOIN grid USING (y, x) GROUP BY ALL")(lambda v: flags(v).join(F.broadcast(v.grid), ["y", "x"]).groupBy("dataset").agg(r(area_share(F.col("flag"), F.col("cell_area")), 4).alias("share")))
+query("A13_significant_share", f"{A13} SELECT dataset, {q('100 * sum(flag * cell_area) / sum(CASE WHEN flag IS NOT NULL THEN cell_area END)', 4)} AS share FROM f JOIN grid USING (y, x) GROUP BY ALL")(lambda v: flags(v).join(v.grid, ["y", "x"]).groupBy("dataset").agg(r(area_share(F.col("flag"), F.col("cell_area")), 4).alias("share")))
 query("A14_durations", f"{DATES} SELECT {KEYS}, CASE WHEN retreat - advance > 0 THEN retreat - advance END AS ice_season, CASE WHEN cycle - (CASE WHEN retreat - advance > 0 THEN retreat - advance END) > 0 THEN cycle - (retreat - advance) END AS open_water FROM dt")(
     lambda v: t.durations(dates(v)).select(*t.CYCLE, "ice_season", "open_water")
 )
@@ -79,7 +79,7 @@ M20 = f"{PAIR}, g AS (SELECT y, x, avg(a1) AS a1, avg(a2) AS a2, avg(CASE WHEN r
 
 def clim_pairs(v):
     d = pairs(v).withColumns({"d1": F.when(F.col("r1") > F.col("a1"), F.col("r1") - F.col("a1")), "d2": F.when(F.col("r2") > F.col("a2"), F.col("r2") - F.col("a2"))})
-    return d.groupBy("y", "x").agg(*(F.avg(c).alias(c) for c in ("a1", "a2", "d1", "d2"))).join(F.broadcast(v.grid), ["y", "x"])
+    return d.groupBy("y", "x").agg(*(F.avg(c).alias(c) for c in ("a1", "a2", "d1", "d2"))).join(v.grid, ["y", "x"])
 
 
 query("M20_date_skill", f"{M20} SELECT {', '.join(f'{q(f(b, a, "cell_area"), 4)} AS {n}_{m}' for n, a, b in (('advance', 'a1', 'a2'), ('duration', 'd1', 'd2')) for m, f in (('bias', sql_bias), ('rmse', sql_rmse)))} FROM w")(
@@ -90,10 +90,10 @@ query("M20_date_correlation", f"{M20}, o AS (SELECT 1 AS k, * FROM w WHERE a1 IS
 )
 query("M21_edge_curve", f"""{PAIR}, d AS (SELECT start_year, day, cell_area, coalesce(a1 <= day, FALSE) AS o, coalesce(a2 <= day, FALSE) AS m FROM pr JOIN grid USING (y, x) CROSS JOIN (SELECT CAST(unnest(range(1, 366, 5)) AS INT) AS day))
  SELECT start_year, day, {q('coalesce(sum(CASE WHEN m AND NOT o THEN cell_area END), 0) / 1e12')} AS "over", {q('coalesce(sum(CASE WHEN o AND NOT m THEN cell_area END), 0) / 1e12')} AS "under" FROM d GROUP BY ALL""")(
-    lambda v: rounded(t.edge_curve(pairs(v).join(F.broadcast(v.grid), ["y", "x"]), "a1", "a2", "cell_area", True, ["start_year"]), "start_year", "day")
+    lambda v: rounded(t.edge_curve(pairs(v).join(v.grid, ["y", "x"]), "a1", "a2", "cell_area", True, ["start_year"]), "start_year", "day")
 )
 query("A12_yearly_area_mean_date", f"{DATES} SELECT dataset, start_year, {q('sum(advance * cell_area) / sum(CASE WHEN advance IS NOT NULL THEN cell_area END)', 4)} AS value FROM dt JOIN grid USING (y, x) GROUP BY ALL")(
-    lambda v: dates(v).join(F.broadcast(v.grid), ["y", "x"]).groupBy("dataset", "start_year").agg(r(area_mean(F.col("advance"), F.col("cell_area")), 4).alias("value"))
+    lambda v: dates(v).join(v.grid, ["y", "x"]).groupBy("dataset", "start_year").agg(r(area_mean(F.col("advance"), F.col("cell_area")), 4).alias("value"))
 )
 
 PHASES = f"""{DATES}, ph AS (SELECT dataset, start_year, y, x, 'advance' AS phase, advance AS day FROM dt UNION ALL SELECT dataset, start_year, y, x, 'retreat', retreat FROM dt),

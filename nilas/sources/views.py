@@ -1,6 +1,6 @@
 """Gridded fields derived from the given tables, as DataFrames and as SQL.
 
-field (dataset, time, yr, mo, y, x, sic, u, v, thick) is monthly, daily fields span four years; grid holds the 48 cells.
+field (dataset, time, yr, mo, y, x, sic, u, v, thick) is monthly and spans the line items, daily fields span the orders; grid holds the 48 cells.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ SECTORS = (("All", (1, 2, 3, 4, 5, 6)), ("Weddell", (1,)), ("West Indian", (2,))
 NORTHERN = (("CA", (1,)), ("CBS", (2, 3)), ("LESS", (4, 5)), ("KBS", (6, 7)), ("EG", (8,)), ("HBB", (9, 11)), ("CAA", (12,)), ("Other", (13, 14, 15, 17, 18)))
 ENSEMBLE = (("ALL", "model_a"), ("ALL", "model_b"), ("A", "model_a"))
 TERMS = ("dyn", "growth", "melt", "snow")
-DAYS, FIRST_DAY = 1461, "1996-01-01"
+#: Months that the given tables span, from January 1995 on, and the last of them.
+MONTHS, LAST_MONTH = 83, "2001-11-01"
 
 
 def cell(key: Column) -> dict[str, Column]:
@@ -36,16 +37,15 @@ class Views:
     def _monthly_sums(self) -> DataFrame:
         """Monthly sums of quantity by dataset, cell and term."""
         dataset = F.when(F.col("l_returnflag") == "R", "obs1").when(F.col("l_returnflag") == "A", "obs2").when(F.col("l_linestatus") == "O", "model_a").otherwise("model_b")
-        line = self.table("lineitem").where((F.col("l_shipdate") >= F.lit("1995-01-01").cast("timestamp")) & (F.col("l_shipdate") < F.lit("2001-01-01").cast("timestamp")))
         return (
-            line.withColumns({"dataset": dataset, "time": F.trunc("l_shipdate", "month"), "k": (F.col("l_linenumber") % 4).cast("int"), **cell(F.col("l_partkey"))})
+            self.table("lineitem").withColumns({"dataset": dataset, "time": F.trunc("l_shipdate", "month"), "k": (F.col("l_linenumber") % 4).cast("int"), **cell(F.col("l_partkey"))})
             .groupBy("dataset", "time", "x", "y", "k")
             .agg(F.sum("l_quantity").cast("long").alias("s"), F.count("*").alias("n"))
         )
 
     @cached_property
     def field(self) -> DataFrame:
-        """Monthly fields, 1995-2000: concentration (percent), drift (m/s), thickness (m). Gaps stay gaps."""
+        """Monthly fields: concentration (percent), drift (m/s), thickness (m). Gaps stay gaps."""
         t = self._monthly_sums.groupBy("dataset", "time", "x", "y").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
         s, n = F.col("s"), F.col("n")
         return t.select(
@@ -71,19 +71,22 @@ class Views:
 
     @cached_property
     def days(self) -> DataFrame:
-        return self.spark.range(DAYS).select(F.expr(f"date_add(DATE '{FIRST_DAY}', CAST(id AS INT))").alias("time"), F.col("id").alias("i"))
+        """Every day from the first order to the last, numbered from 0."""
+        ends = self.table("orders").agg(F.to_date(F.min("o_orderdate")).alias("first"), F.to_date(F.max("o_orderdate")).alias("last")).where("first IS NOT NULL")
+        return ends.select("first", F.explode(F.sequence("first", "last")).alias("time")).select("time", F.datediff("time", "first").cast("long").alias("i"))
 
     @cached_property
     def daily(self) -> DataFrame:
-        """Daily concentration and drift of three datasets, 1996-1999, without gaps."""
+        """Daily concentration and drift of three datasets over all days of the orders, without gaps."""
         noise = self.table("orders").groupBy(F.to_date("o_orderdate").alias("time")).agg((F.count("*") % 11).alias("k"))
         shift = self.spark.createDataFrame([("obs1", 0), ("obs2", 6), ("model_a", 15)], "dataset string, shift int")
         i, x, y = F.col("i"), F.col("x"), F.col("y")
         rows = self.days.join(noise, "time", "left").crossJoin(F.broadcast(self.cells)).crossJoin(F.broadcast(shift))  # 48 cells, 3 datasets
-        wave = F.abs((i + 9 * x + 5 * y + F.col("shift")) % 365 - 182) - 50 + F.coalesce("k", F.lit(0))
+        k = F.coalesce("k", F.lit(0))
+        wave = F.abs((i + 9 * x + 5 * y + F.col("shift")) % 365 - 182) - 50 + k
         return rows.select(
             "dataset", "time", F.year("time").alias("yr"), F.month("time").alias("mo"), "i", "x", "y", F.greatest(F.lit(0), F.least(F.lit(100), wave)).cast("double").alias("sic"),
-            (((i * 7 + x * 3 + y * 5) % 41 - 20) / 100.0).alias("u"), (((i * 5 + x * 11 + y * 2) % 41 - 20) / 100.0).alias("v"),
+            (((i * 7 + x * 3 + y * 5 + k) % 41 - 20) / 100.0).alias("u"), (((i * 5 + x * 11 + y * 2 + 3 * k) % 41 - 20) / 100.0).alias("v"),
         )
 
     @cached_property
@@ -96,7 +99,7 @@ class Views:
 
     @cached_property
     def field_grid(self) -> DataFrame:
-        return self.field.join(F.broadcast(self.grid), ["x", "y"])
+        return self.field.join(self.grid, ["x", "y"])
 
 
 def _values(rows) -> str:
@@ -109,7 +112,7 @@ WITH ts AS (
   SELECT CASE WHEN l_returnflag = 'R' THEN 'obs1' WHEN l_returnflag = 'A' THEN 'obs2' WHEN l_linestatus = 'O' THEN 'model_a' ELSE 'model_b' END AS dataset,
          CAST(date_trunc('month', l_shipdate) AS DATE) AS time, CAST(l_partkey % 8 AS INT) AS x, CAST(CAST(floor(l_partkey / 8.0) AS BIGINT) % 6 AS INT) AS y,
          CAST(l_linenumber % 4 AS INT) AS k, CAST(sum(l_quantity) AS BIGINT) AS s, count(*) AS n
-  FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '2001-01-01' GROUP BY 1, 2, 3, 4, 5),
+  FROM lineitem GROUP BY 1, 2, 3, 4, 5),
 field AS (
   SELECT dataset, time, CAST(year(time) AS INT) AS yr, CAST(month(time) AS INT) AS mo, x, y, CAST((s * 37 + n * 11) % 101 AS DOUBLE) AS sic,
          ((s * 7) % 41 - 20) / CAST(100 AS DOUBLE) AS u, ((s * 13 + n) % 41 - 20) / CAST(100 AS DOUBLE) AS v, ((s * 5) % 40) / CAST(10 AS DOUBLE) AS thick
@@ -122,12 +125,13 @@ grid AS (
   SELECT x, y, CAST(5.0 * x AS DOUBLE) AS lon, CAST(65.0 + 2.0 * y AS DOUBLE) AS lat, CAST(2.5e9 + 1e8 * ((3 * x + 5 * y) % 7) AS DOUBLE) AS cell_area,
          1 AS ocean, CAST(1 + (x + 2 * y) % 6 AS INT) AS region FROM cells),
 noise AS (SELECT CAST(o_orderdate AS DATE) AS dt, count(*) % 11 AS k FROM orders GROUP BY 1),
-days AS (SELECT CAST(DATE '{FIRST_DAY}' + CAST(r AS INT) AS DATE) AS time, r AS i FROM range({DAYS}) q(r)),
+ends AS (SELECT CAST(min(o_orderdate) AS DATE) AS f, CAST(max(o_orderdate) AS DATE) AS l FROM orders),
+days AS (SELECT time, CAST(time - f AS BIGINT) AS i FROM (SELECT f, CAST(unnest(generate_series(f, l, INTERVAL 1 DAY)) AS DATE) AS time FROM ends)),
 shifts AS (SELECT * FROM (VALUES ('obs1', 0), ('obs2', 6), ('model_a', 15)) q(dataset, shift)),
 daily AS (
   SELECT dataset, time, CAST(year(time) AS INT) AS yr, CAST(month(time) AS INT) AS mo, i, x, y,
          CAST(greatest(0, least(100, abs((i + 9 * x + 5 * y + shift) % 365 - 182) - 50 + coalesce(k, 0))) AS DOUBLE) AS sic,
-         ((i * 7 + x * 3 + y * 5) % 41 - 20) / CAST(100 AS DOUBLE) AS u, ((i * 5 + x * 11 + y * 2) % 41 - 20) / CAST(100 AS DOUBLE) AS v
+         ((i * 7 + x * 3 + y * 5 + coalesce(k, 0)) % 41 - 20) / CAST(100 AS DOUBLE) AS u, ((i * 5 + x * 11 + y * 2 + 3 * coalesce(k, 0)) % 41 - 20) / CAST(100 AS DOUBLE) AS v
   FROM days CROSS JOIN cells CROSS JOIN shifts LEFT JOIN noise ON noise.dt = days.time),
 sectors AS (SELECT * FROM (VALUES {_values((s, r) for s, codes in SECTORS for r in codes)}) q(sector, region)),
 ensemble AS (SELECT * FROM (VALUES {_values(ENSEMBLE)}) q("group", member)),
