@@ -9,7 +9,9 @@ much, unless more text surges outside than stands inside: then the tag counts fo
 from __future__ import annotations
 
 import html
+import itertools
 import re
+from bisect import bisect_right
 from collections import Counter
 from typing import NamedTuple
 
@@ -23,9 +25,14 @@ WINDOW, GAP, SURGE, ENOUGH = 3, 3, 0.2, 120
 #: The sum that is a surge outside article and main where these hold the main text; the share of a line in links that makes it one of links.
 OUTSIDE, LINKS = 240, 0.8
 
-_OPAQUE = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|select|textarea|title"
-OPAQUE = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({_OPAQUE})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>")
+#: Elements whose content is no text: those that leave nothing, those that stand like a word, and those that reach to the end of the page if nothing closes them.
+HIDDEN = frozenset("script style noscript template title".split())
+EMBEDDED = frozenset("svg math iframe object canvas audio video select textarea".split())
+TO_THE_END = frozenset("script style".split())
+# A quote counts only right after =, as browsers have it. Possessive, so each attempt is linear.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in HIDDEN | EMBEDDED}
 NAMED = re.compile(r"""(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -50,10 +57,63 @@ OF_LONGEST, OF_PAGE = 0.25, 0.1
 #: Elements whose lines belong together.
 BOXES = frozenset("div section article main td center".split())
 _CAPITAL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+#: Lists, which are menus where their lines are short and mostly links, and what a short line has at most on average.
+LISTS, SHORT = frozenset("ul ol dl menu".split()), 40
 #: Elements that end where the next block begins if they aren't closed.
 LOOSE = frozenset("p li dt dd td th tr option".split())
 
 
+class Tag(NamedTuple):
+    start: int
+    end: int  # behind its content too, if that is no text
+    close: bool
+    name: str  # "!" for what has no part in the structure
+    attributes: str
+    gap: str  # what stands for it in a line
+
+
+def scan(page: str) -> list[Tag]:
+    """The tags of a page, in time linear in its length: a search that finds nothing is not made again further on."""
+    out, at, last, absent, tag = [], 0, page.rfind(">"), set(), TAG
+    while 0 <= (at := page.find("<", at)):
+        if at > last:  # a tag that nothing ends
+            if page[at + 1 : at + 2].isalpha() or page[at + 1 : at + 2] in ("/", "!", "?"):
+                out.append(Tag(at, len(page), True, "!", "", ""))
+            break
+        if page[at + 1 : at + 2] in ("!", "?"):
+            mark, size = ("-->", 3) if page.startswith("<!--", at) else ("]]>", 3) if page.startswith("<![CDATA[", at) else (">", 1)
+            end = -1 if mark in absent else page.find(mark, at + 2)
+            if end < 0 and mark != "-->":
+                absent.add(mark)
+                end, size = page.find(">", at), 1
+            end = len(page) if end < 0 else end + size
+            out.append(Tag(at, end, True, "!", "", ""))
+            at = end
+            continue
+        m = tag.match(page, at)
+        if not m and tag is TAG and PLAIN.match(page, at):  # quotes that hide every later >
+            tag = PLAIN
+            m = tag.match(page, at)
+        if not m:
+            at += 1
+            continue
+        name, end = m[2].lower(), m.end()
+        if name not in CLOSING or m[1]:
+            out.append(Tag(at, end, bool(m[1]), "!" if name in CLOSING else name, m[3], ""))
+            at = end
+            continue
+        if not m[3].endswith("/") or name in HIDDEN:
+            found = None if name in absent else CLOSING[name].search(page, end)
+            if found:
+                end = found.end()
+            else:
+                absent.add(name)
+                end = len(page) if name in TO_THE_END else max(end, page.find("<", end)) if name == "title" else end
+        out.append(Tag(at, end, True, "!", "", "" if name in HIDDEN else " "))
+        at = end
+    return out
+
+
 def _names(value: str) -> list[str]:
     return _CAPITAL.sub("-", value).lower().replace("__", "-").replace("_", "-").split()
 
@@ -76,34 +136,41 @@ def _boilerplate(name: str, attributes: str) -> str:
     return why
 
 
-def _kept(tags: list, found: list, page: str, ends: dict[int, int]):
+def _kept(tags: list[Tag], page: str, ends: dict[int, int]):
     """A function that says whether an element is kept whatever its name: it holds main, a real article, or most of the page's text."""
     before = [0]  # characters before each tag, without white space at the ends
     at = 0
-    for m in found:
-        before.append(before[-1] + len(page[at : m.start()].strip()))
-        at = m.end()
+    for tag in tags:
+        before.append(before[-1] + len(page[at : tag.start].strip()))
+        at = tag.end
     before = before[1:]
     total = before[-1] + len(page[at:].strip())
-    inner = [(i, ends[i], before[ends[i]] - before[i], name) for i, (close, name, attributes) in enumerate(tags) if not close and i in ends and name in ("article", "main") and not _boilerplate(name, attributes)]
+    inner = [(i, ends[i], before[ends[i]] - before[i], x.name) for i, x in enumerate(tags) if not x.close and i in ends and x.name in ("article", "main") and not _boilerplate(x.name, x.attributes)]
     longest = max((n for *_, n, name in inner if name == "article"), default=0)
     inner = [(i, j) for i, j, n, name in inner if n and (name == "main" or n >= max(OF_LONGEST * longest, OF_PAGE * total))]
+    held = {}  # by kind: starts, and the first end of each and all later ones
+    for kind, own in (("main", [x for x in inner if tags[x[0]].name == "main"]), ("any", inner)):
+        held[kind] = [i for i, _ in own], list(itertools.accumulate((j for _, j in reversed(own)), min))[::-1]
 
     def kept(i: int, why: str) -> bool:
         end = ends.get(i)
         if end is None:
             return False
-        if any(i < a and b < end for a, b in inner if why != "element" or tags[a][1] == "main"):
+        starts, first = held["main" if why == "element" else "any"]
+        k = bisect_right(starts, i)
+        if k < len(starts) and first[k] < end:
             return True
         return why == "name" and not inner and 2 * (before[end] - before[i]) > total
 
     return kept
 
 
-def _ends(tags: list) -> dict[int, int]:
+def _ends(tags: list[Tag]) -> dict[int, int]:
     """For each start tag, the tag that closes it; loose ones end where a block begins, unclosed others have none."""
     ends, open_ = {}, {}
-    for i, (close, name, _) in enumerate(tags):
+    for i, (_, _, close, name, _, _) in enumerate(tags):
+        if name == "!":
+            continue
         if name in LOOSE or name in BLOCK:
             for loose in LOOSE if name in BLOCK and (not close or name not in LOOSE) and name != "br" else (name,):
                 if (loose == "p" or loose == name) and not (close and loose == name) and open_.get(loose):
@@ -122,33 +189,32 @@ class Line(NamedTuple):
     inside: bool  # of an article or main element
     links: float  # share of characters in links
     box: int  # the tag of the innermost element of BOXES round it
+    list: int  # the tag of the innermost element of LISTS round it, -1 for none
 
 
-EMPTY = Line("", False, 0.0, -1)
+EMPTY = Line("", False, 0.0, -1, -1)
 
 
 def lines(page: str) -> list[Line]:
     """The lines of a page, empty ones for gaps."""
-    page = OPAQUE.sub(" <hr> ", page)
-    found = list(TAG.finditer(page))
-    tags = [(bool(m[1]), (m[2] or "!").lower(), m[3] or "") for m in found]
+    tags = scan(page)
     ends, out, text, at, until, inside, main_ends = _ends(tags), [], [], 0, -1, 0, set()
-    kept, linked, link_end, boxes = None, 0, -1, [(-1, len(page))]  # boxes: tag and end
+    kept, linked, link_end, boxes, lists = None, 0, -1, [(-1, len(page))], [(-1, len(page))]  # boxes, lists: tag and end
 
     def flush():
         nonlocal linked
         if line := " ".join("".join(text).split()):
-            out.append(Line(" ".join(html.unescape(line).split()), inside > 0, min(1.0, linked / len(line)), boxes[-1][0]))
+            out.append(Line(" ".join(html.unescape(line).split()), inside > 0, min(1.0, linked / len(line)), boxes[-1][0], lists[-1][0]))
         text.clear()
         linked = 0
 
-    for i, m in enumerate(found):
-        close, name, attributes = tags[i]
+    for i, (start, stop, close, name, attributes, gap) in enumerate(tags):
         if i > until:
-            text.append(page[at : m.start()])
+            text.append(page[at:start])
             if i <= link_end:
                 linked += len(text[-1].strip())
-        at = m.end()
+            text.append(gap)
+        at = stop
         if i < until:
             continue
         if name in BLOCK:
@@ -157,20 +223,21 @@ def lines(page: str) -> list[Line]:
             inside -= 1
             if not inside:
                 out.extend([EMPTY] * GAP)
-        while boxes[-1][1] <= i:
-            boxes.pop()
-        if name in BOXES and i in ends:
-            boxes.append((i, min(ends[i], boxes[-1][1])))
+        for kind, known in ((BOXES, boxes), (LISTS, lists)):
+            while known[-1][1] <= i:
+                known.pop()
+            if name in kind and not close and i in ends:
+                known.append((i, min(ends[i], known[-1][1])))
         if name == "a" and not close:
             link_end = ends.get(i, -1)
         why = _boilerplate(name, attributes) if not close and name not in VOID else ""
-        if why and (kept := kept or _kept(tags, found, page, ends))(i, why):
+        if why and (kept := kept or _kept(tags, page, ends))(i, why):
             why = ""
         if why:
             flush()
             end = ends.get(i)
             if end is None:  # unclosed: up to the next block
-                end = next((j for j in range(i + 1, len(tags)) if tags[j][1] in BLOCK), len(tags))
+                end = next((j for j in range(i + 1, len(tags)) if tags[j].name in BLOCK), len(tags))
             until = end
             out.extend([EMPTY] * GAP)
         elif not close and name in ("article", "main"):
@@ -178,15 +245,24 @@ def lines(page: str) -> list[Line]:
                 out.extend([EMPTY] * GAP)
             inside += 1
             main_ends.add(ends.get(i, -1))
-    if len(found) > until:
+    if len(tags) > until:
         text.append(page[at:])
     flush()
     return out
 
 
 def _lengths(rows: list[Line]) -> list[int]:
-    """Characters of each line; none for WINDOW or more lines of links in a row."""
+    """Characters of each line; none for WINDOW or more lines of links in a row, and none in lists of short lines that are mostly links."""
     length, run = [len(x.text) for x in rows], []
+    own = {}
+    for i, x in enumerate(rows):
+        if x.list >= 0:
+            own.setdefault(x.list, []).append(i)
+    for members in own.values():
+        total = sum(length[i] for i in members)
+        if total <= SHORT * len(members) and 2 * sum(length[i] * rows[i].links for i in members) >= total:
+            for i in members:
+                length[i] = 0
     for i, x in enumerate([*rows, EMPTY]):
         if x.text and x.links >= LINKS:
             run.append(i)
