@@ -3,8 +3,10 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -208,6 +210,19 @@ def test_archives_round_trip(spark, tmp_path):
     assert all(a[:4] == b"\x5d\x2a\x4d\x18" for a in archives)
 
 
+def test_archives_end_at_their_size(spark, tmp_path):
+    rng = np.random.default_rng(22)
+    rows = [(i, None, rng.bytes(6000).hex()) for i in range(120)] + [(500 + i, None, "many copies") for i in range(300)]
+    path, most = f"file://{tmp_path}/small", 50_000
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path, most)
+    sizes = [f.stat().st_size for f in (tmp_path / "small").glob("part-*") if f.stat().st_size]
+    assert len(sizes) > 10 and max(sizes) < 2 * most + (64 << 10)
+    got = warc.read_archives(spark, path).collect()
+    assert sorted(r.page_id for r in got) == sorted(r[0] for r in rows)
+    assert sum(r.record_type == "response" for r in got) == 121 and {r.refers_to for r in got if r.record_type == "revisit"} == {500}
+    assert {r.page_id: bytes(r.payload).decode() for r in got if r.payload is not None} == {i: h for i, _, h in rows if i <= 500}
+
+
 def test_no_pages_no_records(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/none")
     assert warc.read_archives(spark, f"file://{tmp_path}/none").count() == 0
@@ -241,6 +256,27 @@ def test_toxicity_awkward_rows(spark):
     assert toxicity.toxicity(spark.createDataFrame([], SCHEMA), toxicity.fit(docs, labels)).count() == 0
 
 
+def test_passages_of_long_texts_are_those_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(1)
+    table = rng.normal(0, 1, 1 << toxicity.BUCKETS_LOG2).astype(np.float32)
+    texts = [" ".join("".join(rng.choice(list("abcdeäß𝒳"), rng.integers(1, 8))) + " ab ab ab" * (rng.random() < 0.1) for _ in range(2000)) for _ in range(2)]
+    for x in [*texts, "x" * 3000, " " * 5000 + "a b", "a " * 4000, ""]:
+        top, count = toxicity._highest(pa.array([x.encode()], pa.large_binary()), table)
+        for piece in (100, 777, 5000):
+            monkeypatch.setattr(toxicity, "PIECE", piece)
+            assert toxicity._of_long(x.encode(), table) == (pytest.approx(top[0]), count[0])
+
+
+@pytest.mark.parametrize(("sf", "precision", "recall"), [("sf0.01", 0.8, 0.5), ("sf0.1", 0.9, 0.7)])
+def test_op4_on_held_out_labels(spark, sf, precision, recall):
+    folder = f"/root/testdata/{sf}"
+    if not Path(folder).exists():
+        pytest.skip("no test tables")
+    rows = toxicity.op4_toxicity(spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet").where("toxic IS NOT NULL"), "doc_id").select("predicted", "toxic").collect()
+    hit = sum(r.predicted == 1 == r.toxic for r in rows)
+    assert hit >= precision * sum(r.predicted for r in rows) and hit >= recall * sum(r.toxic for r in rows)
+
+
 def test_op4_holds_out_a_third(spark, oracle):
     out = queries.QUERIES["op4_toxicity"](spark, DATA).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.7) for r in out)
@@ -319,6 +355,41 @@ def test_op6_gives_the_articles(spark, oracle):
         assert got[page_id].text == "\n".join(x for x in want if x) and got[page_id].n_chars == len(got[page_id].text)
 
 
+def test_markup_is_scanned_in_linear_time():
+    for piece in ("<script ", "<svg>", '<a ="', "<!--", "<![CDATA[", "<", "&amp", "<a href='", "<nav><article>x</article></nav>", "<h1 id="):
+        for tail in ("", '>"', "</svg></script>"):
+            began = time.perf_counter()
+            html_text.main_text(piece * ((1 << 19) // len(piece)) + tail)
+            assert time.perf_counter() - began < 8, piece
+
+
+def test_broken_and_nested_markup():
+    cases = {
+        "<p title=it's>Hello world</p><p>two</p>": "Hello world\ntwo",
+        "a<!-- c -->b c": "ab c",
+        "<p>x<script>var a='</p>'</script>y</p>": "xy",
+        "<p>1 < 2 and 3 > 2 text</p>": "1 < 2 and 3 > 2 text",
+        "<p>fine</p><p unclosed": "fine",
+        "<article><p>a<p>b</article>": "a\nb",
+        "<svg/><p>t</p>": "t",
+        "<title>x<body><p>hello there</p>": "hello there",
+        "x<select><option>1</select>y": "x y",
+        "<p>a<b>c</b>d</p>": "acd",
+        "<p>t</p></nav></article>": "t",
+        '<article><div class="article-header"><h1>Title</h1></div><p>text of it</p><div class="related-studies-table">body</div></article>': "Title\ntext of it\nbody",
+    }
+    assert {k: html_text.main_text(k) for k in cases} == cases
+    long = "<h1>T</h1><p>" + "long words here " * 60 + "</p><p>short one.</p>"
+    menu = "<ul><li><a href=/>Home</a></li><li><a href=/a>About us</a></li><li>Legal</li></ul>"
+    assert html_text.main_text(menu + long + menu).split("\n") == ["T", " ".join("long words here ".split() * 60), "short one."]
+
+
+def test_articles_without_their_tag_are_found_too(oracle):
+    for _, page in oracle.sql("SELECT page_id, html FROM pages").fetchall():
+        if page and "<article>" in page:
+            assert html_text.main_text(page.replace("<article>", "<div>").replace("</article>", "</div>")) == html_text.main_text(page)
+
+
 def test_pages_awkward_rows(spark):
     pages = spark.createDataFrame([(None, None, None, "t"), (1, "u", "<p>x</p>", "t"), (1, "u", "<p>x</p>", "t")], "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in html_text.extract_text(pages).collect()) == [("", 0), ("x", 1), ("x", 1)]
@@ -332,8 +403,21 @@ def test_order_of_rules_never_changes_verdicts(corpus):
     batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in corpus] + extra)], names=["text"])
     want = ~np.logical_or.reduce([r.rejects(quality.Texts(batch)) for r in quality.RULES])
     for _ in range(5):
-        assert (quality.verdicts(batch, tuple(rng.permutation(quality.RULES))) == want).all()
-    assert want.any() and not want.all() and sorted(r.name for r in quality.order(quality.RULES, batch)) == sorted(r.name for r in quality.RULES)
+        measured = quality.Measured(batch)
+        assert (quality.verdicts(measured, tuple(rng.permutation(quality.RULES))) == want).all()
+        every = measured.of(np.arange(batch.num_rows))
+        for name in quality.MEASURES:  # rows that the cascade left out are measured too
+            assert (getattr(every, name) == getattr(quality.Texts(batch), name)).all()
+    assert want.any() and not want.all()
+    order = quality.order(quality.RULES, {"symbols": 9, "repeats": 9}, {"symbols": 1.0, "repeats": 3.0})
+    assert [r.name for r in order][-2:] == ["symbols", "repeats"] and len(order) == len(quality.RULES)
+
+
+def test_rules_are_tried_in_tasks(spark, corpus):
+    docs = spark.createDataFrame(corpus, SCHEMA)
+    assert sorted(r.name for r in quality.ordered_rules(docs)) == sorted(r.name for r in quality.RULES)
+    long = spark.createDataFrame([(1, "word and other words " * 200_000), (2, None), (2, None)], SCHEMA)
+    assert [(r.doc_id, r.n_words, r.kept) for r in quality.quality_measures(long).orderBy("doc_id").collect()] == [(1, 800_000, False), (2, 0, False), (2, 0, False)]
 
 
 def test_quality_filter_keeps_columns(spark):
@@ -429,6 +513,56 @@ def test_terms_far_from_the_entity_go(spark):
         assert not [s for s in out[50 + i].spans if s.kind == 4]  # copies are one text
 
 
+def test_terms_of_kinds_and_secrets(spark):
+    rng = np.random.default_rng(15)
+    secret = lambda: rng.bytes(20).hex()
+    plain = lambda n: prose(rng, n).translate({48 + i: "abcdefghij"[i] for i in range(10)})
+    rows = [(i, f'{plain(40)} token = "{secret()}" {plain(30)}') for i in range(30)] + [(100 + i, plain(70)) for i in range(300)]
+    rows += [(900, "ffffffffffffffffffffffff00000000000000000000 internationalisation20240101 a_name_of_some_length_with_words")]
+    out = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i in range(30):
+        assert [s.value for s in out[i].spans if s.kind == 4] == ["token"] and [s.kind for s in out[i].spans].count(5) == 1 and not out[i].base
+        assert '= "<secret>"' in out[i].sanitised and "token" not in out[i].sanitised
+    assert all(not r.spans for i, r in out.items() if i >= 100)
+
+
+def test_disclosure_matches_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1000, 30, 30, 30, True), (1000, 30, 4, 4, True), (1000, 300, 12, 12, True), (1000, 5, 5, 4, False), (1000, 5, 50, 5, False)]
+    df = spark.createDataFrame(rows, "n long, e long, t long, b long, k boolean")
+    got = [r[0] for r in df.select(pii.disclosed(F.col("n"), F.col("e"), F.col("t"), F.col("b"), F.col("k"))).collect()]
+    for x, (n, e, t, b, kind) in zip(got, rows, strict=True):
+        mean = (b + pii.PRIOR * e / n) / (t + pii.PRIOR)
+        p = mean - pii.BELOW * (mean * (1 - mean) / (t + pii.PRIOR + 1)) ** 0.5 if kind else b / t
+        assert x == pytest.approx(np.log2(p * n / e) / np.log2(n / e))
+    assert got[0] > pii.DISCLOSURE > max(got[1:3])
+
+
+def test_many_matches_take_no_square_of_time(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "x@y.zz and +1 234 567 8901, " * 50_000)], SCHEMA)
+    began = time.perf_counter()
+    spans = pii.base_spans(F.col("text"))
+    r = docs.select(F.size(spans).alias("n"), pii.sanitised(F.col("text"), spans).alias("s")).first()
+    assert r.n == 100_000 and r.s == "<email> and <phone>, " * 50_000 and time.perf_counter() - began < 60
+
+
+def test_op9_on_the_tables(spark, oracle):
+    rows = {r.doc_id: r for r in pii.op9_personal_data(spark, DATA).collect()}
+    texts = dict(oracle.sql("SELECT doc_id, text FROM documents").fetchall())
+    assert rows.keys() == texts.keys()
+    for i, r in rows.items():
+        base = brute_spans(texts[i])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == j for _, k, _ in base) for j in range(4)]
+        written = [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(written).encode()).hexdigest()
+        spans = [x for x in r.spans.split(",") if x]
+        assert [x for x in spans if x.split(":")[0] in pii.PATTERNS] == written
+        assert all(re.search("[A-Za-z0-9_]{20}", texts[i][int(a) : int(b)]) for k, a, b in (x.split(":") for x in spans) if k == "secret")
+
+
 # 10. Mixing.
 def test_rates_meet_targets(spark):
     rng = np.random.default_rng(7)
@@ -463,6 +597,21 @@ def test_classifier_on_held_out_labels(spark, oracle):
     assert (p.argmax(1) == new).mean() > 0.95 and np.allclose(p.sum(1), 1)
 
 
+def test_op10_meets_its_targets(spark):
+    out = mixing.op10_mixing(spark, DATA).collect()
+    total = {d: sum(r.rate * r.tokens * r[f"p_{d}"] for r in out) for d in mixing.DOMAINS}
+    for d, share in mixing.TARGETS.items():
+        assert total[d] / sum(total.values()) == pytest.approx(share, abs=1e-3)
+    assert all(r.rate >= 0 and sum(r[f"p_{d}"] for d in mixing.DOMAINS) == pytest.approx(1) for r in out)
+
+
+def test_what_a_domain_cannot_give_is_told(spark):
+    table = spark.createDataFrame([(i, 10, 1.0, 0.0, 0.0) for i in range(5)], "doc_id long, _tokens long, _p_clean double, _p_low double, _p_toxic double")
+    with pytest.warns(UserWarning, match="token totals differ"):
+        _, goal = mixing.fit_rates(table)
+    assert goal.sum() == pytest.approx(50 / 0.95)
+
+
 def test_mixing_awkward_rows(spark):
     docs = spark.createDataFrame([(1, None, 1), (None, "x", 1), (1, None, 1), (2, "", 1), (3, "a b", 1)], SCHEMA + ", rate int")
     for labels in ([], [(1, 1, 0), (3, 0, 0), (9, 1, None), (None, 1, 1)]):
