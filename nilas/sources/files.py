@@ -10,15 +10,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Temporary folders by application, for sessions in one process that set no shared folder.
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share. Where that is unset, a temporary one, but only if Spark runs in this one process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        master = spark.sparkContext.master
+        master, application = spark.sparkContext.master, spark.sparkContext.applicationId
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if application not in _own_folders:  # the setting can't be changed in a running session
+            _own_folders[application] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        folder = _own_folders[application]
     return folder.rstrip("/")
 
 

@@ -3,6 +3,9 @@
 import datetime as dt
 import math
 import struct
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -285,3 +288,20 @@ def test_budget_shuffles_the_field_few_times(spark):
     daily = v.daily.where("i < 5").select("dataset", "time", "yr", "mo", "i", "x", "y", "sic", "u", "v")
     plan = budget.daily_budget(daily, v.grid)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(dataset") <= 3
+
+
+def test_queries_that_write_run_without_a_shared_folder_set():
+    """A session of its own that sets no spark.checkpoint.dir: it can't be set in a running one."""
+    code = (
+        "import os, sys; os.environ['SPARK_CONF_DIR'] = __import__('tempfile').mkdtemp(prefix='spark-'); sys.path.insert(0, sys.argv[1])\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.sql.shuffle.partitions', '2').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "assert not spark.conf.get('spark.checkpoint.dir', None)\n"
+        "import __spark_entry__\n"
+        "print('ROWS', __spark_entry__.queries()['S11_metric_store'](spark, sys.argv[2]).count())\n"
+        "from nilas.sources.files import shared_folder\n"
+        "assert shared_folder(spark) == shared_folder(spark)\n"
+    )
+    root = Path(__file__).resolve().parents[1]
+    done = subprocess.run([sys.executable, "-c", code, str(root), "/root/testdata/sf0.001"], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0 and int(done.stdout.rsplit("ROWS ", 1)[1].split()[0]) > 0, done.stderr[-2000:]
