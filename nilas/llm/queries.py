@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from nilas.llm import decontaminate, html_text, mixing, ngram_join, pii, quality, sharding, toxicity, url_filter, warc
+from nilas.llm import decontaminate, html_text, mixing, ngram_join, periods, pii, quality, sharding, toxicity, url_filter, warc
 from nilas.llm.common import ship
 
 
-
 def _with_package(query):
     def run(spark, sf_dir):
         ship(spark)
@@ -26,6 +25,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_personal_data": pii.op9_personal_data,
     "op10_mixing": mixing.op10_mixing,
+    "op12_periodic_runs": periods.op12_periodic_runs,
 }
 QUERIES = {name: _with_package(query) for name, query in QUERIES.items()}
 ORACLES = {

@@ -126,3 +126,25 @@ def shingles(hashes: np.ndarray, at: np.ndarray, size: int, short: bool = True):
         runs = np.insert(runs, where, np.array(values, U))
         each[few] = 1
     return runs, np.concatenate([[0], np.cumsum(each)])
+
+
+#: Words put together at once.
+WORD_BLOCK = 1 << 18
+
+
+def rejoined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> pa.Array:
+    """A text a row of the chosen words, one space between them; at: where each row's words begin."""
+    blank = np.ones(len(starts), np.int64)
+    blank[at[1:][np.diff(at) > 0] - 1] = 0  # none after a row's last word
+    size = ends - starts + blank
+    to = np.concatenate([[0], np.cumsum(size)])
+    parts = []
+    for i in range(0, len(starts), WORD_BLOCK):
+        j = min(len(starts), i + WORD_BLOCK)
+        index = np.arange(to[i], to[j]) + np.repeat(starts[i:j] - to[i:j], size[i:j])
+        part = data[np.minimum(index, len(data) - 1)]
+        part[to[i + 1 : j + 1][blank[i:j] == 1] - 1 - to[i]] = 0x20
+        parts.append(part)
+    whole = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+    out = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(to[at].astype(np.int64)), pa.py_buffer(whole)])
+    return out.cast(pa.large_string())
