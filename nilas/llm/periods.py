@@ -30,29 +30,33 @@ LEAST, FIRST_LEVEL, SHORT = 12, 2, 6
 RUNS = "array<struct<start: bigint, length: bigint, period: bigint>>"
 
 
-def suffixes(keys: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffix array by prefix doubling, and each position's rank (where its group begins) by its first 1, 2, 4 ... words. last: where the position's document ends. Groups of one are left alone."""
+def suffixes(keys: np.ndarray, last: np.ndarray):
+    """Suffix array by prefix doubling. For each level (the first 1, 2, 4 ... words) the rank of each position (where its group begins; -1 past the end), the
+    size of each rank's group, and the positions in groups of several; only those are sorted again. last: where the position's document ends."""
     n, m = len(keys), np.arange(len(keys))
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
     begins = np.concatenate([[True], ordered[1:] != ordered[:-1]])[:n]
-    rank = np.empty(n, np.int64)
+    rank = np.full(n + 1, -1, np.int64)
     rank[order] = np.maximum.accumulate(np.where(begins, m, 0))
-    ranks, step = [rank], 1
-    while len(active := np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)):
+    levels, step, active = [], 1, m
+    while len(active):
+        counts = np.bincount(rank[active], minlength=n)
+        active = active[counts[rank[active]] > 1]
+        levels.append((rank, counts, active))
         after = active + step
-        second = np.where(after < last[active], rank[np.minimum(after, n - 1)], -1)
+        second = np.where(after < last[active], rank[np.minimum(after, n)], -1)
         by = np.argsort(rank[active] * (n + 1) + second + 1, kind="stable")
         a, first, second, k = active[by], rank[active[by]], second[by], m[: len(active)]
-        begins = np.concatenate([[True], first[1:] != first[:-1]])
+        begins = np.ones(len(a), bool)
+        begins[1:] = first[1:] != first[:-1]
         group = np.maximum.accumulate(np.where(begins, k, 0))
         begins[1:] |= second[1:] != second[:-1]
         rank = rank.copy()
         rank[a] = first + np.maximum.accumulate(np.where(begins, k, 0)) - group
         order[first + k - group] = a
-        ranks.append(rank)
         step *= 2
-    return order, ranks
+    return order, levels
 
 
 class Repeats:
@@ -63,11 +67,11 @@ class Repeats:
         document = np.repeat(np.arange(len(counts)), counts)
         self.first, last = at[:-1][document], at[1:][document]
         self.keys = t.mix(words * U(0x5851F42D4C957F2D) + t.mix(document.astype(U) + U(1)))
-        order, ranks = suffixes(self.keys, last)
-        self.ranks = [np.append(r, -1) for r in ranks]
-        self.counts = [np.bincount(r, minlength=len(words)) for r in ranks]
-        n = len(words)
-        again = self.counts[FIRST_LEVEL][ranks[FIRST_LEVEL]] > 1 if len(ranks) > FIRST_LEVEL else np.zeros(n, bool)
+        order, levels = suffixes(self.keys, last)
+        self.ranks, self.counts, self.active = zip(*levels, strict=True)
+        again = np.zeros(len(words), bool)
+        if len(levels) > FIRST_LEVEL:
+            again[self.active[FIRST_LEVEL]] = True
         kept = again[order]
         self.place = np.concatenate([[0], np.cumsum(kept)])  # the suffix array is held for words that begin a block which occurs again
         self.occurrences = Wavelet(order[kept])
@@ -90,7 +94,7 @@ class Repeats:
 
     def blocks(self, k: int) -> np.ndarray:
         """Aligned blocks of 2 to the k words that occur again in their document."""
-        i = np.flatnonzero(self.counts[k][self.ranks[k][:-1]] > 1)
+        i = self.active[k]
         return i[(i - self.first[i]) & ((1 << k) - 1) == 0]
 
     def next(self, k: int, block: np.ndarray, least: np.ndarray) -> np.ndarray:

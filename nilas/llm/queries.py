@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nilas.llm import decontaminate, html_text, mixing, ngram_join, periods, pii, quality, sharding, toxicity, url_filter, warc
+from nilas.llm import alignment, decontaminate, html_text, mixing, ngram_join, periods, pii, quality, sharding, toxicity, url_filter, warc
 from nilas.llm.common import ship
 
 
@@ -25,6 +25,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_personal_data": pii.op9_personal_data,
     "op10_mixing": mixing.op10_mixing,
+    "op13_alignment": alignment.op13_alignment,
     "op12_periodic_runs": periods.op12_periodic_runs,
 }
 QUERIES = {name: _with_package(query) for name, query in QUERIES.items()}
