@@ -12,7 +12,10 @@ as long as the segments kept fit a bounded cache. Texts in which this can't be s
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
+import json
 import re
 from collections.abc import Callable
 from pathlib import Path
@@ -30,9 +33,13 @@ U = np.uint64
 #: Where the vocabulary files are, and how large they may be to be broadcast.
 FOLDER, LARGEST = "/opt/tokenizers", 32 << 20
 #: Segments and characters of segments that a task keeps.
-SEGMENTS, CHARACTERS = 400_000, 16 << 20
+SEGMENTS, CHARACTERS = 700_000, 12 << 20
+#: Segments encoded together, and what doesn't end one.
+TOGETHER, WHITE = 10_000, " \t\n\x0b\x0c\r"
 #: Bytes of text in a chunk of documents.
 CHUNK = 4 << 20
+#: Fixed value: the pattern by which byte-level vocabularies cut texts before they merge.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space beyond ASCII (and the separators that some engines count as such): texts with any are tokenized whole.
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: A segment ends before a blank or line break that follows something else.
@@ -50,6 +57,7 @@ class Tokenizers:
 
     def __init__(self, a: bytes, b: bytes):
         import sentencepiece
+        import tiktoken
         import tokenizers
 
         self.a = tokenizers.Tokenizer.from_str(a.decode())
@@ -60,12 +68,24 @@ class Tokenizers:
         self.a_bytes = [b""] * (max(own.values()) + 1)
         for token, i in own.items():
             self.a_bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+        # the same merges by a faster engine, where ids are ranks: 256 bytes, then a token a merge
+        merges, ranks = json.loads(a)["model"]["merges"], {self.a_bytes[i]: i for i in range(len(self.a_bytes))}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        ranked = all(own.get(x + y) == 256 + k for k, (x, y) in enumerate(pairs))
+        ordinary = {x: i for x, i in ranks.items() if i < 256 + len(pairs)}
+        self.ranks = tiktoken.Encoding("a", pat_str=BYTE_LEVEL, mergeable_ranks=ordinary, special_tokens={}) if ranked and len(ordinary) == 256 + len(pairs) else None
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        assert max(len(self.a_bytes), len(self.b_bytes)) < 1 << 24
         self.blank = self.b.piece_to_id("▁")
         long = [p for i, p in enumerate(pieces) if len(p) > 1 and not self.b.is_byte(i)]
         self.cuttable = not any("▁" in p.lstrip("▁") or "\n" in p for p in long)
 
+        # each token's id with what follows it: in a group, or at its end
+        self.a_written = [f"{i}{end}".encode() for i in range(len(self.a_bytes)) for end in ",|"]
+        self.b_written = [f"{i}{end}".encode() for i in range(len(self.b_bytes)) for end in ",;"]
+        self.a_size, self.b_size, self.a_long, self.b_long = (np.array([len(x) for x in k], np.int64) for k in (self.a_bytes, self.b_bytes, self.a_written, self.b_written))
+
     def encode_a(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.a.encode_batch(texts, add_special_tokens=False)]
 
@@ -74,28 +94,50 @@ class Tokenizers:
         out = self.b.encode([x[1:] if x[:1] == " " else x for x in texts], num_threads=1)
         return [ids if x[:1] == " " or ids[:1] != [self.blank] else ids[1:] for x, ids in zip(texts, out, strict=True)]
 
-    def aligned(self, texts: list[str]) -> list[tuple | None]:
-        """(number of A tokens, of B tokens, links as A id << 32 | B id, groups as text) of each text; None where the tokens' bytes aren't the text's."""
-        return [self._groups(x.encode(), a, b) for x, a, b in zip(texts, self.encode_a(texts), self.encode_b(texts), strict=True)]
-
-    def _groups(self, data: bytes, a: list[int], b: list[int]):
-        a_size, b_size = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_size) != data or b"".join(b_size) != data:
+    def each(self, texts: list[str]):
+        """Ids of texts that are encoded one by one: (whether the tokens' bytes are the text's, A ids, their number in each text, B ids, their number); no ids of those whose bytes differ."""
+        a, b, data = self.encode_a(texts), self.encode_b(texts), [x.encode() for x in texts]
+        same = lambda ids, table: b"".join(map(table.__getitem__, ids))
+        good = np.array([same(x, self.a_bytes) == z and same(y, self.b_bytes) == z for x, y, z in zip(a, b, data, strict=True)], bool)
+        a, b = ([x if g else [] for x, g in zip(k, good, strict=True)] for k in (a, b))
+        flat = lambda lists: np.fromiter(itertools.chain.from_iterable(lists), np.int64, sum(map(len, lists)))
+        count = lambda lists: np.array([len(x) for x in lists], np.int64)
+        return good, flat(a), count(a), flat(b), count(b)
+
+    def joined(self, texts: list[str]):
+        """As `each`, for segments which may follow each other in a text: they are encoded as one. None if that can't be shown to be the same."""
+        whole = "".join(texts)
+        data, ends = whole.encode(), np.cumsum([len(x.encode()) for x in texts])
+        a = self.ranks.encode_ordinary(whole) if self.ranks else self.encode_a([whole])[0]
+        b = self.encode_b([whole])[0]
+        if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
             return None
-        groups, links, i, j, m, n = [], [], 0, 0, len(a), len(b)
-        while i < m and j < n:
-            first_a, first_b, x, y = i, j, len(a_size[i]), len(b_size[j])
-            while x != y:
-                if x < y:
-                    i += 1
-                    x += len(a_size[i])
-                else:
-                    j += 1
-                    y += len(b_size[j])
-            links.append(a[i] << 32 | b[j])
-            i, j = i + 1, j + 1
-            groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-        return m, n, links, ";".join(groups)
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        to_a, to_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        at_a, at_b = np.searchsorted(to_a, ends), np.searchsorted(to_b, ends)
+        if (to_a[at_a] != ends).any() or (to_b[at_b] != ends).any():
+            return None
+        return np.ones(len(texts), bool), a, np.diff(at_a + 1, prepend=0), b, np.diff(at_b + 1, prepend=0)
+
+    def aligned(self, texts: list[str], segments: bool = False):
+        """(whether the tokens' bytes are the text's, numbers of A tokens, of B tokens, of links; all links as A id << 32 | B id; groups as text) of the texts; nothing of those whose bytes differ."""
+        good, a, n_a, b, n_b = segments and self.joined(texts) or self.each(texts)
+        ends_a, ends_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        last_a, last_b = (np.isin(x, y, assume_unique=True) for x, y in ((ends_a, ends_b), (ends_b, ends_a)))
+        links = (a[last_a] << 32 | b[last_b]).astype(U)
+        # the ids in the order of the groups, A's before B's
+        before = lambda last: np.cumsum(last) - last
+        groups_a, groups_b = np.flatnonzero(last_a) + 1, np.concatenate([[0], np.flatnonzero(last_b) + 1])
+        at_a, at_b = np.arange(len(a)) + groups_b[before(last_a)], np.arange(len(b)) + groups_a[before(last_b)] if len(b) else np.zeros(0, np.int64)
+        written, long = [b""] * (len(a) + len(b)), np.zeros(len(a) + len(b), np.int64)
+        codes_a, codes_b = 2 * a + last_a, 2 * b + last_b
+        long[at_a], long[at_b] = self.a_long[codes_a], self.b_long[codes_b]
+        order = np.empty(len(written), np.int64)
+        order[at_a], order[at_b] = codes_a, codes_b + len(self.a_written)
+        text = b"".join(map((self.a_written + self.b_written).__getitem__, order.tolist()))
+        counted = lambda last, n: np.diff(np.concatenate([[0], np.cumsum(last)])[np.concatenate([[0], np.cumsum(n)])])
+        cuts = np.concatenate([[0], np.cumsum(long)])[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist()
+        return good, n_a, n_b, counted(last_a, n_a), links, [text[i : max(i, j - 1)] for i, j in itertools.pairwise(cuts)]
 
 
 class Aligner:
@@ -106,34 +148,49 @@ class Aligner:
         self.clear()
 
     def clear(self) -> None:
-        self.number, self.entries, self.characters = {}, [], 0
-
-    def learn(self, segments: set[str]) -> None:
-        new = [s for s in segments if s not in self.number]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for s, entry in zip(part, self.tokenizers.aligned(part), strict=True):
-                self.number[s] = len(self.entries)
-                self.entries.append(entry)
-                self.characters += len(s)
-
-    def texts(self, texts: list[str | None]) -> list[tuple[int, int, list, list[str]]]:
-        """Of each text: number of A tokens, of B tokens, lists of links, texts of groups. Without text or where bytes differ: none."""
-        if len(self.entries) > SEGMENTS or self.characters > CHARACTERS:
+        self.number, self.groups, self.characters = {}, [], 0
+        self.good, self.counts, self.links = np.zeros(0, bool), np.zeros((3, 0), np.int64), np.zeros(0, U)
+
+    def add(self, texts: list[str], segments: bool = False) -> range:
+        """Aligns texts; their numbers among the entries."""
+        first = len(self.groups)
+        for i in range(0, len(texts), TOGETHER):
+            good, n_a, n_b, n_links, links, groups = self.tokenizers.aligned(texts[i : i + TOGETHER], segments)
+            self.good, self.counts, self.links = np.append(self.good, good), np.hstack([self.counts, [n_a, n_b, n_links]]), np.append(self.links, links)
+            self.groups += groups
+        self.characters += sum(map(len, texts))
+        return range(first, len(self.groups))
+
+    def texts(self, texts: list[str | None]):
+        """Of each text: numbers of A tokens, of B tokens and of links, and the SHA-256 of its groups; and all links. Without text, or where the tokens' bytes differ: zeros and an empty text."""
+        if len(self.groups) > SEGMENTS or self.characters > CHARACTERS:
             self.clear()
         whole = lambda x: not self.tokenizers.cuttable or not x.isascii() and OTHER_SPACE.search(x) is not None
-        cut = [None if not x else [" " + x] if whole(x) else SEGMENT.findall(" " + x) for x in texts]
-        self.learn({s for segments in cut if segments for s in segments})
-        out = []
-        for x, segments in zip(texts, cut, strict=True):
-            entries = [self.entries[self.number[s]] for s in segments or ()]
-            if None in entries and len(segments) > 1:
-                entries = self.tokenizers.aligned([" " + x])
-            if not entries or None in entries:
-                out.append((0, 0, [], []))
-            else:
-                out.append((sum(e[0] for e in entries), sum(e[1] for e in entries), [e[2] for e in entries], [e[3] for e in entries]))
-        return out
+        cut = [[] if not x else [" " + x] if whole(x) else SEGMENT.findall(" " + x) for x in texts]
+        known = [list(map(self.number.get, segments)) for segments in cut]
+        new = {s for segments, numbers in zip(cut, known, strict=True) if None in numbers for s, k in zip(segments, numbers, strict=True) if k is None}
+        plain = lambda x: x[-1] not in WHITE and (x.isascii() or OTHER_SPACE.search(x) is None) and self.tokenizers.cuttable
+        for joinable in (True, False):
+            own = [x for x in new if plain(x) == joinable]
+            self.number.update(zip(own, self.add(own, joinable), strict=True))
+        found = ([self.number[s] if k is None else k for s, k in zip(segments, numbers, strict=True)] if None in numbers else numbers for segments, numbers in zip(cut, known, strict=True))
+        entries = [np.array(x, np.int64) for x in found]
+        for k in [k for k, x in enumerate(entries) if not self.good[x].all()]:
+            whole_text = self.add([" " + texts[k]]) if len(entries[k]) > 1 else entries[k]
+            entries[k] = np.array([e for e in whole_text if self.good[e]], np.int64)
+        flat = np.concatenate([*entries, np.zeros(0, np.int64)])
+        at = np.concatenate([[0], np.cumsum([len(x) for x in entries], dtype=np.int64)])
+        sums = np.hstack([np.zeros((3, 1), np.int64), np.cumsum(self.counts[:, flat], axis=1)])
+        begin, n = (np.cumsum(self.counts[2]) - self.counts[2])[flat], self.counts[2][flat]
+        links = self.links[np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)]
+        digests = [hashlib.sha256(b";".join(map(self.groups.__getitem__, x.tolist()))).hexdigest() if len(x) else "" for x in entries]
+        return np.diff(sums[:, at]), digests, links
+
+
+@functools.lru_cache(1)
+def aligner(a: bytes, b: bytes) -> Aligner:
+    """One a Python process, for all of its tasks."""
+    return Aligner(Tokenizers(a, b))
 
 
 #: Rows of one pass over the texts: those of documents (with a row), and those of a pair's planes in a chunk.
@@ -145,8 +202,9 @@ def planes(links: np.ndarray, documents: np.ndarray, total: int):
 
     n is the popcount of the plane; n_documents that of all planes of the pair together, with the first of them.
     """
-    by = np.lexsort((documents, links))
-    links, documents = links[by], documents[by]
+    # ids under 2 to the 24 and document numbers under 2 to the 16 in one number
+    packed = np.sort(links >> U(32) << U(40) | (links & U(0xFFFFFF)) << U(16) | documents.astype(U))
+    links, documents = packed >> U(40) << U(32) | packed >> U(16) & U(0xFFFFFF), (packed & U(0xFFFF)).astype(np.int64)
     new = np.ones(len(links), bool)
     new[1:] = (links[1:] != links[:-1]) | (documents[1:] != documents[:-1])
     at = np.flatnonzero(new)
@@ -214,19 +272,16 @@ def tokenized(docs: DataFrame, a: str, b: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([column(f, columns.get(f.name), rows) for f in schema], schema=schema)
 
     def run(batches):
-        aligner, chunk = Aligner(Tokenizers(*files.value)), TaskContext.get().partitionId() << 32
+        own, chunk = aligner(*files.value), TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in t.slices(batch, "text", CHUNK):
                 for i in range(0, part.num_rows, 1 << 16):
                     some = part.slice(i, 1 << 16)
-                    found = aligner.texts(some.column(some.schema.get_field_index("text")).to_pylist())
-                    ids = some.column(some.schema.get_field_index("doc_id")).cast(pa.int64())
-                    n = np.array([sum(map(len, x[2])) for x in found], np.int64)
-                    digests = [hashlib.sha256(";".join(x[3]).encode()).hexdigest() if x[3] else "" for x in found]
-                    yield record(len(found), chunk=chunk, row=pa.array(np.arange(len(found), dtype=np.int32)), doc_id=ids, n_a=[x[0] for x in found], n_b=[x[1] for x in found], n_links=n, groups_sha256=digests)
-                    links = np.fromiter((y for x in found for z in x[2] for y in z), U, int(n.sum()))
-                    for a, b, k, popcount, held, dense, stored in planes(links, np.repeat(np.arange(len(found)), n), len(found)):
-                        yield record(len(a), chunk=chunk, a=a, b=b, plane=k, n=popcount, n_documents=held, dense=dense, documents=stored)
+                    (n_a, n_b, n), digests, links = own.texts(some.column(some.schema.get_field_index("text")).to_pylist())
+                    ids, numbers = some.column(some.schema.get_field_index("doc_id")).cast(pa.int64()), np.arange(len(n), dtype=np.int32)
+                    yield record(len(n), chunk=chunk, row=numbers, doc_id=ids, n_a=n_a, n_b=n_b, n_links=n, groups_sha256=digests)
+                    for x, y, k, popcount, held, dense, stored in planes(links, np.repeat(numbers, n), len(n)):
+                        yield record(len(x), chunk=chunk, a=x, b=y, plane=k, n=popcount, n_documents=held, dense=dense, documents=stored)
                     chunk += 1
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -84,16 +84,28 @@ def test_awkward_rows(spark):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from([*" \n\t\r\x0b\x0c\x1c\x85\xa0\u2003\u3000\u2581", *"aZ09.,;:'!#{}()<>/_-", "'s", "the", "ing", " the", "));\r", "\u00e9", "\ufb01", "\u4e2d", "\U0001f642", "e\u0301", "\x00", "<s>", "<0x41>"]), max_size=30))
 def test_cut_texts_give_the_tokens_of_whole_texts(both, parts):
-    text = "".join(parts)
-    m, n, links, groups = al.Aligner(both).texts([text])[0]
-    whole = both.aligned([" " + text])[0] if text else None
-    assert (m, n, [y for z in links for y in z], ";".join(groups)) == (whole if whole else (0, 0, [], ""))
+    cut_as_whole(both, ["".join(parts)])
+
+
+def cut_as_whole(both, texts):
+    """Cut texts give the tokens of whole texts."""
+    counts, digests, links = al.Aligner(both).texts(texts)
+    good, n_a, n_b, n, all_links, groups = both.aligned([" " + (x or "") for x in texts])
+    good &= [bool(x) for x in texts]
+    assert counts.T.tolist() == [[*x] if g else [0, 0, 0] for x, g in zip(zip(n_a.tolist(), n_b.tolist(), n.tolist(), strict=True), good, strict=True)]
+    assert digests == [hashlib.sha256(x).hexdigest() if g else "" for x, g in zip(groups, good, strict=True)]
+    assert links.tolist() == all_links[np.repeat(good, n)].tolist()
 
 
 def test_cut_texts_of_the_tables(both, spark):
     texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
-    for x, (m, n, links, groups) in zip(texts, al.Aligner(both).texts(texts), strict=True):
-        assert (m, n, [y for z in links for y in z], ";".join(groups)) == (both.aligned([" " + x])[0] if x else (0, 0, [], ""))
+    cut_as_whole(both, [*texts, None, "", "a", "a\u2581 b", "x"])
+
+
+def test_ranks_are_the_merges(both, spark):
+    assert both.ranks is not None and both.cuttable
+    texts = [" " + (r.text or "") for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()] + ["", " it's  1st\n\n x!!", "<|endoftext|> \u3000\U0001f642"]
+    assert [both.ranks.encode_ordinary(x) for x in texts] == both.encode_a(texts)
 
 
 def test_planes_hold_every_document():
