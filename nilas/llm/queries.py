@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nilas.llm import alignment, decontaminate, html_text, mixing, ngram_join, periods, pii, quality, sharding, toxicity, url_filter, warc
+from nilas.llm import alignment, decontaminate, html_text, mixing, ngram_join, periods, pii, quality, sharding, substring, toxicity, url_filter, warc
 from nilas.llm.common import ship
 
 
@@ -25,8 +25,9 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_personal_data": pii.op9_personal_data,
     "op10_mixing": mixing.op10_mixing,
-    "op13_alignment": alignment.op13_alignment,
+    "op11_substring_dedup": substring.op11_substring_dedup,
     "op12_periodic_runs": periods.op12_periodic_runs,
+    "op13_alignment": alignment.op13_alignment,
 }
 QUERIES = {name: _with_package(query) for name, query in QUERIES.items()}
 ORACLES = {
@@ -35,4 +36,5 @@ ORACLES = {
     "op5_url_filter": url_filter.SQL,
     "op7_quality_cascade": quality.SQL,
     "op8_decontamination": decontaminate.SQL,
+    "op11_substring_dedup": substring.SQL,
 }
