@@ -263,11 +263,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     different = cut.groupBy("route", "words").agg(F.min("doc_id").alias("low"))
     shards = max(1, -(-int(size) // shard_bytes))
     lows = different.repartition(shards, "route").select("words", "low").mapInArrow(earliest(window), "words string, lows array<long>")
-    lows = saved(lows.select(F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), "lows"), "lows").distinct()
+    lows = saved(lows.select(F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), "lows"), "lows")
     release(spark)
     hits = cut.select("k1", "k2", "doc_id", "key", "start").join(lows, ["k1", "k2"]).where("exists(lows, x -> x < doc_id)")
     marks = hits.select("doc_id", "key", F.expr("filter(transform(lows, (x, i) -> if(x < doc_id, start + i, null)), x -> x IS NOT NULL)").alias("marks"))
-    return marks.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list("marks"))).alias("marks"))
+    marks = saved(marks.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list("marks"))).alias("marks")), "marks")
+    drop(cut, lows)
+    release(spark)
+    return marks
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
