@@ -73,3 +73,18 @@ def membership(entries: DataFrame, models: DataFrame) -> DataFrame:
     named = entries.join(models.select(normalised(F.col("label")).alias("_l")), normalised(F.col("member")) == F.col("_l"), "left_anti")
     by_index = named.withColumn("position", index).join(models, "position").select("group", F.col("label").alias("dataset"))
     return by_label.unionByName(by_index).distinct()
+
+
+def coverage(field: DataFrame, valid: Column, needed: list[str], keys=("time", "y", "x")) -> DataFrame:
+    """field with `matched`: whether its own value and those of all `needed` datasets are valid at its time and cell. A bitmap of the needed datasets is put together over the rows of each time and cell, which are as many as datasets."""
+    bit = F.lit(0)
+    for k, name in enumerate(needed):
+        bit = F.when(F.col("dataset") == name, 1 << k).otherwise(bit)
+    held = F.bit_or(F.when(valid, bit).otherwise(F.lit(0))).over(Window.partitionBy(*keys))
+    return field.withColumn("matched", F.coalesce(valid, F.lit(False)) & (held == (1 << len(needed)) - 1))
+
+
+def coverage_modes(field: DataFrame) -> DataFrame:
+    """Rows of `coverage` once for own coverage and, where matched, once more for matched coverage."""
+    modes = F.when(F.col("matched"), F.array(F.lit("own"), F.lit("matched"))).otherwise(F.array(F.lit("own")))
+    return field.withColumn("coverage_mode", F.explode(modes))

@@ -23,12 +23,14 @@ def haversine(lat0: Column, lon0: Column, lat1: Column, lon1: Column, radius: fl
 
 
 def distances(grid: DataFrame) -> DataFrame:
-    """hx and hy: cumulative distances in m along x and along y."""
+    """hx and hy: cumulative distances in m along x and along y, from the first cell of each row and column; null beyond a missing cell."""
     out = grid
     for name, along, across in (("hx", "x", "y"), ("hy", "y", "x")):
         w = Window.partitionBy(across).orderBy(along)
-        step = haversine(F.col("lat"), F.col("lon"), F.lag("lat").over(w), F.lag("lon").over(w)) * 1000
-        out = out.withColumn("_d", F.coalesce(step, F.lit(0.0))).withColumn(name, F.sum("_d").over(w)).drop("_d")
+        before = w.rangeBetween(-1, -1)  # by coordinate
+        step = haversine(F.col("lat"), F.col("lon"), F.first("lat").over(before), F.first("lon").over(before)) * 1000
+        unbroken = F.count(F.lit(1)).over(w) == F.col(along) - F.min(along).over(w) + 1
+        out = out.withColumn("_d", F.coalesce(step, F.lit(0.0))).withColumn(name, F.when(unbroken, F.sum("_d").over(w))).drop("_d")
     return out
 
 

@@ -47,35 +47,6 @@ def conservative(source: DataFrame, target: DataFrame, value: str) -> DataFrame:
     return overlaps(source.where(F.col(value).isNotNull()), target).groupBy("y", "x").agg((F.sum(F.col("overlap") * F.col(value)) / F.sum("overlap")).alias("value"))
 
 
-def nearest(source: DataFrame, target: DataFrame, value: str, reach: float = 2.0) -> DataFrame:
-    """Value of the nearest source cell by great-circle distance, wherever it is; the smallest (sy, sx) of equally near ones.
-
-    Cells meet in cubes of `reach` degrees on unit vectors, which know neither a date line nor a pole. A source within `reach` is
-    certainly in the 27 cubes around its target; targets that have none meet in cubes four times as wide, up to the whole sphere.
-    """
-    from nilas.operators.budget import haversine
-
-    def placed(df: DataFrame, lat: str, lon: str, size: float) -> DataFrame:
-        a, b = F.radians(lat), F.radians(lon)
-        vector = {"_bx": F.cos(a) * F.cos(b), "_by": F.cos(a) * F.sin(b), "_bz": F.sin(a)}
-        return df.withColumns({k: F.floor(x / size).cast("int") for k, x in vector.items()})
-
-    d = F.round(haversine(F.col("tlat"), F.col("tlon"), F.col("slat"), F.col("slon")), 6)
-    left, size, found = target, math.radians(reach), None
-    while True:
-        spread = placed(left, "tlat", "tlon", size)
-        for c in ("_bx", "_by", "_bz"):
-            spread = spread.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
-        near = spread.join(placed(source, "slat", "slon", size), ["_bx", "_by", "_bz"])
-        if size < 2:
-            near = near.where(d <= 2 * RADIUS_M / 1000 * math.asin(size / 2))
-        own = near.groupBy("y", "x").agg(F.min_by(value, F.struct(d, "sy", "sx")).alias("value"))
-        found = own if found is None else found.unionByName(own)
-        if size >= 2:
-            return found
-        left, size = left.join(own, ["y", "x"], "left_anti"), size * 4
-
-
 def quadrilateral_area(sides: list[Column]) -> Column:
     """Brahmagupta's area of a quadrilateral with four side lengths."""
     s = (sides[0] + sides[1] + sides[2] + sides[3]) / 2
@@ -88,11 +59,11 @@ def rectilinear_area(lon_step: Column, lat0: Column, lat1: Column) -> Column:
 
 
 def curvilinear_area(grid: DataFrame) -> DataFrame:
-    """Area from gradients of lon and lat along x and y, one-sided at the edges."""
+    """Area from gradients of lon and lat along x and y, one-sided where the neighbour on a side is missing; null without a neighbour on either side."""
     wx, wy = Window.partitionBy("y").orderBy("x"), Window.partitionBy("x").orderBy("y")
 
     def grad(c: str, w) -> Column:
-        before, after = F.lag(c).over(w), F.lead(c).over(w)
+        before, after = (F.first(c).over(w.rangeBetween(k, k)) for k in (-1, 1))  # by coordinate, so that a missing cell makes no neighbours
         return F.when(before.isNull(), after - F.col(c)).when(after.isNull(), F.col(c) - before).otherwise((after - before) / 2)
 
     r, k = SOURCE_RADIUS_M, F.cos(F.radians("lat"))

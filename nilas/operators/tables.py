@@ -59,13 +59,24 @@ def average_rank(value: str, keys) -> Column:
     return F.rank().over(w) + (F.count("*").over(ties) - 1) / 2
 
 
+#: A prime and multipliers of the generator of shuffles: whole numbers under 2 to the 62, so that any engine gives the same.
+PRIME, BY_DRAW, BY_PLACE, AGAIN = 2147483647, 69621, 16807, 48271
+
+
+def shuffle_key(draw: str, place: str) -> str:
+    """SQL, for Spark and others, of the number by which a place is sorted in a draw."""
+    first = f"(({BY_DRAW} * {draw} + {BY_PLACE} * {place} + 1) % {PRIME})"
+    second = f"(({first} * {first} + {AGAIN} * {draw} + {place}) % {PRIME})"
+    return f"(({second} * {second} + {BY_PLACE} * {first}) % {PRIME})"
+
+
 def permutation_p(pairs: DataFrame, draws: int = 1200, id_: str = "id") -> DataFrame:
-    """Share of shuffles whose |r| reaches the observed one, (hits + 1) / (draws + 1); three pairs at least. Shuffles order rows by a hash of draw and id, so they repeat; pairs are a small table of datasets."""
+    """Share of shuffles whose |r| reaches the observed one, (hits + 1) / (draws + 1); three pairs at least. Shuffles sort places by arithmetic on draw and place, so they repeat; pairs are a small table of datasets."""
     points = pairs.withColumn("_k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(id_)))
     observed = pairs.agg(F.abs(correlation(F.col("y"), F.col("x"))).alias("_r"), F.count("*").alias("_n"))
-    draw = F.explode(F.sequence(F.lit(1), F.lit(draws)))
-    left = points.select(draw.alias("draw"), "_k", "x")
-    right = points.select(draw.alias("draw"), id_, "y").select("draw", "y", F.row_number().over(Window.partitionBy("draw").orderBy(F.xxhash64("draw", id_), id_)).alias("_k"))
+    draw = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(draws).cast("long")))
+    left = points.select(draw.alias("draw"), F.col("_k").cast("long").alias("_k"), "x")
+    right = points.select(draw.alias("draw"), F.col("_k").cast("long").alias("_k"), "y").select("draw", "y", F.row_number().over(Window.partitionBy("draw").orderBy(F.expr(shuffle_key("draw", "_k")), "_k")).cast("long").alias("_k"))
     rs = left.join(right, ["draw", "_k"]).groupBy("draw").agg(F.abs(correlation(F.col("y"), F.col("x"))).alias("r"))
     hits = rs.crossJoin(F.broadcast(observed)).groupBy("_r", "_n").agg(F.sum((F.col("r") >= F.col("_r") - 1e-12).cast("int")).alias("hits"))
     return hits.where("_n >= 3").select(F.col("_r").alias("r"), ((F.col("hits") + 1) / (draws + 1)).alias("p"))
@@ -87,8 +98,46 @@ def leave_one_out(pairs: DataFrame, id_: str = "id") -> DataFrame:
 
 
 def screen(rows: DataFrame, by: str, least: int = 4) -> DataFrame:
-    """Correlation and regression of every pair of metrics over the datasets they share."""
-    a = rows.select(F.col("metric").alias("metric_x"), by, F.col("value").alias("x"))
-    b = rows.select(F.col("metric").alias("metric_y"), by, F.col("value").alias("y"))
-    pairs = a.join(b, by).where("metric_x < metric_y")
+    """Correlation and regression of every pair of metrics over the datasets they share.
+
+    The rows are shuffled once: each dataset's metrics (as many as there are metrics) are gathered and their pairs go straight into partial moments, of which a task sends one row a pair on. Rows without a value are left out.
+    """
+    held = rows.where(F.col("value").isNotNull()).groupBy(by).agg(F.collect_list(F.struct(F.col("metric").alias("m"), F.col("value").alias("v"))).alias("_held"))
+    pairs = held.select(F.explode("_held").alias("a"), "_held").select("a", F.explode(F.filter("_held", lambda b: b["m"] > F.col("a.m"))).alias("b"))
+    pairs = pairs.select(F.col("a.m").alias("metric_x"), F.col("b.m").alias("metric_y"), F.col("a.v").alias("x"), F.col("b.v").alias("y"))
     return pairs.groupBy("metric_x", "metric_y").agg(F.count("*").alias("n"), regression("y", "x").alias("reg")).where(F.col("n") >= least).select("metric_x", "metric_y", "n", "reg.r", "reg.slope", "reg.intercept")
+
+
+#: Bins of one pass of `quantiles`, and passes before values are counted singly.
+BINS, PASSES = 4096, 3
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float], bins: int = BINS, passes: int = PASSES) -> DataFrame:
+    """(keys, share, value): exact quantiles between ranks, as `percentile` gives them. Null and NaN values don't count.
+
+    Each pass counts the values of each bin of a range, by partial aggregation, and keeps the bin that holds a wanted rank; the next pass divides what that bin really spans. At last the different values that remain are counted
+    singly. So no task holds a key's values: a window sees at most `bins` rows a key and rank, and in the end the different values of one small bin.
+    """
+    rows = rows.select(*keys, F.nanvl(F.col(value), F.lit(None).cast("double")).alias("_v")).where("_v IS NOT NULL")
+    ranks = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    wanted = F.explode(F.array(*(F.struct(F.lit(s).alias("share"), (F.lit(s) * (F.col("_n") - 1)).alias("at")) for s in shares)))
+    ranks = ranks.withColumn("_w", wanted).select(*keys, "_lo", "_hi", F.col("_w.share").alias("share"), F.col("_w.at").alias("_at"), F.explode(F.array_distinct(F.array(F.floor("_w.at"), F.ceil("_w.at")))).alias("_rank"))
+    # the rank inside what is left of the range
+    goals = ranks.select(*keys, "_lo", "_hi", F.col("_rank").alias("_goal"), F.col("_rank").alias("_left")).distinct()
+
+    def inside(goals: DataFrame) -> DataFrame:
+        return rows.join(goals, keys).where("_v BETWEEN _lo AND _hi") if keys else rows.crossJoin(goals).where("_v BETWEEN _lo AND _hi")
+
+    def chosen(counted: DataFrame, order: str) -> DataFrame:
+        before = F.sum("_count").over(Window.partitionBy(*keys, "_goal").orderBy(order)) - F.col("_count")
+        return counted.withColumn("_before", before).where("_left >= _before AND _left < _before + _count").withColumn("_left", F.col("_left") - F.col("_before"))
+
+    for _ in range(passes):
+        width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+        bin_ = F.least(F.lit(bins - 1), F.coalesce(F.floor((F.col("_v") - F.col("_lo")) / width * bins), F.lit(0)))
+        counted = inside(goals).groupBy(*keys, "_goal", "_left", bin_.alias("_bin")).agg(F.count("*").alias("_count"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        goals = chosen(counted, "_bin").select(*keys, "_lo", "_hi", "_goal", "_left")
+    counted = inside(goals).groupBy(*keys, "_goal", "_left", "_v").agg(F.count("*").alias("_count"))
+    found = chosen(counted, "_v").select(*keys, F.col("_goal").alias("_rank"), "_v")
+    part = 1 - F.abs(F.col("_at") - F.col("_rank"))
+    return ranks.join(found, [*keys, "_rank"]).groupBy(*keys, "share").agg(F.sum(F.col("_v") * part).alias("value"))

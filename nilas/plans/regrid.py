@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from nilas.functions.stats import rounded as r
 from nilas.functions.stats import sql_round as q
 from nilas.operators import regrid as g
+from nilas.operators import remap as m
 from nilas.plans.registry import query
 from nilas.plans.trends import rounded
 
@@ -34,7 +35,39 @@ query("R3_area_extensive", f"WITH {BOX} SELECT y, x, {q('sum(w * sic * (2 + sx %
 )
 HAV = "2 * 6378.137 * asin(sqrt(pow(sin(abs(radians(tlat) - radians(slat)) / 2), 2) + cos(radians(tlat)) * cos(radians(slat)) * pow(sin(abs(radians(tlon) - radians(slon)) / 2), 2)))"
 query("R4_nearest", f"WITH s AS (SELECT y AS sy, x AS sx, lat AS slat, lon / 5 AS slon, region FROM grid), t AS (SELECT y, x, lat + 0.3 AS tlat, lon / 5 + 0.4 AS tlon FROM grid), n AS (SELECT t.y, t.x, region, round({HAV}, 6) AS d, sy, sx FROM t CROSS JOIN s) SELECT y, x, arg_min(region, (d, sy, sx)) AS value FROM n GROUP BY ALL")(
-    lambda v: g.nearest(v.grid.select(F.col("y").alias("sy"), F.col("x").alias("sx"), F.col("lat").alias("slat"), (F.col("lon") / 5).alias("slon"), "region"), v.grid.select("y", "x", (F.col("lat") + 0.3).alias("tlat"), (F.col("lon") / 5 + 0.4).alias("tlon")), "region")
+    lambda v: m.nearest(v.grid.select(F.col("y").alias("sy"), F.col("x").alias("sx"), F.col("lat").alias("slat"), (F.col("lon") / 5).alias("slon"), "region"), v.grid.select("y", "x", (F.col("lat") + 0.3).alias("tlat"), (F.col("lon") / 5 + 0.4).alias("tlon")), "region")
+)
+
+# Sources in longitude and latitude: a global field on uneven axes, whose cells meet again at 360 degrees.
+LON, LAT = "CAST(45 * x + 3 * (x % 2) AS DOUBLE)", "CAST(-80 + 9 * y + y * y AS DOUBLE)"
+TARGETS = "tg AS (SELECT y, x, CAST(47.5 * x - 31 AS DOUBLE) AS tlon, CAST(-79.5 + 14 * y AS DOUBLE) AS tlat FROM grid)"
+source_axes = lambda v: v.field.select("dataset", "time", "x", "y", F.expr(LON).alias("lon"), F.expr(LAT).alias("lat"), "sic")
+targets = lambda v: v.grid.select("y", "x", F.expr("CAST(47.5 * x - 31 AS DOUBLE)").alias("tlon"), F.expr("CAST(-79.5 + 14 * y AS DOUBLE)").alias("tlat"))
+query("R2_bilinear_lonlat", f"""WITH s AS (SELECT dataset, time, {LON} AS lon, {LAT} AS lat, sic FROM field), {TARGETS},
+    ax AS (SELECT lon, coalesce(lead(lon) OVER (ORDER BY lon), (SELECT min(lon) FROM s) + 360) AS hi FROM (SELECT DISTINCT lon FROM s)),
+    ay AS (SELECT lat, lead(lat) OVER (ORDER BY lat) AS hi, (SELECT max(lat) FROM s) AS top FROM (SELECT DISTINCT lat FROM s)),
+    tn AS (SELECT y, x, tlat, tlon - 360 * floor(tlon / 360) AS tlon FROM tg),
+    wt AS (SELECT y, x, ax.lon AS x0, ax.hi - 360 * floor(ax.hi / 360) AS x1, ay.lat AS y0, ay.hi AS y1, (tlon - ax.lon) / (ax.hi - ax.lon) AS fx, (tlat - ay.lat) / (ay.hi - ay.lat) AS fy
+      FROM tn JOIN ax ON tlon >= ax.lon AND tlon < ax.hi JOIN ay ON tlat >= ay.lat AND (tlat < ay.hi OR (ay.hi = top AND tlat = top)) WHERE ay.hi IS NOT NULL),
+    c AS (SELECT y, x, x0 AS lon, y0 AS lat, (1 - fx) * (1 - fy) AS w FROM wt UNION ALL SELECT y, x, x1, y0, fx * (1 - fy) FROM wt UNION ALL SELECT y, x, x0, y1, (1 - fx) * fy FROM wt UNION ALL SELECT y, x, x1, y1, fx * fy FROM wt)
+    SELECT dataset, time, c.y, c.x, {q('sum(w * sic) / sum(w)')} AS value FROM c JOIN s ON s.lon = c.lon AND s.lat = c.lat WHERE w > 0 GROUP BY ALL""")(
+    lambda v: rounded(m.bilinear_lonlat(source_axes(v), targets(v), "sic", ["y", "x"], ["dataset", "time"]), "dataset", "time", "y", "x")
+)
+BOXES = {"slon0": "45.0D * x", "slon1": "45.0D * x + 45", "slat0": "-90 + 10.0D * y", "slat1": "-80 + 10.0D * y"}
+AIMS = {"tlon0": "30.0D * x - 20", "tlon1": "30.0D * x + 10 + 60 * (x % 2)", "tlat0": "-88 + 12.0D * y", "tlat1": "-76 + 12.0D * y + (y % 2) * 0.5D"}
+_sql = lambda e: e.replace("0D", "0").replace("5D", "5")
+box_source = lambda v: v.field.select("dataset", "time", "y", "x", "sic", *(F.expr(e).cast("double").alias(k) for k, e in BOXES.items()), (1e6 * (2 + F.col("x") % 3)).alias("s_area"))
+box_target = lambda v: v.grid.select(F.col("y").alias("ty"), F.col("x").alias("tx"), *(F.expr(e).cast("double").alias(k) for k, e in AIMS.items()), (1e6 * (1 + F.col("y") % 2)).alias("t_area"))
+# boxes cross 360 degrees by at most one turn, so three turns of the source meet every target
+SPHERE = f"""sb AS (SELECT dataset, time, sic, 1e6 * (2 + x % 3) AS sa, {', '.join(f'CAST({_sql(e)} AS DOUBLE) AS {k}' for k, e in BOXES.items())} FROM field),
+    tb AS (SELECT y AS ty, x AS tx, 1e6 * (1 + y % 2) AS ta, {', '.join(f'CAST({_sql(e)} AS DOUBLE) AS {k}' for k, e in AIMS.items())} FROM grid),
+    ov AS (SELECT *, radians(least(slon1 + k, tlon1) - greatest(slon0 + k, tlon0)) * (sin(radians(least(slat1, tlat1))) - sin(radians(greatest(slat0, tlat0)))) AS w, radians(slon1 - slon0) * (sin(radians(slat1)) - sin(radians(slat0))) AS a
+      FROM sb JOIN (VALUES (-360), (0), (360)) z(k) ON true JOIN tb ON slon0 + k < tlon1 AND tlon0 < slon1 + k AND slat0 < tlat1 AND tlat0 < slat1)"""
+query("R3_conservative_lonlat", f"WITH {SPHERE} SELECT dataset, time, ty, tx, {q('sum(w * sic) / sum(w)')} AS value FROM ov GROUP BY ALL")(
+    lambda v: rounded(m.conservative_lonlat(box_source(v), box_target(v), "sic", ["ty", "tx"], ["dataset", "time"], ["y", "x"]), "dataset", "time", "ty", "tx")
+)
+query("R3_area_extensive_lonlat", f"WITH {SPHERE} SELECT dataset, time, ty, tx, {q('sum(w / a * sic * sa) / ta')} AS value FROM ov GROUP BY dataset, time, ty, tx, ta")(
+    lambda v: rounded(m.conservative_lonlat(box_source(v), box_target(v), "sic", ["ty", "tx"], ["dataset", "time"], ["y", "x"], ("s_area", "t_area")), "dataset", "time", "ty", "tx")
 )
 SIDES = ["x % 3 + 2.0", "y % 2 + 3.0", "x % 2 + 2.5", "y % 3 + 3.5"]
 query("R5_quadrilateral_area", f"WITH s AS (SELECT y, x, {', '.join(f'CAST({e} AS DOUBLE) AS s{i}' for i, e in enumerate(SIDES))} FROM grid), h AS (SELECT *, (s0 + s1 + s2 + s3) / 2 AS h FROM s) SELECT y, x, {q('sqrt(greatest(0, (h - s0) * (h - s1) * (h - s2) * (h - s3)))')} AS area FROM h")(

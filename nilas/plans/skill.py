@@ -52,7 +52,7 @@ query("J6_vector_match", f"WITH {sql_pairs(['u', 'v'])} SELECT y, x, count(*) AS
     lambda v: pairs(v, ["u", "v"]).where(" AND ".join(f"nullif({x}, 0D) IS NOT NULL" for x in ("u", "v", "u2", "v2"))).groupBy("y", "x").agg(F.count("*").alias("n"))
 )
 query("J7_external_mask", "SELECT dataset, time, f.y, f.x, CASE WHEN m.region IS NOT NULL THEN sic END AS sic FROM field f LEFT JOIN (SELECT * FROM grid WHERE region <= 3) m ON m.y = f.y AND m.x = f.x")(
-    lambda v: a.masked(v.field.select("dataset", "time", "y", "x", "sic"), F.broadcast(v.grid.where("region <= 3")), ["sic"])
+    lambda v: a.masked(v.field.select("dataset", "time", "y", "x", "sic"), v.grid.where("region <= 3"), ["sic"])
 )
 query("J8_field_with_area", "SELECT dataset, time, y, x, sic, cell_area FROM fieldg")(lambda v: v.field_grid.select("dataset", "time", "y", "x", "sic", "cell_area"))
 query("J9_climatology_to_series", f"SELECT dataset, y, x, time, {q('avg(sic) OVER (PARTITION BY dataset, y, x, mo)')} AS clim FROM field")(

@@ -14,7 +14,8 @@ from nilas.functions.stats import sql_round as q
 from nilas.operators import clean as p
 from nilas.operators import climatology as c
 from nilas.operators import tables as t
-from nilas.operators.align import both_zero_mask
+from nilas.operators.align import both_zero_mask, coverage_modes
+from nilas.operators.align import coverage as align_coverage
 from nilas.operators.trends import period_statistics
 from nilas.plans.climatology import SERIES, series
 from nilas.plans.registry import query
@@ -67,9 +68,6 @@ def stored(v, label, write, read):
 
 
 query("S11_metric_store", SQL_V6)(lambda v: stored(v, "metrics", f.write_metrics, v.spark.read.parquet).select(*period_table(v).columns))
-query("S12_merged_store", f"WITH {SERIES} SELECT 'area' AS metric, dataset, sector, time, {q('area')} AS value FROM series UNION ALL SELECT 'extent', dataset, sector, time, {q('extent')} FROM series")(
-    lambda v: (lambda s: s("area").unionByName(s("extent")))(lambda m: series(v).select(F.lit(m).alias("metric"), "dataset", "sector", "time", r(F.col(m)).alias("value")))
-)
 query("S13_json_export", SQL_V6)(lambda v: stored(v, "json", f.write_json, lambda path: v.spark.read.schema(period_table(v).schema).json(path)))
 query("S14_csv_export", SQL_V6)(lambda v: stored(v, "csv", f.write_csv, lambda path: v.spark.read.schema(period_table(v).schema).option("header", True).csv(path)))
 
@@ -117,7 +115,12 @@ query("P25_significance_star", "SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN
 
 # Order, quantiles, ranks, sets, checks.
 query("O1_sorted_series", f"WITH {SERIES} SELECT row_number() OVER (PARTITION BY dataset, sector ORDER BY time) AS n, dataset, sector, time FROM series")(lambda v: series(v).select(F.row_number().over(Window.partitionBy("dataset", "sector").orderBy("time")).cast("long").alias("n"), "dataset", "sector", "time"))
-query("O2_value_ranges", f"SELECT dataset, {', '.join(f'{q(f"greatest(quantile_cont(thick, 0.{d}), 0.5)")} AS p{d}' for d in (95, 98, 99))} FROM field GROUP BY 1")(lambda v: v.field.groupBy("dataset").agg(*(r(F.greatest(F.percentile("thick", d / 100), F.lit(0.5))).alias(f"p{d}") for d in (95, 98, 99))))
+query("O2_value_ranges", f"SELECT dataset, {', '.join(f'{q(f"greatest(quantile_cont(thick, 0.{d}), 0.5)")} AS p{d}' for d in (95, 98, 99))} FROM field GROUP BY 1")(
+    lambda v: t.quantiles(v.field, ["dataset"], "thick", [0.95, 0.98, 0.99]).groupBy("dataset").agg(*(r(F.greatest(F.max(F.when(F.col("share") == d / 100, F.col("value"))), F.lit(0.5))).alias(f"p{d}") for d in (95, 98, 99)))
+)
+query("O2_price_ranges", " UNION ALL ".join(f"SELECT l_returnflag, l_linestatus, CAST({x} AS DOUBLE) AS share, {q(f'quantile_cont(l_extendedprice, {x})')} AS value FROM lineitem GROUP BY ALL" for x in (0.02, 0.5, 0.98)))(
+    lambda v: t.quantiles(v.table("lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", [0.02, 0.5, 0.98]).withColumn("value", r(F.col("value")))
+)
 query("O3_average_ranks", "SELECT c_custkey, c_nationkey, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_mktsegment, c_nationkey) - 1) / 2 AS rank FROM customer")(lambda v: v.table("customer").select("c_custkey", "c_nationkey", t.average_rank("c_nationkey", ["c_mktsegment"]).alias("rank")))
 ORDER = "CASE WHEN starts_with(dataset, 'obs') THEN 0 WHEN starts_with(dataset, 'group') THEN 1 ELSE 2 END"
 STACK = "SELECT dataset, avg(thick) AS m FROM field GROUP BY 1 UNION ALL SELECT 'group ' || \"group\", avg(thick) FROM field JOIN ensemble ON member = dataset GROUP BY 1"
@@ -208,15 +211,29 @@ query("B9_scalar_differences", f"WITH m AS (SELECT dataset, avg(sic) AS m FROM f
 query("B10_units", "WITH n AS (SELECT DISTINCT ['extent_trend', 'ice_area', 'thick_mean', 'kinetic_energy', 'speed_std', 'other'][CAST(p_partkey % 6 AS INT) + 1] AS name FROM part) SELECT name, CASE WHEN contains(name, 'trend') AND contains(name, 'extent') THEN '10^6 km2/decade' WHEN contains(name, 'extent') OR contains(name, 'area') THEN '10^6 km2' WHEN starts_with(name, 'thick') THEN 'm' WHEN contains(name, 'energy') THEN 'm2/s2' WHEN starts_with(name, 'speed') THEN 'm/s' ELSE '' END AS unit FROM n")(
     lambda v: v.table("part").select(F.element_at(F.array(*map(F.lit, ("extent_trend", "ice_area", "thick_mean", "kinetic_energy", "speed_std", "other"))), (F.col("p_partkey") % 6).cast("int") + 1).alias("name")).distinct().select("name", t.unit(F.col("name")).alias("unit"))
 )
-KE = "ke AS (SELECT dataset, (yr - 1995) * 12 + mo - 1 AS i, avg((u * u + v * v) / 2) * 1e3 AS e FROM field {} GROUP BY ALL)"
-query("B11_drift_anomaly_summary", f"WITH {KE.format('')} SELECT dataset, {q('stddev_pop(e)', 4)} AS std, {q(sql_slope('e', 'i') + ' * 120', 4)} AS trend, {q(sql_rest('e', 'i'), 4)} AS detrended FROM ke GROUP BY 1")(
-    lambda v: v.field.groupBy("dataset", ((F.col("yr") - 1995) * 12 + F.col("mo") - 1).alias("i")).agg((F.avg((F.col("u") ** 2 + F.col("v") ** 2) / 2) * 1e3).alias("e")).groupBy("dataset").agg(F.stddev_pop("e").alias("s"), regression("e", "i").alias("reg"))
-    .select("dataset", r(F.col("s"), 4).alias("std"), r(F.col("reg.slope") * 120, 4).alias("trend"), r(F.col("reg.rest"), 4).alias("detrended"))
-)
+#: Both observations and the dataset itself have a drift at the time and cell.
+OBSERVED = ["obs1", "obs2"]
+MOVES = "nullif(u, 0) IS NOT NULL AND nullif(v, 0) IS NOT NULL"
+SQL_COVERAGE = f"""cv AS (SELECT *, {MOVES} AS ok, bool_or(dataset = 'obs1' AND {MOVES}) OVER w AND bool_or(dataset = 'obs2' AND {MOVES}) OVER w AND {MOVES} AS matched FROM field WINDOW w AS (PARTITION BY time, y, x)),
+    md AS (SELECT *, 'own' AS coverage_mode FROM cv UNION ALL SELECT *, 'matched' FROM cv WHERE matched)"""
+
+
+def covered(v):
+    """The field's rows by coverage mode."""
+    return coverage_modes(align_coverage(v.field, F.expr(MOVES.replace("0)", "0D)")), OBSERVED))
 
 
+def anomaly_summary(v):
+    """Kinetic energy by month, its anomalies from the month's climatology, and their deviation, trend a decade and detrended deviation."""
+    e = covered(v).where(MOVES.replace("0)", "0D)")).groupBy("coverage_mode", "dataset", "yr", "mo").agg((F.avg((F.col("u") ** 2 + F.col("v") ** 2) / 2) * 1e3).alias("e"))
+    a = c.anomaly(e, "e", ["coverage_mode", "dataset"]).withColumn("i", F.col("yr") * 12 + F.col("mo"))
+    s = a.groupBy("coverage_mode", "dataset").agg(F.stddev_pop("anomaly").alias("s"), regression("anomaly", "i").alias("reg"), F.count("anomaly").alias("n")).where("n >= 2")
+    return s.select("coverage_mode", "dataset", r(F.col("s"), 4).alias("std"), r(F.col("reg.slope") * 120, 4).alias("trend"), r(F.col("reg.rest"), 4).alias("detrended"))
 
 
+query("B11_drift_anomaly_summary", f"""WITH {SQL_COVERAGE}, ke AS (SELECT coverage_mode, dataset, yr, mo, avg((u * u + v * v) / 2) * 1e3 AS e FROM md WHERE ok GROUP BY ALL),
+    an AS (SELECT coverage_mode, dataset, yr * 12 + mo AS i, e - avg(e) OVER (PARTITION BY coverage_mode, dataset, mo) AS a FROM ke)
+    SELECT coverage_mode, dataset, {q('stddev_pop(a)', 4)} AS std, {q(sql_slope('a', 'i') + ' * 120', 4)} AS trend, {q(sql_rest('a', 'i'), 4)} AS detrended FROM an GROUP BY ALL HAVING count(a) >= 2""")(anomaly_summary)
 MATCH = "(SELECT f.* FROM field f WHERE EXISTS (SELECT 1 FROM field o WHERE o.dataset = 'obs1' AND (o.yr, o.mo, o.y, o.x) = (f.yr, f.mo, f.y, f.x)))"
 query("B13_coverage_views", "WITH a AS (SELECT 'own' AS coverage_mode, dataset, avg(thick) AS m FROM field GROUP BY ALL UNION ALL SELECT 'matched', dataset, avg(thick) FROM " + MATCH + f" GROUP BY ALL) SELECT coverage_mode, 'raw' AS view_mode, dataset, {q('m')} AS value FROM a UNION ALL SELECT a.coverage_mode, 'difference', a.dataset, {q('abs(a.m - o.m)')} FROM a JOIN (SELECT * FROM a WHERE dataset = 'obs1') o USING (coverage_mode)")(lambda v: coverage(v))
 
@@ -230,6 +247,24 @@ def coverage(v):
     return both.select("coverage_mode", "view_mode", "dataset", r(F.col("m")).alias("value"))
 
 
+COVERED = {"thickness": "sum(thick * cell_area) / sum(cell_area)", "speed": "avg(sqrt(u * u + v * v))", "energy": "avg((u * u + v * v) / 2) * 1000"}
+
+
+def sector_coverage(v):
+    """Own and matched coverage, raw values and differences from the first observation, by sector, for several metrics."""
+    rows = covered(v).where(MOVES.replace("0)", "0D)")).join(v.grid, ["y", "x"]).join(v.sectors, "region")
+    raw = rows.groupBy("coverage_mode", "sector", "dataset").agg(*(F.expr(e).alias(m) for m, e in COVERED.items()))
+    raw = raw.unpivot(["coverage_mode", "sector", "dataset"], list(COVERED), "metric", "value")
+    apart = t.differences(raw, ["coverage_mode", "sector", "metric"], "value")
+    both = raw.withColumn("view_mode", F.lit("raw")).unionByName(apart.withColumn("view_mode", F.lit("difference")))
+    return both.select("coverage_mode", "view_mode", "sector", "metric", "dataset", r(F.col("value")).alias("value"))
+
+
+query("B13_sector_coverage", f"""WITH {SQL_COVERAGE}, wd AS (SELECT coverage_mode, sector, dataset, {', '.join(f'{e} AS {m}' for m, e in COVERED.items())} FROM md JOIN grid USING (y, x) JOIN sectors USING (region) WHERE ok GROUP BY ALL),
+    rw AS (UNPIVOT wd ON {', '.join(COVERED)} INTO NAME metric VALUE value)
+    SELECT coverage_mode, 'raw' AS view_mode, sector, metric, dataset, {q('value')} AS value FROM rw
+    UNION ALL SELECT a.coverage_mode, 'difference', a.sector, a.metric, a.dataset, {q('abs(a.value - o.value)')} FROM rw a JOIN (SELECT * FROM rw WHERE dataset = 'obs1') o USING (coverage_mode, sector, metric)""")(sector_coverage)
+
 # Statistics across tables: a point a nation.
 PTS = "cx AS (SELECT c_nationkey AS id, CAST(round(avg(c_acctbal)) AS DOUBLE) AS x FROM customer GROUP BY 1), sy AS (SELECT s_nationkey AS id, CAST(round(avg(s_acctbal)) AS DOUBLE) AS y FROM supplier GROUP BY 1), pts AS (SELECT id, x, y FROM cx JOIN sy USING (id))"
 
@@ -244,7 +279,10 @@ query("X2_spearman", f"WITH {PTS}, k AS (SELECT rank() OVER (ORDER BY x) + (coun
     lambda v: points(v).withColumn("k", F.lit(0)).withColumns({"rx": t.average_rank("x", ["k"]), "ry": t.average_rank("y", ["k"])}).agg(r(correlation(F.col("ry"), F.col("rx"))).alias("rho"))
 )
 query("X3_least_squares", f"WITH {PTS} SELECT {q('regr_slope(y, x)')} AS slope, {q('regr_intercept(y, x)', 3)} AS intercept FROM pts")(lambda v: points(v).agg(regression("y", "x").alias("s")).select(r(F.col("s.slope")).alias("slope"), r(F.col("s.intercept"), 3).alias("intercept")))
-query("X4_permutation_p")(lambda v: t.permutation_p(points(v)))
+query("X4_permutation_p", f"""WITH {PTS}, k AS (SELECT id, x, y, row_number() OVER (ORDER BY id) AS k FROM pts), dr AS (SELECT unnest(range(1, 1201)) AS draw),
+    sh AS (SELECT draw, y, row_number() OVER (PARTITION BY draw ORDER BY {t.shuffle_key('draw', 'k')}, k) AS k FROM k CROSS JOIN dr),
+    rs AS (SELECT sh.draw, abs({sql_corr('sh.y', 'k.x')}) AS r FROM sh JOIN k USING (k) GROUP BY 1), o AS (SELECT abs({sql_corr('y', 'x')}) AS r, count(*) AS n FROM pts)
+    SELECT {q('o.r')} AS r, {q('(count(CASE WHEN rs.r >= o.r - 1e-12 THEN 1 END) + 1) / 1201.0')} AS p FROM rs CROSS JOIN o WHERE o.n >= 3 GROUP BY o.r""")(lambda v: rounded(t.permutation_p(points(v))))
 query("X5_quadrants", f"WITH {PTS}, m AS (SELECT *, avg(x) OVER () AS mx, avg(y) OVER () AS my FROM pts) SELECT count(CASE WHEN x >= mx AND y >= my THEN 1 END) AS q1, count(CASE WHEN x < mx AND y >= my THEN 1 END) AS q2, count(CASE WHEN x < mx AND y < my THEN 1 END) AS q3, count(CASE WHEN x >= mx AND y < my THEN 1 END) AS q4 FROM m")(
     lambda v: (lambda d: d.crossJoin(F.broadcast(d.agg(F.avg("x").alias("mx"), F.avg("y").alias("my")))).agg(*(F.count(F.when(F.expr(e), 1)).alias(n) for n, e in (("q1", "x >= mx AND y >= my"), ("q2", "x < mx AND y >= my"), ("q3", "x < mx AND y < my"), ("q4", "x >= mx AND y < my")))))(points(v))
 )

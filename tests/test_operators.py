@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from nilas.functions.stats import METRICS, metric, regression, student_p
-from nilas.operators import align, budget, clean, climatology, domains, integrals, regrid, skill, tables, transition, trends
-from nilas.sources import files
+from nilas.operators import align, budget, clean, climatology, domains, integrals, regrid, remap, skill, tables, transition, trends
+from nilas.sources import files, store
 
 
 def one(df):
@@ -218,7 +218,7 @@ def test_missing_cells_have_no_gradient_and_no_part_in_means(spark):
 def test_nearest_crosses_the_date_line_and_the_pole(spark):
     source = spark.createDataFrame([(0, 0, 179.9, 10.0, 1), (0, 1, 170.0, 10.0, 2), (1, 0, 90.0, 89.5, 3), (1, 1, -90.0, 88.0, 4), (2, 0, 0.0, -60.0, 5)], "sy int, sx int, slon double, slat double, v int")
     target = spark.createDataFrame([(0, 0, -179.9, 10.0), (0, 1, -90.0, 89.9), (0, 2, 100.0, -20.0), (0, 3, 359.0, -61.0)], "y int, x int, tlon double, tlat double")
-    assert {r.x: r.value for r in regrid.nearest(source, target, "v").collect()} == {0: 1, 1: 3, 2: 2, 3: 5}
+    assert {r.x: r.value for r in remap.nearest(source, target, "v").collect()} == {0: 1, 1: 3, 2: 2, 3: 5}
 
 
 def test_percentile_by_counting(spark):
@@ -259,10 +259,10 @@ def test_permutation_p_matches_numpy(spark):
     points = [(i, float(i % 5), float((i * 7) % 11)) for i in range(9)]
     df = spark.createDataFrame(points, "id int, x double, y double")
     got = tables.permutation_p(df, draws=60).first()
-    order = df.select(F.explode(F.sequence(F.lit(1), F.lit(60))).alias("draw"), "id", "y").select("draw", "id", "y", F.xxhash64("draw", "id").alias("h")).collect()
+    key = lambda d, k: (f := (69621 * d + 16807 * k + 1) % 2147483647, s := (f * f + 48271 * d + k) % 2147483647, (s * s + 16807 * f) % 2147483647)[2]
     x, y = (np.array([p[k] for p in points]) for k in (1, 2))
     observed = abs(np.corrcoef(x, y)[0, 1])
-    hits = sum(abs(np.corrcoef(x, [r.y for r in sorted((r for r in order if r.draw == d), key=lambda r: (r.h, r.id))])[0, 1]) >= observed - 1e-12 for d in range(1, 61))
+    hits = sum(abs(np.corrcoef(x, y[sorted(range(9), key=lambda k: key(d, k + 1))])[0, 1]) >= observed - 1e-12 for d in range(1, 61))
     assert got.r == pytest.approx(observed) and got.p == pytest.approx((hits + 1) / 61)
 
 
@@ -305,3 +305,142 @@ def test_queries_that_write_run_without_a_shared_folder_set():
     root = Path(__file__).resolve().parents[1]
     done = subprocess.run([sys.executable, "-c", code, str(root), "/root/testdata/sf0.001"], capture_output=True, text=True, timeout=300)
     assert done.returncode == 0 and int(done.stdout.rsplit("ROWS ", 1)[1].split()[0]) > 0, done.stderr[-2000:]
+
+
+def test_nearest_is_the_nearest_wherever_cells_are(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    spots = [(k, 0, float(rng.uniform(-180, 360)), float(rng.choice([rng.uniform(-90, 90), rng.normal(70, 0.2)])), k) for k in range(60)]
+    aims = [(0, k, float(rng.uniform(-180, 360)), float(rng.uniform(-90, 90))) for k in range(80)]
+    source, target = spark.createDataFrame(spots, "sy int, sx int, slon double, slat double, v int"), spark.createDataFrame(aims, "y int, x int, tlon double, tlat double")
+
+    def vector(lon, lat):
+        a, b = math.radians(lat), math.radians(lon)
+        return np.array([math.cos(a) * math.cos(b), math.cos(a) * math.sin(b), math.sin(a)])
+
+    want = {k: min(spots, key=lambda s: -float(vector(lon, lat) @ vector(s[2], s[3])))[4] for _, k, lon, lat in aims}
+    for reach in (0.5, 2.0, 40.0):
+        found = remap.nearest(source, target, "v", reach)
+        assert {r.x: r.value for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 3  # sources twice, targets once, however many levels
+
+
+def test_bilinear_from_axes_over_the_date_line(spark):
+    lons, lats = [10.0, 100.0, 190.0, 280.0], [-50.0, 0.0, 40.0]
+    rows = [(lon, lat, float(lat + lon / 10)) for lon in lons for lat in lats]
+    source = spark.createDataFrame([("t", *r) for r in rows], "time string, lon double, lat double, v double")
+    aims = {0: (325.0, 20.0), 1: (-35.0, 20.0), 2: (10.0, 40.0), 3: (55.0, -50.0), 4: (55.0, 41.0), 5: (370.0, 0.0), 6: (280.0, -25.0)}
+    target = spark.createDataFrame([(k, *v) for k, v in aims.items()], "k int, tlon double, tlat double")
+    got = {r.k: r.value for r in remap.bilinear_lonlat(source, target, "v", ["k"], ["time"]).collect()}
+    half = 20 + (28 + 1) / 2  # between 280 and 370 degrees
+    assert got == pytest.approx({0: half, 1: half, 2: 41.0, 3: -50 + 5.5, 5: 1.0, 6: -25 + 28})
+    # a missing corner leaves the others their weights; a regional axis doesn't wrap
+    gaps = source.withColumn("v", F.when(~((F.col("lon") == 280) & (F.col("lat") == 0)), F.col("v")))
+    assert one(remap.bilinear_lonlat(gaps, target.where("k = 6"), "v", ["k"], ["time"]).select("value")) == pytest.approx(-50 + 28)
+    regional = source.where("lon < 200")
+    assert {r.k for r in remap.bilinear_lonlat(regional, target, "v", ["k"], ["time"]).collect()} == {2, 3, 5}
+
+
+def test_conservative_remap_keeps_the_total(spark):
+    boxes = [(k, w, e, s, n) for k, (w, e, s, n) in enumerate([(0, 360, -90, -60), (-20, 20, -60, 90), (20, 200, -60, 0), (20, 200, 0, 90), (200, 340, -60, 89.75), (200, 340, 89.75, 90)])]
+    source = spark.createDataFrame([(k, *map(float, b), float(k + 1), 1e6 * (k + 2)) for k, *b in boxes], "k int, slon0 double, slon1 double, slat0 double, slat1 double, v double, a double")
+    aims = [(i * 100 + j, i * 15.0 - 7, i * 15.0 + 8, j * 10.0 - 90, j * 10.0 - 80, 2e5 + i) for i in range(24) for j in range(18)]
+    target = spark.createDataFrame(aims, "t int, tlon0 double, tlon1 double, tlat0 double, tlat1 double, ta double")
+    out = remap.conservative_lonlat(source.withColumn("f", F.lit(1)), target, "v", ["t"], ["f"], ["k"], ("a", "ta"))
+    total = one(out.join(target, "t").agg(F.sum(F.col("value") * F.col("ta"))))
+    assert total == pytest.approx(sum((k + 1) * 1e6 * (k + 2) for k, *_ in boxes), rel=1e-9)
+    covered = remap.lonlat_overlaps(source, target).agg(F.sum("overlap"))
+    assert one(covered) == pytest.approx(4 * math.pi, rel=1e-9)
+    # means lie between the values, and a large box touches few bins
+    means = {r.t: r.value for r in remap.conservative_lonlat(source.withColumn("f", F.lit(1)), target, "v", ["t"], ["f"], ["k"]).collect()}
+    assert len(means) == len(aims) and means[0] == pytest.approx(1.0) and 1 <= min(means.values()) <= max(means.values()) <= 6
+    binned = remap._binned(remap._pieces(source, "s"), "s", spark.sql("SELECT array(4) AS _levels"))
+    assert binned.groupBy("k", "_level").count().agg(F.max("count")).first()[0] <= 8 * 2
+
+
+def test_quantiles_are_those_of_percentile(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    sets = {"a": rng.normal(0, 1, 501), "b": np.repeat(3.0, 40), "c": np.array([1e300, -1e300, 5.0, 5.0, 5.1]), "d": np.array([2.0]), "e": np.round(rng.exponential(5, 300), 1)}
+    rows = [(k, float(v)) for k, x in sets.items() for v in x] + [("a", None), ("b", float("nan")), ("f", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    shares = [0.0, 0.05, 0.5, 0.98, 1.0]
+    for bins, passes in ((4096, 3), (4, 2), (16, 0)):
+        found = tables.quantiles(df, ["k"], "v", shares, bins, passes)
+        got = {(r.k, r.share): r.value for r in found.collect()}
+        assert set(got) == {(k, s) for k in sets for s in shares}
+        for (k, s), value in got.items():
+            assert value == pytest.approx(float(np.quantile(sets[k], s)), rel=1e-12)
+        assert "percentile" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_screen_shuffles_the_rows_once(spark):
+    rows = [(m, d, float((i * 7 + k * k) % 13)) for k, m in enumerate("pqrs") for i, d in enumerate("abcdefg") if (i + k) % 6] + [("p", "z", None)]
+    df = spark.createDataFrame(rows, "metric string, d string, value double")
+    out = {(r.metric_x, r.metric_y): r for r in tables.screen(df, "d").collect()}
+    import numpy as np
+
+    held = {m: {d: v for n, d, v in rows if n == m and v is not None} for m in "pqrs"}
+    for a in "pqrs":
+        for b in "pqrs":
+            both = sorted(set(held[a]) & set(held[b]))
+            if a < b and len(both) >= 4:
+                assert out[a, b].n == len(both) and out[a, b].r == pytest.approx(np.corrcoef([held[a][d] for d in both], [held[b][d] for d in both])[0, 1])
+    assert len(out) == 6 and tables.screen(df, "d")._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
+def test_store_replaces_datasets_and_merges_columns(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    one_ = spark.createDataFrame([("a", 1), ("b", 2)], "dataset string, value int")
+    store.publish(one_, path, "m1")
+    store.publish(spark.createDataFrame([("a", "annual", 0.5)], "dataset string, period string, p double"), path, "m2", "north")
+    store.publish(spark.createDataFrame([("b", 9.5)], "dataset string, value double"), path, "m1")
+    got = {(r.module, r.dataset, r.value, r.period, r.p, r.hemisphere) for r in store.read_store(spark, path).collect()}
+    assert got == {("m1", "a", 1.0, None, None, "south"), ("m1", "b", 9.5, None, None, "south"), ("m2", "a", None, "annual", 0.5, "north")}
+    store.publish(spark.createDataFrame([("c", 1.0)], "dataset string, value double"), path, "m1", whole=True)
+    assert {(r.module, r.dataset) for r in store.partitions(spark, path).collect()} == {("m1", "c"), ("m2", "a")}
+    assert store.read_store(spark, path, "dataset", "value", "sector").columns == ["dataset", "value", "sector"]
+    index = {r.module: r.filled for r in store.store_index(store.read_store(spark, path)).collect()}
+    assert index == {"m1": "value", "m2": "p,period"}
+
+
+def test_segments_merge_by_precedence(spark):
+    rows = [("k", 1, "s1", 1.0, None), ("k", 1, "s2", 2.0, 9.0), ("k", 2, "s2", 3.0, None), ("k", 2, "s2", 2.5, None), ("l", 1, "s3", None, 4.0)]
+    df = spark.createDataFrame(rows, "k string, time int, segment string, u double, v double")
+    pick = lambda **o: sorted(map(tuple, store.merge_segments(df, ["k"], **o).collect()))
+    assert pick() == [("k", 1, 1.0, None), ("k", 2, 2.5, None), ("l", 1, None, 4.0)]
+    assert pick(prefer="last") == [("k", 1, 2.0, 9.0), ("k", 2, 3.0, None), ("l", 1, None, 4.0)]
+    assert store.merge_segments(df.where("false"), ["k"]).count() == 0
+
+
+def test_raw_cubes_round_trip(spark, tmp_path):
+    rows = [(y, m, a, b, y % 100 + m / 8 + a - b) for y in (1999, 2000) for m in (1, 5, 12) for a in range(3) for b in range(4) if (a, b) != (1, 1)] + [(1999, 13, 0, 0, 5.0), (1999, 1, 7, 0, 5.0), (2000, 2, 0, 0, None)]
+    path = f"file://{tmp_path}/cubes"
+    store.write_raw_cubes(spark.createDataFrame(rows, "year int, month int, y int, x int, value double"), path, 3, 4)
+    names = list(tmp_path.glob("cubes/year=*/part-*.txt"))
+    assert sorted(n.stat().st_size for n in names) == [4 * 12 * 12 + 4] * 2
+    got = {(r.year, r.month, r.y, r.x): r.value for r in store.read_cube_slabs(spark, path, 3, 4).collect()}
+    assert len(got) == 2 * 12 * 12 and {k: v for k, v in got.items() if v is not None} == {tuple(r[:4]): r[4] for r in rows if r[1] <= 12 and r[2] < 3 and r[4] is not None}
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "heff.H2003").write_bytes(struct.pack("<24f", *range(24)))
+    got = {(r.year, r.month, r.y, r.x): r.value for r in store.read_cube_slabs(spark, f"file://{tmp_path}/other", 1, 2).collect()}
+    assert got == {(2003, m + 1, 0, x): float(2 * m + x) for m in range(12) for x in range(2)}
+
+
+def test_stencils_go_by_coordinate(spark):
+    grid = spark.createDataFrame([(y, x, 10.0 * x, 60.0 + y) for y in range(2) for x in (0, 1, 3, 4)], "y int, x int, lon double, lat double")
+    area = {(r.y, r.x): r.area for r in regrid.curvilinear_area(grid).collect()}
+    assert area[0, 1] == pytest.approx(area[0, 0]) and area[0, 3] == pytest.approx(area[0, 4])  # one-sided beside the gap
+    far = {(r.y, r.x): (r.hx, r.hy) for r in budget.distances(grid).collect()}
+    assert far[0, 0][0] == 0 and far[0, 1][0] > 0 and far[0, 3][0] is None and far[0, 4][0] is None and far[1, 3][1] > 0
+
+
+def test_matched_coverage_needs_every_dataset(spark):
+    rows = [("o1", 1, 1.0), ("o2", 1, 1.0), ("m", 1, 1.0), ("o1", 2, 1.0), ("m", 2, 1.0), ("o1", 3, 1.0), ("o2", 3, None), ("m", 3, 1.0), ("o1", 4, 1.0), ("o2", 4, 1.0), ("m", 4, None)]
+    df = spark.createDataFrame(rows, "dataset string, time int, v double").withColumns({"y": F.lit(0), "x": F.lit(0)})
+    out = align.coverage_modes(align.coverage(df, F.col("v").isNotNull(), ["o1", "o2"]))
+    assert {(r.dataset, r.time) for r in out.where("coverage_mode = 'matched'").collect()} == {("o1", 1), ("o2", 1), ("m", 1), ("o1", 4), ("o2", 4)}
+    assert out.where("coverage_mode = 'own'").count() == len(rows)
