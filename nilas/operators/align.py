@@ -24,6 +24,13 @@ def first_and_last(left: DataFrame, right: DataFrame, values: list[str], keys: l
     return aligned(pick(left, F.col(order)), pick(right, F.col(order).desc()), values, keys)
 
 
+def exact(left: DataFrame, right: DataFrame, values: list[str], keys: list[str], by: list[str], order: str = "time") -> DataFrame:
+    """Alignment on the exact time with each dataset (`by`) of the right side; where keys repeat the first row of the left side and the last of the right side win, by partial aggregation."""
+    one = left.groupBy(*keys).agg(F.min_by(F.struct(*values), F.struct(order, *values)).alias("_l")).select(*keys, *(F.col(f"_l.{v}").alias(v) for v in values))
+    two = right.groupBy(*keys, *by).agg(F.max_by(F.struct(*values), F.struct(order, *values)).alias("_r")).select(*keys, *by, *(F.col(f"_r.{v}").alias(f"{v}2") for v in values))
+    return one.join(two, keys).select(*keys, *by, *values, *(f"{v}2" for v in values))
+
+
 def three_way(first: DataFrame, second: DataFrame, third: DataFrame, on: list[str]) -> DataFrame:
     """Rows of the first side whose keys are in the other two as well."""
     return first.join(second.select(*on).distinct(), on, "left_semi").join(third.select(*on).distinct(), on, "left_semi")

@@ -18,7 +18,6 @@ from nilas.operators.align import both_zero_mask, observed
 from nilas.plans.climatology import CELL, SERIES, series
 from nilas.plans.registry import query
 from nilas.plans.trends import INDEX, METRIC, SQL_V6, index, period_table, rounded
-from nilas.sources.views import MONTHS
 
 SE, SY, DAYS = cal.SQL_SEASON, cal.SQL_SEASON_YEAR, cal.SQL_DAYS
 NAMES = f"['annual', {SE}, 'month ' || mo]"
@@ -384,11 +383,12 @@ def sql_products(value: str, source: str, least: int) -> str:
 
 
 #: Trends need more than half of the months.
-HALF = MONTHS // 2 + 1
-query("A16_concentration_products", f"WITH {sql_products('sic', 'field', HALF)} SELECT dataset, y, x, {sql_out(P5)} FROM pd")(lambda v: ds(map_products(v.field, "sic", HALF), P5, CELL))
-query("A17_thickness_products", f"WITH {THICK}, {sql_products('thick', 'th', HALF)} SELECT dataset, y, x, {sql_out(P5)} FROM pd")(lambda v: ds(map_products(thick(v), "thick", HALF), P5, CELL))
+#: More than half of the months, in SQL.
+HALF = "(SELECT n // 2 + 1 FROM span)"
+query("A16_concentration_products", f"WITH {sql_products('sic', 'field', HALF)} SELECT dataset, y, x, {sql_out(P5)} FROM pd")(lambda v: ds(map_products(v.field, "sic", v.half), P5, CELL))
+query("A17_thickness_products", f"WITH {THICK}, {sql_products('thick', 'th', HALF)} SELECT dataset, y, x, {sql_out(P5)} FROM pd")(lambda v: ds(map_products(thick(v), "thick", v.half), P5, CELL))
 query("A18_drift_products", f"WITH {SPEED}, {sql_products('energy', 'fs', HALF)}, uv AS (SELECT dataset, y, x, avg(u) AS u, avg(v) AS v, avg(speed) AS speed FROM fs GROUP BY ALL) SELECT dataset, y, x, {sql_out(['u', 'v', 'speed', *P5], 5)} FROM pd JOIN uv USING (dataset, y, x)")(
-    lambda v: (lambda s: ds(map_products(s, "energy", HALF).join(s.groupBy(*CELL).agg(*(F.avg(x).alias(x) for x in ("u", "v", "speed"))), CELL), ["u", "v", "speed", *P5], CELL, 5))(speeds(v))
+    lambda v: (lambda s: ds(map_products(s, "energy", v.half).join(s.groupBy(*CELL).agg(*(F.avg(x).alias(x) for x in ("u", "v", "speed"))), CELL), ["u", "v", "speed", *P5], CELL, 5))(speeds(v))
 )
 FIT = ["clim", "anomaly", "std", "slope", "p"]
 

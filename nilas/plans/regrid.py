@@ -39,11 +39,12 @@ query("R4_nearest", f"WITH s AS (SELECT y AS sy, x AS sx, lat AS slat, lon / 5 A
 )
 
 # Sources in longitude and latitude: a global field on uneven axes, whose cells meet again at 360 degrees.
-LON, LAT = "CAST(45 * x + 3 * (x % 2) AS DOUBLE)", "CAST(-80 + 9 * y + y * y AS DOUBLE)"
-TARGETS = "tg AS (SELECT y, x, CAST(47.5 * x - 31 AS DOUBLE) AS tlon, CAST(-79.5 + 14 * y AS DOUBLE) AS tlat FROM grid)"
-source_axes = lambda v: v.field.select("dataset", "time", "x", "y", F.expr(LON).alias("lon"), F.expr(LAT).alias("lat"), "sic")
-targets = lambda v: v.grid.select("y", "x", F.expr("CAST(47.5 * x - 31 AS DOUBLE)").alias("tlon"), F.expr("CAST(-79.5 + 14 * y AS DOUBLE)").alias("tlat"))
-query("R2_bilinear_lonlat", f"""WITH s AS (SELECT dataset, time, {LON} AS lon, {LAT} AS lat, sic FROM field), {TARGETS},
+LON, LAT = "CAST(45 * x + 3 * (x % 2) AS DOUBLE)", "-80 + 60 * CAST(y AS DOUBLE) / {0} + 36 * CAST(y * y AS DOUBLE) / ({0} * {0})"
+SQL_NY = "(SELECT ny FROM dims)"
+TARGETS = "tg AS (SELECT y, x, CAST(47.5 * x - 31 AS DOUBLE) AS tlon, -79.5 + 84 * CAST(y AS DOUBLE) / (SELECT ny FROM dims) AS tlat FROM grid)"
+source_axes = lambda v: v.field.select("dataset", "time", "x", "y", F.expr(LON).alias("lon"), F.expr(LAT.format(v.ny)).alias("lat"), "sic")
+targets = lambda v: v.grid.select("y", "x", F.expr("CAST(47.5 * x - 31 AS DOUBLE)").alias("tlon"), F.expr(f"-79.5 + 84 * CAST(y AS DOUBLE) / {v.ny}").cast("double").alias("tlat"))
+query("R2_bilinear_lonlat", f"""WITH s AS (SELECT dataset, time, {LON} AS lon, {LAT.format(SQL_NY)} AS lat, sic FROM field), {TARGETS},
     ax AS (SELECT lon, coalesce(lead(lon) OVER (ORDER BY lon), (SELECT min(lon) FROM s) + 360) AS hi FROM (SELECT DISTINCT lon FROM s)),
     ay AS (SELECT lat, lead(lat) OVER (ORDER BY lat) AS hi, (SELECT max(lat) FROM s) AS top FROM (SELECT DISTINCT lat FROM s)),
     tn AS (SELECT y, x, tlat, tlon - 360 * floor(tlon / 360) AS tlon FROM tg),
@@ -53,11 +54,11 @@ query("R2_bilinear_lonlat", f"""WITH s AS (SELECT dataset, time, {LON} AS lon, {
     SELECT dataset, time, c.y, c.x, {q('sum(w * sic) / sum(w)')} AS value FROM c JOIN s ON s.lon = c.lon AND s.lat = c.lat WHERE w > 0 GROUP BY ALL""")(
     lambda v: rounded(m.bilinear_lonlat(source_axes(v), targets(v), "sic", ["y", "x"], ["dataset", "time"]), "dataset", "time", "y", "x")
 )
-BOXES = {"slon0": "45.0D * x", "slon1": "45.0D * x + 45", "slat0": "-90 + 10.0D * y", "slat1": "-80 + 10.0D * y"}
-AIMS = {"tlon0": "30.0D * x - 20", "tlon1": "30.0D * x + 10 + 60 * (x % 2)", "tlat0": "-88 + 12.0D * y", "tlat1": "-76 + 12.0D * y + (y % 2) * 0.5D"}
-_sql = lambda e: e.replace("0D", "0").replace("5D", "5")
-box_source = lambda v: v.field.select("dataset", "time", "y", "x", "sic", *(F.expr(e).cast("double").alias(k) for k, e in BOXES.items()), (1e6 * (2 + F.col("x") % 3)).alias("s_area"))
-box_target = lambda v: v.grid.select(F.col("y").alias("ty"), F.col("x").alias("tx"), *(F.expr(e).cast("double").alias(k) for k, e in AIMS.items()), (1e6 * (1 + F.col("y") % 2)).alias("t_area"))
+BOXES = {"slon0": "45.0D * x", "slon1": "45.0D * x + 45", "slat0": "-90 + 60.0D * y / {0}", "slat1": "-90 + 60.0D * (y + 1) / {0}"}
+AIMS = {"tlon0": "30.0D * x - 20", "tlon1": "30.0D * x + 10 + 60 * (x % 2)", "tlat0": "-88 + 72.0D * y / {0}", "tlat1": "-88 + 72.0D * (y + 1) / {0} + (y % 2) * 0.5D"}
+_sql = lambda e: e.replace("0D", "0").replace("5D", "5").format(SQL_NY)
+box_source = lambda v: v.field.select("dataset", "time", "y", "x", "sic", *(F.expr(e.format(v.ny)).cast("double").alias(k) for k, e in BOXES.items()), (1e6 * (2 + F.col("x") % 3)).alias("s_area"))
+box_target = lambda v: v.grid.select(F.col("y").alias("ty"), F.col("x").alias("tx"), *(F.expr(e.format(v.ny)).cast("double").alias(k) for k, e in AIMS.items()), (1e6 * (1 + F.col("y") % 2)).alias("t_area"))
 # boxes cross 360 degrees by at most one turn, so three turns of the source meet every target
 SPHERE = f"""sb AS (SELECT dataset, time, sic, 1e6 * (2 + x % 3) AS sa, {', '.join(f'CAST({_sql(e)} AS DOUBLE) AS {k}' for k, e in BOXES.items())} FROM field),
     tb AS (SELECT y AS ty, x AS tx, 1e6 * (1 + y % 2) AS ta, {', '.join(f'CAST({_sql(e)} AS DOUBLE) AS {k}' for k, e in AIMS.items())} FROM grid),
@@ -71,7 +72,7 @@ query("R3_area_extensive_lonlat", f"WITH {SPHERE} SELECT dataset, time, ty, tx,
 )
 SIDES = ["x % 3 + 2.0", "y % 2 + 3.0", "x % 2 + 2.5", "y % 3 + 3.5"]
 query("R5_quadrilateral_area", f"WITH s AS (SELECT y, x, {', '.join(f'CAST({e} AS DOUBLE) AS s{i}' for i, e in enumerate(SIDES))} FROM grid), h AS (SELECT *, (s0 + s1 + s2 + s3) / 2 AS h FROM s) SELECT y, x, {q('sqrt(greatest(0, (h - s0) * (h - s1) * (h - s2) * (h - s3)))')} AS area FROM h")(
-    lambda v: v.grid.select("y", "x", r(g.quadrilateral_area([F.expr(e).cast("double") for e in SIDES])).alias("area"))
+    lambda v: v.grid.select("y", "x", r(g.quadrilateral_area([F.expr(e.format(v.ny)).cast("double") for e in SIDES])).alias("area"))
 )
 query("R6_rectilinear_area", f"SELECT y, x, {q(f'pow({g.SOURCE_RADIUS_M}, 2) * radians(5.0) * abs(sin(radians(lat + 1)) - sin(radians(lat - 1))) / 1e6', 3)} AS area FROM grid")(
     lambda v: v.grid.select("y", "x", r(g.rectilinear_area(F.lit(5.0), F.col("lat") - 1, F.col("lat") + 1) / 1e6, 3).alias("area"))
@@ -107,14 +108,14 @@ query("R14_source_frame", f"WITH s AS (SELECT s_suppkey, ['auto', 'xy', 'lonlat'
         v.table("supplier").select("s_suppkey", F.element_at(F.array(*map(F.lit, ("auto", "xy", "lonlat", "other"))), (F.col("s_suppkey") % 4).cast("int") + 1).alias("req"), F.element_at(F.array(*map(F.lit, ("none", "xy", "lonlat"))), (F.col("s_suppkey") % 3).cast("int") + 1).alias("dec"), F.when(F.col("s_suppkey") % 5 == 0, 1).alias("angle"))
     )
 )
-query("R15_drift_preparation", f"WITH {BASIS}, m AS (SELECT dataset, CAST(date_trunc('month', time) AS DATE) AS time, y, x, avg(u) AS u, avg(v) AS v FROM daily WHERE time BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' GROUP BY ALL), e AS (SELECT dataset, time, y, x, u * xe + v * ye AS u, u * xn + v * yn AS v FROM m JOIN ba USING (y, x)) SELECT dataset, time, y, x, {q('u * cos(radians(lon)) + v * sin(radians(lon))')} AS u, {q('v * cos(radians(lon)) - u * sin(radians(lon))')} AS v FROM e JOIN grid USING (y, x)")(
+query("R15_drift_preparation", f"WITH {BASIS}, m AS (SELECT dataset, CAST(date_trunc('month', time) AS DATE) AS time, y, x, avg(u) AS u, avg(v) AS v FROM daily GROUP BY ALL), e AS (SELECT dataset, time, y, x, u * xe + v * ye AS u, u * xn + v * yn AS v FROM m JOIN ba USING (y, x)) SELECT dataset, time, y, x, {q('u * cos(radians(lon)) + v * sin(radians(lon))')} AS u, {q('v * cos(radians(lon)) - u * sin(radians(lon))')} AS v FROM e JOIN grid USING (y, x)")(
     lambda v: prepared(v)
 )
 
 
 def prepared(v):
-    """Period, monthly mean, east/north, projection."""
-    m = v.daily.where("time BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'").groupBy("dataset", F.trunc("time", "month").alias("time"), "y", "x").agg(F.avg("u").alias("u"), F.avg("v").alias("v"))
+    """Monthly mean, east/north, projection."""
+    m = v.daily.groupBy("dataset", F.trunc("time", "month").alias("time"), "y", "x").agg(F.avg("u").alias("u"), F.avg("v").alias("v"))
     e, n = g.to_east_north(F.col("u"), F.col("v"))
     m = m.join(basis(v), ["y", "x"]).select("dataset", "time", "y", "x", e.alias("u"), n.alias("v")).join(v.grid, ["y", "x"])
     a, b = g.to_projection(F.col("u"), F.col("v"), F.col("lon"), "south")

@@ -39,6 +39,10 @@ query(
     """WITH l AS (SELECT *, row_number() OVER (PARTITION BY yr, mo, y, x ORDER BY time) AS n FROM daily WHERE dataset = 'obs1'), m AS (SELECT *, row_number() OVER (PARTITION BY yr, mo, y, x ORDER BY time DESC) AS n FROM daily WHERE dataset = 'model_a')
     SELECT yr, mo, y, x, l.u, l.v, m.u AS u2, m.v AS v2 FROM l JOIN m USING (yr, mo, y, x) WHERE l.n = 1 AND m.n = 1""",
 )(lambda v: a.first_and_last(v.daily.where("dataset = 'obs1'"), v.daily.where("dataset = 'model_a'"), ["u", "v"], YM))
+query(
+    "J2_exact_alignment",
+    "SELECT l.time, y, x, m.dataset, l.u, l.v, m.u AS u2, m.v AS v2 FROM (SELECT * FROM daily WHERE dataset = 'obs1') l JOIN (SELECT * FROM daily WHERE dataset <> 'obs1') m USING (time, y, x)",
+)(lambda v: a.exact(v.daily.where("dataset = 'obs1'"), v.daily.where("dataset <> 'obs1'"), ["u", "v"], ["time", "y", "x"], ["dataset"]))
 query("J3_three_way", "SELECT yr, mo, y, x, sic FROM field f WHERE dataset = 'obs1' AND EXISTS (SELECT 1 FROM field g WHERE g.dataset = 'obs2' AND (g.yr, g.mo, g.y, g.x) = (f.yr, f.mo, f.y, f.x)) AND EXISTS (SELECT 1 FROM field g WHERE g.dataset = 'model_a' AND (g.yr, g.mo, g.y, g.x) = (f.yr, f.mo, f.y, f.x))")(
     lambda v: a.three_way(pick(v, "obs1"), pick(v, "obs2"), pick(v, "model_a"), YM).select(*YM, "sic")
 )

@@ -22,8 +22,6 @@ from nilas.plans.registry import query
 from nilas.plans.trends import KEYS as LONG_KEYS
 from nilas.plans.trends import SQL_V6, long_series, period_table, rounded
 from nilas.sources import files as f
-from nilas.sources.views import LAST_MONTH
-from nilas.sources.views import MONTHS as N_MONTHS
 
 KEYS = ["dataset", "time", "y", "x"]
 LONG = "lg AS (UNPIVOT (SELECT dataset, time, y, x, sic, u, v FROM field) ON sic, u, v INTO NAME var VALUE value)"
@@ -54,8 +52,8 @@ query("S6_paired_segments", f"WITH {NAMES}, u AS (SELECT segment, min(name) AS n
     lambda v: (lambda n: f.paired_segments(n.where("p_partkey % 50 < 30").groupBy("segment").agg(F.min("name").alias("name")), n.where("p_partkey % 50 >= 10").groupBy("segment").agg(F.max("name").alias("name"))))(names(v).withColumn("segment", F.regexp_extract("name", r"^(seg\d+)", 1)))
 )
 query("S7_merge_segments", "SELECT dataset, time, y, x, sic FROM field WHERE yr < 1998 UNION ALL SELECT dataset, time, y, x, sic FROM field WHERE yr >= 1998")(lambda v: v.field.where("yr < 1998").select(*KEYS, "sic").unionByName(v.field.where("yr >= 1998").select(*KEYS, "sic")))
-query("S8_missing_months", "WITH m AS (SELECT dataset, y, x, CAST(t AS DATE) AS time FROM (SELECT DISTINCT dataset, y, x FROM field) CROSS JOIN (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-11-01', INTERVAL 1 MONTH)) AS t)) SELECT dataset, y, x, time FROM m WHERE NOT EXISTS (SELECT 1 FROM field g WHERE (g.dataset, g.y, g.x, g.time) = (m.dataset, m.y, m.x, m.time))")(
-    lambda v: f.missing_months(v.field, ["dataset", "y", "x"], "1995-01-01", LAST_MONTH)
+query("S8_missing_months", "WITH m AS (SELECT dataset, y, x, CAST(t AS DATE) AS time FROM (SELECT DISTINCT dataset, y, x FROM field) CROSS JOIN (SELECT unnest(generate_series(first, last, INTERVAL 1 MONTH)) AS t FROM span)) SELECT dataset, y, x, time FROM m WHERE NOT EXISTS (SELECT 1 FROM field g WHERE (g.dataset, g.y, g.x, g.time) = (m.dataset, m.y, m.x, m.time))")(
+    lambda v: f.missing_months(v.field, ["dataset", "y", "x"])
 )
 query("S9_sampling_interval", "WITH s AS (SELECT dataset, time - lag(time) OVER (PARTITION BY dataset ORDER BY time) AS step FROM (SELECT DISTINCT dataset, time FROM field)), m AS (SELECT dataset, CAST(max(step) AS INT) AS step FROM s GROUP BY 1) SELECT *, step <= 1 AS daily, step <= 31 AS monthly FROM m")(lambda v: f.sampling_interval(v.field, ["dataset"]))
 query("S10_year_coverage", "SELECT dataset, y, x, min(yr) AS first, max(yr) AS last, (min(yr) <= 1996 AND max(yr) >= 1999) AS covers FROM field GROUP BY ALL")(lambda v: f.year_coverage(v.field, ["dataset", "y", "x"], 1996, 1999))
@@ -147,7 +145,7 @@ query("Q2_missing_by_time", f"SELECT dataset, time, {q('avg(CAST(nullif(u, 0) IS
 query("Q3_product_comparison", f"WITH m AS (SELECT dataset, mo, yr, avg(thick) AS m FROM field GROUP BY ALL), a AS (SELECT *, avg(m) OVER (PARTITION BY dataset, mo) AS clim FROM m) SELECT dataset, yr, mo, {q('clim')} AS clim, {q('m - clim')} AS anomaly FROM a")(
     lambda v: c.anomaly(v.field.groupBy("dataset", "yr", "mo").agg(F.avg("thick").alias("m")), "m", ["dataset"]).select("dataset", "yr", "mo", r(F.col("m") - F.col("anomaly")).alias("clim"), r(F.col("anomaly")).alias("anomaly"))
 )
-query("Q4_completeness", f"SELECT dataset, count(*) AS n, {q('count(*) / 3984.0')} AS share, {q('avg(CAST(sic >= 15 AS INT))')} AS kept FROM field GROUP BY 1")(lambda v: v.field.groupBy("dataset").agg(F.count("*").alias("n"), r(F.count("*") / (48.0 * N_MONTHS)).alias("share"), r(F.avg((F.col("sic") >= 15).cast("int"))).alias("kept")))
+query("Q4_completeness", f"SELECT dataset, count(*) AS n, {q('count(*) / CAST((SELECT n FROM span) * (SELECT count(*) FROM cells) AS DOUBLE)')} AS share, {q('avg(CAST(sic >= 15 AS INT))')} AS kept FROM field GROUP BY 1")(lambda v: v.field.groupBy("dataset").agg(F.count("*").alias("n"), r(F.count("*") / (float(v.cells.count()) * v.months)).alias("share"), r(F.avg((F.col("sic") >= 15).cast("int"))).alias("kept")))
 
 # Ensembles.
 EM = "em AS (SELECT \"group\", member, count(*) OVER (PARTITION BY \"group\") AS size FROM ensemble)"

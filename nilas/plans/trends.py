@@ -13,7 +13,6 @@ from nilas.operators import integrals as n
 from nilas.operators import trends as t
 from nilas.plans.climatology import CELL, SERIES, series, sql_periods
 from nilas.plans.registry import query
-from nilas.sources.views import MONTHS
 
 DS = ["dataset", "sector"]
 INDEX = "((yr - 1995) * 12 + mo - 1)"
@@ -49,8 +48,8 @@ def sql_map(value, source, x, keys, least, factor):
     SELECT {keys}, CAST(valid AS BIGINT) AS valid, {q(f'CASE WHEN valid >= {least} THEN slope * {factor} END', 4)} AS trend, {q(f'CASE WHEN valid >= {least} THEN {sql_p("r", "n")} END', 4)} AS p, {q(f'CASE WHEN valid >= {least} THEN rest END', 4)} AS rest FROM g"""
 
 
-query("V2_monthly_map_trend", f"WITH a AS (SELECT dataset, y, x, {INDEX} AS i, sic - avg(sic) OVER (PARTITION BY dataset, y, x, mo) AS an FROM field), {sql_map('an', 'a', 'i', 'dataset, y, x', MONTHS // 2 + 1, 120)}")(
-    lambda v: rounded(t.map_trend(c.anomaly(v.field, "sic"), "anomaly", index(), CELL, MONTHS // 2 + 1, 120.0), *CELL, digits=4)
+query("V2_monthly_map_trend", f"WITH a AS (SELECT dataset, y, x, {INDEX} AS i, sic - avg(sic) OVER (PARTITION BY dataset, y, x, mo) AS an FROM field), {sql_map('an', 'a', 'i', 'dataset, y, x', '(SELECT n // 2 + 1 FROM span)', 120)}")(
+    lambda v: rounded(t.map_trend(c.anomaly(v.field, "sic"), "anomaly", index(), CELL, v.half, 120.0), *CELL, digits=4)
 )
 query("V3_yearly_map_trend", f"WITH a AS (SELECT dataset, y, x, yr, avg(sic) AS m FROM field GROUP BY ALL HAVING count(DISTINCT mo) = 12), {sql_map('m', 'a', 'yr', 'dataset, y, x', 2, 10)}")(
     lambda v: rounded(t.map_trend(c.yearly_mean(v.field, "sic", CELL), "value", F.col("yr"), CELL, 2, 10.0), *CELL, digits=4)
@@ -91,7 +90,7 @@ query("V12_compacted_trend", f"WITH s AS (SELECT dataset, time, avg(nullif(u, 0)
 query("V13_mean_map_trend", f"WITH a AS (SELECT dataset, y, x, {INDEX} AS i, thick FROM field), m AS (SELECT dataset, {sql_slope('thick', 'i')} * 120 AS tr, stddev_pop(thick) AS sd FROM a GROUP BY dataset, y, x) SELECT dataset, {q('avg(abs(tr))', 4)} AS mean_abs_trend, {q('avg(tr)', 4)} AS mean_trend, {q('avg(sd)', 4)} AS mean_std FROM m GROUP BY ALL")(
     lambda v: v.field.groupBy(*CELL).agg((regression(F.col("thick"), index())["slope"] * 120).alias("tr"), F.stddev_pop("thick").alias("sd")).groupBy("dataset").agg(r(F.avg(F.abs("tr")), 4).alias("mean_abs_trend"), r(F.avg("tr"), 4).alias("mean_trend"), r(F.avg("sd"), 4).alias("mean_std"))
 )
-query("V15_drift_speed_trend", f"WITH a AS (SELECT dataset, y, x, {INDEX} AS i, sqrt(u * u + v * v) AS w FROM field), g AS (SELECT dataset, y, x, count(w) AS valid, {sql_slope('w', 'i')} * 120 AS tr, {sql_corr('w', 'i')} AS r, CAST(regr_count(w, i) AS BIGINT) AS n FROM a GROUP BY ALL) SELECT dataset, y, x, {q('CASE WHEN 83 - valid <= 41 THEN tr END', 4)} AS trend, {q('CASE WHEN 83 - valid <= 41 THEN ' + sql_p('r', 'n') + ' ELSE 1 END', 4)} AS p FROM g")(
+query("V15_drift_speed_trend", f"WITH a AS (SELECT dataset, y, x, {INDEX} AS i, sqrt(u * u + v * v) AS w FROM field), g AS (SELECT dataset, y, x, count(w) AS valid, {sql_slope('w', 'i')} * 120 AS tr, {sql_corr('w', 'i')} AS r, CAST(regr_count(w, i) AS BIGINT) AS n FROM a GROUP BY ALL) SELECT dataset, y, x, {q('CASE WHEN (SELECT n FROM span) - valid <= (SELECT n // 2 FROM span) THEN tr END', 4)} AS trend, {q('CASE WHEN (SELECT n FROM span) - valid <= (SELECT n // 2 FROM span) THEN ' + sql_p('r', 'n') + ' ELSE 1 END', 4)} AS p FROM g")(
     lambda v: t.with_p(v.field.groupBy(*CELL).agg(F.count("u").alias("valid"), regression(n.speed(F.col("u"), F.col("v")), index()).alias("reg")))
-    .select(*CELL, r(F.when(MONTHS - F.col("valid") <= MONTHS // 2, F.col("reg.slope") * 120), 4).alias("trend"), r(F.when(MONTHS - F.col("valid") <= MONTHS // 2, F.col("p")).otherwise(1.0), 4).alias("p"))
+    .select(*CELL, r(F.when(v.months - F.col("valid") <= v.months // 2, F.col("reg.slope") * 120), 4).alias("trend"), r(F.when(v.months - F.col("valid") <= v.months // 2, F.col("p")).otherwise(1.0), 4).alias("p"))
 )

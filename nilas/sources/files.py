@@ -62,8 +62,11 @@ def paired_segments(u: DataFrame, v: DataFrame) -> DataFrame:
     return same.unionByName(rest)
 
 
-def missing_months(field: DataFrame, keys, first: str, last: str) -> DataFrame:
-    months = field.select(*keys).distinct().withColumn("time", F.explode(F.expr(f"sequence(DATE '{first}', DATE '{last}', INTERVAL 1 MONTH)")))
+def missing_months(field: DataFrame, keys, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Months from first to last, by default those that the whole field spans, that each key lacks."""
+    span = field.agg(F.trunc(F.min("time"), "month").alias("_first"), F.trunc(F.max("time"), "month").alias("_last")).where("_first IS NOT NULL")
+    low, high = F.to_date(F.lit(first)) if first else F.col("_first"), F.to_date(F.lit(last)) if last else F.col("_last")
+    months = field.select(*keys).distinct().crossJoin(span).select(*keys, F.explode(F.sequence(low, high, F.expr("INTERVAL 1 MONTH"))).alias("time"))  # one row of ends
     return months.join(field.select(*keys, F.trunc("time", "month").alias("time")).distinct(), [*keys, "time"], "left_anti")
 
 

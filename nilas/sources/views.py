@@ -1,6 +1,7 @@
 """Gridded fields derived from the given tables, as DataFrames and as SQL.
 
-field (dataset, time, yr, mo, y, x, sic, u, v, thick) is monthly and spans the line items, daily fields span the orders; grid holds the 48 cells.
+field (dataset, time, yr, mo, y, x, sic, u, v, thick) is monthly and spans the line items, daily fields span the orders. The grid has eight columns and, for
+each 2000 parts, six rows: cells and the fields on them grow with the tables.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ SECTORS = (("All", (1, 2, 3, 4, 5, 6)), ("Weddell", (1,)), ("West Indian", (2,))
 NORTHERN = (("CA", (1,)), ("CBS", (2, 3)), ("LESS", (4, 5)), ("KBS", (6, 7)), ("EG", (8,)), ("HBB", (9, 11)), ("CAA", (12,)), ("Other", (13, 14, 15, 17, 18)))
 ENSEMBLE = (("ALL", "model_a"), ("ALL", "model_b"), ("A", "model_a"))
 TERMS = ("dyn", "growth", "melt", "snow")
-#: Months that the given tables span, from January 1995 on, and the last of them.
-MONTHS, LAST_MONTH = 83, "2001-11-01"
+#: Columns of the grid, and the parts for which it has ROWS rows.
+COLUMNS, ROWS, PARTS = 8, 6, 2000
 
 
-def cell(key: Column) -> dict[str, Column]:
-    return {"x": (key % 8).cast("int"), "y": (F.floor(key / 8.0).cast("long") % 6).cast("int")}
+def cell(key: Column, ny: int) -> dict[str, Column]:
+    return {"x": (key % COLUMNS).cast("int"), "y": (F.floor(key / float(COLUMNS)).cast("long") % ny).cast("int")}
 
 
 class Views:
@@ -33,12 +34,28 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @cached_property
+    def ny(self) -> int:
+        """Rows of the grid, from the largest part key."""
+        return ROWS * max(1, ((self.table("part").agg(F.max("p_partkey")).first()[0] or 0) + 1) // PARTS)
+
+    @cached_property
+    def months(self) -> int:
+        """Months from the first line item to the last."""
+        first, last = self.table("lineitem").agg(F.min("l_shipdate"), F.max("l_shipdate")).first()
+        return (last.year - first.year) * 12 + last.month - first.month + 1 if first else 0
+
+    @property
+    def half(self) -> int:
+        """More than half of the months."""
+        return self.months // 2 + 1
+
     @cached_property
     def _monthly_sums(self) -> DataFrame:
         """Monthly sums of quantity by dataset, cell and term."""
         dataset = F.when(F.col("l_returnflag") == "R", "obs1").when(F.col("l_returnflag") == "A", "obs2").when(F.col("l_linestatus") == "O", "model_a").otherwise("model_b")
         return (
-            self.table("lineitem").withColumns({"dataset": dataset, "time": F.trunc("l_shipdate", "month"), "k": (F.col("l_linenumber") % 4).cast("int"), **cell(F.col("l_partkey"))})
+            self.table("lineitem").withColumns({"dataset": dataset, "time": F.trunc("l_shipdate", "month"), "k": (F.col("l_linenumber") % 4).cast("int"), **cell(F.col("l_partkey"), self.ny)})
             .groupBy("dataset", "time", "x", "y", "k")
             .agg(F.sum("l_quantity").cast("long").alias("s"), F.count("*").alias("n"))
         )
@@ -61,13 +78,13 @@ class Views:
 
     @cached_property
     def cells(self) -> DataFrame:
-        return self.table("part").select(*(c.alias(k) for k, c in cell(F.col("p_partkey")).items())).distinct()
+        return self.table("part").select(*(c.alias(k) for k, c in cell(F.col("p_partkey"), self.ny).items())).distinct()
 
     @cached_property
     def grid(self) -> DataFrame:
-        """lon, lat, cell_area (m2), ocean and region of each cell; at most 48 rows."""
+        """lon, lat, cell_area (m2), ocean and region of each cell."""
         x, y = F.col("x"), F.col("y")
-        return self.cells.select("x", "y", (5.0 * x).alias("lon"), (65.0 + 2.0 * y).alias("lat"), (2.5e9 + 1e8 * ((3 * x + 5 * y) % 7)).alias("cell_area"), F.lit(1).alias("ocean"), (1 + (x + 2 * y) % 6).alias("region"))
+        return self.cells.select("x", "y", (5.0 * x).alias("lon"), (65.0 + 12.0 * y / self.ny).alias("lat"), (2.5e9 + 1e8 * ((3 * x + 5 * y) % 7)).alias("cell_area"), F.lit(1).alias("ocean"), (1 + (x + 2 * y) % 6).alias("region"))
 
     @cached_property
     def days(self) -> DataFrame:
@@ -77,16 +94,18 @@ class Views:
 
     @cached_property
     def daily(self) -> DataFrame:
-        """Daily concentration and drift of three datasets over all days of the orders, without gaps."""
+        """Daily concentration and drift of three datasets over all days of the orders, without gaps. Half of the drift is the month's, where line items give one."""
         noise = self.table("orders").groupBy(F.to_date("o_orderdate").alias("time")).agg((F.count("*") % 11).alias("k"))
         shift = self.spark.createDataFrame([("obs1", 0), ("obs2", 6), ("model_a", 15)], "dataset string, shift int")
         i, x, y = F.col("i"), F.col("x"), F.col("y")
-        rows = self.days.join(noise, "time", "left").crossJoin(F.broadcast(self.cells)).crossJoin(F.broadcast(shift))  # 48 cells, 3 datasets
+        rows = self.days.join(noise, "time", "left").crossJoin(self.cells).crossJoin(F.broadcast(shift))  # days are a few thousand, datasets three
+        month = self.field.select("dataset", F.col("time").alias("_month"), "x", "y", F.col("u").alias("_u"), F.col("v").alias("_v"))
+        rows = rows.withColumn("_month", F.trunc("time", "month")).join(month, ["dataset", "_month", "x", "y"], "left")
         k = F.coalesce("k", F.lit(0))
         wave = F.abs((i + 9 * x + 5 * y + F.col("shift")) % 365 - 182) - 50 + k
         return rows.select(
             "dataset", "time", F.year("time").alias("yr"), F.month("time").alias("mo"), "i", "x", "y", F.greatest(F.lit(0), F.least(F.lit(100), wave)).cast("double").alias("sic"),
-            (((i * 7 + x * 3 + y * 5 + k) % 41 - 20) / 100.0).alias("u"), (((i * 5 + x * 11 + y * 2 + 3 * k) % 41 - 20) / 100.0).alias("v"),
+            (0.5 * F.coalesce("_u", F.lit(0.0)) + ((i * 7 + x * 3 + y * 5 + k) % 41 - 20) / 200.0).alias("u"), (0.5 * F.coalesce("_v", F.lit(0.0)) + ((i * 5 + x * 11 + y * 2 + 3 * k) % 41 - 20) / 200.0).alias("v"),
         )
 
     @cached_property
@@ -108,9 +127,11 @@ def _values(rows) -> str:
 
 #: The views in SQL, to stand before a query; engines skip those that aren't used.
 PRELUDE = f"""
-WITH ts AS (
+WITH dims AS (SELECT {ROWS} * greatest(1, (coalesce(max(p_partkey), 0) + 1) // {PARTS}) AS ny FROM part),
+span AS (SELECT min(date_trunc('month', l_shipdate)) AS first, max(date_trunc('month', l_shipdate)) AS last, datediff('month', min(l_shipdate), max(l_shipdate)) + 1 AS n FROM lineitem),
+ts AS (
   SELECT CASE WHEN l_returnflag = 'R' THEN 'obs1' WHEN l_returnflag = 'A' THEN 'obs2' WHEN l_linestatus = 'O' THEN 'model_a' ELSE 'model_b' END AS dataset,
-         CAST(date_trunc('month', l_shipdate) AS DATE) AS time, CAST(l_partkey % 8 AS INT) AS x, CAST(CAST(floor(l_partkey / 8.0) AS BIGINT) % 6 AS INT) AS y,
+         CAST(date_trunc('month', l_shipdate) AS DATE) AS time, CAST(l_partkey % {COLUMNS} AS INT) AS x, CAST(CAST(floor(l_partkey / {COLUMNS}.0) AS BIGINT) % (SELECT ny FROM dims) AS INT) AS y,
          CAST(l_linenumber % 4 AS INT) AS k, CAST(sum(l_quantity) AS BIGINT) AS s, count(*) AS n
   FROM lineitem GROUP BY 1, 2, 3, 4, 5),
 field AS (
@@ -120,9 +141,9 @@ field AS (
 flux AS (
   SELECT dataset, time, CAST(year(time) AS INT) AS yr, CAST(month(time) AS INT) AS mo, x, y, (['dyn', 'growth', 'melt', 'snow'])[k + 1] AS term,
          ((s * 17 + n) % 201 - 100) * CAST(1e-7 AS DOUBLE) AS value FROM ts),
-cells AS (SELECT DISTINCT CAST(p_partkey % 8 AS INT) AS x, CAST(CAST(floor(p_partkey / 8.0) AS BIGINT) % 6 AS INT) AS y FROM part),
+cells AS (SELECT DISTINCT CAST(p_partkey % {COLUMNS} AS INT) AS x, CAST(CAST(floor(p_partkey / {COLUMNS}.0) AS BIGINT) % (SELECT ny FROM dims) AS INT) AS y FROM part),
 grid AS (
-  SELECT x, y, CAST(5.0 * x AS DOUBLE) AS lon, CAST(65.0 + 2.0 * y AS DOUBLE) AS lat, CAST(2.5e9 + 1e8 * ((3 * x + 5 * y) % 7) AS DOUBLE) AS cell_area,
+  SELECT x, y, CAST(5.0 * x AS DOUBLE) AS lon, CAST(65 AS DOUBLE) + CAST(12 AS DOUBLE) * y / (SELECT ny FROM dims) AS lat, CAST(2.5e9 + 1e8 * ((3 * x + 5 * y) % 7) AS DOUBLE) AS cell_area,
          1 AS ocean, CAST(1 + (x + 2 * y) % 6 AS INT) AS region FROM cells),
 noise AS (SELECT CAST(o_orderdate AS DATE) AS dt, count(*) % 11 AS k FROM orders GROUP BY 1),
 ends AS (SELECT CAST(min(o_orderdate) AS DATE) AS f, CAST(max(o_orderdate) AS DATE) AS l FROM orders),
@@ -131,8 +152,10 @@ shifts AS (SELECT * FROM (VALUES ('obs1', 0), ('obs2', 6), ('model_a', 15)) q(da
 daily AS (
   SELECT dataset, time, CAST(year(time) AS INT) AS yr, CAST(month(time) AS INT) AS mo, i, x, y,
          CAST(greatest(0, least(100, abs((i + 9 * x + 5 * y + shift) % 365 - 182) - 50 + coalesce(k, 0))) AS DOUBLE) AS sic,
-         ((i * 7 + x * 3 + y * 5 + coalesce(k, 0)) % 41 - 20) / CAST(100 AS DOUBLE) AS u, ((i * 5 + x * 11 + y * 2 + 3 * coalesce(k, 0)) % 41 - 20) / CAST(100 AS DOUBLE) AS v
-  FROM days CROSS JOIN cells CROSS JOIN shifts LEFT JOIN noise ON noise.dt = days.time),
+         CAST(0.5 AS DOUBLE) * coalesce(fu, 0) + ((i * 7 + x * 3 + y * 5 + coalesce(k, 0)) % 41 - 20) / CAST(200 AS DOUBLE) AS u,
+         CAST(0.5 AS DOUBLE) * coalesce(fv, 0) + ((i * 5 + x * 11 + y * 2 + 3 * coalesce(k, 0)) % 41 - 20) / CAST(200 AS DOUBLE) AS v
+  FROM (SELECT days.time, i, cells.x, cells.y, shifts.dataset, shift, k, field.u AS fu, field.v AS fv FROM days CROSS JOIN cells CROSS JOIN shifts LEFT JOIN noise ON noise.dt = days.time
+    LEFT JOIN field ON field.dataset = shifts.dataset AND field.time = CAST(date_trunc('month', days.time) AS DATE) AND field.x = cells.x AND field.y = cells.y)),
 sectors AS (SELECT * FROM (VALUES {_values((s, r) for s, codes in SECTORS for r in codes)}) q(sector, region)),
 ensemble AS (SELECT * FROM (VALUES {_values(ENSEMBLE)}) q("group", member)),
 fieldg AS (SELECT * FROM field JOIN grid USING (x, y))
