@@ -139,3 +139,8 @@ def sql_rmse(y: str, x: str, w: str = "1.0") -> str:
 
 def sql_round(x: str, digits: int = 6) -> str:
     return f"(round({x} + {NUDGE * 10.0**-digits!r}, {digits}) + 0.0)"
+
+
+def sql_fixed(x: str, digits: int) -> str:
+    """Fixed-point text, halves away from zero after nine digits."""
+    return f"CAST(CAST(round(CAST(round({x}, 9) AS DECIMAL(30, 9)), {digits}) AS DECIMAL(30, {digits})) AS VARCHAR)"

@@ -101,6 +101,11 @@ def dataset_class(name: Column) -> Column:
     return F.when(own.startswith("obs"), "obs").when(own.startswith("group") | own.startswith("ensemble"), "group").otherwise("model")
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Fixed-point text. Halves go away from zero, told after nine digits, so that the noise of a sum decides nothing."""
+    return F.round(F.round(value, 9).cast("decimal(30,9)"), digits).cast(f"decimal(30,{digits})").cast("string")
+
+
 def starred(value: Column, p: Column, digits: int = 3) -> Column:
     """Fixed-point text with a star where p < 0.05; a missing value is a dash."""
-    return F.when(value.isNull(), "--").otherwise(F.concat(F.format_string(f"%.{digits}f", value), F.when(p < 0.05, "*").otherwise("")))
+    return F.when(value.isNull(), "--").otherwise(F.concat(fixed(value, digits), F.when(p < 0.05, "*").otherwise("")))

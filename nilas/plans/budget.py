@@ -132,6 +132,6 @@ query("M18_budget_difference", f"WITH {BUD}, {CLOSE}, {M18} SELECT dataset, term
     lambda v: rounded(b.term_differences(month_clim(v)), "dataset", "term", "season", digits=4)
 )
 AIPE = [("adv", "net"), ("div", "net"), ("res", "pos"), ("res", "neg")]
-query("M19_integral_percentage_error", f"WITH {BUD}, {INT} SELECT {', '.join(f'{q(f"avg(CASE WHEN abs(o.{t}_{n}) > 1e-3 THEN abs(m.{t}_{n} - o.{t}_{n}) / abs(o.{t}_{n}) * 100 END)", 2)} AS {t}_{n}' for t, n in AIPE)} FROM (SELECT * FROM it WHERE dataset = 'obs1') o JOIN (SELECT * FROM it WHERE dataset = 'model_a') m USING (time)")(
-    lambda v: (lambda s: s.where("dataset = 'obs1'").alias("o").join(s.where("dataset = 'model_a'").alias("m"), "time").agg(*(r(F.avg(F.when(F.abs(f"o.{t}_{n}") > 1e-3, F.abs(F.col(f"m.{t}_{n}") - F.col(f"o.{t}_{n}")) / F.abs(f"o.{t}_{n}") * 100)), 2).alias(f"{t}_{n}") for t, n in AIPE)))(integrals(v))
+query("M19_integral_percentage_error", f"WITH {BUD}, {INT} SELECT m.dataset, {', '.join(f'{q(f"avg(CASE WHEN abs(o.{t}_{n}) > 1e-3 THEN abs(m.{t}_{n} - o.{t}_{n}) / abs(o.{t}_{n}) * 100 END)", 2)} AS {t}_{n}' for t, n in AIPE)} FROM (SELECT * FROM it WHERE dataset = 'obs1') o JOIN (SELECT * FROM it WHERE dataset <> 'obs1') m USING (time) GROUP BY m.dataset")(
+    lambda v: (lambda s: s.where("dataset = 'obs1'").alias("o").join(s.where("dataset <> 'obs1'").alias("m"), "time").groupBy("m.dataset").agg(*(r(F.avg(F.when(F.abs(f"o.{t}_{n}") > 1e-3, F.abs(F.col(f"m.{t}_{n}") - F.col(f"o.{t}_{n}")) / F.abs(f"o.{t}_{n}") * 100)), 2).alias(f"{t}_{n}") for t, n in AIPE)))(integrals(v))
 )

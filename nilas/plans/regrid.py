@@ -15,6 +15,17 @@ N = g.EXTENT["south"] // 600
 query("R1_polar_grid", f"WITH c AS (SELECT CAST(k % {N} AS INT) AS x, CAST(k // {N} AS INT) AS y FROM (SELECT DISTINCT p_partkey % {N * N} AS k FROM part)), p AS (SELECT x, y, (x - {(N - 1) / 2}) * 600000.0 AS px, (y - {(N - 1) / 2}) * 600000.0 AS py FROM c) SELECT x, y, {q('degrees(atan2(CAST(px AS DOUBLE), CAST(py AS DOUBLE)))')} AS lon, {q(f'-(90 - degrees(2 * atan(sqrt(px * px + py * py) / (2 * {g.RADIUS_M}))))')} AS lat FROM p")(
     lambda v: rounded(g.polar_grid(v.spark, 600).join(v.table("part").select((F.col("p_partkey") % (N * N)).alias("k")).distinct().select((F.col("k") % N).cast("int").alias("x"), F.floor(F.col("k") / N).cast("int").alias("y")), ["x", "y"], "left_semi").select("x", "y", "lon", "lat"), "x", "y")
 )
+def fitted_grids(v):
+    """Whole grids of both hemispheres, with about as many cells as there are parts."""
+    side = max(1, int(v.table("part").count() ** 0.5))
+    grids = [g.polar_grid(v.spark, g.EXTENT[h] // side, h).withColumn("hemisphere", F.lit(h)) for h in g.EXTENT]
+    return rounded(grids[0].unionByName(grids[1]).select("hemisphere", "x", "y", "lon", "lat"), "hemisphere", "x", "y")
+
+
+_fit = " UNION ALL ".join(f"SELECT '{h}' AS hemisphere, {e} // greatest(1, CAST(floor(sqrt(count(*))) AS BIGINT)) AS res, {e} // ({e} // greatest(1, CAST(floor(sqrt(count(*))) AS BIGINT))) AS n, {sign} AS sg FROM part" for h, e, sign in (("south", g.EXTENT["south"], -1), ("north", g.EXTENT["north"], 1)))
+query("R1_fitted_grids", f"""WITH f AS ({_fit}), c AS (SELECT hemisphere, res, sg, n, CAST(i % n AS INT) AS x, CAST(i // n AS INT) AS y FROM (SELECT *, unnest(range(n * n)) AS i FROM f)),
+    p AS (SELECT *, (x - (n - 1) / CAST(2 AS DOUBLE)) * res * CAST(1000 AS DOUBLE) AS px, (y - (n - 1) / CAST(2 AS DOUBLE)) * res * CAST(1000 AS DOUBLE) AS py FROM c)
+    SELECT hemisphere, x, y, {q('degrees(atan2(px, -sg * py))')} AS lon, {q(f'sg * (90 - degrees(2 * atan(sqrt(px * px + py * py) / (2 * {g.RADIUS_M}))))')} AS lat FROM p""")(fitted_grids)
 SRC = "src AS (SELECT x AS sx, y AS sy, avg(sic) AS sic FROM field WHERE dataset = 'obs1' GROUP BY ALL), tgt AS (SELECT y, x, CAST(x * 0.75 + 0.25 AS DOUBLE) AS px, CAST(y * 0.75 + 0.25 AS DOUBLE) AS py FROM grid)"
 src = lambda v: v.field.where("dataset = 'obs1'").groupBy(F.col("x").alias("sx"), F.col("y").alias("sy")).agg(F.avg("sic").alias("sic"))
 tgt = lambda v: v.grid.select("y", "x", (F.col("x") * 0.75 + 0.25).alias("px"), (F.col("y") * 0.75 + 0.25).alias("py"))

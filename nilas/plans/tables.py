@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from nilas.functions import calendar as cal
-from nilas.functions.stats import correlation, regression, sql_corr, sql_p, sql_rest, sql_slope, student_p
+from nilas.functions.stats import correlation, regression, sql_corr, sql_fixed, sql_p, sql_rest, sql_slope, student_p
 from nilas.functions.stats import rounded as r
 from nilas.functions.stats import sql_round as q
 from nilas.operators import clean as p
@@ -107,8 +107,8 @@ query("P23_cell_number", f"WITH a AS (SELECT p_partkey, trim(regexp_replace({TXT
 query("P24_dataset_class", "WITH l AS (SELECT c_custkey, regexp_replace(lower(trim(['Obs_1', ' GROUP-A ', 'Model  X'][CAST(c_custkey % 3 AS INT) + 1])), '[\\s_-]+', ' ', 'g') AS label FROM customer) SELECT c_custkey, label, CASE WHEN starts_with(label, 'obs') THEN 'obs' WHEN starts_with(label, 'group') OR starts_with(label, 'ensemble') THEN 'group' ELSE 'model' END AS class FROM l")(
     lambda v: (lambda n: v.table("customer").select("c_custkey", p.label(n).alias("label"), p.dataset_class(n).alias("class")))(F.element_at(F.array(F.lit("Obs_1"), F.lit(" GROUP-A "), F.lit("Model  X")), (F.col("c_custkey") % 3).cast("int") + 1))
 )
-query("P25_significance_star", "SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN '--' ELSE printf('%.3f', p_size / 8.0 + 0.0001) || CASE WHEN p_size / 100.0 < 0.05 THEN '*' ELSE '' END END AS cell FROM part")(
-    lambda v: v.table("part").select("p_partkey", p.starred(F.when(F.col("p_size") % 7 != 0, F.col("p_size") / 8.0 + 0.0001), F.col("p_size") / 100.0).alias("cell"))
+query("P25_significance_star", f"SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN '--' ELSE {sql_fixed('p_size / CAST(8 AS DOUBLE)', 3)} || CASE WHEN p_size / 100.0 < 0.05 THEN '*' ELSE '' END END AS cell FROM part")(
+    lambda v: v.table("part").select("p_partkey", p.starred(F.when(F.col("p_size") % 7 != 0, F.col("p_size") / 8.0), F.col("p_size") / 100.0).alias("cell"))
 )
 
 # Order, quantiles, ranks, sets, checks.
@@ -155,8 +155,8 @@ for _id, _fn, _std in (("E1_group_mean", "avg", False), ("E2_group_spread", "std
     )
 query("E3_group_field", f"SELECT \"group\", time, y, x, {q('avg(sic)')} AS sic FROM field JOIN ensemble ON member = dataset GROUP BY ALL")(lambda v: v.field.join(v.ensemble, F.col("dataset") == F.col("member")).groupBy("group", "time", "y", "x").agg(r(F.avg("sic")).alias("sic")))
 CELL_MEAN = q("avg(TRY_CAST(regexp_replace(cell, '[%*,]', '', 'g') AS DOUBLE))", 3)
-query("E4_group_rows", f"WITH s AS (SELECT dataset, CASE WHEN dataset = 'model_b' THEN '--' ELSE printf('%.4f', avg(thick) + 0.000003) || '*' END AS cell FROM field GROUP BY 1) SELECT \"group\", {CELL_MEAN} AS value FROM s JOIN ensemble ON member = dataset GROUP BY 1")(
-    lambda v: v.field.groupBy("dataset").agg(F.when(F.col("dataset") == "model_b", "--").otherwise(F.concat(F.format_string("%.4f", F.avg("thick") + 0.000003), F.lit("*"))).alias("cell"))
+query("E4_group_rows", f"WITH s AS (SELECT dataset, CASE WHEN dataset = 'model_b' THEN '--' ELSE printf('%.4f', avg(thick)) || '*' END AS cell FROM field GROUP BY 1) SELECT \"group\", {CELL_MEAN} AS value FROM s JOIN ensemble ON member = dataset GROUP BY 1")(
+    lambda v: v.field.groupBy("dataset").agg(F.when(F.col("dataset") == "model_b", "--").otherwise(F.concat(F.format_string("%.4f", F.avg("thick")), F.lit("*"))).alias("cell"))
     .join(v.ensemble, F.col("dataset") == F.col("member")).groupBy("group").agg(r(F.avg(p.number(F.col("cell"))), 3).alias("value"))
 )
 GA = f"WITH {SERIES}, {EM}, ge AS (SELECT \"group\", sector, yr, mo, avg(extent) AS e, stddev_pop(extent) AS sd FROM series JOIN em ON member = dataset GROUP BY \"group\", sector, yr, mo, size HAVING count(DISTINCT member) = size), ga AS (SELECT *, e - avg(e) OVER (PARTITION BY \"group\", sector, mo) AS an, (yr - 1995) * 12 + mo - 1 AS i FROM ge), gt AS (SELECT \"group\", sector, avg(sd) AS spread, stddev_pop(an) AS std, {sql_slope('an', 'i')} * 120 AS trend, {sql_corr('an', 'i')} AS r, CAST(regr_count(an, i) AS BIGINT) AS n FROM ga GROUP BY ALL)"
@@ -185,8 +185,8 @@ query("B5_mass_budget_table", f"WITH {FLUXT} SELECT dataset, sector, season, {',
         t.wide(c.flux_climatology(v.flux, ["dataset", "term", "y", "x"]).join(v.grid, ["y", "x"]).join(v.sectors, "region").groupBy("dataset", "sector", cal.season(F.col("mo")).alias("season"), "term").agg((F.sum(F.col("value") * F.col("cell_area")) / 1e12).alias("value")),
                ["dataset", "sector", "season"], "term", "value", ["dyn", "growth", "melt", "snow"]), "dataset", "sector", "season")
 )
-query("B6_anomaly_summary", f"WITH {V6CTE} SELECT dataset, sector, metric, period, printf('%.3f', mean + 0.00001) AS mean, CASE WHEN trend IS NULL THEN '--' ELSE printf('%.2f', trend + 0.0001) || CASE WHEN {sql_p('r', 'n')} < 0.05 THEN '*' ELSE '' END END AS trend FROM st")(
-    lambda v: period_statistics(c.periods(*_long(v)), _long(v)[2]).select("dataset", "sector", "metric", "period", F.format_string("%.3f", F.col("mean") + 0.00001).alias("mean"), p.starred(F.col("trend") + 0.0001, F.col("p"), 2).alias("trend"))
+query("B6_anomaly_summary", f"WITH {V6CTE} SELECT dataset, sector, metric, period, {sql_fixed('mean', 3)} AS mean, CASE WHEN trend IS NULL THEN '--' ELSE {sql_fixed('trend', 2)} || CASE WHEN {sql_p('r', 'n')} < 0.05 THEN '*' ELSE '' END END AS trend FROM st")(
+    lambda v: period_statistics(c.periods(*_long(v)), _long(v)[2]).select("dataset", "sector", "metric", "period", p.fixed(F.col("mean"), 3).alias("mean"), p.starred(F.col("trend"), F.col("p"), 2).alias("trend"))
 )
 
 
@@ -263,6 +263,20 @@ query("B13_sector_coverage", f"""WITH {SQL_COVERAGE}, wd AS (SELECT coverage_mod
     SELECT coverage_mode, 'raw' AS view_mode, sector, metric, dataset, {q('value')} AS value FROM rw
     UNION ALL SELECT a.coverage_mode, 'difference', a.sector, a.metric, a.dataset, {q('abs(a.value - o.value)')} FROM rw a JOIN (SELECT * FROM rw WHERE dataset = 'obs1') o USING (coverage_mode, sector, metric)""")(sector_coverage)
 
+def summary_cells(v):
+    """The text cells of the anomaly summary."""
+    return period_statistics(c.periods(*_long(v)), _long(v)[2]).select("dataset", "sector", "metric", "period", p.fixed(F.col("mean"), 3).alias("mean"), p.starred(F.col("trend"), F.col("p"), 2).alias("trend"))
+
+
+CELL_NUMBER = "TRY_CAST(nullif(regexp_replace({0}, '[%*,]', '', 'g'), '--') AS DOUBLE)"
+query("P23_table_cells", f"WITH {V6CTE}, ce AS (SELECT dataset, sector, metric, period, {sql_fixed('mean', 3)} AS mean, CASE WHEN trend IS NULL THEN '--' ELSE {sql_fixed('trend', 2)} || CASE WHEN {sql_p('r', 'n')} < 0.05 THEN '*' ELSE '' END END AS trend FROM st) SELECT dataset, sector, metric, period, {CELL_NUMBER.format('mean')} AS mean, {CELL_NUMBER.format('trend')} AS trend FROM ce")(
+    lambda v: summary_cells(v).withColumns({x: p.number(F.col(x)) for x in ("mean", "trend")})
+)
+query("P24_stacked_classes", f"WITH s AS ({STACK}) SELECT dataset, CASE WHEN starts_with(lower(dataset), 'obs') THEN 'obs' WHEN starts_with(lower(dataset), 'group') THEN 'group' ELSE 'model' END AS class FROM s")(lambda v: stacked(v).select("dataset", p.dataset_class(F.col("dataset")).alias("class")))
+query("P22_event_months", "SELECT event_id, array_to_string(list_filter(m, lambda x, i: list_position(m, x) = i), ',') AS months FROM (SELECT event_id, list_filter(list_transform(list_filter([value / 10, CAST(month(ts) AS DOUBLE), value, value / 10], lambda x: x IS NOT NULL), lambda x: CAST(round(x) AS INT)), lambda x: x BETWEEN 1 AND 12) AS m FROM events)")(
+    lambda v: v.table("events").select("event_id", F.array_join(p.clean_months(F.array(F.col("value") / 10, F.month("ts").cast("double"), F.col("value"), F.col("value") / 10)), ",").alias("months"))
+)
+
 # Statistics across tables: a point a nation.
 PTS = "cx AS (SELECT c_nationkey AS id, CAST(round(avg(c_acctbal)) AS DOUBLE) AS x FROM customer GROUP BY 1), sy AS (SELECT s_nationkey AS id, CAST(round(avg(s_acctbal)) AS DOUBLE) AS y FROM supplier GROUP BY 1), pts AS (SELECT id, x, y FROM cx JOIN sy USING (id))"
 

@@ -26,7 +26,7 @@ RAW = f"raw AS (SELECT {KEYS}, cycle, min(CASE WHEN up THEN t END) AS a, max(CAS
 DT = f"""dt AS (SELECT {KEYS}, cycle, advance, CASE WHEN coalesce(b < advance, FALSE) OR coalesce(b < round(0.28 * cycle), FALSE) THEN NULL ELSE b END AS retreat
  FROM (SELECT *, CASE WHEN coalesce(a > b, FALSE) OR coalesce(a > round(0.66 * cycle), FALSE) THEN NULL ELSE a END AS advance FROM raw))"""
 DATES = f"WITH {CYC}, {SM}, {CR}, {RAW}, {DT}"
-PAIR = f"{DATES}, pr AS (SELECT start_year, y, x, o.cycle, o.advance AS a1, m.advance AS a2, o.retreat AS r1, m.retreat AS r2 FROM (SELECT * FROM dt WHERE dataset = 'obs1') o JOIN (SELECT * FROM dt WHERE dataset = 'model_a') m USING (start_year, y, x))"
+PAIR = f"{DATES}, pr AS (SELECT m.dataset, start_year, y, x, o.cycle, o.advance AS a1, m.advance AS a2, o.retreat AS r1, m.retreat AS r2 FROM (SELECT * FROM dt WHERE dataset = 'obs1') o JOIN (SELECT * FROM dt WHERE dataset <> 'obs1') m USING (start_year, y, x))"
 CELL = ["dataset", "y", "x"]
 
 
@@ -35,10 +35,11 @@ def dates(v):
 
 
 def pairs(v):
+    """Dates of the first observation beside those of every other dataset."""
     d = dates(v)
-    o, m = d.where("dataset = 'obs1'"), d.where("dataset = 'model_a'")
+    o, m = d.where("dataset = 'obs1'"), d.where("dataset <> 'obs1'")
     on = ["start_year", "y", "x"]
-    return o.select(*on, "cycle", F.col("advance").alias("a1"), F.col("retreat").alias("r1")).join(m.select(*on, F.col("advance").alias("a2"), F.col("retreat").alias("r2")), on)
+    return o.select(*on, "cycle", F.col("advance").alias("a1"), F.col("retreat").alias("r1")).join(m.select("dataset", *on, F.col("advance").alias("a2"), F.col("retreat").alias("r2")), on)
 
 
 query("W1_running_mean", f"WITH {CYC}, {SM} SELECT {KEYS}, t, {q('smooth')} AS smooth FROM sm")(lambda v: t.smooth(t.cycles(v.daily)).select(*t.CYCLE, "t", r(F.col("smooth")).alias("smooth")))
@@ -60,7 +61,7 @@ query(
 )(
     lambda v: (lambda s: (lambda one: one(0, "a").unionByName(one(1, "a_next")))(lambda lag, y: s.groupBy("dataset").agg(*(r(c, 4).alias(n) for n, c in t.relation(F.col(y), F.col("b")).items() if n != "n")).withColumn("lag", F.lit(lag))))(lagged(v))
 )
-query("J14_date_pairs", f"{PAIR} SELECT start_year, y, x, a1, a2, r1, r2 FROM pr")(lambda v: pairs(v).select("start_year", "y", "x", "a1", "a2", "r1", "r2"))
+query("J14_date_pairs", f"{PAIR} SELECT dataset, start_year, y, x, a1, a2, r1, r2 FROM pr")(lambda v: pairs(v).select("dataset", "start_year", "y", "x", "a1", "a2", "r1", "r2"))
 query("V9_date_trend", f"{DATES}, g AS (SELECT dataset, y, x, count(advance) AS valid, {sql_slope('advance', 'start_year')} AS s, {sql_corr('advance', 'start_year')} AS r, CAST(regr_count(advance, start_year) AS BIGINT) AS n FROM dt GROUP BY ALL) SELECT dataset, y, x, CASE WHEN valid >= 3 THEN valid END AS valid, {q('CASE WHEN valid >= 3 THEN s END', 4)} AS trend, {q(f'CASE WHEN valid >= 3 THEN {sql_p("r", "n")} END', 4)} AS p FROM g")(
     lambda v: dates(v).groupBy(*CELL).agg(F.count("advance").alias("n"), regression("advance", "start_year").alias("reg")).withColumn("ok", F.col("n") >= F.greatest(F.lit(3), F.ceil(0.6 * F.lit(5)).cast("int")))
     .select(*CELL, F.when(F.col("ok"), F.col("n")).alias("valid"), r(F.when(F.col("ok"), F.col("reg.slope")), 4).alias("trend"), r(F.when(F.col("ok"), student_p(F.col("reg.r"), F.col("reg.n"))), 4).alias("p"))
@@ -74,23 +75,23 @@ query("A14_durations", f"{DATES} SELECT {KEYS}, CASE WHEN retreat - advance > 0
 query("A15_transition_means", f"{A13}, d AS (SELECT dataset, y, x, avg(advance) AS mean, stddev_pop(advance) AS std, count(advance) AS n FROM dt GROUP BY ALL) SELECT dataset, {q('avg(mean)', 4)} AS mean, {q('avg(std)', 4)} AS std, {q('avg(n)', 4)} AS years, {q('100 * avg(flag)', 4)} AS share FROM d JOIN f USING (dataset, y, x) GROUP BY ALL")(
     lambda v: rounded(dates(v).groupBy(*CELL).agg(F.avg("advance").alias("mean"), F.stddev_pop("advance").alias("std"), F.count("advance").alias("n")).join(flags(v), CELL).groupBy("dataset").agg(F.avg("mean").alias("mean"), F.avg("std").alias("std"), F.avg("n").alias("years"), (100 * F.avg("flag")).alias("share")), "dataset", digits=4)
 )
-M20 = f"{PAIR}, g AS (SELECT y, x, avg(a1) AS a1, avg(a2) AS a2, avg(CASE WHEN r1 - a1 > 0 THEN r1 - a1 END) AS d1, avg(CASE WHEN r2 - a2 > 0 THEN r2 - a2 END) AS d2 FROM pr GROUP BY ALL), w AS (SELECT * FROM g JOIN grid USING (y, x))"
+M20 = f"{PAIR}, g AS (SELECT dataset, y, x, avg(a1) AS a1, avg(a2) AS a2, avg(CASE WHEN r1 - a1 > 0 THEN r1 - a1 END) AS d1, avg(CASE WHEN r2 - a2 > 0 THEN r2 - a2 END) AS d2 FROM pr GROUP BY ALL), w AS (SELECT * FROM g JOIN grid USING (y, x))"
 
 
 def clim_pairs(v):
     d = pairs(v).withColumns({"d1": F.when(F.col("r1") > F.col("a1"), F.col("r1") - F.col("a1")), "d2": F.when(F.col("r2") > F.col("a2"), F.col("r2") - F.col("a2"))})
-    return d.groupBy("y", "x").agg(*(F.avg(c).alias(c) for c in ("a1", "a2", "d1", "d2"))).join(v.grid, ["y", "x"])
+    return d.groupBy("dataset", "y", "x").agg(*(F.avg(c).alias(c) for c in ("a1", "a2", "d1", "d2"))).join(v.grid, ["y", "x"])
 
 
-query("M20_date_skill", f"{M20} SELECT {', '.join(f'{q(f(b, a, "cell_area"), 4)} AS {n}_{m}' for n, a, b in (('advance', 'a1', 'a2'), ('duration', 'd1', 'd2')) for m, f in (('bias', sql_bias), ('rmse', sql_rmse)))} FROM w")(
-    lambda v: clim_pairs(v).agg(*(r(METRICS[m](F.col(b), F.col(a), F.col("cell_area")), 4).alias(f"{n}_{m}") for n, a, b in (("advance", "a1", "a2"), ("duration", "d1", "d2")) for m in ("bias", "rmse")))
+query("M20_date_skill", f"{M20} SELECT dataset, {', '.join(f'{q(f(b, a, "cell_area"), 4)} AS {n}_{m}' for n, a, b in (('advance', 'a1', 'a2'), ('duration', 'd1', 'd2')) for m, f in (('bias', sql_bias), ('rmse', sql_rmse)))} FROM w GROUP BY dataset")(
+    lambda v: clim_pairs(v).groupBy("dataset").agg(*(r(METRICS[m](F.col(b), F.col(a), F.col("cell_area")), 4).alias(f"{n}_{m}") for n, a, b in (("advance", "a1", "a2"), ("duration", "d1", "d2")) for m in ("bias", "rmse")))
 )
-query("M20_date_correlation", f"{M20}, o AS (SELECT 1 AS k, * FROM w WHERE a1 IS NOT NULL AND a2 IS NOT NULL), {SQL_WCORR.format(x='a1', y='a2', t='o', key='k')} SELECT k, {q(WC.format(x='a1', y='a2', n=3), 4)} AS value FROM m GROUP BY k")(
-    lambda v: rounded(k.area_correlation(clim_pairs(v).withColumn("k", F.lit(1)), "a1", "a2", "cell_area", ["k"], 3), "k", digits=4)
+query("M20_date_correlation", f"{M20}, o AS (SELECT * FROM w WHERE a1 IS NOT NULL AND a2 IS NOT NULL), {SQL_WCORR.format(x='a1', y='a2', t='o', key='dataset')} SELECT dataset, {q(WC.format(x='a1', y='a2', n=3), 4)} AS value FROM m GROUP BY dataset")(
+    lambda v: rounded(k.area_correlation(clim_pairs(v), "a1", "a2", "cell_area", ["dataset"], 3), "dataset", digits=4)
 )
-query("M21_edge_curve", f"""{PAIR}, d AS (SELECT start_year, day, cell_area, coalesce(a1 <= day, FALSE) AS o, coalesce(a2 <= day, FALSE) AS m FROM pr JOIN grid USING (y, x) CROSS JOIN (SELECT CAST(unnest(range(1, 366, 5)) AS INT) AS day))
- SELECT start_year, day, {q('coalesce(sum(CASE WHEN m AND NOT o THEN cell_area END), 0) / 1e12')} AS "over", {q('coalesce(sum(CASE WHEN o AND NOT m THEN cell_area END), 0) / 1e12')} AS "under" FROM d GROUP BY ALL""")(
-    lambda v: rounded(t.edge_curve(pairs(v).join(v.grid, ["y", "x"]), "a1", "a2", "cell_area", True, ["start_year"]), "start_year", "day")
+query("M21_edge_curve", f"""{PAIR}, d AS (SELECT dataset, start_year, day, cell_area, coalesce(a1 <= day, FALSE) AS o, coalesce(a2 <= day, FALSE) AS m FROM pr JOIN grid USING (y, x) CROSS JOIN (SELECT CAST(unnest(range(1, 366, 5)) AS INT) AS day))
+ SELECT dataset, start_year, day, {q('coalesce(sum(CASE WHEN m AND NOT o THEN cell_area END), 0) / 1e12')} AS "over", {q('coalesce(sum(CASE WHEN o AND NOT m THEN cell_area END), 0) / 1e12')} AS "under" FROM d GROUP BY ALL""")(
+    lambda v: rounded(t.edge_curve(pairs(v).join(v.grid, ["y", "x"]), "a1", "a2", "cell_area", True, ["dataset", "start_year"]), "dataset", "start_year", "day")
 )
 query("A12_yearly_area_mean_date", f"{DATES} SELECT dataset, start_year, {q('sum(advance * cell_area) / sum(CASE WHEN advance IS NOT NULL THEN cell_area END)', 4)} AS value FROM dt JOIN grid USING (y, x) GROUP BY ALL")(
     lambda v: dates(v).join(v.grid, ["y", "x"]).groupBy("dataset", "start_year").agg(r(area_mean(F.col("advance"), F.col("cell_area")), 4).alias("value"))
