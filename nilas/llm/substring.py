@@ -255,7 +255,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     lists = saved(lists, "lists")
     drop(found)
     release(spark)
-    cut = saved(segments(docs.join(lists, "doc_id"), window, anchor).withColumns({"k1": F.xxhash64("words"), "k2": F.xxhash64(F.lit(1), "words")}), "segments")
+    # much text that repeats itself: packed tightly, and without the hashes that later joins make of it
+    cut = saved(segments(docs.join(lists, "doc_id"), window, anchor), "segments", "zstd")
     drop(lists)
     release(spark)
     size = cut.agg(F.sum(F.octet_length("words"))).first()[0] or 0
@@ -263,9 +264,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     different = cut.groupBy("route", "words").agg(F.min("doc_id").alias("low"))
     shards = max(1, -(-int(size) // shard_bytes))
     lows = different.repartition(shards, "route").select("words", "low").mapInArrow(earliest(window), "words string, lows array<long>")
-    lows = saved(lows.select(F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), "lows"), "lows")
+    keys = F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2")
+    lows = saved(lows.select(*keys, "lows"), "lows")
     release(spark)
-    hits = cut.select("k1", "k2", "doc_id", "key", "start").join(lows, ["k1", "k2"]).where("exists(lows, x -> x < doc_id)")
+    hits = cut.select(*keys, "doc_id", "key", "start").join(lows, ["k1", "k2"]).where("exists(lows, x -> x < doc_id)")
     marks = hits.select("doc_id", "key", F.expr("filter(transform(lows, (x, i) -> if(x < doc_id, start + i, null)), x -> x IS NOT NULL)").alias("marks"))
     marks = saved(marks.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list("marks"))).alias("marks")), "marks")
     drop(cut, lows)
