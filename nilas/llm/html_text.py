@@ -3,7 +3,8 @@
 Markup becomes lines: the text of each block element is a line, boilerplate elements and the edges of article and main
 leave gaps of empty lines, lines of links in a row have no length. Line lengths are summed over a sliding window; text surges where the sum rises over a threshold and dives where it falls to
 nothing, and the lines in between are kept. In article and main any text is a surge and outside it takes OUTSIDE times as
-much, unless more text surges outside than stands inside: then the tag counts for nothing.
+much, unless more text surges outside than stands inside: then the tag counts for nothing. On pages without such tags the box
+(a div, say) that holds several lines and most of the surging text takes their place.
 """
 
 from __future__ import annotations
@@ -49,9 +50,14 @@ NAMES = ADS | PLACES | frozenset(
 )
 #: Ids stand on sections and headings as anchors, so only those of parts of a site count.
 IDS = ADS | PLACES
+#: Of these names, those that sections of an article may bear too.
+TOPICS = frozenset("legal copyright disclaimer".split())
+NAMES_INSIDE = NAMES - TOPICS
 #: Boilerplate elements that some pages put round everything.
 ROUND = frozenset("form fieldset dialog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Tags of a header in an article among which a heading is looked for.
+HEAD = 64
 #: An article counts if it has these shares of the longest article and of the page's text.
 OF_LONGEST, OF_PAGE = 0.25, 0.1
 #: Elements whose lines belong together.
@@ -118,8 +124,8 @@ def _names(value: str) -> list[str]:
     return _CAPITAL.sub("-", value).lower().replace("__", "-").replace("_", "-").split()
 
 
-def _boilerplate(name: str, attributes: str) -> str:
-    """Why an element isn't the article: "element", "name", "ad", or "" if nothing says so."""
+def _boilerplate(name: str, attributes: str, inside: bool = False) -> str:
+    """Why an element isn't the article: "element", "name", "ad", or "" if nothing says so. inside: of an article, where TOPICS say nothing."""
     if name in BOILERPLATE:
         return "name" if name in ROUND else "element"
     if name in ("html", "body", "article", "main"):
@@ -131,7 +137,7 @@ def _boilerplate(name: str, attributes: str) -> str:
             found = ["-".join(found)]
         if not ADS.isdisjoint(found) and not (kind == "id" and name in HEADINGS):
             return "ad"
-        if name not in HEADINGS and not (IDS if kind == "id" else NAMES).isdisjoint(found):
+        if name not in HEADINGS and not (IDS if kind == "id" else NAMES_INSIDE if inside else NAMES).isdisjoint(found):
             why = "name"
     return why
 
@@ -190,9 +196,11 @@ class Line(NamedTuple):
     links: float  # share of characters in links
     box: int  # the tag of the innermost element of BOXES round it
     list: int  # the tag of the innermost element of LISTS round it, -1 for none
+    end: int  # the tag that ends its box
+    at: int  # the tag that ends the line
 
 
-EMPTY = Line("", False, 0.0, -1, -1)
+EMPTY = Line("", False, 0.0, -1, -1, -1, -1)
 
 
 def lines(page: str) -> list[Line]:
@@ -201,10 +209,10 @@ def lines(page: str) -> list[Line]:
     ends, out, text, at, until, inside, main_ends = _ends(tags), [], [], 0, -1, 0, set()
     kept, linked, link_end, boxes, lists = None, 0, -1, [(-1, len(page))], [(-1, len(page))]  # boxes, lists: tag and end
 
-    def flush():
+    def flush(i: int):
         nonlocal linked
         if line := " ".join("".join(text).split()):
-            out.append(Line(" ".join(html.unescape(line).split()), inside > 0, min(1.0, linked / len(line)), boxes[-1][0], lists[-1][0]))
+            out.append(Line(" ".join(html.unescape(line).split()), inside > 0, min(1.0, linked / len(line)), boxes[-1][0], lists[-1][0], boxes[-1][1], i))
         text.clear()
         linked = 0
 
@@ -218,7 +226,7 @@ def lines(page: str) -> list[Line]:
         if i < until:
             continue
         if name in BLOCK:
-            flush()
+            flush(i)
         if i in main_ends:
             inside -= 1
             if not inside:
@@ -230,11 +238,13 @@ def lines(page: str) -> list[Line]:
                 known.append((i, min(ends[i], known[-1][1])))
         if name == "a" and not close:
             link_end = ends.get(i, -1)
-        why = _boilerplate(name, attributes) if not close and name not in VOID else ""
+        why = _boilerplate(name, attributes, inside > 0) if not close and name not in VOID else ""
         if why and (kept := kept or _kept(tags, page, ends))(i, why):
             why = ""
+        if why and inside and name == "header" and i in ends and any(x.name in HEADINGS for x in tags[i + 1 : min(ends[i], i + HEAD)]):
+            why = ""  # the article's own headline
         if why:
-            flush()
+            flush(i)
             end = ends.get(i)
             if end is None:  # unclosed: up to the next block
                 end = next((j for j in range(i + 1, len(tags)) if tags[j].name in BLOCK), len(tags))
@@ -247,7 +257,7 @@ def lines(page: str) -> list[Line]:
             main_ends.add(ends.get(i, -1))
     if len(tags) > until:
         text.append(page[at:])
-    flush()
+    flush(len(tags))
     return out
 
 
@@ -307,8 +317,29 @@ def _bridged(rows: list[Line], length: list[int], kept: list[bool]) -> list[bool
     return out
 
 
-def between(rows: list[Line]) -> list[str]:
-    """The lines from surges to dives."""
+def _boxed(rows: list[Line], length: list[int], kept: list[bool]) -> list[Line]:
+    """The lines with the box that directly holds several kept lines and most of the kept text as inside, gaps at its edges; as they are if there is none."""
+    held, lines_of = Counter(), Counter()
+    for x, n, k in zip(rows, length, kept, strict=True):
+        if k:
+            held[x.box] += n
+            lines_of[x.box] += 1
+    box, most = max(held.items(), key=lambda x: x[1], default=(-1, 0))
+    if box < 0 or lines_of[box] < 2 or 2 * most <= sum(held.values()):
+        return rows
+    end = next(x.end for x in rows if x.box == box)
+    out, last = [], False
+    for x in rows:
+        inside = box < x.at <= end if x.text else last
+        if inside != last:
+            out.extend([EMPTY] * GAP)
+        out.append(x._replace(inside=inside))
+        last = inside
+    return out
+
+
+def between(rows: list[Line], boxed: bool = False) -> list[str]:
+    """The lines from surges to dives. boxed: those of the main box are marked as inside already."""
     length = _lengths(rows)
     sums = [sum(length[i : i + WINDOW]) for i in range(len(rows))]
     level = min(ENOUGH, SURGE * max(sums, default=0))  # no long line can raise it further
@@ -318,6 +349,8 @@ def between(rows: list[Line]) -> list[str]:
         kept = _surges(length, sums, lambda i: 0 if rows[i].inside else OUTSIDE)
         if not any(k and not x.inside for x, k in zip(rows, kept, strict=True)):  # nothing to bridge
             return [x.text for x, k in zip(rows, kept, strict=True) if k]
+    elif not boxed and (own := _boxed(rows, length, kept)) is not rows:
+        return between(own, True)
     return [x.text for x, k in zip(rows, _bridged(rows, length, kept), strict=True) if k]
 
 

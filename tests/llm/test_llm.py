@@ -390,6 +390,30 @@ def test_articles_without_their_tag_are_found_too(oracle):
             assert html_text.main_text(page.replace("<article>", "<div>").replace("</article>", "</div>")) == html_text.main_text(page)
 
 
+def test_line_blocks_find_articles_when_no_tag_says_where(oracle):
+    pages = [page for _, page in oracle.sql("SELECT page_id, html FROM pages").fetchall() if page]
+    long = [page for page in pages if len(html_text.main_text(page)) > 2 * html_text.ENOUGH]  # a footer may be longer than the others
+    assert len(long) > 0.8 * len(pages)
+    for page in long:
+        assert html_text.main_text(re.sub(r"<(/?)(?:article|main|nav|header|footer|aside|form)(?=[\s>])", r"<\1div", page)) == html_text.main_text(page)
+    story = f"<h1>Head</h1><p>{'word ' * 60}</p><p>{'more ' * 40}</p>"
+    want = "\n".join(["Head", " ".join(["word"] * 60), " ".join(["more"] * 40)])
+    assert html_text.main_text(f"<div>{story}</div><div>Home</div><div>About us</div><div>Contact</div>") == want
+    inner = f"<div>{story}<div>Told in a box.</div></div><div>Imprint</div>"
+    assert html_text.main_text(inner) == want + "\nTold in a box."
+    equal = "".join(f"<div><h2>Part</h2><p>{'word ' * 60}</p></div>" for _ in range(3))  # no box holds most of the text
+    assert html_text.main_text(equal) == "\n".join(["Part", " ".join(["word"] * 60)] * 3)
+
+
+def test_headlines_and_sections_of_articles_stay():
+    body = f"<p>{'word ' * 60}</p>"
+    words = " ".join(["word"] * 60)
+    assert html_text.main_text(f"<article><header><h1>Head Line</h1><p>By them.</p></header>{body}</article>") == f"Head Line\nBy them.\n{words}"
+    assert html_text.main_text(f"<header><h1>Site</h1></header><article>{body}</article>") == words
+    assert html_text.main_text(f"<article>{body}<section class='legal'><p>A law.</p></section></article>") == f"{words}\nA law."
+    assert html_text.main_text(f"<article>{body}<div class='comments'><p>First!</p></div><div class='ad'>Buy</div></article>") == words
+
+
 def test_pages_awkward_rows(spark):
     pages = spark.createDataFrame([(None, None, None, "t"), (1, "u", "<p>x</p>", "t"), (1, "u", "<p>x</p>", "t")], "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in html_text.extract_text(pages).collect()) == [("", 0), ("x", 1), ("x", 1)]
