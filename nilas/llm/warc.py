@@ -13,6 +13,7 @@ import hashlib
 import struct
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ DICTIONARY_MAGIC, ZSTD_MAGIC = 0x184D2A5D, 0xFD2FB528
 SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 2 << 20, 64 << 10, 6
 #: Bytes at which an archive ends.
 ARCHIVE_BYTES = 16 << 20
+#: Payloads whose copies have more bytes than this and than one in so many of all copies' bytes aren't shuffled.
+HOT_BYTES, HOT_SHARES = 1 << 20, 1 << 16
 
 
 def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
@@ -80,14 +83,22 @@ def _archives(records, most: int):
 
 
 def _pack(most: int, repeated=None):
-    """Archives of rows (page_id, url, html, key[, first]); with a filter of the keys that may repeat, of the rows that don't pass it."""
+    """Archives of rows (page_id, url, html, first); with a filter of the keys that may repeat, of the rows (.., key, hot) that are hot or don't pass it."""
+
+    def chosen(batches):
+        for batch in batches:
+            if repeated is None:
+                yield batch
+                continue
+            hot = batch.column(batch.schema.get_field_index("hot")).fill_null(False)
+            yield batch.filter(hot)
+            yield passing(batch.filter(pc.invert(hot)), "key", repeated.value, False)
 
     def run(batches):
         def records():
-            for batch in batches:
-                batch = batch if repeated is None else passing(batch, "key", repeated.value, False)
+            for batch in chosen(batches):
                 column = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()  # noqa: B023, E731
-                for page_id, url, html, first in zip(column("page_id"), column("url"), column("html"), column("first") if repeated is None else [None] * batch.num_rows, strict=True):
+                for page_id, url, html, first in zip(column("page_id"), column("url"), column("html"), column("first"), strict=True):
                     payload = (html or "").encode()
                     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                     yield record(page_id, url, payload, digest, None if first is None or first == page_id else first)
@@ -106,20 +117,25 @@ def _passing(repeated):
     return run
 
 
-def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, hot_bytes: int = HOT_BYTES) -> None:
     """Writes a WARC record for each row of pages (page_id, url, html) below path, in archives that end at about archive_bytes.
 
     Of rows with equal payloads (null is empty) the one with the smallest page_id is the response, the others revisit it;
     repeated rows with that page_id are responses too, and their records share an ID. Rows without page_id revisit, or are responses
     where no equal payload has a page_id. An empty table writes no records. Further columns aren't archived. Only pages whose payload may
-    occur again are shuffled.
+    occur again are shuffled, and of these only payloads whose copies come to at most hot_bytes or one in HOT_SHARES of all copies' bytes:
+    of the others, fewer than HOT_SHARES, the response is broadcast, so no task takes in all copies of a page.
     """
     digest = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
     pages = pages.select("page_id", "url", "html").withColumn("digest", digest).withColumn("key", F.xxhash64("digest"))
-    first = saved(pages.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "first")
+    size = F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 1)
+    first = saved(pages.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"), size.alias("bytes")).where("n > 1").drop("n"), "first")
+    total = first.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     repeated = key_filter(first.select(F.xxhash64("digest").alias("key")))
-    alone = pages.drop("digest").mapInArrow(_pack(archive_bytes, repeated), "archive binary")
-    rows = pages.mapInArrow(_passing(repeated), pages.schema).join(first, "digest", "left").select("page_id", "url", "html", "first")
+    hot = F.broadcast(first.where(F.col("bytes") > max(hot_bytes, total / HOT_SHARES)).select("digest", "first", F.lit(True).alias("hot")))
+    alone = pages.join(hot, "digest", "left").drop("digest").mapInArrow(_pack(archive_bytes, repeated), "archive binary")
+    rows = pages.join(hot, "digest", "left_anti").select(*pages.columns).mapInArrow(_passing(repeated), pages.schema)
+    rows = rows.join(first.select("digest", "first"), "digest", "left").select("page_id", "url", "html", "first")
     archives = alone.unionByName(rows.mapInArrow(_pack(archive_bytes), "archive binary")).select(F.col("archive").cast("string").alias("value"))
     archives.write.option("lineSep", EMPTY_FRAME.decode("ascii")).option("maxRecordsPerFile", 1).text(path)
     drop(first)
