@@ -66,6 +66,11 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def renamed(df: DataFrame, *own: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns other than `own` called c0, c1, ..., so that helper columns clash with none, and the names that all columns had."""
+    return df.toDF(*(c if c in own else f"c{i}" for i, c in enumerate(df.columns))), df.columns
+
+
 #: Bits of the filters that pick rows by a hash, fixed for any input.
 FILTER_BITS = 1 << 23
 

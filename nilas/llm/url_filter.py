@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nilas.llm.common import saved
+from nilas.llm.common import renamed, saved
 
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: One-sided width of the posterior bound, and the share of bad pages from which a host is blocked.
 Z, BAD_SHARE = 1.645, 0.5
 #: Prior strengths outside these limits aren't taken from the data.
 STRENGTH = (2.0, 200.0)
+#: Hosts with more pages than this and than one in so many of all pages aren't shuffled to their reputation.
+HOT_PAGES, HOT_SHARES = 10_000, 1 << 14
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -38,7 +40,7 @@ def rule_column(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFrame:
-    """pages (page_id, host) and outcomes (page_id, bad 0/1) -> (host, n, bad, mean, low).
+    """pages (page_id, host) and outcomes (page_id, bad 0/1) -> (host, pages, n, bad, mean, low).
 
     Each level is a beta-binomial: the suffix (last label) shrinks to the overall share, the registered
     domain (last two labels) to its suffix, the host to its domain. A level's prior strength comes from the
@@ -47,8 +49,8 @@ def reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFrame
     that is null doesn't count; without any outcome the overall share is 0.
     """
     seen = pages.where("host <> ''").join(outcomes.where("bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad")), "page_id", "left")
-    hosts = seen.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
-    hosts = saved(hosts.selectExpr("host", "n", "bad", r"substring_index(host, '.', -2) AS domain", "substring_index(host, '.', -1) AS suffix"), "hosts")
+    hosts = seen.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"), F.count("*").alias("pages"))
+    hosts = saved(hosts.selectExpr("host", "pages", "n", "bad", r"substring_index(host, '.', -2) AS domain", "substring_index(host, '.', -1) AS suffix"), "hosts")
     lo, hi = STRENGTH
     sums = ["sum(n) AS n", "sum(bad) AS bad"]
     group = lambda df, *keys: df.groupBy(*keys).agg(*(F.expr(x) for x in sums))
@@ -64,25 +66,35 @@ def reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFrame
 
     top = level(group(hosts, "suffix"), base.select(F.col("p0").alias("p")), "")
     mid = level(group(hosts, "domain", "suffix"), top.selectExpr("suffix", "alpha / (alpha + beta) AS p"), "suffix")
-    own = level(hosts.select("host", "domain", "n", "bad"), mid.selectExpr("domain", "alpha / (alpha + beta) AS p"), "domain")
+    own = level(hosts.select("host", "domain", "pages", "n", "bad"), mid.selectExpr("domain", "alpha / (alpha + beta) AS p"), "domain")
     sd = "sqrt(alpha * beta / (pow(alpha + beta, 2) * (alpha + beta + 1)))"
-    return own.selectExpr("host", "n", "bad", "alpha / (alpha + beta) AS mean", f"alpha / (alpha + beta) - {z}D * {sd} AS low")
+    return own.selectExpr("host", "pages", "n", "bad", "alpha / (alpha + beta) AS mean", f"alpha / (alpha + beta) - {z}D * {sd} AS low")
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, bad_share: float = BAD_SHARE) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, bad_share: float = BAD_SHARE, hot_pages: int = HOT_PAGES) -> DataFrame:
     """pages (page_id, url, ...) with host, path, rule and verdict.
 
     A fitting rule decides; else the host is blocked when the lower posterior bound of its share of bad pages is over
     bad_share. Null urls and urls without :// have an empty host and path and are allowed. Columns with
-    these names are replaced; repeated pages stay repeated; an empty table gives no rows.
+    these names are replaced, others may have any name; repeated pages stay repeated; an empty table gives no rows.
+
+    Of hosts with over hot_pages pages and over one in HOT_SHARES of all, so fewer than HOT_SHARES of them, the verdict is broadcast;
+    only pages of the others, and those without a host, are shuffled or broadcast as Spark sees fit.
     """
+    pages, names = renamed(pages.drop("host", "path", "rule", "verdict"), "page_id", "url")
+    own = pages.columns
     host, path = parts(F.col("url"))
-    pages = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
-    known = reputation(pages.select("page_id", "host"), outcomes).select("host", F.col("low").alias("_low"))
-    method = F.when(F.col("_low") > bad_share, F.lit("block")).otherwise(F.lit("allow"))
+    pages = pages.withColumns({"host": host, "path": path})
+    known = saved(reputation(pages.select("page_id", "host"), outcomes).select("host", "pages", (F.col("low") > bad_share).alias("bad")), "reputation")
+    total = known.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    hot = F.broadcast(known.where(F.col("pages") > max(hot_pages, total / HOT_SHARES)).select("host", "bad"))
+    # a page without a host is on the broadcast side too: however many there are, they have no reputation
+    here = pages.join(hot, "host", "left").where("bad IS NOT NULL OR host = ''")
+    there = pages.where("host <> ''").join(hot, "host", "left_anti").join(known.select("host", "bad"), "host", "left")
     fit = rule_column(F.col("host"), F.col("path"), rules)
-    out = pages.join(known, "host", "left").withColumn("_fit", fit)
-    return out.withColumns({"rule": F.col("_fit.rule"), "verdict": F.coalesce("_fit.verdict", method)}).drop("_fit", "_low")
+    out = here.unionByName(there).select(*own, "host", "path", "bad", fit.alias("fit"))
+    verdict = F.coalesce("fit.verdict", F.when(F.col("bad"), F.lit("block")).otherwise(F.lit("allow")))
+    return out.select(*own, "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict")).toDF(*names, "host", "path", "rule", "verdict")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
