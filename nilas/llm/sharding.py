@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nilas.llm.common import saved
+from nilas.llm.common import drop, renamed, saved
 
 #: Bounds of what the driver places: bundles of small groups, and how small a group must be.
 BUNDLES, SMALL, PIECES, SLOTS = 4096, 256, 64, 1024
@@ -57,18 +57,19 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     texts stay together unless their group alone exceeds a shard in some dimension; then
     it goes out in up to PIECES pieces, by the hash of doc_id. A null text has size 1 and
     counts as one group of its own; null or repeated ids are rows like others. An empty
-    table gives no rows. Columns of docs called size, shard or slot are replaced.
+    table gives no rows. Columns of docs called size, shard or slot are replaced; others may have any name. Rows of
+    a shard are numbered by a bucket, doc_id, size and the hash of the text, so only rows with the same id and text may swap slots.
 
     Groups above 1/(SMALL * shards) of the total in some dimension (3 * SMALL * shards of them at
     most) are placed one by one, the others as BUNDLES bundles by hash: what the driver
     packs and broadcasts is bounded whatever the input.
     """
-    docs = docs.drop("size", "shard", "slot")
+    docs, names = renamed(docs.drop("size", "shard", "slot"), "doc_id", "text")
     text = F.coalesce("text", F.lit(""))
     key = F.md5(F.concat(F.col("text").isNull().cast("string"), text))
     piece = F.pmod(F.xxhash64("doc_id"), F.lit(PIECES)).cast("int")
     sized = docs.withColumn("size", (F.octet_length(text) + 1).cast("long"))
-    cells = saved(
+    cells = saved_cells = saved(
         sized.select(key.alias("key"), piece.alias("piece"), "size", F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"))
         .groupBy("key", "piece").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")),
         "cells",
@@ -83,6 +84,7 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
         "part": F.when(F.col("split"), F.col("piece")).otherwise(F.lit(-1)),
     })
     items = cells.groupBy("item", "part").agg(*(F.sum(c).alias(c) for c in DIMENSIONS)).orderBy("item", "part").collect()
+    drop(saved_cells)
     weights = np.array([[r[c] for c in DIMENSIONS] for r in items], float).reshape(-1, 3) * shards / np.array([max(1, total[c]) for c in DIMENSIONS])
     spark: SparkSession = docs.sparkSession
     placed = spark.createDataFrame([(r["item"], r["part"], int(s)) for r, s in zip(items, place(weights, shards), strict=True)], "item string, part int, shard int")
@@ -92,15 +94,15 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
         "_part": F.when(F.col("_split"), piece).otherwise(F.lit(-1)),
     })
     out = out.join(F.broadcast(placed.withColumnsRenamed({"item": "_item", "part": "_part"})), ["_item", "_part"]).drop("_key", "_split", "_item", "_part")
-    return numbered(out)
+    return numbered(out.withColumn("_order", F.xxhash64("text"))).select(*docs.columns, "size", "shard", "slot").toDF(*names, "size", "shard", "slot")
 
 
 def numbered(out: DataFrame) -> DataFrame:
-    """slot: SLOTS buckets of each shard are numbered apart and start where the one before ends."""
+    """Rows (doc_id, size, shard, _order, ...) with slot: SLOTS buckets of each shard are numbered apart and start where the one before ends."""
     out = out.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", F.lit(7), "size"), F.lit(SLOTS)).cast("int"))
     starts = out.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
     starts = starts.select("shard", "_bucket", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket")) - F.col("_n")).alias("_start"))
-    row = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("doc_id", "size")) - 1
+    row = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("doc_id", "size", "_order")) - 1
     # at most shards * SLOTS rows
     return out.withColumn("_row", row).join(F.broadcast(starts), ["shard", "_bucket"]).withColumn("slot", F.col("_row") + F.col("_start")).drop("_row", "_bucket", "_start")
 
