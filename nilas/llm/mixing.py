@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nilas.llm import text as t
-from nilas.llm.common import held_texts, labelled_sample, saved
+from nilas.llm.common import held_texts, labelled_sample, renamed, saved
 
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.95, "low": 0.04, "toxic": 0.01}
@@ -203,11 +203,13 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     """The rows of docs chosen at their rates, with all their columns: a row stays if the hash of its id and text falls below its rate.
 
     No row is repeated: rates over 1 count as 1, and a domain that has less than its share keeps what it has. With slack, documents plainly of the domain with the largest weight all stay.
+    Null and empty texts are drawn by their posteriors; repeated rows stay or go together; columns may have any name; an empty table gives no rows.
     """
+    docs, names = renamed(docs, "doc_id", "text")
     table = saved(with_posteriors(docs, fit(docs, labels), docs.columns), "posteriors")
     directions, _ = fit_rates(table, targets, slack=slack, repeats=False)
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    return table.where(draw < _rate(directions)).select(*docs.columns)
+    return table.where(draw < _rate(directions)).select(*docs.columns).toDF(*names)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

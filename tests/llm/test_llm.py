@@ -176,6 +176,20 @@ def test_shards_awkward_rows(spark):
     out = sharding.shard(spark.createDataFrame(rows, SCHEMA + ", shard int, size int")).collect()
     check_shards(out, 8)
     assert len(out) == 4 and sharding.shard(spark.createDataFrame([], SCHEMA)).count() == 0
+    names = ["_key", "_split", "_item", "_part", "_row", "_bucket", "_n", "_start", "_order", "c0"]
+    rows = [(i % 3, ("long text " * 200_000 if i == 5 else f"t{i % 4}"), *[i] * len(names)) for i in range(12)]
+    for parts in (1, 5):
+        out = sharding.shard(spark.createDataFrame(rows, SCHEMA + "".join(f", {c} int" for c in names)).repartition(parts), 2)
+        assert out.columns == ["doc_id", "text", *names, "size", "shard", "slot"]
+        out = out.collect()
+        check_shards(out, 2)
+        assert sorted(tuple(r)[:-3] for r in out) == sorted(rows)
+
+
+def test_slots_of_equal_ids_and_sizes_have_an_order(spark):
+    docs = spark.createDataFrame([(1, f"text {i:03d}") for i in range(50)], SCHEMA)
+    slots = [{(r.text, r.shard, r.slot) for r in sharding.shard(docs.repartition(n), 3).collect()} for n in (1, 4)]
+    assert slots[0] == slots[1]
 
 
 def test_op2_on_the_table(spark, oracle):
@@ -223,6 +237,24 @@ def test_archives_end_at_their_size(spark, tmp_path):
     assert {r.page_id: bytes(r.payload).decode() for r in got if r.payload is not None} == {i: h for i, _, h in rows if i <= 500}
 
 
+@pytest.mark.parametrize("hot_bytes", [0, 3000, 1 << 40])
+def test_copies_of_hot_pages_need_no_shuffle(spark, tmp_path, hot_bytes):
+    rows = [(9 + i, None, "hot page " * 9) for i in range(300)] + [(1000 + i, "u", f"pair {i // 2}") for i in range(60)] + [(None, None, None), (None, None, ""), (None, "u", "no id"), (None, "u", "no id"), (2000, None, "alone")]
+    path = f"file://{tmp_path}/hot"
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), path, hot_bytes=hot_bytes)
+    got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(spark, path).collect())
+    by_page = {}
+    for i, _, html in rows:
+        if i is not None:
+            by_page[html or ""] = min(i, by_page.get(html or "", i))
+    want = Counter()
+    for i, _, html in rows:
+        to = by_page.get(html or "")
+        revisit = to is not None and to != i
+        want[i, len(html or ""), "revisit" if revisit else "response", to if revisit else None] += 1
+    assert got == want
+
+
 def test_no_pages_no_records(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/none")
     assert warc.read_archives(spark, f"file://{tmp_path}/none").count() == 0
@@ -302,6 +334,18 @@ def test_bad_hosts_are_blocked_by_their_bound(spark):
     assert {got[i] for i in range(40)} == {"block"} and {got[i] for i, _ in rows if i >= 100} == {"allow"}
 
 
+@pytest.mark.parametrize("hot_pages", [0, 10, 10**9])
+def test_pages_of_hot_hosts_and_names_that_clash(spark, hot_pages):
+    rows = [(i, f"http://bad.site.xyz/{i}", "a", i, "p") for i in range(40)] + [(100 + i, f"http://good{i % 9}.other.xyz/{i}", "b", i, "p") for i in range(60)] + [(900, None, None, None, None), (901, "x" * 100_000, "c", 1, "p"), (902, "http://com/en/" + "y" * 100_000, "c", 1, "p")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, _low string, _fit long, bad string")
+    outcomes = spark.createDataFrame([(i, int(i < 40)) for i, *_ in rows if i < 900] + [(None, 1)], "page_id long, bad int")
+    out = url_filter.filter_urls(pages, outcomes, hot_pages=hot_pages)
+    assert out.columns == ["page_id", "url", "_low", "_fit", "bad", "host", "path", "rule", "verdict"]
+    got = out.collect()
+    assert sorted((r.page_id, r._low or "", r._fit or 0, r.bad or "") for r in got) == sorted((i, a or "", b or 0, c or "") for i, _, a, b, c in rows)
+    assert {r.page_id for r in got if r.verdict == "block"} == {*range(40), 902}
+
+
 # 6. HTML.
 def test_main_text():
     page = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a>menu</a></ul></nav><div class="ad">buy</div>
@@ -642,6 +686,8 @@ def test_mixing_awkward_rows(spark):
         known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
         assert mixing.mixing_rates(docs, known).where("rate >= 0").count() == 5
         assert mixing.mix(docs, known).columns == docs.columns
+        named = spark.createDataFrame([(1, "a b", 7, 8, 9), (2, "long " * 100_000, 7, 8, 9)], SCHEMA + ", _tokens int, _p_clean int, c0 int")
+        assert {tuple(r)[2:] for r in mixing.mix(named, known, slack=9.0).collect()} <= {(7, 8, 9)}
         assert mixing.mixing_rates(docs.where("false"), known).count() == 0
 
 
