@@ -119,10 +119,10 @@ def _search(index, words: int, threshold: float, names: list[str] | None):
 def _indexes(items: DataFrame, words: int, block_words: int):
     """The items' shingle sets, a bounded block of items at a time."""
     items = items.select("item_id", "text").where("text IS NOT NULL").distinct()
-    sized = items.withColumn("n", F.size(F.split("text", " ")))
+    sized = items.withColumn("n", F.size(F.split("text", r"[\x20\x09-\x0D]+")))
     blocks = max(1, -(-(sized.agg(F.sum("n")).first()[0] or 0) // block_words))
     for k in range(blocks):
-        table = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).toArrow().combine_chunks()
+        table = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow().combine_chunks()
         ids, sets = [], []
         for batch in table.to_batches():
             ids += batch.column(0).to_pylist()

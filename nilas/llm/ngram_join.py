@@ -13,7 +13,8 @@ Texts are read once: sets, points and pages go to the shared folder. Pages are c
 pages are kept once. A first pass ties each page to its smallest member and verifies those pairs, which joins most of a group of
 copies in linear work. Further passes look only at pages that still hold several components: in each page every component
 names its nearest pair to another one, first in a share of the pages, then in all; a last pass verifies all pairs
-across components that the fine bound still allows. Pages over BLOCK members are cut into block pairs.
+across components that the fine bound still allows. Pages over BLOCK members are cut into block pairs, none of them
+inside a page's largest component.
 No link between different sets is lost, and pairs inside a component are never listed.
 """
 
@@ -457,6 +458,24 @@ def _links(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int) ->
     return out
 
 
+def _blocks(named: DataFrame, block: int) -> DataFrame:
+    """(page, node, comp, m) -> those of pages with several components, with the part of the page that each belongs to and the parts that it meets.
+
+    Pages over `block` members are cut into parts of about that size. The largest component of such a page has parts of its
+    own, which meet all other parts but not one another: m copies beside a few other documents go out about m times, not m times m / block.
+    """
+    small = named.where(F.col("m") <= block).groupBy("page").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
+    large = named.where(F.col("m") > block).groupBy("page", "comp").agg(F.count("*").alias("c"))
+    large = large.groupBy("page").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("c"), F.sum("c").alias("all")).where("c < all")
+    count = lambda n: F.ceil(n / block).cast("int")
+    large = large.select("page", "main", count(F.col("c")).alias("own"), count(F.col("all") - F.col("c")).alias("more"))
+    rest = named.join(small.select("page").unionByName(large, allowMissingColumns=True), "page")
+    place, inside = F.xxhash64("node"), F.col("comp") == F.col("main")
+    part = F.when(F.col("main").isNull(), 0).when(inside, F.pmod(place, "own")).otherwise(F.col("own") + F.pmod(place, "more"))
+    others = F.when(F.col("main").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.when(inside, F.col("own")).otherwise(0), F.col("own") + F.col("more") - 1))
+    return rest.select("page", "node", "comp", part.cast("int").alias("part"), others.alias("others"))
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = (8, 10), block: int = BLOCK) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_shingles, component_id), a row for each row of docs.
 
@@ -499,10 +518,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, in
     tested, steps = stars, [stars]
     for share, nearest in PASSES:
         named = pages.where(F.pmod("page", F.lit(share)) == 0).join(labels, "node", "left").select("page", "node", "m", F.coalesce("component", "node").alias("comp"))
-        mixed = named.groupBy("page").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("page")
-        rest = named.join(mixed, "page").join(points, "node")
-        parts = F.ceil(F.col("m") / block).cast("int")
-        rest = rest.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), parts - 1)))
+        rest = _blocks(named, block).join(points, "node").withColumn("k", F.explode("others"))
         rest = rest.select("page", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"), "part", "node", "comp", "n", "point", "fine")
         rest = rest.repartition("page", "i", "j").sortWithinPartitions("page", "i", "j").mapInArrow(_across(num, den, nearest), "a long, b long")
         more = saved(rest.distinct().join(tested, ["a", "b"], "left_anti"), "more")
@@ -511,7 +527,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: tuple[int, in
             links = links.unionByName(_links(docs, more, words, num, den))
             labels = saved(components(links), "labels")
             tested = tested.unionByName(more)
-        del named, mixed, rest
+        del named, rest
         release(docs.sparkSession)
 
     drop(*turns, points, *steps)

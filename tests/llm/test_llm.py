@@ -145,6 +145,31 @@ def test_pages_keep_every_link():
                 assert set(ngram_join._pages(a, bands, common_)) & set(ngram_join._pages(b, bands, common_))
 
 
+def test_largest_component_of_a_page_has_its_own_parts(spark):
+    """Every two members of different components meet in one block; copies beside a few others go out about once more, however many they are."""
+    comp = {**dict.fromkeys(range(1000), 0), **{n: n for n in range(1000, 1012)}}
+    named = [(page, n, m, comp[n] * c) for page, of, m, c in ((1, range(1012), 1012, 1), (2, range(999, 1012), 13, 1), (3, range(500), 500, 0)) for n in of]
+    got = ngram_join._blocks(spark.createDataFrame(named, "page long, node long, m long, comp long"), 20).collect()
+    assert {r.page for r in got} == {1, 2}
+    blocks = {}
+    for r in got:
+        for k in r.others:
+            blocks.setdefault((r.page, min(r.part, k), max(r.part, k)), []).append((r.node, r.part))
+    assert sum(len(x) for (page, _, _), x in blocks.items() if page == 1) <= 1000 + 12 * 52 and max(map(len, blocks.values())) < 80
+    met = Counter((page, min(a, b), max(a, b)) for (page, i, j), x in blocks.items() for s, (a, p) in enumerate(x) for b, q in x[:s] if comp[a] != comp[b] and (i == j or p != q))
+    assert met == {(page, a, b): 1 for page, of in ((1, range(1012)), (2, range(999, 1012))) for a in of for b in of if a < b and comp[a] != comp[b]}
+
+
+def test_hot_page_of_copies_and_strangers_matches_brute_force(spark):
+    """A passage that many share: near copies, texts that share half, and their links, with blocks far smaller than the page."""
+    rng = np.random.default_rng(31)
+    shared, own = prose(rng, 40).split(), lambda n: prose(rng, n).split()
+    rows = [(i, " ".join(shared + own(int(rng.integers(0, 3))))) for i in range(40)] + [(100 + i, " ".join(shared + own(int(rng.integers(4, 16))))) for i in range(40)]
+    rows += [(200 + i, t + " end") for i, t in rows[40:60]]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, SCHEMA), 3, (8, 10), 6).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 3, 8, 10)
+
+
 # 2. Sharding.
 def check_shards(rows, shards):
     slots = {}
@@ -520,6 +545,9 @@ def test_contaminated_matches_brute_force(spark, block_words):
     bad = Counter(r.doc_id for r in got)
     left = decontaminate.decontaminate(d, b, block_words=block_words).collect()
     assert sorted((r.doc_id or -1) for r in left) == sorted((a or -1) for a, _ in docs if a not in bad)
+    loose = spark.createDataFrame([(None, x.replace(" ", "\n")) for _, x in items if x], "item_id long, text string")
+    assert Counter(r.doc_id for r in decontaminate.contaminated(d, loose, block_words=block_words).collect()) == bad
+    assert len(list(decontaminate._indexes(loose, 5, 40))) > 5
     assert decontaminate.contaminated(d.where("false"), b).count() == 0 and decontaminate.contaminated(d, b.where("false")).count() == 0
 
 
@@ -729,5 +757,28 @@ def test_pipeline_takes_empty_tables_and_more_columns(spark, tmp_path):
             stage(spark, d, DATA).collect()
 
 
+def test_stages_on_awkward_rows(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    a, b, long = prose(rng, 90), prose(rng, 80), prose(rng, 150_000)
+    rows = [(1, a), (1, a), (2, a), (3, long), (4, long + " end"), (None, b), (5, b), (6, None), (7, ""), (8, b)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1, 9) for r in rows], SCHEMA + ", lang string, source string, n_chars long, node int")
+    ids = lambda df: sorted((r.doc_id for r in df.collect()), key=repr)
+    stage = {name: lambda d, run=run: run(spark, d, DATA) for name, run in corpus_pipeline.STAGES}
+    assert {6, 7}.isdisjoint(ids(stage["quality"](docs)))
+    assert ids(stage["near_duplicates"](docs)) == sorted([1, 1, 3, None, 5, 6, 7], key=repr)
+    assert ids(stage["decontamination"](docs)) == ids(docs)
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").where("size(split(text, ' ')) > 8").first().text
+    planted = spark.createDataFrame([(1, f"{long} {item} {long}"), (1, item), (2, a)], SCHEMA)
+    assert ids(stage["decontamination"](planted)) == [2]
+    mixed = Counter(ids(stage["mixing"](docs)))
+    assert not mixed - Counter(ids(docs))
+    shards = stage["sharding"](docs).collect()
+    assert sorted((r.doc_id for r in shards), key=repr) == ids(docs)
+    for s in {r.shard for r in shards}:
+        assert sorted(r.slot for r in shards if r.shard == s) == list(range(sum(r.shard == s for r in shards)))
+
+
 def test_rows_of_sorts():
     assert rows_of(["b", "a"], [(1, 2.0)]) == [(2.0, 1)]
