@@ -14,29 +14,32 @@ from nilas.llm.sharding import shard
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every rule."""
+    """Documents that pass every rule. Null and empty texts fail the rule on words and go; texts of any length are measured whole; rows that repeat stand or fall alike."""
     return quality_filter(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at five-word shingles and a similarity of 0.8: the one with the smallest doc_id. Rows without doc_id stay."""
+    """One document of each group at five-word shingles and a similarity of 0.8: the one with the smallest doc_id.
+
+    Null and empty texts have no shingles and stay, and so do rows without doc_id; rows that repeat a kept doc_id are one document and all stay.
+    """
     groups = jaccard_components(docs, 5, (8, 10))
     others = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without four fifths of the five-word shingles of any benchmark item."""
+    """Documents without four fifths of the five-word shingles of any benchmark item. Texts without a shingle stay, a long text goes for an item anywhere in it, a repeated row goes with its like."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that the domains' tokens meet the target weights."""
+    """Documents drawn so that the domains' tokens meet the target weights. Null and empty texts have no tokens and the rate of their domains; a row is kept once at most; equal rows share their draw."""
     return mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with size, shard and slot."""
+    """All documents with size, shard and slot; shards are near equal in bytes. Null texts have size 1, equal texts go together unless they outgrow a shard, repeated rows have slots of their own."""
     return shard(docs, 8).withColumns({"shard": F.col("shard").cast("int"), "slot": F.col("slot").cast("long")})
 
 
