@@ -91,8 +91,8 @@ def _places(keys: pa.Array) -> np.ndarray:
 def key_filter(keys: DataFrame):
     """A broadcast bit map with the hashes of all keys, a column of longs: 1 MB whatever the input. Keys that it lets pass beside them only cost time."""
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in keys.mapInArrow(_bits, "at long, byte long").groupBy("at").agg(F.bit_or("byte").alias("byte")).toLocalIterator():
-        bits[r["at"]] |= r["byte"]
+    found = keys.mapInArrow(_bits, "at long, byte long").groupBy("at").agg(F.bit_or("byte").alias("byte")).toArrow()  # a row a byte at most, in one job
+    bits[found.column(0).to_numpy()] = found.column(1).to_numpy()
     return keys.sparkSession.sparkContext.broadcast(bits.tobytes())
 
 

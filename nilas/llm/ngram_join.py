@@ -158,7 +158,7 @@ def _page_filter(pages: DataFrame, n: int):
     place = F.col("page").bitwiseAND(F.lit(bits - 1))
     chunks = pages.select(F.floor(place / (8 * CHUNK)).cast("int").alias("chunk"), (place % (8 * CHUNK)).alias("at")).repartition("chunk").mapInArrow(_chunks, "chunk int, data binary")
     out = np.zeros(bits // 8, np.uint8)
-    for r in chunks.toLocalIterator():
+    for r in chunks.toArrow().to_pylist():  # as large as the map, in one job
         out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["data"], np.uint8)
     return pages.sparkSession.sparkContext.broadcast(out.tobytes())
 
