@@ -10,6 +10,12 @@ from nilas.functions.stats import bias, mae, rmse, weighted_mean
 from nilas.operators.skill import area_correlation
 
 LEVEL, EPS = 15.0, 1e-9
+#: Rows of the grid in a tile, and rows of its neighbours that it holds too: one for means, one more for gradients of them.
+TILE, HALO = 24, 2
+#: From a cell to the one above in the order of cells; more than any row is long.
+STRIDE = 1 << 32
+#: Keys of one field in tiles; rows are sorted in this order, so the key of most values comes first.
+FRAME = ("time", "_tile", "dataset")
 TERMS = ("dadt", "adv", "div", "res")
 #: Components of the change of concentration, in terms; the last closes the budget.
 COMPONENTS = {"dynamic": "adv + div", "thermo": "res", "residual": "dadt - (adv + div) - res"}
@@ -35,29 +41,59 @@ def distances(grid: DataFrame) -> DataFrame:
 
 
 def neighbour(value: str, keys, along: str, by: int) -> Column:
-    """The value `by` steps on in the coordinate `along`; null if that row is missing."""
-    return F.first(value).over(Window.partitionBy(*keys).orderBy(along).rangeBetween(by, by))
+    """The value `by` (1 or -1) step on in the coordinate `along`; null if that row is missing."""
+    w = Window.partitionBy(*keys).orderBy(along)
+    return F.when(F.lead(along, by).over(w) == F.col(along) + by, F.lead(value, by).over(w))
+
+
+def tiled(rows: DataFrame) -> DataFrame:
+    """Rows with their tile (_tile), a band of TILE rows of the grid; those within HALO rows of a band's edge stand in the next tile too, so that stencils need no other tile. `own` takes the repeats out again."""
+    tile = lambda by: F.floor((F.col("y") + by) / TILE)
+    return rows.withColumn("_tile", F.explode(F.array_distinct(F.array(tile(-HALO), tile(HALO)))))
+
+
+def own(rows: DataFrame) -> DataFrame:
+    """Rows in the tile that they belong to."""
+    return rows.where(F.floor(F.col("y") / TILE) == F.col("_tile"))
+
+
+def _cells(frame) -> Window:
+    """The cells of a frame row by row: one order for all stencils, in which the cell above is STRIDE away. y and x are whole numbers."""
+    return Window.partitionBy(*frame).orderBy(F.col("y").cast("long") * STRIDE + F.col("x"))
 
 
 def mean_filter(field: DataFrame, values: list[str], n: int = 3, frame=("dataset", "time")) -> DataFrame:
-    """n by n means that shrink at the edges and skip nulls and missing cells.
+    """n by n means that shrink at the edges and skip nulls and missing cells."""
+    k, w = (n - 1) // 2, _cells(frame)
+    rows = [w.rangeBetween(j * STRIDE - k, j * STRIDE + k) for j in range(-k, k + 1)]
+    total = lambda f, v, zero: sum((F.coalesce(f(v).over(r), F.lit(zero)) for r in rows[1:]), F.coalesce(f(v).over(rows[0]), F.lit(zero)))
+    return field.withColumns({f"{v}_mean": total(F.sum, v, 0.0) / F.nullif(total(F.count, v, 0), F.lit(0)) for v in values})
 
-    Each cell sends its values to the rows around it, so that a window along x meets the columns' sums even where its own rows are missing. Only cells that exist are kept.
-    """
-    k, keys = (n - 1) // 2, [*frame, "x", "y"]
-    others = [c for c in field.columns if c not in keys]
-    rows = field.withColumn("_to", F.explode(F.sequence(F.lit(-k), F.lit(k))))
-    rows = rows.select(*frame, "x", (F.col("y") + F.col("_to")).alias("y"), *values, F.when(F.col("_to") == 0, F.struct(*others)).alias("_own"))
-    rows = rows.groupBy(*keys).agg(F.first("_own", ignorenulls=True).alias("_own"), *(F.sum(v).alias(f"_s{v}") for v in values), *(F.count(v).alias(f"_c{v}") for v in values))
-    w = Window.partitionBy(*frame, "y").orderBy("x").rangeBetween(-k, k)
-    means = {f"{v}_mean": F.sum(f"_s{v}").over(w) / F.nullif(F.sum(f"_c{v}").over(w), F.lit(0)) for v in values}
-    return rows.withColumns(means).where("_own IS NOT NULL").select(*keys, "_own.*", *means)
+
+def difference(value: str, along: str, frame=("dataset", "time")) -> Column:
+    """The value of the next cell along x or y less that of the last; null where one is missing."""
+    w = _cells(frame)
+    if along == "y":
+        at = lambda by: F.first(value).over(w.rangeBetween(by * STRIDE, by * STRIDE))
+    else:
+        at = lambda by: F.when((F.lead("x", by).over(w) == F.col("x") + by) & (F.lead("y", by).over(w) == F.col("y")), F.lead(value, by).over(w))
+    return at(1) - at(-1)
 
 
 def gradient(value: str, distance: str, along: str, frame=("dataset", "time")) -> Column:
     """Central difference along x or y; null at the edges and beside missing cells."""
-    at = lambda c, by: neighbour(c, [*frame, "y" if along == "x" else "x"], along, by)
-    return (at(value, 1) - at(value, -1)) / (at(distance, 1) - at(distance, -1))
+    return difference(value, along, frame) / difference(distance, along, frame)
+
+
+def spans(grid: DataFrame) -> DataFrame:
+    """grid with sx and sy, the distances in m between the cells on either side along x and y: taken once from the grid, not in every field."""
+    far = distances(grid)
+    return far.withColumns({"sx": neighbour("hx", ["y"], "x", 1) - neighbour("hx", ["y"], "x", -1), "sy": neighbour("hy", ["x"], "y", 1) - neighbour("hy", ["x"], "y", -1)}).drop("hx", "hy")
+
+
+def on_grid(rows: DataFrame, grid: DataFrame) -> DataFrame:
+    """Rows with sx, sy, cell_area and region of their cell."""
+    return rows.join(spans(grid).select("x", "y", "sx", "sy", "cell_area", "region"), ["x", "y"])
 
 
 def tendency(value: str, keys=("dataset", "y", "x")) -> Column:
@@ -74,20 +110,22 @@ def running_mean(value: str, keys=("dataset", "y", "x"), before: int = 1, after:
 def daily_budget(daily: DataFrame, grid: DataFrame, weight: Column | None = None) -> DataFrame:
     """dadt, adv, div and res in percent a day. Velocities are filtered and dropped where concentration is under LEVEL; day i averages the terms of fields i, i+1 and i+2, of which the first two fields have none.
 
-    weight: days that a field stands for (1, or the days of the month for monthly fields).
+    daily: where it is on its grid (`on_grid`) and in tiles (`tiled`) its partitions are kept; else rows meet the grid here and are shuffled once, into tiles. weight: days that a field stands for (1, or the days of the month for monthly fields).
     """
     weight = F.lit(1.0) if weight is None else weight
-    daily = daily.repartition("dataset", "time")  # one shuffle for all windows along x and y
-    rows = mean_filter(daily, ["u", "v"]).join(distances(grid), ["x", "y"])
+    if "_tile" not in daily.columns:
+        daily = tiled(on_grid(daily, grid)).repartition("dataset", "_tile")
+    rows = mean_filter(daily, ["u", "v"], frame=FRAME)
     rows = rows.withColumns({c: F.when(F.col("sic") >= LEVEL, F.col(f"{c}_mean")) for c in ("u", "v")})
-    rows = rows.withColumns({"ax": gradient("sic", "hx", "x"), "ay": gradient("sic", "hy", "y"), "ux": gradient("u", "hx", "x"), "vy": gradient("v", "hy", "y")})
+    rows = rows.withColumns({n: difference(v, along, FRAME) / F.col(f"s{along}") for n, v, along in (("ax", "sic", "x"), ("ay", "sic", "y"), ("ux", "u", "x"), ("vy", "v", "y"))})
     late = F.col("i") >= 2
-    rows = rows.withColumns({
+    rows = own(rows).withColumns({
         "_adv": F.when(late, -(F.col("u") * F.col("ax") + F.col("v") * F.col("ay")) * 86400.0 * weight),
         "_div": F.when(late, -F.col("sic") * (F.col("ux") + F.col("vy")) * 86400.0 * weight),
     })
-    w = Window.partitionBy("dataset", "y", "x").orderBy("i")
-    out = rows.withColumns({"dadt": tendency("sic"), "adv": F.avg("_adv").over(w.rangeBetween(0, 2)), "div": F.avg("_div").over(w.rangeBetween(0, 2))})
+    keys = ["y", "x", "_tile", "dataset"]
+    w = Window.partitionBy(*keys).orderBy("i").rangeBetween(0, 2)
+    out = rows.withColumns({"dadt": tendency("sic", keys), "adv": F.avg("_adv").over(w), "div": F.avg("_div").over(w)})
     out = out.where(F.col("dadt").isNotNull()).withColumn("res", F.col("dadt") - F.col("adv") - F.col("div"))
     return out.select("dataset", "time", "yr", "mo", "i", "y", "x", "sic", "cell_area", "region", "dadt", "adv", "div", "res")
 

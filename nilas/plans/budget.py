@@ -44,7 +44,7 @@ bud AS (SELECT *, dadt - adv - div AS res FROM f6 WHERE dadt IS NOT NULL)"""
 
 
 def budget(v):
-    return b.daily_budget(v.daily, v.grid)
+    return b.daily_budget(v.daily_tiles, v.grid)
 
 
 query("R9_distances", f"WITH {DIST} SELECT y, x, {q('hx', 3)} AS hx, {q('hy', 3)} AS hy FROM dist")(lambda v: rounded(b.distances(v.grid).select("y", "x", "hx", "hy"), "y", "x", digits=3))
@@ -52,9 +52,9 @@ query("W7_tendency", f"SELECT dataset, y, x, time, {q('(lead(sic) OVER k - lag(s
 query("W8_three_day_mean", f"WITH a AS (SELECT dataset, y, x, i, avg(u) OVER n AS m, count(u) OVER n AS c FROM daily WINDOW n AS (PARTITION BY dataset, y, x ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) SELECT dataset, y, x, i, {q('CASE WHEN c = 3 THEN m END')} AS value FROM a")(
     lambda v: v.daily.select("dataset", "y", "x", "i", r(b.running_mean("u")).alias("value"))
 )
-query("W9_mean_filter", f"WITH {DIST}, {FILT} SELECT dataset, time, y, x, {q('um')} AS u, {q('vm')} AS v FROM f2")(lambda v: b.mean_filter(v.daily, ["u", "v"]).select("dataset", "time", "y", "x", r(F.col("u_mean")).alias("u"), r(F.col("v_mean")).alias("v")))
+query("W9_mean_filter", f"WITH {DIST}, {FILT} SELECT dataset, time, y, x, {q('um')} AS u, {q('vm')} AS v FROM f2")(lambda v: b.own(b.mean_filter(v.daily_tiles, ["u", "v"], frame=b.FRAME)).select("dataset", "time", "y", "x", r(F.col("u_mean")).alias("u"), r(F.col("v_mean")).alias("v")))
 query("W10_gradient", f"WITH {DIST}, d AS (SELECT * FROM daily JOIN dist USING (x, y)) SELECT dataset, time, y, x, {q(grad('sic', 'hx', 'px') + ' * 1e5')} AS gx, {q(grad('sic', 'hy', 'py') + ' * 1e5')} AS gy FROM d WINDOW px AS (PARTITION BY dataset, time, y ORDER BY x), py AS (PARTITION BY dataset, time, x ORDER BY y)")(
-    lambda v: v.daily.join(b.distances(v.grid), ["x", "y"]).select("dataset", "time", "y", "x", r(b.gradient("sic", "hx", "x") * 1e5).alias("gx"), r(b.gradient("sic", "hy", "y") * 1e5).alias("gy"))
+    lambda v: b.own(v.daily_tiles.withColumns({f"g{c}": b.difference("sic", c, b.FRAME) / F.col(f"s{c}") * 1e5 for c in "xy"})).select("dataset", "time", "y", "x", r(F.col("gx")).alias("gx"), r(F.col("gy")).alias("gy"))
 )
 query("W11_daily_budget", f"WITH {BUD} SELECT dataset, time, y, x, {', '.join(f'{q(t, 5)} AS {t}' for t in TERMS)} FROM bud")(lambda v: rounded(budget(v).select("dataset", "time", "y", "x", *TERMS), "dataset", "time", "y", "x", digits=5))
 query("W12_common_mask", f"WITH {BUD} SELECT dataset, mo, count(CASE WHEN {' AND '.join(f'{t} IS NOT NULL' for t in TERMS)} THEN 1 END) AS n, {q(f'avg(CASE WHEN {" AND ".join(f"{t} IS NOT NULL" for t in TERMS)} THEN dadt END)', 5)} AS dadt FROM bud GROUP BY ALL")(

@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nilas.operators.budget import on_grid, tiled
+
 #: Region codes of the southern sectors. All is every region over 0.
 SECTORS = (("All", (1, 2, 3, 4, 5, 6)), ("Weddell", (1,)), ("West Indian", (2,)), ("East Indian", (3,)), ("Ross", (4,)), ("AB", (5,)))
 #: Region codes of the northern sectors.
@@ -19,6 +21,8 @@ ENSEMBLE = (("ALL", "model_a"), ("ALL", "model_b"), ("A", "model_a"))
 TERMS = ("dyn", "growth", "melt", "snow")
 #: Columns of the grid, and the parts for which it has ROWS rows.
 COLUMNS, ROWS, PARTS = 8, 6, 2000
+#: Daily series that one task makes; each is as long as the orders' calendar.
+SERIES = 128
 
 
 def cell(key: Column, ny: int) -> dict[str, Column]:
@@ -92,22 +96,45 @@ class Views:
         ends = self.table("orders").agg(F.to_date(F.min("o_orderdate")).alias("first"), F.to_date(F.max("o_orderdate")).alias("last")).where("first IS NOT NULL")
         return ends.select("first", F.explode(F.sequence("first", "last")).alias("time")).select("time", F.datediff("time", "first").cast("long").alias("i"))
 
+    @property
+    def parts(self) -> int:
+        """Partitions of the daily fields of three datasets: the number follows the grid, as the rows of a partition grow many times after its shuffle."""
+        return -(-3 * COLUMNS * self.ny // SERIES)
+
     @cached_property
-    def daily(self) -> DataFrame:
-        """Daily concentration and drift of three datasets over all days of the orders, without gaps. Half of the drift is the month's, where line items give one."""
-        noise = self.table("orders").groupBy(F.to_date("o_orderdate").alias("time")).agg((F.count("*") % 11).alias("k"))
+    def _drifts(self) -> DataFrame:
+        """Cells by dataset (and its shift) with the drift of their months, a map of as many entries as there are months."""
+        drift = self.field.repartition(self.parts, "x", "y").groupBy("x", "y").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("dataset", "time"), F.struct("u", "v")))).alias("_drift"))
         shift = self.spark.createDataFrame([("obs1", 0), ("obs2", 6), ("model_a", 15)], "dataset string, shift int")
-        i, x, y = F.col("i"), F.col("x"), F.col("y")
-        rows = self.days.join(noise, "time", "left").crossJoin(self.cells).crossJoin(F.broadcast(shift))  # days are a few thousand, datasets three
-        month = self.field.select("dataset", F.col("time").alias("_month"), "x", "y", F.col("u").alias("_u"), F.col("v").alias("_v"))
-        rows = rows.withColumn("_month", F.trunc("time", "month")).join(month, ["dataset", "_month", "x", "y"], "left")
-        k = F.coalesce("k", F.lit(0))
+        rows = self.cells.repartition(self.parts, "x", "y").join(drift, ["x", "y"], "left").crossJoin(F.broadcast(shift))  # datasets are three
+        return rows.withColumn("_drift", F.map_filter("_drift", lambda at, _: at["dataset"] == F.col("dataset")))
+
+    def _daily(self, cells: DataFrame) -> DataFrame:
+        """Daily rows of cells (with their drift). Months and days are made after the cells are dealt out: no daily row is shuffled, and those of a cell stay in its partition."""
+        noise = self.table("orders").groupBy(F.to_date("o_orderdate").alias("time")).agg((F.count("*") % 11).alias("k"))
+        days = self.days.join(noise, "time", "left").select(F.trunc("time", "month").alias("_month"), "time", "i", F.coalesce("k", F.lit(0)).alias("k"))
+        months = self.days.select(F.trunc("time", "month").alias("_month")).distinct()
+        rows = cells.crossJoin(F.broadcast(months))  # months are a few hundred
+        rows = rows.withColumn("_at", F.try_element_at("_drift", F.struct("dataset", F.col("_month").alias("time")))).drop("_drift")
+        rows = rows.join(F.broadcast(days), "_month")  # days are a few thousand
+        i, k, x, y = (F.col(c) for c in ("i", "k", "x", "y"))
         wave = F.abs((i + 9 * x + 5 * y + F.col("shift")) % 365 - 182) - 50 + k
         return rows.select(
             "dataset", "time", F.year("time").alias("yr"), F.month("time").alias("mo"), "i", "x", "y", F.greatest(F.lit(0), F.least(F.lit(100), wave)).cast("double").alias("sic"),
-            (0.5 * F.coalesce("_u", F.lit(0.0)) + ((i * 7 + x * 3 + y * 5 + k) % 41 - 20) / 200.0).alias("u"), (0.5 * F.coalesce("_v", F.lit(0.0)) + ((i * 5 + x * 11 + y * 2 + 3 * k) % 41 - 20) / 200.0).alias("v"),
+            (0.5 * F.coalesce("_at.u", F.lit(0.0)) + ((i * 7 + x * 3 + y * 5 + k) % 41 - 20) / 200.0).alias("u"), (0.5 * F.coalesce("_at.v", F.lit(0.0)) + ((i * 5 + x * 11 + y * 2 + 3 * k) % 41 - 20) / 200.0).alias("v"),
+            *(c for c in cells.columns if c not in ("x", "y", "dataset", "shift", "_drift")),
         )
 
+    @cached_property
+    def daily(self) -> DataFrame:
+        """Daily concentration and drift of three datasets over all days of the orders, without gaps. Half of the drift is the month's, where line items give one."""
+        return self._daily(self._drifts)
+
+    @cached_property
+    def daily_tiles(self) -> DataFrame:
+        """The daily fields on their grid (`budget.on_grid`) and in tiles for stencils (`budget.tiled`): cells meet the grid and are dealt out to tiles before their days are made."""
+        return self._daily(tiled(on_grid(self._drifts, self.grid)).repartition(self.parts, "dataset", "_tile"))
+
     @cached_property
     def sectors(self) -> DataFrame:
         return self.spark.createDataFrame([(s, r) for s, codes in SECTORS for r in codes], "sector string, region int")

@@ -444,3 +444,27 @@ def test_matched_coverage_needs_every_dataset(spark):
     out = align.coverage_modes(align.coverage(df, F.col("v").isNotNull(), ["o1", "o2"]))
     assert {(r.dataset, r.time) for r in out.where("coverage_mode = 'matched'").collect()} == {("o1", 1), ("o2", 1), ("m", 1), ("o1", 4), ("o2", 4)}
     assert out.where("coverage_mode = 'own'").count() == len(rows)
+
+
+def test_tiles_change_no_stencil(spark, monkeypatch):
+    """Tiles of few rows, whose edges cut the grid, against one tile that holds it all; cells that are missing too."""
+    from nilas.sources.views import Views
+
+    v = Views(spark, "/root/testdata/sf0.001")
+    daily = v.daily.where("dataset <> 'obs2' AND i < 6 AND NOT (x = 3 AND y = 2)")
+    grid = spark.createDataFrame([(x, y, 5.0 * x, 65.0 + y, 1.0, 1) for x in range(8) for y in range(6)], "x int, y int, lon double, lat double, cell_area double, region int")
+    found = {}
+    for tile in (24, 4):
+        monkeypatch.setattr(budget, "TILE", tile)
+        found[tile] = {(r.dataset, r.i, r.y, r.x): tuple(None if t is None else round(t, 9) for t in (r.dadt, r.adv, r.div, r.res)) for r in budget.daily_budget(daily, grid).collect()}
+    assert found[4] == found[24] and any(None not in t for t in found[4].values())
+
+
+@pytest.mark.parametrize("name", ["W8_three_day_mean", "W9_mean_filter", "W10_gradient", "W11_daily_budget"])
+def test_days_of_the_views_are_not_shuffled(spark, name):
+    """Cells are shuffled, then their days are made: no exchange stands over the join with the days."""
+    from nilas import plans
+
+    plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    above, days, _ = plan.partition("BroadcastHashJoin [_month")
+    assert days and "Exchange" not in above
