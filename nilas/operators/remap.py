@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nilas.operators.budget import haversine
+from nilas.sources.files import shared_folder
 
 
 def _intervals(points: DataFrame, name: str, wraps: bool) -> DataFrame:
@@ -109,31 +111,71 @@ def conservative_lonlat(source: DataFrame, target: DataFrame, value: str, keys:
     return joined.groupBy(*fields, *keys, area[1]).agg(F.sum(share).alias("_sum")).select(*fields, *keys, (F.col("_sum") / F.col(area[1])).alias("value"))
 
 
-def nearest(source: DataFrame, target: DataFrame, value: str, reach: float = 2.0) -> DataFrame:
-    """Value of the nearest source cell (sy, sx, slat, slon) of each target (y, x, tlat, tlon) by great-circle distance, wherever it is; the smallest (sy, sx) of equally near ones.
+#: Nodes that all targets look at first, and sources in a cube at which cubes are divided no further.
+FIRST, LEAF = 64, 16
+#: Levels below the cube around the sphere: the last cubes are about a metre wide.
+DEPTH = 24
+#: Slack of bounds in unit vectors' distances: more than the rounding of distances, so that equally near sources stay.
+SLACK = 1e-9
+
+
+def nearest_candidates(source: DataFrame, target: DataFrame, value: str, reach: float = 2.0) -> DataFrame:
+    """Targets (y, x, tlat, tlon) beside the sources (sy, sx, slat, slon, value) that may be nearest, by a descent through a pyramid of cubes.
 
-    Unit vectors lie in a pyramid of cubes, each level twice as wide as the one below, from `reach` degrees to one cube around the sphere; they know neither a date line nor a pole. At the lowest level where a target's own cube holds a
-    source there is one within a cube's diagonal, which is less than the width one level up: so the nearest source is in the 27 cubes around the target there. Each target joins the sources once, at that level.
+    Unit vectors lie in cubes, each level twice as wide as the one below, up to one cube around the sphere; they know neither a date line nor a pole. A node is a cube with the box that its sources really span. A target keeps the nodes
+    whose box begins no farther away than another's box ends, and goes on to their cubes one level down, until no cube holds more than LEAF places. Boxes are narrow wherever sources are dense, also along lines, so a target keeps a few
+    nodes a level however many sources there are. reach: degrees that the width of one level has.
     """
     width = math.radians(reach)
-    top = max(1, math.ceil(math.log2(4 / width)))
-    size = F.lit(width) * F.pow(F.lit(2.0), F.col("_level"))
+    top = math.ceil(math.log2(4 / width))
+    vectors, cubes = ["_vx", "_vy", "_vz"], ["_bx", "_by", "_bz"]
 
     def placed(df: DataFrame, lat: str, lon: str) -> DataFrame:
         a, b = F.radians(lat), F.radians(lon)
-        return df.withColumns({"_vx": F.cos(a) * F.cos(b), "_vy": F.cos(a) * F.sin(b), "_vz": F.sin(a)})
-
-    cubes = ["_bx", "_by", "_bz"]
-    cube = {f"_b{c}": F.floor((F.col(f"_v{c}") + 1) / size).cast("int") for c in "xyz"}
-    levels = F.explode(F.sequence(F.lit(0), F.lit(top)))
-    sources = placed(source, "slat", "slon").withColumn("_level", levels).withColumns(cube).drop("_vx", "_vy", "_vz")
-    vectors = ["_vx", "_vy", "_vz"]
-    keys = ["y", "x", "tlat", "tlon", *vectors]
-    held = sources.select("_level", *cubes).distinct()
-    wanted = placed(target, "tlat", "tlon").withColumn("_level", levels).withColumns(cube).join(held, ["_level", *cubes])
-    wanted = wanted.groupBy(*keys).agg(F.least(F.min("_level") + 1, F.lit(top)).alias("_level")).withColumns(cube)
-    for c in cubes:
-        wanted = wanted.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
-    near = wanted.join(sources, ["_level", *cubes])
+        return df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumns({"_vx": F.cos(a) * F.cos(b), "_vy": F.cos(a) * F.sin(b), "_vz": F.sin(a)})
+
+    def cube(level) -> dict[str, Column]:
+        size = F.lit(width) * F.pow(F.lit(2.0), F.lit(level) if isinstance(level, int) else level)
+        return {b: F.floor((F.col(v) + 1) / size).cast("int") for b, v in zip(cubes, vectors, strict=True)}
+
+    def boxes(df: DataFrame, *keys: str) -> DataFrame:
+        return df.groupBy(*keys, *cubes).agg(*(f(v).alias(f"{v}{n}") for v in vectors for n, f in ((0, F.min), (1, F.max))))
+
+    def bounds(box) -> tuple[Column, Column]:
+        """Squared distances of a target to the nearest and the farthest point of a box."""
+        near = [F.greatest(box(f"{v}0") - F.col(v), F.col(v) - box(f"{v}1"), F.lit(0.0)) for v in vectors]
+        far = [F.greatest(F.col(v) - box(f"{v}0"), box(f"{v}1") - F.col(v)) for v in vectors]
+        return tuple(x * x + y * y + z * z for x, y, z in (near, far))
+
+    # sources of one place: the first of them is the nearest of them
+    spots = source.groupBy("slat", "slon").agg(F.min_by(value, F.struct("sy", "sx")).alias(value), F.min(F.struct("sy", "sx")).alias("_s")).select("slat", "slon", value, "_s.sy", "_s.sx")
+    spots = placed(spots, "slat", "slon")
+    levels = F.explode(F.sequence(F.lit(top - DEPTH), F.lit(top)))
+    at = spots.withColumn("_level", levels).withColumns(cube(F.col("_level")))
+    held = {r["_level"]: r for r in at.groupBy("_level", *cubes).count().groupBy("_level").agg(F.count("*").alias("nodes"), F.max("count").alias("most")).collect()}  # a row a level
+    start = min((n for n, r in held.items() if r["nodes"] <= FIRST), default=top)
+    last = max((n for n, r in held.items() if n <= start and r["most"] <= LEAF), default=min([start, *held]))
+
+    within = lambda near, least: F.sqrt(near) <= F.sqrt(least) + SLACK
+    first = boxes(spots.withColumns(cube(start))).agg(F.collect_list(F.struct(*cubes, *(f"{v}{n}" for v in vectors for n in (0, 1)))).alias("_nodes"))
+    wanted = placed(target, "tlat", "tlon").select("y", "x", "tlat", "tlon", *vectors).crossJoin(F.broadcast(first))  # one row of FIRST nodes
+    wanted = wanted.withColumn("_least", F.array_min(F.transform("_nodes", lambda b: bounds(lambda c: b[c])[1])))
+    wanted = wanted.withColumn("_node", F.explode(F.filter("_nodes", lambda b: within(bounds(lambda c: b[c])[0], F.col("_least"))))).select("y", "x", "tlat", "tlon", *vectors, *(F.col("_node")[c].alias(c) for c in cubes))
+    if last < start:
+        path = f"{shared_folder(source.sparkSession)}/nearest-{uuid.uuid4().hex}"
+        boxes(at.where(F.col("_level").between(last, start - 1)), "_level").write.partitionBy("_level").parquet(path)
+        nodes = source.sparkSession.read.parquet(path)
+        of_target = Window.partitionBy("y", "x")
+        for level in range(start - 1, last - 1, -1):
+            below = nodes.where(F.col("_level") == level).drop("_level").select("*", *(F.shiftright(c, 1).alias(f"_up{c}") for c in cubes))
+            met = wanted.withColumnsRenamed({c: f"_up{c}" for c in cubes}).join(below, [f"_up{c}" for c in cubes])
+            near, far = bounds(F.col)
+            met = met.select("y", "x", "tlat", "tlon", *vectors, *cubes, near.alias("_near"), far.alias("_far")).withColumn("_least", F.min("_far").over(of_target))
+            wanted = met.where(within(F.col("_near"), F.col("_least"))).drop("_near", "_far", "_least")
+    return wanted.drop(*vectors).join(spots.withColumns(cube(last)).drop(*vectors), cubes).drop(*cubes)
+
+
+def nearest(source: DataFrame, target: DataFrame, value: str, reach: float = 2.0) -> DataFrame:
+    """Value of the nearest source cell (sy, sx, slat, slon) of each target (y, x, tlat, tlon) by great-circle distance, wherever it is; the smallest (sy, sx) of equally near ones."""
     d = F.round(haversine(F.col("tlat"), F.col("tlon"), F.col("slat"), F.col("slon")), 6)
-    return near.groupBy("y", "x").agg(F.min_by(value, F.struct(d, "sy", "sx")).alias("value"))
+    return nearest_candidates(source, target, value, reach).groupBy("y", "x").agg(F.min_by(value, F.struct(d, "sy", "sx")).alias("value"))

@@ -327,6 +327,20 @@ def test_nearest_is_the_nearest_wherever_cells_are(spark):
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 3  # sources twice, targets once, however many levels
 
 
+def test_nearest_meets_few_sources_on_dense_lines(spark):
+    """Eight lines of ever denser cells, the targets far beside them: candidates follow the targets, not their square; equal distances go by (sy, sx)."""
+    for rows in (100, 800):
+        source = spark.range(8 * rows).selectExpr("CAST(id AS INT) AS k", "CAST(id DIV 8 AS INT) AS sy", "CAST(id % 8 AS INT) AS sx").selectExpr("*", f"65 + 12D * sy / {rows} AS slat", "CAST(sx AS DOUBLE) AS slon")
+        target = source.selectExpr("sy AS y", "sx AS x", "slat + 0.3 AS tlat", "slon + 0.4 AS tlon")
+        assert remap.nearest_candidates(source, target, "k").count() <= 80 * 8 * rows
+    aims = target.where("y % 80 = 3")
+    d = F.round(budget.haversine(F.col("tlat"), F.col("tlon"), F.col("slat"), F.col("slon")), 6)
+    want = aims.crossJoin(source).groupBy("y", "x").agg(F.min_by("k", F.struct(d, "sy", "sx")).alias("value"))
+    assert {tuple(r) for r in remap.nearest(source, aims, "k").collect()} == {tuple(r) for r in want.collect()}
+    twins = spark.createDataFrame([(1, 0, 10.0, 0.0, 1), (0, 1, 10.0, 0.0, 2), (0, 0, -10.0, 0.0, 3)], "sy int, sx int, slon double, slat double, k int")
+    assert [r.value for r in remap.nearest(twins, spark.createDataFrame([(0, 0, 0.0, 0.0)], "y int, x int, tlon double, tlat double"), "k").collect()] == [3]
+
+
 def test_bilinear_from_axes_over_the_date_line(spark):
     lons, lats = [10.0, 100.0, 190.0, 280.0], [-50.0, 0.0, 40.0]
     rows = [(lon, lat, float(lat + lon / 10)) for lon in lons for lat in lats]
