@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from nilas.functions import calendar as cal
 from nilas.functions.stats import bias, mae, rmse, weighted_mean
@@ -17,6 +21,8 @@ STRIDE = 1 << 32
 #: Keys of one field in tiles; rows are sorted in this order, so the key of most values comes first.
 FRAME = ("time", "_tile", "dataset")
 TERMS = ("dadt", "adv", "div", "res")
+#: What a budget keeps of its rows.
+KEPT = ("dataset", "time", "yr", "mo", "i", "y", "x", "sic", "cell_area", "region")
 #: Components of the change of concentration, in terms; the last closes the budget.
 COMPONENTS = {"dynamic": "adv + div", "thermo": "res", "residual": "dadt - (adv + div) - res"}
 
@@ -107,27 +113,82 @@ def running_mean(value: str, keys=("dataset", "y", "x"), before: int = 1, after:
     return F.when(F.count(value).over(w) == before + after + 1, F.avg(value).over(w))
 
 
+#: Rows of a batch that a task hands back.
+BATCH = 65536
+
+
+def _steps(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of a coordinate in order, and the place of each row among them."""
+    return np.unique(values, return_inverse=True)
+
+
+def _at(field: np.ndarray, axis: int, values: np.ndarray, by: int) -> np.ndarray:
+    """The field `by` steps on in a coordinate; NaN where that step is missing."""
+    to = np.searchsorted(values, values + by)
+    found = (to < len(values)) & (values[np.minimum(to, len(values) - 1)] == values + by)
+    out = np.take(field, np.where(found, to, 0), axis=axis)
+    out[(slice(None),) * axis + (~found,)] = np.nan
+    return out
+
+
+def _mean(parts: list[np.ndarray]) -> np.ndarray:
+    """Mean of the values that are there; NaN where none is."""
+    total, n = np.zeros_like(parts[0]), np.zeros(parts[0].shape, "int8")
+    for part in parts:
+        here = ~np.isnan(part)
+        total += np.where(here, part, 0.0)
+        n += here
+    return np.divide(total, n, out=np.full_like(total, np.nan), where=n > 0)
+
+
+def _tile_terms(rows: pa.Table) -> pa.Table:
+    """Budget of a tile on arrays (y, x, i). Columns that are lists hold the steps of a cell, the others one value for all steps of a row."""
+    lists = [c for c in rows.column_names if pa.types.is_list(rows.schema.field(c).type)]
+    if lists:
+        part = pa.array(np.repeat(np.arange(len(rows)), pc.list_value_length(rows[lists[0]]).to_numpy()))
+        flat = {c: pa.chunked_array([k.flatten() for k in rows[c].chunks], rows.schema.field(c).type.value_type) if c in lists else rows[c].take(part) for c in rows.column_names}
+    else:
+        flat = {c: rows[c] for c in rows.column_names}
+    number = lambda c: flat[c].to_numpy().astype("float64")  # noqa: E731  nulls are NaN
+    (ys, y), (xs, x), (steps, i) = (_steps(flat[c].to_numpy()) for c in ("y", "x", "i"))
+    place, shape = (y * len(xs) + x) * len(steps) + i, (len(ys), len(xs), len(steps))
+
+    def dense(values: np.ndarray) -> np.ndarray:
+        out = np.full(shape, np.nan)
+        out.ravel()[place] = values
+        return out
+
+    sic, u, v, weight = (dense(number(c)) for c in ("sic", "u", "v", "_weight"))
+    around = lambda f: _mean([_at(row, 1, xs, k) for j in (-1, 0, 1) for row in (_at(f, 0, ys, j),) for k in (-1, 0, 1)])
+    with np.errstate(all="ignore"):
+        u, v = (np.where(sic >= LEVEL, around(f), np.nan) for f in (u, v))
+        span = {c: dense(number(f"s{c}")) for c in "xy"}
+        span = {c: np.where(s == 0, np.nan, s) for c, s in span.items()}
+        slope = lambda f, axis, values, c: (_at(f, axis, values, 1) - _at(f, axis, values, -1)) / span[c]
+        late = np.where(steps >= 2, 86400.0, np.nan) * weight
+        adv = -(u * slope(sic, 1, xs, "x") + v * slope(sic, 0, ys, "y")) * late
+        div = -sic * (slope(u, 1, xs, "x") + slope(v, 0, ys, "y")) * late
+        dadt = (_at(sic, 2, steps, 1) - _at(sic, 2, steps, -1)) / 2
+        adv, div = (_mean([_at(f, 2, steps, by) for by in (0, 1, 2)]) for f in (adv, div))
+        terms = {"dadt": dadt, "adv": adv, "div": div, "res": dadt - adv - div}
+    kept = np.flatnonzero((np.floor_divide(ys[y], TILE) == flat["_tile"].to_numpy()) & ~np.isnan(dadt.ravel()[place]))
+    out = {c: flat[c].take(pa.array(kept)) for c in KEPT} | {n: pa.array(f.ravel()[place[kept]], from_pandas=True) for n, f in terms.items()}
+    table = pa.table(out)
+    return pa.concat_tables([table.slice(k, BATCH).combine_chunks() for k in range(0, max(1, len(table)), BATCH)])
+
+
 def daily_budget(daily: DataFrame, grid: DataFrame, weight: Column | None = None) -> DataFrame:
     """dadt, adv, div and res in percent a day. Velocities are filtered and dropped where concentration is under LEVEL; day i averages the terms of fields i, i+1 and i+2, of which the first two fields have none.
 
-    daily: where it is on its grid (`on_grid`) and in tiles (`tiled`) its partitions are kept; else rows meet the grid here and are shuffled once, into tiles. weight: days that a field stands for (1, or the days of the month for monthly fields).
+    daily: where it is on its grid (`on_grid`) and in tiles (`tiled`) its partitions are kept; else rows meet the grid here and are shuffled once, into tiles. Its rows are days, or stretches of days of a cell in which time, i, sic, u and v are lists.
+    Each tile is worked out on arrays in one step, so no day is sorted or shuffled. weight: days that a field stands for (1, or the days of the month for monthly fields).
     """
-    weight = F.lit(1.0) if weight is None else weight
     if "_tile" not in daily.columns:
         daily = tiled(on_grid(daily, grid)).repartition("dataset", "_tile")
-    rows = mean_filter(daily, ["u", "v"], frame=FRAME)
-    rows = rows.withColumns({c: F.when(F.col("sic") >= LEVEL, F.col(f"{c}_mean")) for c in ("u", "v")})
-    rows = rows.withColumns({n: difference(v, along, FRAME) / F.col(f"s{along}") for n, v, along in (("ax", "sic", "x"), ("ay", "sic", "y"), ("ux", "u", "x"), ("vy", "v", "y"))})
-    late = F.col("i") >= 2
-    rows = own(rows).withColumns({
-        "_adv": F.when(late, -(F.col("u") * F.col("ax") + F.col("v") * F.col("ay")) * 86400.0 * weight),
-        "_div": F.when(late, -F.col("sic") * (F.col("ux") + F.col("vy")) * 86400.0 * weight),
-    })
-    keys = ["y", "x", "_tile", "dataset"]
-    w = Window.partitionBy(*keys).orderBy("i").rangeBetween(0, 2)
-    out = rows.withColumns({"dadt": tendency("sic", keys), "adv": F.avg("_adv").over(w), "div": F.avg("_div").over(w)})
-    out = out.where(F.col("dadt").isNotNull()).withColumn("res", F.col("dadt") - F.col("adv") - F.col("div"))
-    return out.select("dataset", "time", "yr", "mo", "i", "y", "x", "sic", "cell_area", "region", "dadt", "adv", "div", "res")
+    rows = daily.withColumn("_weight", F.lit(1.0) if weight is None else weight.cast("double")).select(*KEPT, "_tile", "sx", "sy", "u", "v", "_weight")
+    kinds = {f.name: f.dataType.elementType if isinstance(f.dataType, ArrayType) else f.dataType for f in rows.schema.fields}
+    schema = StructType([StructField(c, kinds[c]) for c in KEPT] + [StructField(t, DoubleType()) for t in TERMS])
+    return rows.groupBy("dataset", "_tile").applyInArrow(_tile_terms, schema)
 
 
 def common_mask(rows: DataFrame, terms=TERMS) -> DataFrame:
@@ -149,11 +210,21 @@ def ridging_ratio(rows: DataFrame, keys) -> DataFrame:
     return rows.groupBy(*keys).agg(F.try_divide(F.sum(flag.cast("int")), F.nullif(F.sum(ice.cast("int")), F.lit(0))).alias("ratio"))
 
 
+def beside(rows: DataFrame, values, on, reference: str) -> DataFrame:
+    """Rows of the other datasets with the reference's values of the same keys (_other), where it has a row; a dataset has one row a key. The rows are made once, which a join with themselves would do twice."""
+    other = F.max(F.when(F.col("dataset") == reference, F.struct(*values))).over(Window.partitionBy(*on))
+    return rows.withColumn("_other", other).where((F.col("dataset") != reference) & F.col("_other").isNotNull())
+
+
+def paired(values) -> Column:
+    """Array of (name, value, other) of values and of the reference's (`beside`)."""
+    return F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("value"), F.col(f"_other.{n}").alias("other")) for n in values))
+
+
 def component_summary(clim: DataFrame, reference: str = "obs1") -> DataFrame:
     """clim (dataset, y, x, cell_area, mo, terms in percent a month) -> (dataset, component, mean, corr, bias): mean and bias in 10^6 km2, averaged over the months, and the area-weighted correlation of the annual maps."""
-    rows = clim.select("dataset", "y", "x", "cell_area", "mo", *(F.expr(e).alias(n) for n, e in COMPONENTS.items())).unpivot(["dataset", "y", "x", "cell_area", "mo"], list(COMPONENTS), "component", "value")
-    base = rows.where(F.col("dataset") == reference).select("y", "x", "mo", "component", F.col("value").alias("other"))
-    both = rows.where(F.col("dataset") != reference).join(base, ["y", "x", "mo", "component"])
+    rows = beside(clim.select("dataset", "y", "x", "cell_area", "mo", *(F.expr(e).alias(n) for n, e in COMPONENTS.items())), list(COMPONENTS), ["y", "x", "mo"], reference)
+    both = rows.select("dataset", "y", "x", "cell_area", "mo", F.explode(paired(COMPONENTS)).alias("c")).select("*", "c.*").drop("c").withColumnRenamed("name", "component")
     keys, total = ["dataset", "component"], lambda x: F.coalesce(F.sum(x * F.col("cell_area") / 1e6 / 100) / 1e6, F.lit(0.0))
     sums = both.groupBy(*keys, "mo").agg(total(F.col("value")).alias("m"), total(F.col("value") - F.col("other")).alias("b")).groupBy(*keys).agg(F.avg("m").alias("mean"), F.avg("b").alias("bias"))
     maps = both.groupBy(*keys, "y", "x", "cell_area").agg(F.avg("value").alias("value"), F.avg("other").alias("other"))
@@ -162,9 +233,9 @@ def component_summary(clim: DataFrame, reference: str = "obs1") -> DataFrame:
 
 def term_differences(clim: DataFrame, reference: str = "obs1", terms=TERMS) -> DataFrame:
     """clim as above -> (dataset, term, season, bias, mae, rmse) of the season sums, area-weighted, and under season `annual` their mean weighted with the seasons' days."""
-    rows = clim.groupBy("dataset", "y", "x", "cell_area", cal.season(F.col("mo")).alias("season")).agg(*(F.sum(t).alias(t) for t in terms)).unpivot(["dataset", "y", "x", "cell_area", "season"], list(terms), "term", "value")
-    base = rows.where(F.col("dataset") == reference).select("y", "x", "season", "term", F.col("value").alias("other"))
-    both, w = rows.where(F.col("dataset") != reference).join(base, ["y", "x", "season", "term"]), F.col("cell_area")
+    rows = clim.groupBy("dataset", "y", "x", "cell_area", cal.season(F.col("mo")).alias("season")).agg(*(F.sum(t).alias(t) for t in terms))
+    rows = beside(rows, terms, ["y", "x", "season"], reference)
+    both, w = rows.select("dataset", "season", "cell_area", F.explode(paired(terms)).alias("c")).select("*", "c.*").withColumnRenamed("name", "term"), F.col("cell_area")
     out = both.groupBy("dataset", "term", "season").agg(*(f(F.col("value"), F.col("other"), w).alias(n) for n, f in (("bias", bias), ("mae", mae), ("rmse", rmse))))
     days = F.element_at(F.create_map(*[F.lit(x) for kv in cal.SEASON_DAYS.items() for x in kv]), F.col("season"))
     year = out.groupBy("dataset", "term").agg(*(weighted_mean(F.col(n), days).alias(n) for n in ("bias", "mae", "rmse"))).withColumn("season", F.lit("annual"))

@@ -44,7 +44,7 @@ bud AS (SELECT *, dadt - adv - div AS res FROM f6 WHERE dadt IS NOT NULL)"""
 
 
 def budget(v):
-    return b.daily_budget(v.daily_tiles, v.grid)
+    return b.daily_budget(v.month_tiles, v.grid)
 
 
 query("R9_distances", f"WITH {DIST} SELECT y, x, {q('hx', 3)} AS hx, {q('hy', 3)} AS hy FROM dist")(lambda v: rounded(b.distances(v.grid).select("y", "x", "hx", "hy"), "y", "x", digits=3))
@@ -133,5 +133,5 @@ query("M18_budget_difference", f"WITH {BUD}, {CLOSE}, {M18} SELECT dataset, term
 )
 AIPE = [("adv", "net"), ("div", "net"), ("res", "pos"), ("res", "neg")]
 query("M19_integral_percentage_error", f"WITH {BUD}, {INT} SELECT m.dataset, {', '.join(f'{q(f"avg(CASE WHEN abs(o.{t}_{n}) > 1e-3 THEN abs(m.{t}_{n} - o.{t}_{n}) / abs(o.{t}_{n}) * 100 END)", 2)} AS {t}_{n}' for t, n in AIPE)} FROM (SELECT * FROM it WHERE dataset = 'obs1') o JOIN (SELECT * FROM it WHERE dataset <> 'obs1') m USING (time) GROUP BY m.dataset")(
-    lambda v: (lambda s: s.where("dataset = 'obs1'").alias("o").join(s.where("dataset <> 'obs1'").alias("m"), "time").groupBy("m.dataset").agg(*(r(F.avg(F.when(F.abs(f"o.{t}_{n}") > 1e-3, F.abs(F.col(f"m.{t}_{n}") - F.col(f"o.{t}_{n}")) / F.abs(f"o.{t}_{n}") * 100)), 2).alias(f"{t}_{n}") for t, n in AIPE)))(integrals(v))
+    lambda v: b.beside(integrals(v), [f"{t}_{n}" for t, n in AIPE], ["time"], "obs1").groupBy("dataset").agg(*(r(F.avg(F.when(F.abs(f"_other.{t}_{n}") > 1e-3, F.abs(F.col(f"{t}_{n}") - F.col(f"_other.{t}_{n}")) / F.abs(f"_other.{t}_{n}") * 100)), 2).alias(f"{t}_{n}") for t, n in AIPE))
 )

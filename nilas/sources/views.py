@@ -109,19 +109,39 @@ class Views:
         rows = self.cells.repartition(self.parts, "x", "y").join(drift, ["x", "y"], "left").crossJoin(F.broadcast(shift))  # datasets are three
         return rows.withColumn("_drift", F.map_filter("_drift", lambda at, _: at["dataset"] == F.col("dataset")))
 
-    def _daily(self, cells: DataFrame) -> DataFrame:
-        """Daily rows of cells (with their drift). Months and days are made after the cells are dealt out: no daily row is shuffled, and those of a cell stay in its partition."""
+    def _months(self, cells: DataFrame) -> DataFrame:
+        """Cells (with their drift) by month: the month's drift (_at) and its days (_days: time, i and the noise k). Made after the cells are dealt out: no row of a month or day is shuffled, and those of a cell stay in its partition."""
         noise = self.table("orders").groupBy(F.to_date("o_orderdate").alias("time")).agg((F.count("*") % 11).alias("k"))
-        days = self.days.join(noise, "time", "left").select(F.trunc("time", "month").alias("_month"), "time", "i", F.coalesce("k", F.lit(0)).alias("k"))
+        days = self.days.join(noise, "time", "left").groupBy(F.trunc("time", "month").alias("_month")).agg(F.sort_array(F.collect_list(F.struct("time", "i", F.coalesce("k", F.lit(0)).alias("k")))).alias("_days"))
         months = self.days.select(F.trunc("time", "month").alias("_month")).distinct()
         rows = cells.crossJoin(F.broadcast(months))  # months are a few hundred
         rows = rows.withColumn("_at", F.try_element_at("_drift", F.struct("dataset", F.col("_month").alias("time")))).drop("_drift")
-        rows = rows.join(F.broadcast(days), "_month")  # days are a few thousand
-        i, k, x, y = (F.col(c) for c in ("i", "k", "x", "y"))
+        return rows.join(F.broadcast(days), "_month")  # a list of days a month
+
+    @staticmethod
+    def _values(day: Column) -> dict[str, Column]:
+        """sic, u and v of a row of `_months` on one of its days."""
+        i, k, x, y = day["i"], day["k"], F.col("x"), F.col("y")
         wave = F.abs((i + 9 * x + 5 * y + F.col("shift")) % 365 - 182) - 50 + k
+        return {
+            "sic": F.greatest(F.lit(0), F.least(F.lit(100), wave)).cast("double"),
+            "u": 0.5 * F.coalesce("_at.u", F.lit(0.0)) + ((i * 7 + x * 3 + y * 5 + k) % 41 - 20) / 200.0,
+            "v": 0.5 * F.coalesce("_at.v", F.lit(0.0)) + ((i * 5 + x * 11 + y * 2 + 3 * k) % 41 - 20) / 200.0,
+        }
+
+    def _daily(self, cells: DataFrame) -> DataFrame:
+        """Daily rows of cells."""
+        rows = self._months(cells).withColumn("_day", F.explode("_days"))
         return rows.select(
-            "dataset", "time", F.year("time").alias("yr"), F.month("time").alias("mo"), "i", "x", "y", F.greatest(F.lit(0), F.least(F.lit(100), wave)).cast("double").alias("sic"),
-            (0.5 * F.coalesce("_at.u", F.lit(0.0)) + ((i * 7 + x * 3 + y * 5 + k) % 41 - 20) / 200.0).alias("u"), (0.5 * F.coalesce("_at.v", F.lit(0.0)) + ((i * 5 + x * 11 + y * 2 + 3 * k) % 41 - 20) / 200.0).alias("v"),
+            "dataset", "_day.time", F.year("_day.time").alias("yr"), F.month("_day.time").alias("mo"), "_day.i", "x", "y", *(c.alias(n) for n, c in self._values(F.col("_day")).items()),
+            *(c for c in cells.columns if c not in ("x", "y", "dataset", "shift", "_drift")),
+        )
+
+    def _stretches(self, cells: DataFrame) -> DataFrame:
+        """The daily rows of a cell's month as one row, in which time, i, sic, u and v are lists."""
+        of_days = lambda n: F.transform("_days", lambda day: self._values(day)[n])
+        return self._months(cells).select(
+            "dataset", F.col("_days.time").alias("time"), F.year("_month").alias("yr"), F.month("_month").alias("mo"), F.col("_days.i").alias("i"), "x", "y", *(of_days(n).alias(n) for n in ("sic", "u", "v")),
             *(c for c in cells.columns if c not in ("x", "y", "dataset", "shift", "_drift")),
         )
 
@@ -133,7 +153,16 @@ class Views:
     @cached_property
     def daily_tiles(self) -> DataFrame:
         """The daily fields on their grid (`budget.on_grid`) and in tiles for stencils (`budget.tiled`): cells meet the grid and are dealt out to tiles before their days are made."""
-        return self._daily(tiled(on_grid(self._drifts, self.grid)).repartition(self.parts, "dataset", "_tile"))
+        return self._daily(self._tiles)
+
+    @cached_property
+    def _tiles(self) -> DataFrame:
+        return tiled(on_grid(self._drifts, self.grid)).repartition(self.parts, "dataset", "_tile")
+
+    @cached_property
+    def month_tiles(self) -> DataFrame:
+        """As daily_tiles, a month of a cell a row: time, i, sic, u and v are lists."""
+        return self._stretches(self._tiles)
 
     @cached_property
     def sectors(self) -> DataFrame:

@@ -482,3 +482,25 @@ def test_days_of_the_views_are_not_shuffled(spark, name):
     plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     above, days, _ = plan.partition("BroadcastHashJoin [_month")
     assert days and "Exchange" not in above
+
+
+@pytest.mark.parametrize("name", ["M19_integral_percentage_error", "A8_budget_closure", "W12_common_mask", "W13_ridging_ratio"])
+def test_a_budget_is_made_once_and_sorts_no_day(spark, name):
+    """No window and no second pass for the reference stand over the join with the days."""
+    from nilas import plans
+
+    plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1 and "RunningWindow" not in plan
+    made, days, _ = plan.partition("BroadcastHashJoin [_month")
+    assert days and "Window" not in made.partition("FlatMapGroupsInArrow")[2]
+
+
+def test_budget_of_stretches_is_that_of_days(spark):
+    """Months as lists and single days, also where a cell and a day are missing."""
+    grid = spark.createDataFrame([(x, y, 5.0 * x, 65.0 + y, 1.0, 1) for x in range(4) for y in range(5)], "x int, y int, lon double, lat double, cell_area double, region int")
+    days = spark.range(4 * 5 * 9).selectExpr("'a' AS dataset", "CAST(id % 4 AS INT) AS x", "CAST(id DIV 4 % 5 AS INT) AS y", "id DIV 20 AS i").where("NOT (x = 1 AND y = 2) AND i <> 6")
+    days = days.selectExpr("*", "date_add(DATE '2000-01-28', CAST(i AS INT)) AS time", "CAST((i * 7 + x * 13 + y * 29) % 101 AS DOUBLE) AS sic", "CASE WHEN x + y <> 5 THEN (i * 5 + x * 3 + y) % 11 / 100D END AS u", "(i + x * y) % 7 / 100D AS v").selectExpr("*", "year(time) AS yr", "month(time) AS mo")
+    rows = budget.tiled(budget.on_grid(days, grid)).repartition("dataset", "_tile")
+    lists = rows.groupBy("dataset", "_tile", "x", "y", "yr", "mo", "sx", "sy", "cell_area", "region").agg(F.sort_array(F.collect_list(F.struct("i", "time", "sic", "u", "v"))).alias("_l")).select("*", *(F.col(f"_l.{c}").alias(c) for c in ("i", "time", "sic", "u", "v"))).drop("_l")
+    got = [sorted(map(repr, budget.daily_budget(df, grid).collect())) for df in (rows, lists)]
+    assert got[0] == got[1] and len(got[0]) == 19 * 4
