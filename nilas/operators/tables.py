@@ -126,7 +126,8 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float],
     goals = ranks.select(*keys, "_lo", "_hi", F.col("_rank").alias("_goal"), F.col("_rank").alias("_left")).distinct()
 
     def inside(goals: DataFrame) -> DataFrame:
-        return rows.join(goals, keys).where("_v BETWEEN _lo AND _hi") if keys else rows.crossJoin(goals).where("_v BETWEEN _lo AND _hi")
+        few = F.broadcast(goals)  # two rows a key and share: else all rows of a key would be shuffled to one task
+        return (rows.join(few, keys) if keys else rows.crossJoin(few)).where("_v BETWEEN _lo AND _hi")
 
     def chosen(counted: DataFrame, order: str) -> DataFrame:
         before = F.sum("_count").over(Window.partitionBy(*keys, "_goal").orderBy(order)) - F.col("_count")
