@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from nilas.functions import calendar as cal
 
@@ -11,6 +12,11 @@ CELL = ("dataset", "y", "x")
 
 
 def monthly_mean(field: DataFrame, value: str, keys=CELL) -> DataFrame:
+    """Mean of each month. field: times, or stretches of times within one month in which time and value are lists."""
+    if isinstance(field.schema["time"].dataType, ArrayType):
+        there = F.filter(value, lambda x: x.isNotNull())
+        total = F.aggregate(there, F.lit(0.0), lambda a, x: a + x)
+        return field.groupBy(*keys, F.trunc(F.try_element_at("time", F.lit(1)), "month").alias("time")).agg(F.try_divide(F.sum(total), F.sum(F.size(there))).alias("value"))
     return field.groupBy(*keys, F.trunc("time", "month").alias("time")).agg(F.avg(value).alias("value"))
 
 

@@ -123,7 +123,7 @@ query("A11_sector_mass_totals", f"WITH {FLUX} SELECT dataset, sector, season, te
     lambda v: rounded(sector_totals(c.season_sum(c.flux_climatology(v.flux, ["dataset", "term", "y", "x"]), ["dataset", "term", "y", "x"]).join(v.grid, ["y", "x"]).join(v.sectors, "region"), ["dataset", "sector", "season", "term"]), "dataset", "sector", "season", "term")
 )
 query("A19_monthly_budget", f"SELECT dataset, time, y, x, {q('(lead(m) OVER k - lag(m) OVER k) / 2')} AS tendency, {q(f'm * {cal.SQL_DAYS}')} AS month_total FROM (SELECT dataset, CAST(date_trunc('month', time) AS DATE) AS time, mo, y, x, avg(sic) AS m FROM daily GROUP BY ALL) WINDOW k AS (PARTITION BY dataset, y, x ORDER BY time)")(
-    lambda v: c.monthly_mean(v.daily, "sic").withColumns({"i": F.year("time") * 12 + F.month("time"), "mo": F.month("time")}).select("dataset", "time", "y", "x", r(b.tendency("value")).alias("tendency"), r(F.col("value") * cal.month_days(F.col("mo"))).alias("month_total"))
+    lambda v: c.monthly_mean(v.months_of_days, "sic").withColumns({"i": F.year("time") * 12 + F.month("time"), "mo": F.month("time")}).select("dataset", "time", "y", "x", r(b.tendency("value")).alias("tendency"), r(F.col("value") * cal.month_days(F.col("mo"))).alias("month_total"))
 )
 M18 = f"""se AS (UNPIVOT (SELECT dataset, y, x, cell_area, {SEASON} AS season, {', '.join(f'sum({t}) AS {t}' for t in TERMS)} FROM mc GROUP BY ALL) ON {', '.join(TERMS)} INTO NAME term VALUE value),
 sb AS (SELECT m.dataset, term, season, {sql_bias('m.value', 'o.value', 'm.cell_area')} AS bias, {sql_mae('m.value', 'o.value', 'm.cell_area')} AS mae, {sql_rmse('m.value', 'o.value', 'm.cell_area')} AS rmse FROM (SELECT * FROM se WHERE dataset <> 'obs1') m JOIN (SELECT * FROM se WHERE dataset = 'obs1') o USING (y, x, season, term) GROUP BY ALL),
