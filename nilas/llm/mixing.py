@@ -10,6 +10,7 @@ follows from its posteriors and the few directions so far.
 from __future__ import annotations
 
 import warnings
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ TRAIN_ROWS, TRAIN_TOTAL, BUCKETS_LOG2 = 12_000, 32 << 20, 20
 #: Steps of the fit of rates, and its tolerance as a share of all tokens.
 STEPS, TOLERANCE = 25, 1e-6
 MIN_SEEN, PRIOR = 5, 3.0
+#: Measures of style.
+STYLES = 6
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -75,10 +78,11 @@ class Classifier:
             used = np.unique(_measures(pa.array([texts[own].encode()], pa.large_binary()))[0])
             seen[used, y[own]] += 1
             docs[used] += 1
-        self.table, every = np.zeros_like(seen), seen.sum(1)
+        self.at = np.flatnonzero(docs >= MIN_SEEN)
+        seen = seen[self.at]
+        self.values, every = np.zeros_like(seen), seen.sum(1)
         for d in range(k):
-            self.table[:, d] = np.log(seen[:, d] / size[d] / ((every - seen[:, d]) / (size.sum() - size[d])))
-        self.table[docs < MIN_SEEN] = 0
+            self.values[:, d] = np.log(seen[:, d] / size[d] / ((every - seen[:, d]) / (size.sum() - size[d])))
         self.center, self.scale, self.weights = 0.0, 1.0, np.zeros((1, k))
         rest = np.flatnonzero(~first)
         if not len(rest):
@@ -95,6 +99,23 @@ class Classifier:
             w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         self.weights = w
 
+    @classmethod
+    def of(cls, at: np.ndarray, values: np.ndarray, center, scale, weights: np.ndarray) -> Classifier:
+        """A classifier with the evidence (values) of the buckets `at`, which has no table before it is used."""
+        model = cls.__new__(cls)
+        model.at, model.values, model.center, model.scale, model.weights = at, values, center, scale, weights
+        return model
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        """The evidence of all buckets, 12 MB: tasks make it, the driver and broadcasts hold only buckets that tell something."""
+        table = np.zeros((1 << BUCKETS_LOG2, len(DOMAINS)), np.float32)
+        table[self.at] = self.values
+        return table
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
+
     def features(self, col: pa.Array, raw: bool = False) -> np.ndarray:
         buckets, at, style = _measures(col)
         x = np.concatenate([style, _evidence(buckets, at, self.table)], 1)
@@ -112,19 +133,18 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def _fit_task(batches):
     texts, labels = held_texts(batches, TRAIN_TOTAL)
     model = Classifier(texts, [DOMAINS.index(d) for d in labels])
-    yield pa.RecordBatch.from_arrays([pa.array([model.table.tobytes()], pa.binary()), *(pa.array([np.ravel(x).astype(float).tolist()]) for x in (model.center, model.scale, model.weights))], names=["table", "center", "scale", "weights"])
+    yield pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()], pa.binary()) for x in (model.at.astype(np.int32), model.values)), *(pa.array([np.ravel(x).astype(float).tolist()]) for x in (model.center, model.scale, model.weights))], names=["at", "values", "center", "scale", "weights"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classifier:
     """The classifier from at most `rows` labelled documents, up to TRAIN_TOTAL bytes, trained in one task."""
     known = labels.where("doc_id IS NOT NULL").select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("label")).where("label IS NOT NULL")
-    kinds = "table binary, center array<double>, scale array<double>, weights array<double>"
+    kinds = "at binary, `values` binary, center array<double>, scale array<double>, weights array<double>"
     made, k = labelled_sample(docs, known, rows).mapInArrow(_fit_task, kinds).first(), len(DOMAINS)
-    model = Classifier([], [])
-    if made is not None:
-        model.table = np.frombuffer(bytes(made["table"]), np.float32).reshape(-1, k)
-        model.center, model.scale, model.weights = np.array(made["center"]), np.array(made["scale"]), np.array(made["weights"]).reshape(-1, k)
-    return model
+    if made is None:
+        return Classifier.of(np.zeros(0, np.int32), np.zeros((0, k), np.float32), 0.0, 1.0, np.zeros((STYLES + 2 * k + 1, k)))
+    numbers = lambda c, kind: np.frombuffer(bytes(made[c]), kind)
+    return Classifier.of(numbers("at", np.int32), numbers("values", np.float32).reshape(-1, k), np.array(made["center"]), np.array(made["scale"]), np.array(made["weights"]).reshape(-1, k))
 
 
 def with_posteriors(docs: DataFrame, model: Classifier, names: list[str]) -> DataFrame:

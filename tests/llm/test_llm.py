@@ -782,3 +782,23 @@ def test_stages_on_awkward_rows(spark):
 
 def test_rows_of_sorts():
     assert rows_of(["b", "a"], [(1, 2.0)]) == [(2.0, 1)]
+
+
+def test_mixing_sends_only_buckets_that_tell_something(spark):
+    """The driver's model and its broadcast are small and give what the whole table gives."""
+    import pickle
+
+    import numpy as np
+    import pyarrow as pa
+
+    from nilas.llm import mixing
+
+    texts = [f"good word{i % 7} plain text number" if i % 3 else f"bad word{i % 5} nasty text" for i in range(90)]
+    model = mixing.Classifier(texts, [0 if i % 3 else 2 for i in range(90)])
+    assert len(pickle.dumps(model)) < 1 << 16
+    again = pickle.loads(pickle.dumps(model))
+    col = pa.array([x.encode() for x in texts[:9]], pa.large_binary())
+    assert (again.posteriors(col) == model.posteriors(col)).all() and np.count_nonzero(model.table.any(1)) == np.count_nonzero(model.values.any(1))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = mixing.fit(docs, docs.selectExpr("doc_id", "CAST(doc_id % 3 > 0 AS INT) AS quality", "0 AS toxic"))
+    assert "table" not in vars(made) and len(pickle.dumps(made)) < 1 << 16
