@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from nilas.functions.stats import bias, regression, rmse, student_p
 from nilas.operators.integrals import area_share
@@ -15,10 +19,16 @@ CYCLE = ("dataset", "start_year", "y", "x")
 
 
 def cycles(daily: DataFrame, hemisphere: str = "south", keys=("dataset", "y", "x")) -> DataFrame:
-    """start_year (from 1 September in the north, 1 March in the south), day index t and cycle length of each day."""
+    """start_year (from 1 September in the north, 1 March in the south), day index t and cycle length of each day. Of stretches of days within one month, in which time (and sic) are lists, only the stretches are sorted."""
     first = 9 if hemisphere == "north" else 3
     rows = daily.withColumn("start_year", F.when(F.col("mo") >= first, F.col("yr")).otherwise(F.col("yr") - 1))
     w = Window.partitionBy(*keys, "start_year")
+    if isinstance(daily.schema["time"].dataType, ArrayType):
+        first, last = F.min(F.array_min("time")).over(w), F.max(F.array_max("time")).over(w)
+        rows = rows.withColumns({"_first": first, "cycle": (F.datediff(last, first) + 1).cast("int")})
+        rest = [c for c in rows.columns if c not in ("time", "sic", "_first")]
+        days = F.arrays_zip("time", "sic") if "sic" in daily.columns else F.arrays_zip("time")
+        return rows.select(*rest, "_first", F.explode(days).alias("_d")).select(*rest, "_d.*", F.datediff("_d.time", "_first").alias("t"))
     first, last = F.min("time").over(w), F.max("time").over(w)
     return rows.withColumns({"t": F.datediff("time", first), "cycle": (F.datediff(last, first) + 1).cast("int")})
 
@@ -47,15 +57,81 @@ def crossings(rows: DataFrame, level: float = LEVEL, persistence: int = PERSISTE
 def dates(rows: DataFrame, control: bool = True, keys=CYCLE) -> DataFrame:
     """First upward and last downward crossing of each cycle; implausible dates become null, the advance first."""
     out = rows.groupBy(*keys, "cycle").agg(F.min(F.when(F.col("up"), F.col("t"))).alias("advance"), F.max(F.when(F.col("down"), F.col("t"))).alias("retreat"))
-    if not control:
-        return out
+    return controlled(out) if control else out
+
+
+def controlled(out: DataFrame) -> DataFrame:
+    """Implausible dates become null, the advance first."""
     a, b = F.col("advance"), F.col("retreat")
     out = out.withColumn("advance", F.when(F.coalesce((a > b) | (a > F.round(0.66 * F.col("cycle"))), F.lit(False)) | F.coalesce(a > F.round(0.66 * F.col("cycle")), F.lit(False)), None).otherwise(a))
     return out.withColumn("retreat", F.when(F.coalesce(b < a, F.lit(False)) | F.coalesce(b < F.round(0.28 * F.col("cycle")), F.lit(False)), None).otherwise(b))
 
 
+#: Cycles worked out together.
+TOGETHER = 512
+
+
+def _shifted(field: np.ndarray, by: int) -> np.ndarray:
+    """The field `by` days on; NaN outside."""
+    out = np.full_like(field, np.nan)
+    if by > 0:
+        out[:, :-by] = field[:, by:]
+    elif by < 0:
+        out[:, -by:] = field[:, :by]
+    else:
+        out[:] = field
+    return out
+
+
+def _crossed(batches):
+    """Cycles with their days (time, sic) -> cycle, advance and retreat, on arrays (cycle, day): `smooth` and `crossings` for many cycles at once."""
+    for whole in batches:
+        for rows in (whole.slice(n, TOGETHER) for n in range(0, max(1, len(whole)), TOGETHER)):
+            n, days = len(rows), rows["_days"].flatten()
+            row = np.repeat(np.arange(n), pc.list_value_length(rows["_days"]).to_numpy())
+            time = days.field("time").cast(pa.int32()).to_numpy(zero_copy_only=False).astype("int64")
+            sic = days.field("sic").to_numpy(zero_copy_only=False).astype("float64")
+            start, end = np.full(n, np.iinfo("int64").max), np.full(n, np.iinfo("int64").min)
+            np.minimum.at(start, row, time)
+            np.maximum.at(end, row, time)
+            cycle, t = end - start + 1, np.arange(int((end - start).max(initial=0)) + 1)
+            field = np.full((n, len(t)), np.nan)
+            here = np.zeros(field.shape, bool)
+            field[row, time - start[row]], here[row, time - start[row]] = sic, True
+            k, far = (WINDOW - 1) // 2, cycle[:, None] - 1 - t
+            left, right = np.maximum(0, k - t)[None, :], np.maximum(0, np.minimum(k - far, WINDOW))
+            edges = np.where(left > 0, left * field[:, :1], 0.0) + np.where(right > 0, right * field[np.arange(n), cycle - 1][:, None], 0.0)
+            total, count = np.zeros_like(field), np.zeros(field.shape, "int16")
+            for by in range(-k, k + 1):
+                part = _shifted(field, by)
+                there = ~np.isnan(part)
+                total += np.where(there, part, 0.0)
+                count += there
+            s = np.where(here & (count == WINDOW - left - right), (total + edges) / WINDOW, np.nan)
+            after = [_shifted(s, by) for by in range(1, PERSISTENCE)]
+            low, high = np.minimum.reduce(after), np.maximum.reduce(after)  # NaN where a day is missing
+            before = _shifted(s, -1)
+            with np.errstate(invalid="ignore"):
+                up = (s >= LEVEL) & (before < LEVEL) & (low > LEVEL) & (t >= 1) & (t <= cycle[:, None] - PERSISTENCE - 1)
+                down = (s <= LEVEL) & (before > LEVEL) & (high < LEVEL) & (t >= 1) & (t <= cycle[:, None] - PERSISTENCE)
+            first, last = up.argmax(1), len(t) - 1 - down[:, ::-1].argmax(1)
+            found = {"cycle": pa.array(cycle.astype("int32")), "_a": pa.array(first.astype("int32"), mask=~up.any(1)), "_b": pa.array(last.astype("int32"), mask=~down.any(1))}
+            yield pa.RecordBatch.from_pydict({c: rows[c] for c in rows.schema.names if c != "_days"} | found)
+
+
+def raw_dates(daily: DataFrame, hemisphere: str = "south") -> DataFrame:
+    """First upward and last downward crossing of each cycle, as `crossings` of `smooth` finds them. daily: days, or stretches of days of a cell within one month in which time and sic are lists. A cycle's days are gathered in one row, so none is sorted."""
+    first = 9 if hemisphere == "north" else 3
+    rows = daily.withColumn("start_year", F.when(F.col("mo") >= first, F.col("yr")).otherwise(F.col("yr") - 1))
+    stretches = isinstance(daily.schema["time"].dataType, ArrayType)
+    days = F.flatten(F.collect_list(F.arrays_zip("time", "sic"))) if stretches else F.collect_list(F.struct("time", "sic"))
+    rows = rows.groupBy(*CYCLE).agg(days.alias("_days"))
+    schema = StructType([rows.schema[c] for c in CYCLE] + [StructField(c, IntegerType()) for c in ("cycle", "_a", "_b")])
+    return rows.mapInArrow(_crossed, schema).withColumnsRenamed({"_a": "advance", "_b": "retreat"})
+
+
 def transition_dates(daily: DataFrame, hemisphere: str = "south") -> DataFrame:
-    return dates(crossings(smooth(cycles(daily, hemisphere))))
+    return controlled(raw_dates(daily, hemisphere))
 
 
 def durations(dates: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from nilas.operators.integrals import area_mean, area_share
 from nilas.plans.registry import query
 from nilas.plans.skill import SQL_WCORR, WC
 from nilas.plans.trends import rounded
+from nilas.sources.files import kept
 
 KEYS = "dataset, start_year, y, x"
 CYC = f"""cyc AS (SELECT *, CAST(row_number() OVER k - 1 AS INT) AS t, CAST(count(*) OVER (PARTITION BY {KEYS}) AS INT) AS cycle FROM (SELECT *, CASE WHEN mo >= 3 THEN yr ELSE yr - 1 END AS start_year FROM daily) WINDOW k AS (PARTITION BY {KEYS} ORDER BY time))"""
@@ -31,7 +32,8 @@ CELL = ["dataset", "y", "x"]
 
 
 def dates(v):
-    return t.transition_dates(v.daily)
+    """Dates of all cycles, made once: tables of them read them up to a dozen times."""
+    return kept(t.transition_dates(v.months_of_days), "dates")
 
 
 def pairs(v):
@@ -43,9 +45,9 @@ def pairs(v):
 
 
 query("W1_running_mean", f"WITH {CYC}, {SM} SELECT {KEYS}, t, {q('smooth')} AS smooth FROM sm")(lambda v: t.smooth(t.cycles(v.daily)).select(*t.CYCLE, "t", r(F.col("smooth")).alias("smooth")))
-query("W2_advance_date", f"WITH {CYC}, {SM}, {CR}, {RAW} SELECT {KEYS}, a AS advance FROM raw")(lambda v: t.dates(t.crossings(t.smooth(t.cycles(v.daily))), control=False).select(*t.CYCLE, "advance"))
-query("W3_retreat_date", f"WITH {CYC}, {SM}, {CR}, {RAW} SELECT {KEYS}, b AS retreat FROM raw")(lambda v: t.dates(t.crossings(t.smooth(t.cycles(v.daily))), control=False).select(*t.CYCLE, "retreat"))
-query("W4_transition_year", f"WITH {CYC} SELECT {KEYS}, time, t, cycle FROM cyc")(lambda v: t.cycles(v.daily).select(*t.CYCLE, "time", "t", "cycle"))
+query("W2_advance_date", f"WITH {CYC}, {SM}, {CR}, {RAW} SELECT {KEYS}, a AS advance FROM raw")(lambda v: t.raw_dates(v.months_of_days).select(*t.CYCLE, "advance"))
+query("W3_retreat_date", f"WITH {CYC}, {SM}, {CR}, {RAW} SELECT {KEYS}, b AS retreat FROM raw")(lambda v: t.raw_dates(v.months_of_days).select(*t.CYCLE, "retreat"))
+query("W4_transition_year", f"WITH {CYC} SELECT {KEYS}, time, t, cycle FROM cyc")(lambda v: t.cycles(v.months_of_days.drop("i", "sic", "u", "v")).select(*t.CYCLE, "time", "t", "cycle"))
 query("W5_date_control", f"{DATES} SELECT {KEYS}, cycle, advance, retreat FROM dt")(lambda v: dates(v).select(*t.CYCLE, "cycle", "advance", "retreat"))
 LAGGED = f"{DATES}, s AS (SELECT dataset, start_year, avg(advance) AS a, avg(retreat) AS b FROM dt GROUP BY ALL), l AS (SELECT *, lead(a) OVER (PARTITION BY dataset ORDER BY start_year) AS a_next FROM s)"
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written to a new folder of the shared one and read back: for what a query uses more than once and is dear to make."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def read_raw_cubes(spark: SparkSession, path: str, ny: int, nx: int, months: int = 12) -> DataFrame:
     """Yearly files (name ends with the year) of float32 cubes [month, x, y] -> (year, month, y, x, value), a task a file."""
 

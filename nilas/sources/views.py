@@ -150,6 +150,11 @@ class Views:
         """Daily concentration and drift of three datasets over all days of the orders, without gaps. Half of the drift is the month's, where line items give one."""
         return self._daily(self._drifts)
 
+    @cached_property
+    def months_of_days(self) -> DataFrame:
+        """As daily, a month of a cell a row: time, i, sic, u and v are lists."""
+        return self._stretches(self._drifts)
+
     @cached_property
     def daily_tiles(self) -> DataFrame:
         """The daily fields on their grid (`budget.on_grid`) and in tiles for stencils (`budget.tiled`): cells meet the grid and are dealt out to tiles before their days are made."""

@@ -504,3 +504,41 @@ def test_budget_of_stretches_is_that_of_days(spark):
     lists = rows.groupBy("dataset", "_tile", "x", "y", "yr", "mo", "sx", "sy", "cell_area", "region").agg(F.sort_array(F.collect_list(F.struct("i", "time", "sic", "u", "v"))).alias("_l")).select("*", *(F.col(f"_l.{c}").alias(c) for c in ("i", "time", "sic", "u", "v"))).drop("_l")
     got = [sorted(map(repr, budget.daily_budget(df, grid).collect())) for df in (rows, lists)]
     assert got[0] == got[1] and len(got[0]) == 19 * 4
+
+
+def test_dates_on_arrays_are_those_of_windows(spark):
+    """Noisy cycles with missing days and null values, as days and as months; and cut calendars."""
+    days = spark.range(6 * 900).selectExpr("'a' AS dataset", "CAST(id % 6 AS INT) AS x", "0 AS y", "CAST(id DIV 6 AS INT) AS i").where("NOT (x = 2 AND i % 97 = 5) AND NOT (x = 3 AND i BETWEEN 340 AND 372) AND NOT (x = 5 AND i > 30)")
+    days = days.selectExpr("*", "date_add(DATE '2000-02-10', i) AS time", "CASE WHEN x <> 4 OR i % 53 <> 7 THEN 20 + 25 * sin(i / 40D + x) + pmod(i * 7919 + x * 31, 23) END AS sic").selectExpr("*", "year(time) AS yr", "month(time) AS mo")
+    lists = days.groupBy("dataset", "x", "y", "yr", "mo").agg(F.sort_array(F.collect_list(F.struct("time", "sic"))).alias("_l")).select("*", "_l.time", "_l.sic").drop("_l")
+    cols = [*transition.CYCLE, "cycle", "advance", "retreat"]
+    want = sorted(map(repr, transition.dates(transition.crossings(transition.smooth(transition.cycles(days))), control=False).select(*cols).collect()))
+    assert any("None" not in r for r in want)
+    for form in (days, lists):
+        assert sorted(map(repr, transition.raw_dates(form).select(*cols).collect())) == want
+    t = [sorted(map(tuple, transition.cycles(form).select(*transition.CYCLE, "time", "t", "cycle", "sic").collect()), key=repr) for form in (days, lists)]
+    assert t[0] == t[1]
+
+
+@pytest.mark.parametrize("name", ["W4_transition_year", "J14_date_pairs", "B4_phase_table", "M20_phase_differences", "B4_phase_difference_table"])
+def test_dates_sort_no_day(spark, name):
+    """Days are made as lists of a month; where they come apart, nothing is sorted any more."""
+    from nilas import plans
+
+    plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    if name == "W4_transition_year":
+        assert "collect_list(struct(time" in plan and "explode(_days" not in plan
+    else:
+        assert "l_shipdate" not in plan and "o_orderdate" not in plan  # dates are made once and read back
+
+
+def test_quantiles_shuffle_no_row(spark):
+    """Rows meet the wanted ranks where they are read, whatever Spark knows of sizes."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(1000).selectExpr("id % 2 AS k", "CAST(id AS DOUBLE) AS v")
+        plan = tables.quantiles(rows, ["k"], "v", [0.5])._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") <= 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
