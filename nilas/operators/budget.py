@@ -119,6 +119,10 @@ BATCH = 65536
 
 def _steps(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different values of a coordinate in order, and the place of each row among them."""
+    if len(values) and values.dtype.kind == "i" and int(values.max()) - int(values.min()) <= 4 * len(values):  # without a sort
+        low = int(values.min())
+        here = np.bincount(values - low) > 0
+        return np.flatnonzero(here) + low, (np.cumsum(here) - 1)[values - low]
     return np.unique(values, return_inverse=True)
 
 
@@ -131,64 +135,133 @@ def _at(field: np.ndarray, axis: int, values: np.ndarray, by: int) -> np.ndarray
     return out
 
 
-def _mean(parts: list[np.ndarray]) -> np.ndarray:
-    """Mean of the values that are there; NaN where none is."""
-    total, n = np.zeros_like(parts[0]), np.zeros(parts[0].shape, "int8")
-    for part in parts:
-        here = ~np.isnan(part)
-        total += np.where(here, part, 0.0)
-        n += here
+def _counted(field: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The field with 0 where it is missing, and 1 where it isn't."""
+    here = ~np.isnan(field)
+    return np.where(here, field, 0.0), here.astype("float64")
+
+
+def _mean(field: np.ndarray, axes: dict[int, np.ndarray], by) -> np.ndarray:
+    """Mean of the values that are there, `by` steps on along each of the axes (given with their coordinates); NaN where none is."""
+    total, n = _counted(field)
+    for axis, values in axes.items():
+        total, n = (sum(np.nan_to_num(_at(f, axis, values, k), copy=False) if k else f for k in by) for f in (total, n))
     return np.divide(total, n, out=np.full_like(total, np.nan), where=n > 0)
 
 
-def _tile_terms(rows: pa.Table) -> pa.Table:
+class _Tile:
     """Budget of a tile on arrays (y, x, i). Columns that are lists hold the steps of a cell, the others one value for all steps of a row."""
-    lists = [c for c in rows.column_names if pa.types.is_list(rows.schema.field(c).type)]
-    if lists:
-        part = pa.array(np.repeat(np.arange(len(rows)), pc.list_value_length(rows[lists[0]]).to_numpy()))
-        flat = {c: pa.chunked_array([k.flatten() for k in rows[c].chunks], rows.schema.field(c).type.value_type) if c in lists else rows[c].take(part) for c in rows.column_names}
-    else:
-        flat = {c: rows[c] for c in rows.column_names}
-    number = lambda c: flat[c].to_numpy().astype("float64")  # noqa: E731  nulls are NaN
-    (ys, y), (xs, x), (steps, i) = (_steps(flat[c].to_numpy()) for c in ("y", "x", "i"))
-    place, shape = (y * len(xs) + x) * len(steps) + i, (len(ys), len(xs), len(steps))
-
-    def dense(values: np.ndarray) -> np.ndarray:
-        out = np.full(shape, np.nan)
-        out.ravel()[place] = values
-        return out
-
-    sic, u, v, weight = (dense(number(c)) for c in ("sic", "u", "v", "_weight"))
-    around = lambda f: _mean([_at(row, 1, xs, k) for j in (-1, 0, 1) for row in (_at(f, 0, ys, j),) for k in (-1, 0, 1)])
-    with np.errstate(all="ignore"):
-        u, v = (np.where(sic >= LEVEL, around(f), np.nan) for f in (u, v))
-        span = {c: dense(number(f"s{c}")) for c in "xy"}
-        span = {c: np.where(s == 0, np.nan, s) for c, s in span.items()}
-        slope = lambda f, axis, values, c: (_at(f, axis, values, 1) - _at(f, axis, values, -1)) / span[c]
-        late = np.where(steps >= 2, 86400.0, np.nan) * weight
-        adv = -(u * slope(sic, 1, xs, "x") + v * slope(sic, 0, ys, "y")) * late
-        div = -sic * (slope(u, 1, xs, "x") + slope(v, 0, ys, "y")) * late
-        dadt = (_at(sic, 2, steps, 1) - _at(sic, 2, steps, -1)) / 2
-        adv, div = (_mean([_at(f, 2, steps, by) for by in (0, 1, 2)]) for f in (adv, div))
-        terms = {"dadt": dadt, "adv": adv, "div": div, "res": dadt - adv - div}
-    kept = np.flatnonzero((np.floor_divide(ys[y], TILE) == flat["_tile"].to_numpy()) & ~np.isnan(dadt.ravel()[place]))
-    out = {c: flat[c].take(pa.array(kept)) for c in KEPT} | {n: pa.array(f.ravel()[place[kept]], from_pandas=True) for n, f in terms.items()}
-    table = pa.table(out)
-    return pa.concat_tables([table.slice(k, BATCH).combine_chunks() for k in range(0, max(1, len(table)), BATCH)])
-
-
-def daily_budget(daily: DataFrame, grid: DataFrame, weight: Column | None = None) -> DataFrame:
+
+    def __init__(self, rows: pa.Table, made=None):
+        self.rows = rows
+        lists = [c for c in rows.column_names if pa.types.is_list(rows.schema.field(c).type)]
+        self.flat = {c: pa.chunked_array([k.flatten() for k in rows[c].chunks], rows.schema.field(c).type.value_type) for c in lists}
+        self.length = pc.list_value_length(rows[lists[0]]).to_numpy() if lists else np.ones(len(rows), "int64")
+        values = {c: self.numbers(c) for c in ("sic", "u", "v")} if made is None else made(self.numbers)
+        (ys, y), (xs, x), (steps, i) = (_steps(v) for v in (*(rows[c].to_numpy() for c in "yx"), self.numbers("i")))
+        cell, shape = y * len(xs) + x, (len(ys), len(xs), len(steps))
+        self.place = self.spread(cell * len(steps)) + i
+
+        def dense(values: np.ndarray, place=self.place, shape=shape) -> np.ndarray:
+            out = np.full(shape, np.nan)
+            out.ravel()[place] = values
+            return out
+
+        sic, u, v = (dense(values[c].astype("float64")) for c in ("sic", "u", "v"))  # nulls are NaN
+        weight = dense(self.numbers("_weight")) if "_weight" in rows.column_names else 1.0
+        span = {c: dense(rows[f"s{c}"].to_numpy().astype("float64"), cell, (*shape[:2], 1)) for c in "xy"}
+        with np.errstate(all="ignore"):
+            ice = sic >= LEVEL
+            u, v = (np.where(ice, _mean(f, {1: xs, 0: ys}, (-1, 0, 1)), np.nan) for f in (u, v))
+            span = {c: np.where(s == 0, np.nan, s) for c, s in span.items()}
+            slope = lambda f, axis, values, c: (_at(f, axis, values, 1) - _at(f, axis, values, -1)) / span[c]
+            late = np.where(steps >= 2, 86400.0, np.nan) * weight
+            adv = -(u * slope(sic, 1, xs, "x") + v * slope(sic, 0, ys, "y")) * late
+            div = -sic * (slope(u, 1, xs, "x") + slope(v, 0, ys, "y")) * late
+            dadt = (_at(sic, 2, steps, 1) - _at(sic, 2, steps, -1)) / 2
+            adv, div = (_mean(f, {2: steps}, (0, 1, 2)) for f in (adv, div))
+            self.terms = {"dadt": dadt, "adv": adv, "div": div, "res": dadt - adv - div}
+        self.sic = sic
+        own = self.spread(np.floor_divide(rows["y"].to_numpy(), TILE) == rows["_tile"].to_numpy())
+        self.kept = np.flatnonzero(own & ~np.isnan(dadt.ravel()[self.place]))
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """Values of rows for each of their steps."""
+        return np.repeat(values, self.length)
+
+    def numbers(self, name: str) -> np.ndarray:
+        """A column's value for each step."""
+        return self.flat[name].to_numpy() if name in self.flat else self.spread(self.rows[name].to_numpy())
+
+    def column(self, name: str, at: np.ndarray):
+        """A column's values for some steps."""
+        if name in self.flat:
+            return self.flat[name].take(pa.array(at))
+        if name == "sic" and name not in self.rows.column_names:
+            return pa.array(self.sic.ravel()[self.place[at]], from_pandas=True)
+        return self.rows[name].take(pa.array(np.searchsorted(np.cumsum(self.length), at, side="right")))
+
+    def days(self) -> pa.Table:
+        """A row a cell and step."""
+        table = pa.table({c: self.column(c, self.kept) for c in KEPT} | {n: pa.array(f.ravel()[self.place[self.kept]], from_pandas=True) for n, f in self.terms.items()})
+        return pa.concat_tables([table.slice(k, BATCH).combine_chunks() for k in range(0, max(1, len(table)), BATCH)])
+
+    def sums(self, by, values) -> pa.Table:
+        """Sums of values (functions of sic, cell_area and the terms, by name) over the steps that have the same values of the columns `by`; null where all are missing."""
+        whole = [c for c in by if c not in self.flat]
+        code = np.zeros(len(self.rows), "int64")
+        for c in whole:
+            found, at = _steps(self.rows[c].to_numpy())
+            code = _steps(code * len(found) + at)[1]
+        code = self.spread(code)
+        for c in by:
+            if c in self.flat:
+                found, at = _steps(self.flat[c].cast(pa.int32()).to_numpy() if pa.types.is_date(self.flat[c].type) else self.flat[c].to_numpy())
+                code = code * len(found) + at
+        groups, code = _steps(code[self.kept])
+        first = np.zeros(len(groups), "int64")
+        first[code[::-1]] = self.kept[::-1]
+        fields = {n: f.ravel()[self.place[self.kept]] for n, f in (self.terms | {"sic": self.sic}).items()} | {"cell_area": self.numbers("cell_area")[self.kept]}
+        out = {c: self.column(c, first) for c in by}
+        for name, value in values.items():
+            total, n = (np.bincount(code, x, len(groups)) for x in _counted(value(fields)))
+            out[name] = pa.array(np.where(n > 0, total, np.nan), from_pandas=True)
+        return pa.table(out)
+
+
+def _in_tiles(daily: DataFrame, grid: DataFrame, weight: Column | None, columns) -> DataFrame:
+    """daily on its grid and in tiles, with what a budget needs."""
+    if "_tile" not in daily.columns:
+        daily = tiled(on_grid(daily, grid)).repartition("dataset", "_tile")
+    if weight is not None:
+        daily = daily.withColumn("_weight", weight.cast("double"))
+    return daily.select(*(c for c in daily.columns if c in columns))
+
+
+#: What a tile needs of its rows.
+NEEDED = (*KEPT, "_tile", "sx", "sy", "u", "v", "_weight", "shift", "_k", "_u", "_v")
+
+
+def _schema(rows: DataFrame, names, more) -> StructType:
+    kinds = {f.name: f.dataType.elementType if isinstance(f.dataType, ArrayType) else f.dataType for f in rows.schema.fields}
+    return StructType([StructField(c, kinds.get(c, DoubleType())) for c in names] + [StructField(t, DoubleType()) for t in more])
+
+
+def daily_budget(daily: DataFrame, grid: DataFrame, weight: Column | None = None, made=None) -> DataFrame:
     """dadt, adv, div and res in percent a day. Velocities are filtered and dropped where concentration is under LEVEL; day i averages the terms of fields i, i+1 and i+2, of which the first two fields have none.
 
     daily: where it is on its grid (`on_grid`) and in tiles (`tiled`) its partitions are kept; else rows meet the grid here and are shuffled once, into tiles. Its rows are days, or stretches of days of a cell in which time, i, sic, u and v are lists.
     Each tile is worked out on arrays in one step, so no day is sorted or shuffled. weight: days that a field stands for (1, or the days of the month for monthly fields).
+    made: where daily has no sic, u and v yet, what makes them in the tile's task of a function that gives its columns' values day by day.
     """
-    if "_tile" not in daily.columns:
-        daily = tiled(on_grid(daily, grid)).repartition("dataset", "_tile")
-    rows = daily.withColumn("_weight", F.lit(1.0) if weight is None else weight.cast("double")).select(*KEPT, "_tile", "sx", "sy", "u", "v", "_weight")
-    kinds = {f.name: f.dataType.elementType if isinstance(f.dataType, ArrayType) else f.dataType for f in rows.schema.fields}
-    schema = StructType([StructField(c, kinds[c]) for c in KEPT] + [StructField(t, DoubleType()) for t in TERMS])
-    return rows.groupBy("dataset", "_tile").applyInArrow(_tile_terms, schema)
+    rows = _in_tiles(daily, grid, weight, NEEDED)
+    return rows.groupBy("dataset", "_tile").applyInArrow(lambda table: _Tile(table, made).days(), _schema(rows, KEPT, TERMS))
+
+
+def budget_sums(daily: DataFrame, grid: DataFrame, by, values: dict, weight: Column | None = None, made=None) -> DataFrame:
+    """Sums over `daily_budget` by columns of it, a row a tile and group: those of different tiles are still to be summed. values: by name, functions of arrays (sic, cell_area and the terms, NaN where missing). Only sums leave a tile, no days."""
+    rows = _in_tiles(daily, grid, weight, NEEDED)
+    return rows.groupBy("dataset", "_tile").applyInArrow(lambda table: _Tile(table, made).sums(by, values), _schema(rows, by, values))
 
 
 def common_mask(rows: DataFrame, terms=TERMS) -> DataFrame:
@@ -199,15 +272,26 @@ def common_mask(rows: DataFrame, terms=TERMS) -> DataFrame:
     return rows.withColumn("_ok", ok).withColumns({t: F.when(F.col("_ok"), F.col(t)) for t in terms}).drop("_ok")
 
 
-def ridging(sic: Column, res: Column, div: Column) -> Column:
+def _ridging(f: dict) -> np.ndarray:
     """Ridging where concentration is over 90, the residual negative and the divergence positive."""
-    return F.coalesce((sic > 90) & (res < -EPS) & (div > EPS), F.lit(False))
+    return (f["sic"] > 90) & (f["res"] < -EPS) & (f["div"] > EPS)
+
+
+#: For `budget_sums`: cells with ice, and those of them with ridging.
+RIDGES = {"ridged": lambda f: ((f["sic"] >= LEVEL) & _ridging(f)).astype("float64"), "ice": lambda f: (f["sic"] >= LEVEL).astype("float64")}
+#: For `budget_sums`: the terms themselves.
+TOTALS = {t: lambda f, t=t: f[t] for t in TERMS}
+#: For `budget_sums`: integrals over area of the terms' positive and negative parts and of the whole, in km2 for fractions.
+INTEGRALS = {
+    f"{t}_{n}": lambda f, t=t, ok=ok: np.where(ok(f[t]), f[t], np.nan) * f["cell_area"] / 1e6
+    for t in TERMS
+    for n, ok in (("pos", lambda x: x > 0), ("neg", lambda x: x < 0), ("net", lambda x: x == x))
+}
 
 
-def ridging_ratio(rows: DataFrame, keys) -> DataFrame:
-    ice = F.col("sic") >= LEVEL
-    flag = ice & ridging(F.col("sic"), F.col("res"), F.col("div"))
-    return rows.groupBy(*keys).agg(F.try_divide(F.sum(flag.cast("int")), F.nullif(F.sum(ice.cast("int")), F.lit(0))).alias("ratio"))
+def ridging_ratio(sums: DataFrame, keys) -> DataFrame:
+    """sums of RIDGES by keys -> their ratio."""
+    return sums.groupBy(*keys).agg(F.try_divide(F.sum("ridged"), F.nullif(F.sum("ice"), F.lit(0.0))).alias("ratio"))
 
 
 def beside(rows: DataFrame, values, on, reference: str) -> DataFrame:

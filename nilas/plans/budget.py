@@ -10,10 +10,11 @@ from nilas.functions.stats import sql_bias, sql_mae, sql_rmse
 from nilas.functions.stats import sql_round as q
 from nilas.operators import budget as b
 from nilas.operators import climatology as c
-from nilas.operators.integrals import sector_totals, signed_integrals
+from nilas.operators.integrals import sector_totals
 from nilas.plans.registry import query
 from nilas.plans.skill import SQL_WCORR, WC
 from nilas.plans.trends import rounded
+from nilas.sources.views import day_values
 
 SEASON, SEASON_YEAR = cal.SQL_SEASON, cal.SQL_SEASON_YEAR
 TERMS = ["dadt", "adv", "div", "res"]
@@ -44,7 +45,11 @@ bud AS (SELECT *, dadt - adv - div AS res FROM f6 WHERE dadt IS NOT NULL)"""
 
 
 def budget(v):
-    return b.daily_budget(v.month_tiles, v.grid)
+    return b.daily_budget(v.month_tiles, v.grid, made=day_values)
+
+
+def sums(v, by, values):
+    return b.budget_sums(v.month_tiles, v.grid, by, values, made=day_values)
 
 
 query("R9_distances", f"WITH {DIST} SELECT y, x, {q('hx', 3)} AS hx, {q('hy', 3)} AS hy FROM dist")(lambda v: rounded(b.distances(v.grid).select("y", "x", "hx", "hy"), "y", "x", digits=3))
@@ -62,7 +67,7 @@ query("W12_common_mask", f"WITH {BUD} SELECT dataset, mo, count(CASE WHEN {' AND
 )
 RIDGE = "coalesce(sic > 90 AND res < -1e-9 AND div > 1e-9, FALSE)"
 query("W13_ridging_ratio", f"WITH {BUD} SELECT dataset, time, {q(f'sum(CAST(sic >= 15 AND {RIDGE} AS INT)) / nullif(CAST(sum(CAST(sic >= 15 AS INT)) AS DOUBLE), 0)')} AS ratio FROM bud GROUP BY ALL")(
-    lambda v: rounded(b.ridging_ratio(budget(v), ["dataset", "time"]), "dataset", "time")
+    lambda v: rounded(b.ridging_ratio(sums(v, ["dataset", "time"], b.RIDGES), ["dataset", "time"]), "dataset", "time")
 )
 MEANS = f"sn AS (SELECT dataset, y, x, {SEASON} AS season, avg(sic) AS sic, avg(div) AS div, avg(res) AS res FROM bud GROUP BY ALL)"
 query("W14_season_ridging_mask", f"WITH {BUD}, {MEANS} SELECT dataset, y, x, season, CASE WHEN div IS NOT NULL AND res IS NOT NULL THEN CAST({RIDGE.replace('90', '40')} AS INT) END AS mask FROM sn")(
@@ -70,15 +75,14 @@ query("W14_season_ridging_mask", f"WITH {BUD}, {MEANS} SELECT dataset, y, x, sea
     .select("dataset", "y", "x", "season", F.when(F.col("div").isNotNull() & F.col("res").isNotNull(), F.coalesce((F.col("sic") > 40) & (F.col("res") < -b.EPS) & (F.col("div") > b.EPS), F.lit(False)).cast("int")).alias("mask"))
 )
 query("W15_monthly_ridging", f"WITH {BUD}, d AS (SELECT dataset, yr, mo, time, sum(CAST(sic >= 15 AND {RIDGE} AS INT)) / nullif(CAST(sum(CAST(sic >= 15 AS INT)) AS DOUBLE), 0) AS ratio FROM bud GROUP BY ALL), m AS (SELECT dataset, yr, mo, avg(ratio) AS ratio FROM d GROUP BY ALL) SELECT yr, mo, {q('avg(ratio)')} AS mean, {q('stddev_pop(ratio)')} AS spread FROM m GROUP BY ALL")(
-    lambda v: rounded(b.ridging_ratio(budget(v), ["dataset", "yr", "mo", "time"]).groupBy("dataset", "yr", "mo").agg(F.avg("ratio").alias("ratio")).groupBy("yr", "mo").agg(F.avg("ratio").alias("mean"), F.stddev_pop("ratio").alias("spread")), "yr", "mo")
+    lambda v: rounded(b.ridging_ratio(sums(v, ["dataset", "yr", "mo", "time"], b.RIDGES), ["dataset", "yr", "mo", "time"]).groupBy("dataset", "yr", "mo").agg(F.avg("ratio").alias("ratio")).groupBy("yr", "mo").agg(F.avg("ratio").alias("mean"), F.stddev_pop("ratio").alias("spread")), "yr", "mo")
 )
 sql_parts = lambda t, a: f"coalesce(sum(CASE WHEN {t} > 0 THEN {t} * {a} / 1e6 END), 0) AS {t}_pos, coalesce(sum(CASE WHEN {t} < 0 THEN {t} * {a} / 1e6 END), 0) AS {t}_neg, coalesce(sum({t} * {a} / 1e6), 0) AS {t}_net"
 INT = f"it AS (SELECT dataset, time, mo, {', '.join(sql_parts(t, 'cell_area') for t in TERMS)} FROM bud GROUP BY ALL)"
 
 
 def integrals(v):
-    cols = [x.alias(f"{t}_{n}") for t in TERMS for n, x in signed_integrals(F.col(t), F.col("cell_area")).items()]
-    return budget(v).groupBy("dataset", "time", "mo").agg(*cols)
+    return sums(v, ["dataset", "time", "mo"], b.INTEGRALS).groupBy("dataset", "time", "mo").agg(*(F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in b.INTEGRALS))
 
 
 PCT = {"adv": "abs(dadt_net)", "div": "abs(dadt_net)", "res": "dadt_net"}
@@ -89,7 +93,7 @@ CLOSE = f"mt AS (SELECT dataset, y, x, cell_area, region, yr, mo, sum(dadt) AS d
 
 
 def month_clim(v):
-    m = budget(v).groupBy("dataset", "y", "x", "cell_area", "region", "yr", "mo").agg(*(F.sum(t).alias(t) for t in TERMS))
+    m = sums(v, ["dataset", "y", "x", "cell_area", "region", "yr", "mo"], b.TOTALS)  # a cell has one tile of its own
     return m.groupBy("dataset", "y", "x", "cell_area", "region", "mo").agg(*(F.avg(t).alias(t) for t in TERMS))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ SECTORS = (("All", (1, 2, 3, 4, 5, 6)), ("Weddell", (1,)), ("West Indian", (2,))
 NORTHERN = (("CA", (1,)), ("CBS", (2, 3)), ("LESS", (4, 5)), ("KBS", (6, 7)), ("EG", (8,)), ("HBB", (9, 11)), ("CAA", (12,)), ("Other", (13, 14, 15, 17, 18)))
 ENSEMBLE = (("ALL", "model_a"), ("ALL", "model_b"), ("A", "model_a"))
 TERMS = ("dyn", "growth", "melt", "snow")
+#: Datasets of the daily fields, and by how many days each is late.
+SHIFTS = (("obs1", 0), ("obs2", 6), ("model_a", 15))
 #: Columns of the grid, and the parts for which it has ROWS rows.
 COLUMNS, ROWS, PARTS = 8, 6, 2000
 #: Daily series that one task makes; each is as long as the orders' calendar.
@@ -55,25 +58,35 @@ class Views:
         return self.months // 2 + 1
 
     @cached_property
-    def _monthly_sums(self) -> DataFrame:
-        """Monthly sums of quantity by dataset, cell and term."""
+    def _lines(self) -> DataFrame:
+        """Line items with their dataset, month, cell and term."""
         dataset = F.when(F.col("l_returnflag") == "R", "obs1").when(F.col("l_returnflag") == "A", "obs2").when(F.col("l_linestatus") == "O", "model_a").otherwise("model_b")
-        return (
-            self.table("lineitem").withColumns({"dataset": dataset, "time": F.trunc("l_shipdate", "month"), "k": (F.col("l_linenumber") % 4).cast("int"), **cell(F.col("l_partkey"), self.ny)})
-            .groupBy("dataset", "time", "x", "y", "k")
-            .agg(F.sum("l_quantity").cast("long").alias("s"), F.count("*").alias("n"))
-        )
+        place = cell(F.col("l_partkey"), self.ny)
+        return self.table("lineitem").select(dataset.alias("dataset"), F.trunc("l_shipdate", "month").alias("time"), *(c.alias(n) for n, c in place.items()), (F.col("l_linenumber") % 4).cast("int").alias("k"), "l_quantity")
 
-    @cached_property
-    def field(self) -> DataFrame:
-        """Monthly fields: concentration (percent), drift (m/s), thickness (m). Gaps stay gaps."""
-        t = self._monthly_sums.groupBy("dataset", "time", "x", "y").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    @staticmethod
+    def _sums(lines: DataFrame) -> DataFrame:
+        """Monthly sums of quantity by dataset, cell and term."""
+        return lines.groupBy("dataset", "time", "x", "y", "k").agg(F.sum("l_quantity").cast("long").alias("s"), F.count("*").alias("n"))
+
+    @staticmethod
+    def _fields(sums: DataFrame) -> DataFrame:
+        t = sums.groupBy("dataset", "time", "x", "y").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
         s, n = F.col("s"), F.col("n")
         return t.select(
             "dataset", "time", F.year("time").alias("yr"), F.month("time").alias("mo"), "x", "y",
             ((s * 37 + n * 11) % 101).cast("double").alias("sic"), (((s * 7) % 41 - 20) / 100.0).alias("u"), (((s * 13 + n) % 41 - 20) / 100.0).alias("v"), (((s * 5) % 40) / 10.0).alias("thick"),
         )
 
+    @cached_property
+    def _monthly_sums(self) -> DataFrame:
+        return self._sums(self._lines)
+
+    @cached_property
+    def field(self) -> DataFrame:
+        """Monthly fields: concentration (percent), drift (m/s), thickness (m). Gaps stay gaps."""
+        return self._fields(self._monthly_sums)
+
     @cached_property
     def flux(self) -> DataFrame:
         """Monthly mass fluxes by term, kg/m2/s."""
@@ -103,11 +116,12 @@ class Views:
 
     @cached_property
     def _drifts(self) -> DataFrame:
-        """Cells by dataset (and its shift) with the drift of their months, a map of as many entries as there are months."""
-        drift = self.field.repartition(self.parts, "x", "y").groupBy("x", "y").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("dataset", "time"), F.struct("u", "v")))).alias("_drift"))
-        shift = self.spark.createDataFrame([("obs1", 0), ("obs2", 6), ("model_a", 15)], "dataset string, shift int")
-        rows = self.cells.repartition(self.parts, "x", "y").join(drift, ["x", "y"], "left").crossJoin(F.broadcast(shift))  # datasets are three
-        return rows.withColumn("_drift", F.map_filter("_drift", lambda at, _: at["dataset"] == F.col("dataset")))
+        """Cells by dataset (and its shift) with the drift of their months, a map of as many entries as there are months. Line items are dealt out to the cells once, and summed there."""
+        keys = ["dataset", "x", "y"]
+        lines = self._lines.where(F.col("dataset").isin([d for d, _ in SHIFTS])).repartition(self.parts, *keys)
+        drift = self._fields(self._sums(lines)).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("time", F.struct("u", "v")))).alias("_drift"))
+        shift = self.spark.createDataFrame(list(SHIFTS), "dataset string, shift int")
+        return self.cells.crossJoin(F.broadcast(shift)).repartition(self.parts, *keys).join(drift, keys, "left")  # datasets are three
 
     def _months(self, cells: DataFrame) -> DataFrame:
         """Cells (with their drift) by month: the month's drift (_at) and its days (_days: time, i and the noise k). Made after the cells are dealt out: no row of a month or day is shuffled, and those of a cell stay in its partition."""
@@ -115,7 +129,7 @@ class Views:
         days = self.days.join(noise, "time", "left").groupBy(F.trunc("time", "month").alias("_month")).agg(F.sort_array(F.collect_list(F.struct("time", "i", F.coalesce("k", F.lit(0)).alias("k")))).alias("_days"))
         months = self.days.select(F.trunc("time", "month").alias("_month")).distinct()
         rows = cells.crossJoin(F.broadcast(months))  # months are a few hundred
-        rows = rows.withColumn("_at", F.try_element_at("_drift", F.struct("dataset", F.col("_month").alias("time")))).drop("_drift")
+        rows = rows.withColumn("_at", F.try_element_at("_drift", F.col("_month"))).drop("_drift")
         return rows.join(F.broadcast(days), "_month")  # a list of days a month
 
     @staticmethod
@@ -166,8 +180,11 @@ class Views:
 
     @cached_property
     def month_tiles(self) -> DataFrame:
-        """As daily_tiles, a month of a cell a row: time, i, sic, u and v are lists."""
-        return self._stretches(self._tiles)
+        """As daily_tiles, a month of a cell a row: time, i and the noise _k are lists, of sic, u and v there is what `day_values` needs to make them inside a tile's task."""
+        return self._months(self._tiles).select(
+            "dataset", F.col("_days.time").alias("time"), F.year("_month").alias("yr"), F.month("_month").alias("mo"), F.col("_days.i").alias("i"), F.col("_days.k").alias("_k"), "x", "y", "shift",
+            *(F.coalesce(f"_at.{c}", F.lit(0.0)).alias(f"_{c}") for c in "uv"), "sx", "sy", "cell_area", "region", "_tile",
+        )
 
     @cached_property
     def sectors(self) -> DataFrame:
@@ -182,6 +199,17 @@ class Views:
         return self.field.join(self.grid, ["x", "y"])
 
 
+def day_values(at) -> dict[str, np.ndarray]:
+    """`Views._values` on arrays, a value a day; at gives the columns of `month_tiles`."""
+    i, k, x, y = (at(c).astype("int64") for c in ("i", "_k", "x", "y"))
+    wave = np.abs(np.fmod(i + 9 * x + 5 * y + at("shift"), 365) - 182) - 50 + k
+    return {
+        "sic": np.clip(wave, 0, 100).astype("float64"),
+        "u": 0.5 * at("_u") + (np.fmod(i * 7 + x * 3 + y * 5 + k, 41) - 20) / 200.0,
+        "v": 0.5 * at("_v") + (np.fmod(i * 5 + x * 11 + y * 2 + 3 * k, 41) - 20) / 200.0,
+    }
+
+
 def _values(rows) -> str:
     return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
 

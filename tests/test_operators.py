@@ -542,3 +542,36 @@ def test_quantiles_shuffle_no_row(spark):
         assert plan.count("SortMergeJoin") <= 1
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_budget_sums_are_those_of_the_daily_budget(spark):
+    from nilas.sources.views import Views, day_values
+
+    v = Views(spark, "/root/testdata/sf0.001")
+    rows = v.daily.where("i < 70 AND NOT (x = 3 AND i = 20) AND NOT (x = 2 AND y = 1)").withColumns({"sic": F.when(F.col("x") + F.col("i") != 9, F.col("sic")), "u": F.when(F.col("y") + F.col("i") != 12, F.col("u"))})
+    days = budget.daily_budget(rows, v.grid)
+    near = lambda rows: {tuple(r[:3]): [None if x is None else pytest.approx(x, abs=1e-6) for x in r[3:]] for r in rows}
+    by = ["dataset", "y", "x", "yr", "mo"]
+    got = budget.budget_sums(rows, v.grid, by, budget.TOTALS).collect()
+    want = {tuple(r[:5]): list(r[5:]) for r in days.groupBy(*by).agg(*(F.sum(t) for t in budget.TERMS)).collect()}
+    assert {tuple(r[:5]): [None if x is None else pytest.approx(x, abs=1e-6) for x in r[5:]] for r in got} == want and len(got) == len(want) and any(None in x for x in want.values())
+    by = ["dataset", "time", "mo"]
+    values = budget.RIDGES | budget.INTEGRALS
+    ice = F.col("sic") >= 15
+    own = [F.sum((F.coalesce(ice & (F.col("sic") > 90) & (F.col("res") < -1e-9) & (F.col("div") > 1e-9), F.lit(False))).cast("double")), F.sum(F.coalesce(ice, F.lit(False)).cast("double"))]
+    own += [F.sum(F.when(ok(F.col(t)), F.col(t) * F.col("cell_area") / 1e6)) for t in budget.TERMS for ok in (lambda x: x > 0, lambda x: x < 0, lambda x: x.isNotNull())]
+    want = {tuple(r[:3]): list(r[3:]) for r in days.groupBy(*by).agg(*(c.alias(n) for c, n in zip(own, values, strict=True))).collect()}
+    assert near(budget.budget_sums(rows, v.grid, by, values).collect()) == want and want  # one tile
+    key = lambda df: {(r.dataset, r.i, r.y, r.x): (r.sic, r.dadt, r.adv, r.div, r.res) for r in df.where("i < 40").collect()}
+    assert key(budget.daily_budget(v.month_tiles, v.grid, made=day_values)) == key(budget.daily_budget(v.daily, v.grid))  # days made in the tile's task are those of the view
+
+
+@pytest.mark.parametrize("name", ["A8_budget_closure", "A9_season_budget_table", "M18_budget_difference", "W13_ridging_ratio"])
+def test_budget_queries_send_no_days(spark, name):
+    """Days are made and summed inside a tile's task: neither the rows that go to it nor those that leave it are days. Line items are dealt out once."""
+    from nilas import plans
+
+    plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    text = plan.toString()
+    leave = next(x for x in text.splitlines() if "FlatMapGroupsInArrow" in x).rsplit("[", 1)[-1]
+    assert "lambdafunction" not in text and " i#" not in leave and text.count("RepartitionByExpression") == 3
