@@ -47,10 +47,10 @@ SURPLUS = 1.25
 SAMPLE, COMMON = 4096, 8
 #: Verified members of one page sent to one task beside its first.
 SALTS = 64
-#: Turns in which pages are counted, each with its share of the shuffled rows.
-TURNS = 4
-#: Bits of the filter of pages that are kept, at most, and bytes of a piece of it.
-PAGE_BITS, CHUNK = 1 << 27, 1 << 16
+#: Turns in which pages are counted, each with its share of the shuffled rows: a power of two, the low bits of a page tell its turn.
+TURNS, TURN_BITS = 4, 2
+#: Bits of the filter of pages that are kept for each page, and in all at most; bytes of a piece of it.
+PER_PAGE, PAGE_BITS, CHUNK = 64, 1 << 27, 1 << 16
 #: Passes over pages with several components: the share of pages (one in so many), and whether components only name their nearest pairs.
 #: The last pass takes every page and every pair.
 PASSES = ((8, True), (1, False))
@@ -153,9 +153,9 @@ def _featurise(words: int, bands: Bands, common):
 
 
 def _page_filter(pages: DataFrame, n: int):
-    """A broadcast bit map of about 16 bits for each of n pages, PAGE_BITS at most; pages that it lets pass beside them only cost time."""
-    bits = min(PAGE_BITS, max(8 * CHUNK, _size(16 * n)))
-    place = F.col("page").bitwiseAND(F.lit(bits - 1))
+    """A broadcast bit map of PER_PAGE bits or more for each of n pages of a turn, PAGE_BITS at most; of the other pages of that turn it lets about n / bits pass, which only cost time. The bits that are the same in all pages of a turn are left out."""
+    bits = min(PAGE_BITS, max(8 * CHUNK, _size(PER_PAGE * n)))
+    place = F.shiftright("page", TURN_BITS).bitwiseAND(F.lit(bits - 1))
     chunks = pages.select(F.floor(place / (8 * CHUNK)).cast("int").alias("chunk"), (place % (8 * CHUNK)).alias("at")).repartition("chunk").mapInArrow(_chunks, "chunk int, data binary")
     out = np.zeros(bits // 8, np.uint8)
     for r in chunks.toArrow().to_pylist():  # as large as the map, in one job
@@ -185,7 +185,7 @@ def _entries(wanted, kept=None):
             nodes = np.repeat(_column(batch, "doc_id"), np.diff(lists.offsets.to_numpy()))
             if kept is not None:
                 bits = np.frombuffer(kept.value, np.uint8)
-                place = whole & (8 * len(bits) - 1)
+                place = (whole >> TURN_BITS) & (8 * len(bits) - 1)
                 own = (bits[place >> 3] >> (place & 7)) & 1 == 1
                 whole, nodes = whole[own], nodes[own]
             for i in range(0, len(whole), 100_000):

@@ -802,3 +802,20 @@ def test_mixing_sends_only_buckets_that_tell_something(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     made = mixing.fit(docs, docs.selectExpr("doc_id", "CAST(doc_id % 3 > 0 AS INT) AS quality", "0 AS toxic"))
     assert "table" not in vars(made) and len(pickle.dumps(made)) < 1 << 16
+
+
+def test_page_filter_lets_few_other_pages_pass(spark):
+    """Of the pages of a turn that aren't kept, which share their low bits with those that are, few pass the filter, and all kept ones do."""
+    import numpy as np
+    import pyarrow as pa
+
+    from nilas.llm import ngram_join as j
+    from nilas.llm.common import key_filter
+
+    pages = np.random.default_rng(5).integers(-(1 << 63), 1 << 63, 220_000) // j.TURNS * j.TURNS + 1
+    kept = spark.createDataFrame([(int(p),) for p in pages[:20_000]], "page long")
+    bits, wanted = j._page_filter(kept, 20_000), key_filter(spark.range(1))
+    lists = pa.RecordBatch.from_arrays([pa.array([0]), pa.ListArray.from_arrays(pa.array([0, len(pages)], pa.int32()), pa.array(pages))], names=["doc_id", "p"])
+    passed = np.concatenate([b.column(0).to_numpy() for b in j._entries(wanted, bits)([lists])])
+    assert set(pages[:20_000].tolist()) <= set(passed.tolist())
+    assert len(passed) - 20_000 <= 200_000 * 0.02
