@@ -68,7 +68,7 @@ query("R2_bilinear_lonlat", f"""WITH s AS (SELECT dataset, time, {LON} AS lon, {
 BOXES = {"slon0": "45.0D * x", "slon1": "45.0D * x + 45", "slat0": "-90 + 60.0D * y / {0}", "slat1": "-90 + 60.0D * (y + 1) / {0}"}
 AIMS = {"tlon0": "30.0D * x - 20", "tlon1": "30.0D * x + 10 + 60 * (x % 2)", "tlat0": "-88 + 72.0D * y / {0}", "tlat1": "-88 + 72.0D * (y + 1) / {0} + (y % 2) * 0.5D"}
 _sql = lambda e: e.replace("0D", "0").replace("5D", "5").format(SQL_NY)
-box_source = lambda v: v.field.select("dataset", "time", "y", "x", "sic", *(F.expr(e.format(v.ny)).cast("double").alias(k) for k, e in BOXES.items()), (1e6 * (2 + F.col("x") % 3)).alias("s_area"))
+box_source = lambda v: v.field_of_cells.select("dataset", "time", "y", "x", "sic", *(F.expr(e.format(v.ny)).cast("double").alias(k) for k, e in BOXES.items()), (1e6 * (2 + F.col("x") % 3)).alias("s_area"))
 box_target = lambda v: v.grid.select(F.col("y").alias("ty"), F.col("x").alias("tx"), *(F.expr(e.format(v.ny)).cast("double").alias(k) for k, e in AIMS.items()), (1e6 * (1 + F.col("y") % 2)).alias("t_area"))
 # boxes cross 360 degrees by at most one turn, so three turns of the source meet every target
 SPHERE = f"""sb AS (SELECT dataset, time, sic, 1e6 * (2 + x % 3) AS sa, {', '.join(f'CAST({_sql(e)} AS DOUBLE) AS {k}' for k, e in BOXES.items())} FROM field),

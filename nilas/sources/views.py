@@ -87,6 +87,11 @@ class Views:
         """Monthly fields: concentration (percent), drift (m/s), thickness (m). Gaps stay gaps."""
         return self._fields(self._monthly_sums)
 
+    @cached_property
+    def field_of_cells(self) -> DataFrame:
+        """As field. Line items are dealt out to the cells once and summed there, so that a cell's months lie in one partition and no sum is shuffled."""
+        return self._fields(self._sums(self._lines.repartition(-(-COLUMNS * self.ny // SERIES), "x", "y")))
+
     @cached_property
     def flux(self) -> DataFrame:
         """Monthly mass fluxes by term, kg/m2/s."""

@@ -374,6 +374,60 @@ def test_conservative_remap_keeps_the_total(spark):
     assert binned.groupBy("k", "_level").count().agg(F.max("count")).first()[0] <= 8 * 2
 
 
+def test_flat_boxes_meet_those_beside_them(spark):
+    """45 degrees wide and ever flatter boxes, targets of two heights: candidates follow the overlaps, not all pairs of a wide bin."""
+    for rows in (64, 512):
+        source = spark.range(8 * rows).selectExpr("CAST(id AS INT) AS k", "45D * (id % 8) AS slon0", "45D * (id % 8) + 45 AS slon1", f"-60 + 60D * (id DIV 8) / {rows} AS slat0", f"-60 + 60D * (id DIV 8 + 1) / {rows} AS slat1")
+        target = spark.range(8 * rows).selectExpr("CAST(id AS INT) AS t", "30D * (id % 8) - 20 AS tlon0", "30D * (id % 8) + 10 AS tlon1", f"-60 + 60D * (id DIV 8) / {rows} AS tlat0", f"-60 + 60D * (id DIV 8 + 1) / {rows} + (id DIV 8) % 2 * 0.5D AS tlat1")
+        found = remap.lonlat_overlaps(source, target).count()
+        assert remap.overlap_candidates(source, target).count() <= 20 * found
+        plain = source.crossJoin(target.select("t", "tlat0", "tlat1", F.explode(F.array(*(F.struct((F.col("tlon0") + k).alias("a"), (F.col("tlon1") + k).alias("b")) for k in (0, 360)))).alias("c")))
+        assert found == plain.where("slon0 < c.b AND c.a < slon1 AND slat0 < tlat1 AND tlat0 < slat1").count()
+
+
+def test_conservative_remap_is_that_of_all_pairs(spark, monkeypatch):
+    """Boxes from the globe to thousandths of a degree, over the date line, with several boxes a key, repeated, missing and infinite values; tiles, lists and batches are cut often."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(remap, "PLACES", 5)
+    monkeypatch.setattr(remap, "LOT", 4)
+    monkeypatch.setattr(remap, "SERIES", 3)
+
+    def boxes(n):
+        w, h = (10 ** rng.uniform(-3, top, n) for top in (2.56, 2.2))
+        lon, lat = rng.uniform(-200, 400, n), rng.uniform(-90, 90, n)
+        near = rng.random(n) < 0.6  # small ones lie together
+        lon, lat = np.where(near, rng.uniform(359.7, 360.2, n), lon), np.where(near, rng.uniform(10, 10.5, n), lat)
+        return np.stack([lon, lon + np.minimum(w, 360), lat, np.minimum(lat + h, 90)], 1).tolist()
+
+    values = [None, float("inf"), float("-inf"), *rng.normal(0, 5, 400).tolist()]
+    source = [(i, *b, 2.0 + i % 3, f, d, v) for i, b in enumerate(boxes(60)) for f, d in (("a", 1), ("a", 2), ("b", 1), ("b", 2), (None, 3)) for v in rng.choice(np.array(values, object), int(rng.integers(0, 3)))]
+    target = [(int(i * 0.8), 1.0 + int(i * 0.8) % 2, *b) for i, b in enumerate(boxes(90))] + [(200, 1.0, 10.0, 5.0, 0.0, 1.0), (201, 1.0, None, 5.0, 0.0, 1.0), (202, 1.0, 1.0, 5.0, float("nan"), 1.0)]
+    held = spark.createDataFrame(source, "k int, slon0 double, slon1 double, slat0 double, slat1 double, a double, f string, d int, v double")
+    aims = spark.createDataFrame(target, "t int, ta double, tlon0 double, tlon1 double, tlat0 double, tlat1 double")
+    area = lambda w, e, s, n: np.radians(e - w) * (np.sin(np.radians(n)) - np.sin(np.radians(s)))
+    sums = {}
+    for _, w, e, s, n, a, f, d, v in source:
+        for t, ta, tw, te, ts, tn in target[:90] if v is not None else ():
+            for turn in (-720, -360, 0, 360, 720):
+                west, east, south, north = max(w + turn, tw), min(e + turn, te), max(s, ts), min(n, tn)
+                if west < east and south < north:
+                    o, at = area(west, east, south, north), sums.setdefault((f, d, t), [0.0, 0.0, 0.0])
+                    at[0], at[1], at[2] = at[0] + o * v, at[1] + o, at[2] + v * a * o / area(w, e, s, n) / ta
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "7")
+    try:
+        means, totals = ({(r.f, r.d, r.t): r.value for r in remap.conservative_lonlat(held, aims, "v", ["t"], ["f", "d"], ["k"], shares).collect()} for shares in (None, ("a", "ta")))
+    finally:
+        spark.conf.set(batch, before)
+    assert set(means) == set(totals) == set(sums) and len(sums) > 200
+    for k, (total, weight, shared) in sums.items():
+        assert means[k] == pytest.approx(total / weight, rel=1e-6, nan_ok=True)  # sides of about 360 degrees leave nine digits to thousandths
+        assert totals[k] == pytest.approx(shared, rel=1e-6, abs=1e-9, nan_ok=True)
+
+
 def test_quantiles_are_those_of_percentile(spark):
     import numpy as np
 
